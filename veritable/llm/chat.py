@@ -75,7 +75,8 @@ def render(messages: DataFrame) -> DataFrame:
 
 def parse(formatted: Column) -> Column:
     """The messages of a rendered conversation: array of (role, text), unescaped."""
-    turns = F.slice(F.split(formatted, r"<\|im_start\|>"), 2, (1 << 31) - 1)
+    pieces = F.split(formatted, r"<\|im_start\|>")
+    turns = F.slice(pieces, F.lit(2), F.size(pieces))
     head = lambda t: F.substring_index(t, "\n", 1)
     body = lambda t: F.substr(t, F.length(head(t)) + 2, F.length(t) - F.length(head(t)) - 2 - len(CLOSE))
     return F.transform(turns, lambda t: F.struct(_unescape_role(head(t)).alias("role"), unescape(body(t)).alias("text")))
