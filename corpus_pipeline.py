@@ -1,6 +1,65 @@
-STAGES = []
+"""The corpus pipeline: five stages over ``documents``, each one of the training-data operators.
+
+Every stage reads what its predecessor kept, whole texts; its decisions take effect in what it
+returns. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veritable.llm import decontamination, language_id, packing, simhash, suffix_dedup
+from veritable.llm.common import held_out, materialize
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no language that the profiles know: null text or no letter at all."""
+    profiles = language_id.fit(docs.where(~held_out()).select("text", "lang"))
+    columns = docs.columns
+    rows = language_id.predict(docs, profiles, [F.col(c) for c in columns if c != "text"] + [F.col("text")])
+    return rows.where("lang_pred <> 'und'").select(*columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near duplicates."""
+    return simhash.keep_one(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts every repeated 100-byte string after its first occurrence out of the texts;
+    documents of which nothing is left go."""
+    cut = suffix_dedup.remove_repeats(docs, with_text=True).where("n_removed > 0").select("doc_id", "kept_text")
+    rows = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text"))
+    rows = rows.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.where("kept_text is null or length(trim(kept_text)) > 0").select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", drop_repeated_passages),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("packing", pack_sequences),
+]
+
+#: Language profiles, tokenizers and radix passes are beyond SQL; tests/llm/ compares every
+#: stage with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

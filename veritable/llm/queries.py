@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritable.llm import binary_output, chat, embedding_dedup, language_id, packing, quality, simhash, suffix_dedup
+from veritable.llm import binary_output, chat, decontamination, embedding_dedup, language_id, packing, quality, sharding, simhash, suffix_dedup
 from veritable.llm.common import held_out, shared_dir
 
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     profiles = language_id.fit(docs.where(~held_out()).select("text", "lang"))
@@ -54,11 +58,22 @@ def op8_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.read(spark.read.parquet(path))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends all documents as they arrive, compacts, and reads the committed table back:
+    every document with the shard that holds it."""
+    table = sharding.ShardTable(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    table.append(_table(spark, sf_dir, "documents"))
+    table.compact()
+    text = F.coalesce("text", F.lit(""))
+    return table.read().select("doc_id", F.col("__shard").alias("shard"), F.octet_length(text).cast("long").alias("n_bytes"), F.crc32(text.cast("binary")).alias("text_crc32"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
@@ -66,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat": op6_chat,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_binary_output": op8_binary_output,
+    "op9_sharding": op9_sharding,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
