@@ -70,7 +70,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, cut: str = "
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "block", "before", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for rows in text_slices(batch, most=1 << 20):
+            for rows in text_slices(batch, most=block_tokens):
                 ids, counts = encoder.encode(rows.column("text").to_pylist(), end)
                 parts.append((rows.column("doc_id").to_numpy(), counts, ids))
                 held += len(ids)

@@ -33,7 +33,7 @@ from veritable.llm.common import SLICE_BYTES, text_bytes, text_slices
 from veritable.llm.words import plain_words
 
 PASSAGE, FEATURES, RANK = 64, 1 << 13, 128
-COMMON, COSINE = 0.1, 0.4
+COMMON, COSINE = 0.1, 0.25
 SHARE, LOOSE, ANSWER, LEAST = 0.75, 0.6, 8, 8
 MOST_ITEMS, MOST_WORDS = 100_000, 5_000_000
 SEED = 271
