@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritable.functions.normalize import ColumnOrName, col
 
@@ -134,7 +135,7 @@ def deviation_shares(features: ColumnOrName) -> Column:
     return F.transform(far, lambda d: d / (F.aggregate(far, F.lit(0.0), lambda a, v: a + v) + 1e-6))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def spectrum_magnitude(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """20 ln of the shifted 2-d spectrum of a square picture given row by row."""
     for s in batches:
@@ -145,7 +146,7 @@ def spectrum_magnitude(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def laplacian_variance(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Variance of the Laplacian of a square picture; borders are reflected."""
     for s in batches:
@@ -157,7 +158,7 @@ def laplacian_variance(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def perceptual_hash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """64 bits: the low 8x8 cosine coefficients of a square picture above their median."""
     for s in batches:
@@ -171,7 +172,7 @@ def perceptual_hash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
-@F.pandas_udf("array<array<double>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def log_mel(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Log-mel energies in dB below the peak: frames of 400 samples every 160, 40 bands, 16 kHz."""
     rate, size, hop, bands = 16_000, 400, 160, 40

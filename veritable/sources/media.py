@@ -8,12 +8,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritable.functions.normalize import category, extension
 
 
 def listing(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """path, length, modified of every file below ``path``; contents are not read."""
+    """path, length, modified of every file below ``path``; contents are not read. Spark's file
+    scan leaves out empty files, so a path that a manifest names and this does not list is
+    missing or empty."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -100,13 +103,13 @@ def wav_info(data: bytes) -> tuple[int, int, float] | None:
     return None
 
 
-@F.pandas_udf("width int, height int")
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
 def jpeg_sizes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:
         yield pd.DataFrame([jpeg_size(v) or (None, None) for v in s], columns=["width", "height"]).astype("Int32")
 
 
-@F.pandas_udf("sample_rate int, n_samples long, duration_sec double")
+@F.pandas_udf(T.StructType([T.StructField("sample_rate", T.IntegerType()), T.StructField("n_samples", T.LongType()), T.StructField("duration_sec", T.DoubleType())]))
 def audio_infos(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:
         yield pd.DataFrame([flac_info(v) or wav_info(v) or (None, None, None) for v in s], columns=["sample_rate", "n_samples", "duration_sec"]).astype({"sample_rate": "Int32", "n_samples": "Int64", "duration_sec": "Float64"})

@@ -28,7 +28,7 @@ def failures(metadata: DataFrame) -> DataFrame:
 
 
 def markdown_row(name: str = "metric", value: str = "value"):
-    return F.concat(F.lit("| "), F.col(name), F.lit(" | "), F.coalesce(F.format_string("%.4f", F.col(value).cast("double")), F.lit("n/a")), F.lit(" |"))
+    return F.concat(F.lit("| "), F.col(name), F.lit(" | "), F.when(F.col(value).isNull(), "n/a").otherwise(F.format_string("%.4f", F.col(value).cast("double"))), F.lit(" |"))
 
 
 def markdown_table(metrics: DataFrame) -> str:
