@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL, FANOUT, TARGET = 16 << 20, 4, 128 << 20
+AT_ONCE = 64
 
 
 class ShardTable:
@@ -108,19 +109,24 @@ class ShardTable:
         return [g for g in groups if len(g) > 1]
 
     def compact(self) -> int:
-        """Merge until no tier is full; one Spark job merges all groups of a round. Returns
-        the version reached. Merged shards' sources stay until ``vacuum``."""
+        """Merge until no tier is full; a Spark job merges up to ``AT_ONCE`` groups, one task
+        for each shard of target size, without a shuffle. Returns the version reached.
+        Merged shards' sources stay until ``vacuum``."""
         while True:
             base = self.manifest()
             if not (groups := self.plan(base["shards"])):
                 return base["version"]
-            folder = f"data/m-{uuid.uuid4().hex}"
-            number = {s["name"].rpartition("/")[2]: i for i, g in enumerate(groups) for s in g}
-            names = self.spark.createDataFrame(list(number.items()), "__file string, __group int")
-            merged = self.spark.read.parquet(*(f"{self.path}/{s['name']}" for g in groups for s in g))
-            grouped = merged.withColumn("__file", F.element_at(F.split("_metadata.file_path", "/"), -1)).join(F.broadcast(names), "__file").drop("__file")
-            grouped.repartitionByRange(len(groups), "__group").write.partitionBy("__group").parquet(f"{self.path}/{folder}")
-            made = [s for f in self._fs.listStatus(self._at(folder)) if f.isDirectory() for s in self._written(f"{folder}/{f.getPath().getName()}", level=1 + max(x["level"] for x in groups[int(f.getPath().getName().rpartition("=")[2])]))]
+            made = []
+            for at in range(0, len(groups), AT_ONCE):
+                some, folder = groups[at : at + AT_ONCE], f"data/m-{uuid.uuid4().hex}"
+                parts = [self.spark.read.parquet(*(f"{self.path}/{s['name']}" for s in g)).coalesce(1) for g in some]
+                merged = parts[0]
+                for p in parts[1:]:
+                    merged = merged.unionByName(p, allowMissingColumns=True)
+                merged.write.option("maxRecordsPerFile", 0).parquet(f"{self.path}/{folder}")
+                for shard in self._written(folder):
+                    number = int(shard["name"].rpartition("/part-")[2].split("-")[0])
+                    made.append(shard | {"level": 1 + max(s["level"] for s in some[number])})
             gone = {s["name"] for g in groups for s in g}
             try:
                 self._commit(base["version"], sorted([s for s in base["shards"] if s["name"] not in gone] + made, key=lambda s: s["name"]))
