@@ -11,13 +11,16 @@ chosen per window, not left to right, so that neighbouring windows share them:
 2. Second digit: all bytes that the run's windows cover. Rows that agree in both are equal in
    every window, so all but the earliest are repeats as a whole. Earliest rows whose first
    digit meets no other second digit are done.
-3. The rest (mostly the edges of repeated passages) are spelled out: last digit: the
-   window's own 100 bytes, to the full depth. All but the earliest of a group are repeats.
+3. The rest (mostly the edges of repeated passages) are compared by each window's own 100
+   bytes, the full depth; all but the earliest of a group are repeats. Runs whose first digit
+   at most ``FEW`` share travel whole, with the bytes they cover, and are spelled out where
+   they meet; runs of a first digit that more share are spelled out before the shuffle and
+   dealt by window, so that no common passage has to fit one task.
 
 Digits are 64-bit hashes, compared together with the first one. Steps 1-2 range-partition by
-both digits and sort; a group that spans partitions goes to step 3 at the seams, so no
-common passage has to fit one task. Before step 3's shuffle each batch settles its own
-repeats. Steps read sorted rows as a stream and hold one row.
+both digits and sort; a group that spans partitions goes to step 3 at the seams. Before step
+3's shuffle each batch settles its own repeats. Sorted rows are read as a stream; a task
+holds one row, or one group of at most ``FEW`` runs.
 
 Null text counts as empty; texts under ``length`` bytes keep all. Rows that share a doc_id are
 one document: a row does not repeat itself (if their texts differ, spans of either apply to
@@ -37,6 +40,8 @@ from pyspark.sql import functions as F
 from veritable.llm.common import materialize, text_bytes, text_slices
 
 LENGTH, GRAM = 100, 32
+#: A first digit that at most this many unsettled runs share is compared within one task.
+FEW = 64
 #: Bytes hashed at once; a longer text is cut into overlapping chunks of this size.
 CHUNK = 1 << 18
 
@@ -181,75 +186,139 @@ def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held[0][None], False)
 
 
+def _ragged(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """One binary value for each stretch of the bytes."""
+    edges = np.concatenate([[0], np.cumsum(size)])
+    flat = data[np.repeat(start - edges[:-1], size) + np.arange(edges[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(flat)])
+
+
+def _windows_of(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each run's windows: their places, and the run of each."""
+    edges = np.cumsum(n)
+    return np.repeat(lo - (edges - n), n) + np.arange(int(edges[-1])), np.repeat(np.arange(len(n)), n)
+
+
+def _first_of_kind(first, last, doc, place):
+    """Sort by digits, doc_id and place; mark rows that repeat an earlier row of their kind
+    and leave out rows that are that earlier row itself."""
+    order = np.lexsort((place, doc, last, first))
+    first, last, doc, place = first[order], last[order], doc[order], place[order]
+    seen = np.zeros(len(first), bool)
+    seen[1:] = (first[1:] == first[:-1]) & (last[1:] == last[:-1])
+    top = np.maximum.accumulate(np.where(seen, 0, np.arange(len(first))))
+    other = ~seen | (doc != doc[top]) | (place != place[top])
+    return first[other], last[other], doc[other], place[other], seen[other]
+
+
 def _spell(length: int):
-    """Windows of the unsettled runs of each text: first and last digit, place; a window
+    """The unsettled runs of each text. A run whose first digit few rows share is sent whole,
+    with the bytes that it covers. One that many share is spelled into its windows; a window
     whose digits the batch has seen earlier is sent as a repeat (settled)."""
+    names = ["first", "last", "doc_id", "place", "settled", "covered"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            firsts, lasts, docs, places = [], [], [], []
+            spelled: list[tuple[np.ndarray, ...]] = []
             lists = batch.column("runs")
-            run_edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             flat = lists.flatten()
-            run_of, first_of = flat.field("run").to_numpy(), flat.field("first").to_numpy()
+            run_of, first_of, few_of = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("run", "first", "few"))
             for data, rows, offsets, shift in _chunks(batch, length):
                 if len(data) < length:
                     continue
-                prefix = _prefix(data)
-                for text, row in enumerate(rows.tolist()):
-                    a, b = run_edges[row], run_edges[row + 1]
-                    lo, n, first = run_of[a:b] >> 8, run_of[a:b] & 255, first_of[a:b]
-                    here = (lo >= shift) & (lo < shift + CHUNK) if len(data) == CHUNK + length - 1 or shift else np.ones(len(lo), bool)
-                    lo, n, first = lo[here], n[here], first[here]
-                    if not len(lo):
-                        continue
-                    p = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    at = p - shift + offsets[text]
-                    firsts.append(np.repeat(first, n))
-                    lasts.append(_span_hash(prefix, at, at + length, np.zeros(1, np.int64)).view(np.int64))
-                    docs.append(np.full(len(p), ids[row]))
-                    places.append(p)
-            if not firsts:
-                continue
-            first, last, doc, place = map(np.concatenate, (firsts, lasts, docs, places))
-            order = np.lexsort((place, doc, last, first))
-            first, last, doc, place = first[order], last[order], doc[order], place[order]
-            seen = np.zeros(len(first), bool)
-            seen[1:] = (first[1:] == first[:-1]) & (last[1:] == last[:-1])
-            top = np.maximum.accumulate(np.where(seen, 0, np.arange(len(first))))
-            itself = seen & (doc == doc[top]) & (place == place[top])
-            first, last, doc, place, seen = first[~itself], last[~itself], doc[~itself], place[~itself], seen[~itself]
-            # settled rows need no company: they are dealt by their place
-            first = np.where(seen, place, first)
-            last = np.where(seen, doc, last)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (first, last, doc, place, seen))], ["first", "last", "doc_id", "place", "settled"])
+                a, b = edges[rows[0]], edges[rows[-1] + 1]
+                lo, n, first, few = run_of[a:b] >> 8, run_of[a:b] & 255, first_of[a:b], few_of[a:b]
+                row = np.repeat(np.arange(len(rows)), np.diff(edges[rows[0] : rows[-1] + 2]))
+                if len(rows) == 1:  # perhaps a chunk of a longer text
+                    here = (lo >= shift) & (lo + n + length - 1 <= shift + len(data))
+                    lo, n, first, few, row = lo[here], n[here], first[here], few[here], row[here]
+                if not len(lo):
+                    continue
+                doc, at = ids[rows[row]], lo - shift + offsets[row]
+                if few.any():
+                    whole = _ragged(data, at[few], n[few] + length - 1)
+                    zero = np.zeros(len(whole), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(first[few]), pa.array(zero), pa.array(doc[few]), pa.array(lo[few] << 8 | n[few]), pa.array(zero > 0), whole], names)
+                if not few.all():
+                    many = ~few
+                    p, of = _windows_of(at[many], n[many])
+                    last = _span_hash(_prefix(data), p, p + length, np.zeros(1, np.int64)).view(np.int64)
+                    spelled.append((first[many][of], last, doc[many][of], p + (lo - at)[many][of]))
+            if spelled:
+                first, last, doc, place, seen = _first_of_kind(*map(np.concatenate, zip(*spelled)))
+                # settled rows need no company: they are dealt by their place
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (np.where(seen, place, first), np.where(seen, doc, last), doc, place, seen)), pa.nulls(len(first), pa.binary())], names)
 
     return run
 
 
-def _scan_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
-        settled = batch.column(4).to_numpy(zero_copy_only=False)
-        open_rows = rows[~settled]
-        repeats = rows[settled]
-        if len(open_rows):
+def _scan_windows(length: int):
+    """Rows sorted by digits, doc_id and place: places of the windows that are repeats."""
+
+    def inside(rows: pa.RecordBatch) -> np.ndarray:
+        """Repeats among whole runs; all runs of a first digit are here."""
+        first, doc, run = (rows.column(k).to_numpy() for k in ("first", "doc_id", "place"))
+        lo, n = run >> 8, run & 255
+        data, offsets = text_bytes(rows.column("covered"))
+        out = []
+        step = max(1, CHUNK // (length + 255))
+        group = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1], [True]]))
+        at = 0
+        while at < len(first):  # whole groups, about as many bytes as the tables serve
+            end = int(group[max(np.searchsorted(group, at + step, "right") - 1, np.searchsorted(group, at, "right"))])
+            piece = data[offsets[at] : offsets[end]]
+            p, of = _windows_of(offsets[at:end] - offsets[at], n[at:end])
+            last = _span_hash(_prefix(piece), p, p + length, np.zeros(1, np.int64)).view(np.int64)
+            place = p - (offsets[at:end] - offsets[at])[of] + lo[at:end][of]
+            _, _, d, w, seen = _first_of_kind(first[at:end][of], last, doc[at:end][of], place)
+            out.append(np.stack([d[seen], w[seen]], 1))
+            at = end
+        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, waiting = None, None  # the kind of window that goes on; runs whose group may go on
+
+        def out(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["doc_id", "place"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = batch.filter(batch.column("covered").is_valid())
+            if whole.num_rows:
+                if waiting is not None:
+                    whole = pa.concat_batches([waiting, whole])
+                first = whole.column("first").to_numpy()
+                cut = int(np.searchsorted(first, first[-1]))
+                waiting = whole.slice(cut)
+                if cut:
+                    yield out(inside(whole.slice(0, cut)))
+            spelled = batch.filter(batch.column("covered").is_null())
+            if not spelled.num_rows:
+                continue
+            rows = np.stack([spelled.column(i).to_numpy() for i in range(4)], 1)
+            settled = spelled.column("settled").to_numpy(zero_copy_only=False)
+            if settled.any():
+                yield out(rows[settled][:, 2:])
+            rows = rows[~settled]
+            if not len(rows):
+                continue
             begin = kind is None
-            before = np.concatenate([open_rows[:1] if begin else kind[None], open_rows[:-1]])
-            same = (open_rows[:, :2] == before[:, :2]).all(1)
-            if begin:
-                same[0] = False
-            own = np.maximum.accumulate(np.where(~same, np.arange(len(open_rows)), -1))
-            top = np.where((own >= 0)[:, None], open_rows[np.maximum(own, 0)], open_rows[:1] if begin else kind[None])
-            found = open_rows[same & (open_rows[:, 2:] != top[:, 2:]).any(1)]
+            before = np.concatenate([rows[:1] if begin else kind[None], rows[:-1]])
+            same = (rows[:, :2] == before[:, :2]).all(1)
+            same[0] &= not begin
+            own = np.maximum.accumulate(np.where(~same, np.arange(len(rows)), -1))
+            top = np.where((own >= 0)[:, None], rows[np.maximum(own, 0)], rows[:1] if begin else kind[None])
+            found = rows[same & (rows[:, 2:] != top[:, 2:]).any(1)]
             kind = top[-1]
-            repeats = np.concatenate([repeats, found])
-        if len(repeats):
-            yield pa.RecordBatch.from_arrays([pa.array(repeats[:, 2]), pa.array(repeats[:, 3])], ["doc_id", "place"])
+            if len(found):
+                yield out(found[:, 2:])
+        if waiting is not None:
+            yield out(inside(waiting))
+
+    return run
 
 
 def _cut(length: int, with_text: bool):
@@ -293,9 +362,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     scanned = materialize(dealt.mapInArrow(_scan_runs, _SCHEMA), "runs")
     # one exchange of the texts serves both joins
     by_doc = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    edges = scanned.where("not settled").groupBy("doc_id").agg(F.collect_list(F.struct("run", "first")).alias("runs"))
-    spelled = by_doc.join(edges, "doc_id").mapInArrow(_spell(length), "first long, last long, doc_id long, place long, settled boolean")
-    windows = spelled.repartition("first", "last").sortWithinPartitions("first", "last", "doc_id", "place").mapInArrow(_scan_windows, "doc_id long, place long")
+    reps = scanned.where("not settled").select("first", "doc_id", "run")
+    sizes = reps.groupBy("first").agg((F.count("*") <= FEW).alias("few"))
+    edges = reps.join(sizes, "first").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("run", "first", "few"))).alias("runs"))
+    spelled = by_doc.join(edges, "doc_id").mapInArrow(_spell(length), "first long, last long, doc_id long, place long, settled boolean, covered binary")
+    windows = spelled.repartition("first", "last").sortWithinPartitions("first", "last", "doc_id", "place").mapInArrow(_scan_windows(length), "doc_id long, place long")
     spans = scanned.where("settled").select("doc_id", "run").union(windows.select("doc_id", F.shiftleft("place", 8).bitwiseOR(F.lit(1)).alias("run")))
     gone = spans.groupBy("doc_id").agg(F.collect_list("run").alias("spans"))
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
