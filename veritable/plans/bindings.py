@@ -63,9 +63,10 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # 1024ths: sums over windows are then exact, whatever the order of addition
     from veritable.streaming.windows import positions
 
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.least(F.col("value") / 500, F.lit(1.0)).alias("x"))
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.floor(F.least(F.col("value") / 500, F.lit(1.0)) * 1024) / 1024).alias("x"))
     return positions(e, "user_id", "ts", "event_id")
 
 
@@ -107,7 +108,7 @@ CTE = {
     "metadata": """metadata as (
         select o_orderkey, case when o_orderkey % 7 = 0 then 'failed' else 'success' end as status, case when o_orderkey % 5 = 0 then 'v1' else 'v2' end as preprocessing_version, (o_orderkey % 4)::int as retry_count from orders where o_orderkey % 3 <> 0)""",
     "stream": """stream as (
-        select user_id, event_id, least(value / 500, 1.0::double) as x, row_number() over (partition by user_id order by ts, event_id)::int as pos from events)""",
+        select user_id, event_id, floor(least(value / 500, 1.0::double) * 1024) / 1024 as x, row_number() over (partition by user_id order by ts, event_id)::int as pos from events)""",
     "probs": """one as (select l_orderkey, l_linenumber, min(l_discount) as d, min(l_tax) as t, min(l_quantity) as q from lineitem group by 1, 2),
       probs as (
         select l_orderkey || '-' || l_linenumber as sample_id, 'image' as modality, d * 10 as prob from one union all

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritable.functions import arrays, normalize
-from veritable.operators import compare, leakage, manifest, metrics, registry, splits
+from veritable.operators import audits, compare, leakage, manifest, metrics, registry, splits, tabular
 from veritable.plans import bindings as b
 from veritable.plans.bindings import with_ctes
 from veritable.streaming import windows
@@ -584,23 +584,23 @@ def r14_early_stopping(spark, sf):
 
 
 @query(with_ctes("stream", """, w as (select *, avg(x) over (partition by user_id order by pos rows between 15 preceding and current row) as raw from stream)
-  select user_id, ((pos - 16) // 8)::int as window_idx, pos as frame_idx, round(raw, 12) as raw from w where pos >= 16 and (pos - 16) % 8 = 0"""))
+  select user_id, ((pos - 16) // 8)::int as window_idx, pos as frame_idx, raw from w where pos >= 16 and (pos - 16) % 8 = 0"""))
 def t07_sliding_windows(spark, sf):
     rows = windows.sliding_windows(b.stream(spark, sf), "user_id", 16, windows.step_size(16, 0.5))
-    return rows.withColumn("raw", F.round("raw", 12))
+    return rows
 
 
-@query(with_ctes("stream", "select user_id, round(list_reduce(list(x order by pos), lambda a, v: 0.3::double * v + 0.7::double * a), 12) as smoothed from stream group by 1"))
+@query(with_ctes("stream", "select user_id, list_reduce(list(x order by pos), lambda a, v: 0.3::double * v + 0.7::double * a) as smoothed from stream group by 1"))
 def t05_ema(spark, sf):
-    return windows.ema_last(b.stream(spark, sf), "user_id", "pos", "x", 0.3).withColumn("smoothed", F.round("smoothed", 12))
+    return windows.ema_last(b.stream(spark, sf), "user_id", "pos", "x", 0.3)
 
 
 @query(with_ctes("stream", """, w as (select *, avg(x) over (partition by user_id order by pos rows between 15 preceding and current row) as raw from stream), k as (select user_id, ((pos - 16) // 8)::int as window_idx, pos as frame_idx, raw from w where pos >= 16 and (pos - 16) % 8 = 0),
   l as (select user_id, window_idx, frame_idx, raw, list(raw) over (partition by user_id order by window_idx rows unbounded preceding) as xs from k)
-  select user_id, window_idx, frame_idx, round(raw, 12) as raw, round(list_reduce(xs, lambda a, v: 0.3::double * v + 0.7::double * a), 12) as smoothed from l"""))
+  select user_id, window_idx, frame_idx, raw, list_reduce(xs, lambda a, v: 0.3::double * v + 0.7::double * a) as smoothed from l"""))
 def t07_smoothed_windows(spark, sf):
     rows = windows.sliding_windows(b.stream(spark, sf), "user_id", 16, 8)
-    return windows.ema_series(rows, "user_id", 0.3).select("user_id", "window_idx", "frame_idx", F.round("raw", 12).alias("raw"), F.round("smoothed", 12).alias("smoothed"))
+    return windows.ema_series(rows, "user_id", 0.3).select("user_id", "window_idx", "frame_idx", "raw", "smoothed")
 
 
 def _sweep_sql() -> str:
@@ -608,7 +608,7 @@ def _sweep_sql() -> str:
     for size in (8, 16, 32, 64):
         for overlap in (0.0, 0.25, 0.5, 0.75):
             step = windows.effective_step(size, overlap)
-            parts.append(f"""select {size} as window_size, {overlap}::double as overlap, u.user_id, round(coalesce(s, 0.5), 12) as final_score from (select distinct user_id from stream) u left join
+            parts.append(f"""select {size} as window_size, {overlap}::double as overlap, u.user_id, coalesce(s, 0.5) as final_score from (select distinct user_id from stream) u left join
       (select user_id, list_reduce(list(raw order by pos), lambda a, v: 0.3::double * v + 0.7::double * a) as s from (select *, avg(x) over (partition by user_id order by pos rows between {size - 1} preceding and current row) as raw from stream) where pos >= {size} and (pos - {size}) % {step} = 0 group by 1) k on u.user_id = k.user_id""")
     return with_ctes("stream", " union all ".join(parts))
 
@@ -616,7 +616,7 @@ def _sweep_sql() -> str:
 @query(_sweep_sql())
 def t11_sweep(spark, sf):
     configs = [(size, overlap) for size in (8, 16, 32, 64) for overlap in (0.0, 0.25, 0.5, 0.75)]
-    return windows.sweep(b.stream(spark, sf), "user_id", configs, 0.3).withColumn("final_score", F.round("final_score", 12))
+    return windows.sweep(b.stream(spark, sf), "user_id", configs, 0.3)
 
 
 # --- arrays ------------------------------------------------------------------------------
@@ -695,3 +695,51 @@ def x15_behaviour_features(spark, sf):
 @query("""with r as (select l_orderkey, (l_returnflag = 'R') as rf, l_quantity from lineitem) select rf as y, count(*) as n, round(avg(l_quantity), 6) as mean_quantity from r group by 1""")
 def a32_group_accuracy(spark, sf):
     return b.table(spark, sf, "lineitem").groupBy((F.col("l_returnflag") == "R").alias("y")).agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean_quantity"))
+
+
+# --- audits ------------------------------------------------------------------------------
+
+
+@query(with_ctes("manifest", """, p(l, r) as (values ('train', 'valid'), ('train', 'test'), ('valid', 'test')), k as (select distinct file_hash as key, upstream_split as s from manifest), k2 as (select distinct source_image_key as key, upstream_split as s from manifest),
+  b as (select doc_id % 97 as b, min(upstream_split) as lo, max(upstream_split) as hi from manifest group by 1 having lo <> hi), t as (select file_hash, min(label) as lo, max(label) as hi from manifest where upstream_split = 'train' group by 1 having lo <> hi)
+  select 'id_' || l || '_' || r as check, (select count(*) from k a join k c on a.key = c.key and a.s = l and c.s = r) as n from p
+  union all select 'path_' || l || '_' || r, (select count(*) from k2 a join k2 c on a.key = c.key and a.s = l and c.s = r) from p
+  union all select 'name_in_several_splits', (select count(*) from (select source_image_key, min(upstream_split) lo, max(upstream_split) hi from (select split_part(source_image_key, '/', 2) as source_image_key, upstream_split from manifest) group by 1 having lo <> hi))
+  union all select 'train_id_with_both_labels', (select count(*) from t)"""))
+def l18_split_leakage(spark, sf):
+    return audits.split_leakage(b.manifest(spark, sf), "file_hash", "source_image_key", "upstream_split")
+
+
+@query(with_ctes("manifest split registry", """, r(role) as (values ('train'), ('val'), ('test_seen'), ('test_unseen')), c as (select role, count(s.doc_id) as n, count(distinct generator) as k from r left join split s on s.split_role = role group by 1)
+  select 'rows' as check, role as subject, case when n > 0 then 'PASS' when role = 'test_unseen' then 'CRITICAL' else 'FAIL' end as level, n::double as value from c
+  union all select 'generators', role, case when k >= 2 then 'PASS' else 'WARN' end, k::double from c where n > 0
+  union all select 'coverage', 'registry', case when v >= 0.9 then 'PASS' else 'FAIL' end, v from (select count(*) filter (status = 'PROCESSED')::double / count(*) as v from registry)"""))
+def y29_readiness_checks(spark, sf):
+    return audits.readiness_checks(b.split(spark, sf), b.registry(spark, sf))
+
+
+@query(with_ctes("manifest", "select file_hash, sample_id, n from manifest join (select file_hash, count(*) as n from manifest group by 1 having count(*) > 1) using (file_hash)"))
+def y26_content_audit(spark, sf):
+    return audits.content_audit(b.manifest(spark, sf), "file_hash", "sample_id")
+
+
+@query(with_ctes("manifest", """select doc_id, label from (select *, row_number() over (partition by label order by md5('s' || doc_id), doc_id) as r from manifest where upstream_split <> 'test' and label is not null) where r <= case label when 'real' then 60 else 20 end"""))
+def y05_stratified_quota(spark, sf):
+    rows = b.manifest(spark, sf).select("doc_id", "label", "upstream_split")
+    return audits.stratified_quota(rows, "label", "doc_id", {"real": 60, "fake": 20}, excluded=rows.where("upstream_split = 'test'")).select("doc_id", "label")
+
+
+@query(with_ctes("registry", """, f as (select count(*) filter (status = 'RAW') as raw, count(*) filter (status = 'FAILED') as failed, count(*) as n from registry)
+  select recommendation from (select 'process the raw rows' as recommendation from f where raw > 0 union all select 'look into failures' from f where failed::double / n > 0.01 union all select 'nothing is registered' from f where n = 0)"""))
+def y22_recommendations(spark, sf):
+    facts = registry.progress(b.registry(spark, sf))
+    return audits.recommendations(facts, [("process the raw rows", F.col("raw") > 0), ("look into failures", F.col("failed") / F.col("total") > 0.01), ("nothing is registered", F.col("total") == 0)])
+
+
+@query()
+def u12_tabular_classifier(spark, sf):
+    """Fitted on the earliest 70 % of events, scored on the rest: event_id and probability."""
+    e = b.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    rows = splits.time_aware(e, "ts", "event_id").withColumn("y", (F.col("value") > 50).cast("double")).withColumn("hour", F.hour("ts").cast("double")).withColumn("user", F.col("user_id").cast("double"))
+    model = tabular.fit(rows.where("subset = 'train'"), ["hour", "user"], ["event_type"])
+    return tabular.score(model, rows.where("subset <> 'train'")).select("event_id", "subset", "prob")
