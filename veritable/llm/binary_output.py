@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from veritable.llm.common import prefix_offsets, text_slices
 from veritable.llm.range_coder import decode_block, encode_block
-from veritable.llm.tokens import PieceTokenizer, tokenizer_path
+from veritable.llm.tokens import piece_tokenizer, tokenizer_path
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
 BLOCK_TOKENS = 1 << 20
@@ -57,7 +57,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, cut: str = "
     tokenizer = tokenizer or tokenizer_path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = PieceTokenizer(tokenizer, cut), TaskContext.get().partitionId()
+        encoder, shard = piece_tokenizer(tokenizer, cut), TaskContext.get().partitionId()
         block = before = held = 0
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -70,8 +70,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, cut: str = "
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "block", "before", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for rows in text_slices(batch, most=block_tokens):
-                ids, counts = encoder.encode(rows.column("text").to_pylist(), end)
+            for rows in text_slices(batch, most=2 * block_tokens):
+                ids, counts = encoder.encode(rows.column("text"), end)
                 parts.append((rows.column("doc_id").to_numpy(), counts, ids))
                 held += len(ids)
                 if held >= block_tokens:

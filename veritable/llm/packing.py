@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritable.llm.common import materialize, prefix_offsets, text_slices
-from veritable.llm.tokens import PieceTokenizer, tokenizer_path
+from veritable.llm.tokens import piece_tokenizer, tokenizer_path
 
 TOKENIZER, LENGTH, END = "word_bpe_49k.json", 2048, 1
 
@@ -39,11 +39,11 @@ def tokenize(docs: DataFrame, path: str, cut: str = "word", end: int = END, text
     2 bytes each if all ids fit, else 4)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, before = PieceTokenizer(path, cut), TaskContext.get().partitionId(), 0
+        tokenizer, part, before = piece_tokenizer(path, cut), TaskContext.get().partitionId(), 0
         kind = np.dtype("<u2" if max(end + 1, tokenizer.library.get_vocab_size()) <= 1 << 16 else "<u4")
         for batch in batches:
-            for rows in text_slices(batch, most=1 << 20):
-                ids, counts = tokenizer.encode(rows.column("text").to_pylist(), end)
+            for rows in text_slices(batch):
+                ids, counts = tokenizer.encode(rows.column("text"), end)
                 places = before + np.cumsum(counts) - counts
                 before += len(ids)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(len(counts), part, np.int32)), pa.array(places), pa.array(counts), _binary(ids.astype(kind), counts)], ["doc_id", "part", "before", "n", "ids"])

@@ -8,16 +8,36 @@ encoded once by the tokenizers library and looked up from then on.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The characters with Unicode's White_Space property.
 _WHITE = "\t-\r \x85\xa0  -     　"
+#: Letters of which every tokenizer here makes words, and signs that it never joins to them;
+#: a word that such signs end, before white space, is a piece without them.
+_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", r".,!?;:%$&*#|"
+_END = f"(?=[{_WHITE}]|$)"
 #: How a text is cut for each family. ``byte`` keeps one leading blank with a word and leaves
 #: other white space to itself, as byte-level pre-tokenizers do; ``word`` drops white space.
-CUTS = {"byte": re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"), "word": re.compile(f"[^{_WHITE}]+")}
+CUTS = {
+    "byte": re.compile(f" ?[{_LETTER}]++(?=[{_SIGN}]++{_END})|[{_SIGN}]++{_END}| ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"),
+    "word": re.compile(f"[{_LETTER}]++(?=[{_SIGN}]++{_END})|[{_SIGN}]++{_END}|[^{_WHITE}]+"),
+}
+#: The mark, and how byte-level vocabularies show it; what a piece may hold to stand beside one.
+_MARK, _SHOWN = "\x01", "ā"
+_PLAIN = re.compile(f" ?[0-9{_LETTER}{_SIGN}'\"()\\-]+$")
+#: The same cuts in the other regular-expression library, which has no look-ahead: a word and
+#: the signs that end it; and texts that need the look-ahead (for ``byte``, white space beside
+#: white space) or hold the mark.
+_RE2_WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_RE2_END = rf"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:%$&*#|]+)([\t-\r ]|$)"
+_RE2_ODD = {"word": _MARK, "byte": rf"[{_RE2_WHITE}][{_RE2_WHITE}]|{_MARK}|[\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]"}
 #: Pieces kept at most; the cache starts anew beyond that.
-MOST_PIECES = 300_000
+MOST_PIECES = 400_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,6 +60,8 @@ class _Numbers(dict):
 
 
 class PieceTokenizer:
+    """``piece_tokenizer`` gives one per worker process, whose cache serves its later tasks."""
+
     def __init__(self, path: str, cut: str):
         from tokenizers import Tokenizer
 
@@ -47,9 +69,40 @@ class PieceTokenizer:
         self.library.encode_special_tokens = True
         self.library.no_padding()
         self.library.no_truncation()
-        self.cut = CUTS[cut]
+        self.kind, self.cut = cut, CUTS[cut]
+        self.mark = self._find_mark()
         self._clear()
 
+    def _find_mark(self) -> int | None:
+        """The id of a control character that no other token holds: between pieces it shows
+        where each one's ids end. None if the vocabulary has such tokens."""
+        alone = self.library.encode(_MARK, add_special_tokens=False)
+        holds = [t for t in self.library.get_vocab() if _SHOWN in t]
+        return alone.ids[0] if len(alone.ids) == 1 and set(holds) <= {_SHOWN, _SHOWN + "</w>"} else None
+
+    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces' ids, one after another, and their numbers."""
+        ids = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for ordinary pieces, encoded by the thousand, a mark on a line of its own
+        between them."""
+        line = f"\n{_MARK}\n"
+        texts = [line.join(["", *pieces[at : at + 1000], ""]) for at in range(0, len(pieces), 1000)]
+        every = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(every)
+        is_mark = flat == self.mark
+        drop = is_mark.copy()
+        for k in range(1, int(np.argmax(is_mark)) + 1):  # ids of the line break before a mark, the same after it
+            drop[:-k] |= is_mark[k:]
+            drop[k:] |= is_mark[:-k]
+        # each text has one mark before each piece, and one at its end that starts no piece
+        marks = np.cumsum([int(np.count_nonzero(x == self.mark)) for x in every])
+        counts = np.bincount(np.cumsum(is_mark)[~drop], minlength=int(marks[-1]) + 1)[1:]
+        return flat[~drop], np.delete(counts, marks - 1).astype(np.int64)
+
     def _clear(self) -> None:
         self.numbers = _Numbers()
         self.flat = np.zeros(1 << 20, np.uint32)
@@ -60,28 +113,60 @@ class PieceTokenizer:
     def _learn(self) -> None:
         new, self.numbers.new = self.numbers.new, []
         first = len(self.numbers) - len(new)
-        ids = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        need = self.used + int(sizes.sum())
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * need, np.uint32)])
         if len(self.numbers) > len(self.start):
             self.start, self.size = (np.concatenate([a, np.zeros(len(self.numbers) + len(a), np.int64)]) for a in (self.start, self.size))
-        self.flat[self.used : need] = np.fromiter((i for x in ids for i in x), np.uint32, need - self.used)
-        self.start[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.size[first : first + len(new)] = sizes
-        self.used = need
-
-    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and each text's number of ids; ``end`` follows each text."""
-        if len(self.numbers) > MOST_PIECES or self.used > 1 << 24:
+        plain = np.fromiter((self.mark is not None and _PLAIN.match(p) is not None for p in new), bool, len(new))
+        for chosen, encode in ((np.flatnonzero(plain), self._together), (np.flatnonzero(~plain), self._alone)):
+            if not len(chosen):
+                continue
+            ids, sizes = encode([new[i] for i in chosen.tolist()])
+            need = self.used + len(ids)
+            if need > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * need, np.uint32)])
+            self.flat[self.used : need] = ids
+            self.start[first + chosen] = self.used + np.cumsum(sizes) - sizes
+            self.size[first + chosen] = sizes
+            self.used = need
+
+    def _by_arrow(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers of all texts and each text's number of pieces; each distinct piece
+        of the slice is looked up once."""
+        if self.kind == "word":
+            lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _RE2_END, r"\1 \2\3"))
+        else:
+            marked = pc.replace_substring_regex(texts, _RE2_END, rf"\1{_MARK}\2\3")
+            marked = pc.replace_substring(pc.replace_substring(marked, " ", f"{_MARK} "), "\n", f"{_MARK}\n{_MARK}")
+            lists = pc.split_pattern(marked, _MARK)
+        distinct = lists.flatten().dictionary_encode()
+        names = distinct.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))
+        return numbers[distinct.indices.to_numpy()], np.diff(lists.offsets.to_numpy()).astype(np.int64)
+
+    def _by_regex(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [self.cut.findall(t) for t in texts]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum())), counts
+
+    def encode(self, texts: pa.Array | list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and each text's number of ids; ``end`` follows each text.
+        Null counts as empty."""
+        if len(self.numbers) > MOST_PIECES or self.used > 1 << 22:
             self._clear()
-        number, find = self.numbers.__getitem__, self.cut.findall
-        lists = [np.fromiter(map(number, pieces), np.int64, len(pieces)) for pieces in (find(t) if t else () for t in texts)]
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        odd = pc.match_substring_regex(texts, _RE2_ODD[self.kind]).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            codes, pieces = self._by_arrow(texts)
+        else:
+            some = [self._by_regex(texts.filter(pa.array(odd)).to_pylist())]
+            if not odd.all():
+                some.append(self._by_arrow(texts.filter(pa.array(~odd))))
+            order = np.argsort(np.concatenate([np.flatnonzero(odd), np.flatnonzero(~odd)]))
+            codes, pieces = np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some])
+            begin = (np.cumsum(pieces) - pieces)[order]
+            pieces = pieces[order]
+            codes = codes[np.repeat(begin - (np.cumsum(pieces) - pieces), pieces) + np.arange(len(codes))]
         if self.numbers.new:
             self._learn()
-        pieces = np.fromiter(map(len, lists), np.int64, len(lists))
-        codes = np.concatenate(lists) if lists else np.zeros(0, np.int64)
         sizes = self.size[codes]
         stops = np.cumsum(sizes)
         at = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(pieces)])]
@@ -92,3 +177,8 @@ class PieceTokenizer:
         out = np.full(len(ids) + len(texts), end, np.uint32)
         out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), counts)] = ids
         return out, counts + 1
+
+
+@lru_cache(maxsize=2)
+def piece_tokenizer(path: str, cut: str) -> PieceTokenizer:
+    return PieceTokenizer(path, cut)
