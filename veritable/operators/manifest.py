@@ -115,10 +115,11 @@ def violations(df: DataFrame, required: list[str], ident: str) -> DataFrame:
 def balanced_subset(df: DataFrame, key: str, most: int, label: str = "label", seed: str = "s") -> DataFrame:
     """min(most, fakes) rows per class, in hash order, cut 70/15/15 by position within class."""
     per = df.where(F.col(label).isin(*LABELS)).select("*", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))).alias("__h"))
-    quota = per.agg(F.least(F.lit(most), F.count_if(F.col(label) == "fake"), F.count_if(F.col(label) == "real")).cast("int").alias("q"))
-    ranked = per.withColumn("__r", F.row_number().over(Window.partitionBy(label).orderBy("__h", key))).join(F.broadcast(quota), F.col("__r") <= F.col("q"))
-    a, b = F.floor(F.col("q") * 0.70), F.floor(F.col("q") * 0.70) + F.floor(F.col("q") * 0.15)
-    return ranked.withColumn("subset", F.when(F.col("__r") <= a, "train").when(F.col("__r") <= b, "val").otherwise("test")).drop("__h", "__r", "q")
+    q = per.agg(F.least(F.lit(most), F.count_if(F.col(label) == "fake"), F.count_if(F.col(label) == "real"))).first()[0]
+    ranked = per.withColumn("__r", F.row_number().over(Window.partitionBy(label).orderBy("__h", key))).where(F.col("__r") <= q)
+    a = int(q * 0.70)
+    b = a + int(q * 0.15)
+    return ranked.withColumn("subset", F.when(F.col("__r") <= a, "train").when(F.col("__r") <= b, "val").otherwise("test")).drop("__h", "__r")
 
 
 def generator_quota(df: DataFrame, key: str, label: str = "label", generator: str = "generator", seed: str = "s") -> DataFrame:
@@ -127,10 +128,8 @@ def generator_quota(df: DataFrame, key: str, label: str = "label", generator: st
     real, fake = df.where(F.col(label) == "real"), df.where(F.col(label) == "fake")
     hashed = fake.withColumn("__h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
     ranked = hashed.withColumn("__r", F.row_number().over(Window.partitionBy(generator).orderBy("__h", key)))
-    sizes = real.agg(F.count("*").alias("need")).crossJoin(fake.agg(F.count_distinct(generator).alias("kinds")))
-    marked = ranked.join(F.broadcast(sizes)).withColumn("__over", F.col("__r") > F.floor(F.col("need") / F.greatest(F.col("kinds"), F.lit(1))))
-    # rows within quota come first; the cut needs one position over both kinds. A limit takes
-    # each task's best rows before the last merge, so no task sorts the whole table
-    n = real.count()
+    n, kinds = df.agg(F.count_if(F.col(label) == "real"), F.count_distinct(F.when(F.col(label) == "fake", F.col(generator)))).first()
+    # rows within quota come first; a limit takes each task's best rows before the last merge
+    marked = ranked.withColumn("__over", F.col("__r") > n // max(kinds, 1))
     chosen = marked.orderBy("__over", "__h", key).limit(n).select(*df.columns)
     return real.unionByName(chosen)

@@ -7,8 +7,6 @@ over distinct scores, not rows.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -237,5 +235,3 @@ def before_after(scores: DataFrame, keys: list[str], temperature: float) -> Data
     t = F.when(F.col("stage") == "after", F.lit(temperature)).otherwise(F.lit(1.0))
     return calibration(both.withColumn("prob", 1.0 / (1.0 + F.exp(-F.col("logit") / t))), [*keys, "stage"])
 
-
-assert math.isclose(bin_edges()[3], 0.3)

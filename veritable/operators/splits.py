@@ -90,10 +90,10 @@ def time_aware(df: DataFrame, ts: str, key: str, shares: tuple[float, float] = (
     before = Window.orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
     # one row per day
     starts = sizes.select("__d", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    total = sizes.agg(F.sum("__n").alias("__total"))
-    ranked = rows.join(F.broadcast(starts), "__d").join(F.broadcast(total)).withColumn("__r", F.col("__start") + F.row_number().over(Window.partitionBy("__d").orderBy(ts, key)))
-    a = F.floor(F.col("__total") * shares[0])
-    b = a + F.floor(F.col("__total") * shares[1])
+    total = df.count()
+    ranked = rows.join(F.broadcast(starts), "__d").withColumn("__r", F.col("__start") + F.row_number().over(Window.partitionBy("__d").orderBy(ts, key)))
+    a = int(total * shares[0])
+    b = a + int(total * shares[1])
     return ranked.withColumn("subset", F.when(F.col("__r") <= a, "train").when(F.col("__r") <= b, "val").otherwise("test")).select(*df.columns, "subset")
 
 

@@ -47,8 +47,8 @@ def successful(metadata: DataFrame, version: str, mode: str | None = None) -> Da
 def spot_check(rows: DataFrame, files: DataFrame, key: str, order: str, stride: int = 5000) -> DataFrame:
     """Every stride-th row and the last one, without a file: paths that do not resolve. The
     row number comes from ``order``, a dense ordinal column from 0."""
-    last = rows.agg(F.max(order).alias("__last"))
-    chosen = rows.join(F.broadcast(last)).where((F.col(order) % stride == 0) | (F.col(order) == F.col("__last"))).drop("__last")
+    last = rows.agg(F.max(order)).first()[0]
+    chosen = rows.where((F.col(order) % stride == 0) | (F.col(order) == F.lit(last)))
     return chosen.join(files.select(key), key, "left_anti")
 
 
