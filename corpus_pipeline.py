@@ -29,10 +29,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every repeated 100-byte string after its first occurrence out of the texts;
     documents of which nothing is left go."""
-    cut = suffix_dedup.remove_repeats(docs, with_text=True).where("n_removed > 0").select("doc_id", "kept_text")
-    rows = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text"))
-    rows = rows.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.where("kept_text is null or length(trim(kept_text)) > 0").select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = suffix_dedup.remove_repeats(docs.withColumn("__null", F.col("text").isNull()), with_text=True, carry=[*others, "__null"])
+    cut = F.col("n_removed") > 0
+    out = {c: F.col(f"carried.`{c}`") for c in others} | {"doc_id": F.col("doc_id"), "text": F.when(~F.col("carried.__null"), F.col("kept_text"))}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(cut, F.length("kept_text").cast("long")).otherwise(out["n_chars"])
+    return rows.where(~cut | (F.trim("kept_text") != "")).select(*(out[c].alias(c) for c in docs.columns))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

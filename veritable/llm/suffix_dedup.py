@@ -321,7 +321,7 @@ def _scan_windows(length: int):
     return run
 
 
-def _cut(length: int, with_text: bool):
+def _cut(length: int, with_text: bool, carried: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = batch.column("spans").to_pylist()
@@ -346,21 +346,24 @@ def _cut(length: int, with_text: bool):
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
                 arrays, names = [*arrays, pa.array(out[4], pa.string())], [*names, "kept_text"]
+            if carried:
+                arrays, names = [*arrays, batch.column("carried")], [*names, "carried"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` kept_text
-    (characters that lost a byte are dropped there)."""
+    (characters that lost a byte are dropped there). ``carry`` names columns that come along
+    as one struct, ``carried``, which spares a join to get them back."""
     if not GRAM < length <= GRAM + 255:
         raise ValueError(f"length must be from {GRAM + 1} to {GRAM + 255}")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = rows.mapInArrow(_mark_runs(length), "first long, second long, doc_id long, run long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    marked = rows.select("doc_id", "text").mapInArrow(_mark_runs(length), "first long, second long, doc_id long, run long")
     dealt = marked.repartitionByRange("first", "second").sortWithinPartitions("first", "second", "doc_id", "run")
     scanned = materialize(dealt.mapInArrow(_scan_runs, _SCHEMA), "runs")
-    # one exchange of the texts serves both joins
+    # one exchange of the texts serves both joins, as long as both read the same columns of it
     by_doc = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     reps = scanned.where("not settled").select("first", "doc_id", "run")
     sizes = reps.groupBy("first").agg((F.count("*") <= FEW).alias("few"))
@@ -370,4 +373,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     spans = scanned.where("settled").select("doc_id", "run").union(windows.select("doc_id", F.shiftleft("place", 8).bitwiseOR(F.lit(1)).alias("run")))
     gone = spans.groupBy("doc_id").agg(F.collect_list("run").alias("spans"))
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return by_doc.join(gone, "doc_id", "left").mapInArrow(_cut(length, with_text), fields)
+    if carry:
+        fields += f", carried {rows.schema['carried'].dataType.simpleString()}"
+    return by_doc.join(gone, "doc_id", "left").mapInArrow(_cut(length, with_text, bool(carry)), fields)
