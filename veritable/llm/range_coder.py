@@ -22,13 +22,18 @@ import numpy as np
 
 _MAGIC = b"VTB1"
 _HEAD = struct.Struct("<4sIIII")
-_LANES = 2048
+_LANES = 4096
 _T16, _T32, _T48 = np.uint64(16), np.uint64(1 << 32), np.uint64(1 << 48)
 _MASK32 = np.uint64((1 << 32) - 1)
+_ONE, _T48_BITS = np.uint64(1), np.uint64(48)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _HASH_BITS = 18
 
 
+#: How sure a prediction is after it failed (0..3 before) or held (4..7).
+_TRUST = np.array([0, 0, 1, 2, 1, 2, 3, 3], np.uint8)
+
+
 class _Model:
     def __init__(self, vocabulary: int):
         self.next2 = np.zeros(1 << _HASH_BITS, np.uint32)
@@ -36,8 +41,8 @@ class _Model:
         self.next1 = np.zeros(1 << 16, np.uint32)
         self.sure1 = np.zeros(1 << 16, np.uint8)
         self.seen = np.zeros(vocabulary, np.int64)
-        self.freq0 = np.zeros(vocabulary, np.int64)
-        self.cum0 = np.zeros(vocabulary, np.int64)
+        self.freq0 = np.zeros(vocabulary, np.uint64)
+        self.cum0 = np.zeros(vocabulary, np.uint64)
         self.slots = np.zeros(0, np.int64)
         self.fresh: list[np.ndarray] = []
         self.joint = np.zeros((32, 4))
@@ -45,12 +50,13 @@ class _Model:
         self._tables()
 
     def predict(self, p1: np.ndarray, p2: np.ndarray):
-        """Table places, both predictions and the context of each lane."""
-        h1 = (p1 * np.uint32(0x9E3779B1)) >> np.uint32(16)
-        h2 = ((p1 * np.uint32(0x85EBCA6B)) ^ (p2 * np.uint32(0xC2B2AE35))) * np.uint32(0x9E3779B1) >> np.uint32(32 - _HASH_BITS)
-        a, b = self.next2[h2], self.next1[h1]
-        ctx = self.sure2[h2] * np.uint8(8) + self.sure1[h1] * np.uint8(2) + (a == b)
-        return h1, h2, a, b, ctx
+        """Table places, both predictions, how sure each is, and the context of each lane."""
+        h1 = ((p1 * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64)
+        h2 = (((p1 * np.uint32(0x85EBCA6B)) ^ (p2 * np.uint32(0xC2B2AE35))) * np.uint32(0x9E3779B1) >> np.uint32(32 - _HASH_BITS)).astype(np.int64)
+        a, b = self.next2.take(h2), self.next1.take(h1)
+        s2, s1 = self.sure2.take(h2), self.sure1.take(h1)
+        ctx = s2 * np.int64(8) + s1 * np.int64(2) + (a == b)
+        return h1, h2, a, b, s1, s2, ctx
 
     def _tables(self) -> None:
         """Shares of the four outcomes in each context: order 2 right, order 1 right, known
@@ -71,14 +77,15 @@ class _Model:
         self.freq = 1 + (p * 65528.0).astype(np.uint64)
         self.cum = np.concatenate([np.zeros((32, 1), np.uint64), np.cumsum(self.freq, 1, dtype=np.uint64)], 1)[:, :4].copy()
         self.freq[:, 3] = np.uint64(65536) - self.cum[:, 3]
+        self.cum_flat, self.freq_flat = self.cum.ravel(), self.freq.ravel()
 
-    def learn(self, x, h1, h2, a, b, ctx, outcome) -> None:
-        self.joint += np.bincount(ctx * 4 + outcome, minlength=128).reshape(32, 4)
-        for table, sure, h, right in ((self.next2, self.sure2, h2, a == x), (self.next1, self.sure1, h1, b == x)):
-            trust = sure[h]
-            drop = ~right & (trust == 0)
-            sure[h] = np.where(right, np.minimum(trust + 1, 3), np.maximum(trust, 1) - 1).astype(np.uint8)
-            table[h[drop]] = x[drop]
+    def learn(self, x, seen, right_a, right_b, outcome, cell) -> None:
+        h1, h2, _, _, s1, s2, _ = seen
+        self.joint += np.bincount(cell, minlength=128).reshape(32, 4)
+        for table, sure, h, trust, right in ((self.next2, self.sure2, h2, s2, right_a), (self.next1, self.sure1, h1, s1, right_b)):
+            sure[h] = _TRUST.take(trust + right * np.int64(4))
+            drop = np.flatnonzero(~right & (trust == 0))
+            table[h.take(drop)] = x.take(drop)
         self.fresh.append(x[outcome >= 2])
         self.step += 1
         if self.step < 8 or self.step % 4 == 0:
@@ -109,29 +116,30 @@ class _Writer:
         self.lane: list[np.ndarray] = []
         self.word: list[np.ndarray] = []
 
-    def put(self, who: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
+    def put(self, who: np.ndarray | slice, cum: np.ndarray, freq: np.ndarray) -> None:
+        """who: the lanes, as places or as a slice from 0."""
         r = self.range[who] >> _T16
-        low, r = self.low[who] + cum * r, r * freq
+        low = self.low[who] + cum * r
+        r *= freq
         while True:
             same = (low ^ (low + r)) < _T48
-            need = same | (r < _T32)
-            at = np.flatnonzero(need)
+            at = np.flatnonzero(same | (r < _T32))
             if not len(at):
                 break
-            l, w = low[at], r[at]
-            w = np.where(same[at], w, (~l + np.uint64(1)) & _MASK32)
-            self.lane.append(who[at])
-            self.word.append((l >> np.uint64(48)).astype(np.uint16))
+            l, w = low.take(at), r.take(at)
+            w = np.where(same.take(at), w, (~l + _ONE) & _MASK32)
+            self.lane.append((at if isinstance(who, slice) else who.take(at)).astype(np.uint16))
+            self.word.append((l >> _T48_BITS).astype(np.uint16))
             low[at], r[at] = l << _T16, w << _T16
         self.low[who], self.range[who] = low, r
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
-        every = np.arange(len(self.low))
+        every = np.arange(len(self.low), dtype=np.uint16)
         for k in (48, 32, 16, 0):
             self.lane.append(every)
             self.word.append((self.low >> np.uint64(k)).astype(np.uint16))
         lane, word = np.concatenate(self.lane), np.concatenate(self.word)
-        return np.bincount(lane, minlength=len(every)), word[np.argsort(lane.astype(np.uint16), kind="stable")]
+        return np.bincount(lane, minlength=len(every)), word[np.argsort(lane, kind="stable")]
 
 
 class _Reader:
@@ -145,29 +153,27 @@ class _Reader:
             self.code = (self.code << _T16) | self.words[self.at]
             self.at += 1
 
-    def slot(self, who: np.ndarray) -> np.ndarray:
+    def slot(self, who: np.ndarray | slice) -> np.ndarray:
         self.r = self.range[who] >> _T16
-        return np.minimum((self.code[who] - self.low[who]) // self.r, np.uint64(65535)).astype(np.int64)
+        return np.minimum((self.code[who] - self.low[who]) // self.r, np.uint64(65535))
 
-    def take(self, who: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
+    def take(self, who: np.ndarray | slice, cum: np.ndarray, freq: np.ndarray) -> None:
         low, r = self.low[who] + cum * self.r, self.r * freq
         while True:
             same = (low ^ (low + r)) < _T48
-            need = same | (r < _T32)
-            at = np.flatnonzero(need)
+            at = np.flatnonzero(same | (r < _T32))
             if not len(at):
                 break
-            l, w, lanes = low[at], r[at], who[at]
-            w = np.where(same[at], w, (~l + np.uint64(1)) & _MASK32)
-            self.code[lanes] = (self.code[lanes] << _T16) | self.words[np.minimum(self.at[lanes], len(self.words) - 1)]
-            self.at[lanes] += 1
+            l, w = low.take(at), r.take(at)
+            lanes = at if isinstance(who, slice) else who.take(at)
+            w = np.where(same.take(at), w, (~l + _ONE) & _MASK32)
+            place = self.at.take(lanes)
+            self.code[lanes] = (self.code.take(lanes) << _T16) | self.words.take(place, mode="clip")
+            self.at[lanes] = place + 1
             low[at], r[at] = l << _T16, w << _T16
         self.low[who], self.range[who] = low, r
 
 
-_ONE = np.uint64(1)
-
-
 def encode_block(ids: np.ndarray) -> bytes:
     """ids: any non-negative 32-bit integers."""
     n = len(ids)
@@ -179,23 +185,25 @@ def encode_block(ids: np.ndarray) -> bytes:
     columns = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model, out = _Model(int(grid.max()) + 1), _Writer(lanes)
     p1 = p2 = np.zeros(lanes, np.uint32)
-    every = np.arange(lanes)
     with np.errstate(over="ignore"):
         for t in range(steps):
             m = -(-(n - t) // steps)
-            x, who = columns[t, :m], every[:m]
-            h1, h2, a, b, ctx = model.predict(p1[:m], p2[:m])
-            outcome = np.where(a == x, 0, np.where(b == x, 1, np.where(model.freq0[x] > 0, 2, 3)))
-            out.put(who, model.cum[ctx, outcome], model.freq[ctx, outcome])
+            x = columns[t, :m]
+            seen = model.predict(p1[:m], p2[:m])
+            right_a, right_b = seen[2] == x, seen[3] == x
+            outcome = np.where(right_a, 0, np.where(right_b, 1, np.where(model.freq0.take(x) > 0, 2, 3)))
+            cell = seen[6] * 4 + outcome
+            out.put(slice(0, m), model.cum_flat.take(cell), model.freq_flat.take(cell))
             known = np.flatnonzero(outcome == 2)
             if len(known):
-                out.put(known, model.cum0[x[known]].astype(np.uint64), model.freq0[x[known]].astype(np.uint64))
+                ids = x.take(known)
+                out.put(known, model.cum0.take(ids), model.freq0.take(ids))
             new = np.flatnonzero(outcome == 3)
             if len(new):
-                ones = np.full(len(new), _ONE)
-                out.put(new, (x[new] >> np.uint32(16)).astype(np.uint64), ones)
-                out.put(new, (x[new] & np.uint32(0xFFFF)).astype(np.uint64), ones)
-            model.learn(x, h1, h2, a, b, ctx, outcome)
+                ones, ids = np.full(len(new), _ONE), x.take(new).astype(np.uint64)
+                out.put(new, ids >> _T16, ones)
+                out.put(new, ids & np.uint64(0xFFFF), ones)
+            model.learn(x, seen, right_a, right_b, outcome, cell)
             p2, p1 = p1, x
     sizes, words = out.finish()
     return _sealed(_HEAD.pack(_MAGIC, n, lanes, int(grid.max()) + 1, len(words)) + sizes.astype("<u4").tobytes() + words.astype("<u2").tobytes())
@@ -220,31 +228,32 @@ def decode_block(data: bytes) -> np.ndarray:
     source = _Reader(sizes, np.frombuffer(body, "<u2", count, _HEAD.size + 4 * lanes))
     model, columns = _Model(vocabulary), np.zeros((steps, lanes), np.uint32)
     p1 = p2 = np.zeros(lanes, np.uint32)
-    every = np.arange(lanes)
     with np.errstate(over="ignore"):
         for t in range(steps):
             m = -(-(n - t) // steps)
-            who = every[:m]
-            h1, h2, a, b, ctx = model.predict(p1[:m], p2[:m])
-            slot = source.slot(who).astype(np.uint64)
-            cum = model.cum[ctx]
-            outcome = (slot >= cum[:, 1]).astype(np.int64) + (slot >= cum[:, 2]) + (slot >= cum[:, 3])
-            source.take(who, cum[who, outcome], model.freq[ctx, outcome])
+            every = slice(0, m)
+            seen = model.predict(p1[:m], p2[:m])
+            a, b, ctx = seen[2], seen[3], seen[6]
+            slot, first = source.slot(every), ctx * 4
+            outcome = (slot >= model.cum_flat.take(first + 1)).astype(np.int64)
+            outcome += slot >= model.cum_flat.take(first + 2)
+            outcome += slot >= model.cum_flat.take(first + 3)
+            cell = first + outcome
+            source.take(every, model.cum_flat.take(cell), model.freq_flat.take(cell))
             x = np.where(outcome == 0, a, b)
             known = np.flatnonzero(outcome == 2)
             if len(known):
-                ids = model.slots[source.slot(known)]
-                source.take(known, model.cum0[ids].astype(np.uint64), model.freq0[ids].astype(np.uint64))
+                ids = model.slots.take(source.slot(known).astype(np.int64))
+                source.take(known, model.cum0.take(ids), model.freq0.take(ids))
                 x[known] = ids
             new = np.flatnonzero(outcome == 3)
             if len(new):
-                ones = np.full(len(new), _ONE)
-                high = source.slot(new)
-                source.take(new, high.astype(np.uint64), ones)
+                ones, high = np.full(len(new), _ONE), source.slot(new)
+                source.take(new, high, ones)
                 low = source.slot(new)
-                source.take(new, low.astype(np.uint64), ones)
-                x[new] = (high << 16) | low
+                source.take(new, low, ones)
+                x[new] = (high << _T16) | low
             columns[t, :m] = x
-            model.learn(x, h1, h2, a, b, ctx, outcome)
+            model.learn(x, seen, a == x, b == x, outcome, cell)
             p2, p1 = p1, x
     return columns.T.reshape(-1)[:n]
