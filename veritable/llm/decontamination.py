@@ -2,11 +2,12 @@
 
 A passage is a run of ``PASSAGE`` words, one beginning every ``PASSAGE / 2`` words. Its TF-IDF
 vector keeps the words of the benchmark (hashed into ``FEATURES``) that are not in more than
-``COMMON`` of all passages. A randomized range finder over all passages of the corpus,
+``COMMON`` of all half passages. A randomized range finder over all passages of the corpus,
 stacked with the benchmark's own, weighted to carry as much, gives the latent space: each
 task sends A'(A R) for its rows A and the shared random R, and the sum is orthonormalized.
 (A rotation to the singular vectors would change no cosine.) Passages whose latent vector
-has a cosine of ``COSINE`` or more with an item's are candidates.
+has a cosine of ``COSINE`` or more with an item's, and which hold ``OVERLAP`` of the item's
+weighted words, are candidates.
 
 A candidate is checked word by word: the longest common subsequence of the item and the
 words around the passage, found by bit-parallel steps. A document is contaminated if an
@@ -32,12 +33,12 @@ from pyspark.sql import functions as F
 from veritable.llm.common import SLICE_BYTES, text_bytes, text_slices
 from veritable.llm.words import plain_words
 
-PASSAGE, FEATURES, RANK = 64, 1 << 13, 128
-COMMON, COSINE = 0.1, 0.25
+PASSAGE, FEATURES, RANK = 64, 1 << 13, 96
+COMMON, COSINE, OVERLAP = 0.03, 0.3, 0.35
 SHARE, LOOSE, ANSWER, LEAST = 0.75, 0.6, 8, 8
 MOST_ITEMS, MOST_WORDS = 100_000, 5_000_000
 SEED = 271
-_SLICE = SLICE_BYTES // 4
+_SLICE = SLICE_BYTES // 8
 
 
 class _Benchmark:
@@ -64,8 +65,8 @@ class _Benchmark:
         return at, (h[at] % np.uint64(FEATURES)).astype(np.int64)
 
 
-class _Passages:
-    """Sparse term counts of all passages of a slice."""
+class _Blocks:
+    """Sparse counts of benchmark words in the half passages of a slice's texts."""
 
     def __init__(self, column: pa.Array, bench: _Benchmark):
         self.h, owner = plain_words(*text_bytes(column))
@@ -74,35 +75,61 @@ class _Passages:
         half = PASSAGE // 2
         blocks = -(-words // half)
         first = np.cumsum(blocks) - blocks
-        place = np.arange(len(self.h)) - self.starts[owner]
-        at, f = bench.features(self.h)
-        block = first[owner[at]] + place[at] // half
-        # passage b is blocks b and b + 1; a text's last block is a passage only if alone
         self.owner = np.repeat(np.arange(len(words)), blocks)
         self.begin = self.starts[self.owner] + (np.arange(len(self.owner)) - first[self.owner]) * half
-        again = np.flatnonzero(np.arange(len(self.owner)) > first[self.owner])
-        in_first = np.zeros(len(self.owner), bool)
-        in_first[again] = True
-        back = in_first[block]
-        passage = np.concatenate([block, block[back] - 1])
-        feature = np.concatenate([f, f[back]])
-        key, self.count = np.unique(passage * FEATURES + feature, return_counts=True)
-        self.passage, self.feature = key // FEATURES, key % FEATURES
-        self.total = len(self.owner)
-
-
-def _latent(p: _Passages, weight: np.ndarray, basis: np.ndarray):
-    """(passages with any weighted feature, their unit-TF-IDF rows times basis, weights)."""
-    value = weight[p.feature] * (1 + np.log(p.count))
+        at, f = bench.features(self.h)
+        block = first[owner[at]] + (at - self.starts[owner[at]]) // half
+        key, self.count = np.unique(block * FEATURES + f, return_counts=True)
+        self.block, self.feature = key // FEATURES, key % FEATURES
+
+
+def _latent(p: _Blocks, weight: np.ndarray, basis: np.ndarray):
+    """(blocks with any weighted feature, their unit TF-IDF rows times basis, and the rows'
+    features, values and places)."""
+    value = weight[p.feature] * p.count
     some = value > 0
-    passage, feature, value = p.passage[some], p.feature[some], value[some]
-    if not len(passage):
+    block, feature, value = p.block[some], p.feature[some], value[some]
+    if not len(block):
         return None
-    starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-    sizes = np.diff(starts, append=len(passage))
+    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    sizes = np.diff(starts, append=len(block))
     value = value / np.repeat(np.sqrt(np.add.reduceat(value * value, starts)), sizes)
     rows = np.add.reduceat(basis[feature] * value[:, None].astype(basis.dtype), starts)
-    return passage[starts], rows, feature, value, np.repeat(np.arange(len(starts)), sizes)
+    return block[starts], rows, feature, value, np.repeat(np.arange(len(starts)), sizes)
+
+
+def _candidates(p: _Blocks, weight: np.ndarray, basis: np.ndarray, latent: np.ndarray, wanted: list[np.ndarray]):
+    """(first block of a passage, item, cosine) of passages near an item that also hold
+    ``OVERLAP`` of its weighted features (a leak that passes the word check holds more)."""
+    value = weight[p.feature] * p.count
+    some = np.flatnonzero(value > 0)
+    if not len(some):
+        return
+    total = len(p.owner)
+    starts = np.flatnonzero(np.concatenate([[True], p.block[some][1:] != p.block[some][:-1]]))
+    x = np.zeros((total + 1, basis.shape[1]), np.float32)
+    x[p.block[some][starts]] = np.add.reduceat(basis[p.feature[some]] * value[some, None].astype(np.float32), starts)
+    held = np.zeros((total + 1, FEATURES), bool)
+    held[p.block[some], p.feature[some]] = True
+    # a passage is a block and the next one of the same text
+    follows = np.flatnonzero(p.owner[1:] == p.owner[:-1])
+    x[follows] += x[follows + 1]
+    held[follows] |= held[follows + 1]
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.divide(x, size, out=np.zeros_like(x), where=size > 1e-6)
+    lengths = np.array([len(f) for f in wanted])
+    flat, edges = np.concatenate(wanted), np.cumsum(lengths) - lengths
+    for at in range(0, total, 4096):
+        cos = x[at : min(at + 4096, total)] @ latent.T
+        i, j = np.nonzero(cos >= COSINE)
+        for k in range(0, len(i), 1 << 17):
+            a, b = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
+            n = lengths[b]
+            ends = np.cumsum(n)
+            place = np.repeat(edges[b] - (ends - n), n) + np.arange(int(ends[-1]))
+            hits = np.add.reduceat(held[np.repeat(a + at, n), flat[place]].astype(np.int32), ends - n)
+            for q in np.flatnonzero(hits >= OVERLAP * n).tolist():
+                yield int(a[q]) + at, int(b[q]), float(cos[a[q], b[q]])
 
 
 def _common_subsequence(item: np.ndarray, words: list[int]) -> int:
@@ -124,9 +151,9 @@ def _document_frequency(docs: DataFrame, bench: _Benchmark) -> tuple[np.ndarray,
         df = np.zeros(FEATURES + 1, np.int64)
         for batch in batches:
             for part in text_slices(batch, most=_SLICE):
-                p = _Passages(part.column("text"), bench)
+                p = _Blocks(part.column("text"), bench)
                 df[:FEATURES] += np.bincount(p.feature, minlength=FEATURES)
-                df[FEATURES] += p.total
+                df[FEATURES] += len(p.owner)
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(df[used])], ["f", "n"])
 
@@ -152,7 +179,7 @@ def _basis(docs: DataFrame, bench: _Benchmark, weight: np.ndarray) -> tuple[np.n
         total = np.zeros((FEATURES, RANK))
         for batch in batches:
             for part in text_slices(batch, most=_SLICE):
-                if (found := _latent(_Passages(part.column("text"), bench), weight, start)) is not None:
+                if (found := _latent(_Blocks(part.column("text"), bench), weight, start)) is not None:
                     f, sums = back(*found[1:])
                     total[f] += sums
         used = np.flatnonzero(np.abs(total).sum(1))
@@ -168,7 +195,7 @@ def _basis(docs: DataFrame, bench: _Benchmark, weight: np.ndarray) -> tuple[np.n
     dense = np.zeros((len(bench.items), FEATURES), np.float32) if len(bench.items) * FEATURES <= 1 << 26 else None
     keys, count = np.unique(item * FEATURES + feature, return_counts=True)
     row, f = keys // FEATURES, keys % FEATURES
-    value = weight[f] * (1 + np.log(count))
+    value = weight[f] * count
     norm = np.sqrt(np.bincount(row, value * value, len(bench.items)))
     value = np.where(norm[row] > 0, value / np.maximum(norm[row], 1e-30), 0)
 
@@ -206,30 +233,24 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     df, total = _document_frequency(rows, bench)
     weight = np.where(df <= COMMON * max(total, 1), np.log((1.0 + total) / (1.0 + df)), 0.0)
     basis, latent = _basis(rows, bench, weight)
+    # the features that tell an item; one that is made of common words alone is told by those
+    features = [np.unique((w % np.uint64(FEATURES)).astype(np.int64)) for w in bench.items]
+    wanted = [f[weight[f] > 0] if (weight[f] > 0).any() else f for f in features]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, most=_SLICE):
                 n = part.num_rows
                 best: dict[int, tuple[float, float, int, bool]] = {}
-                p = _Passages(part.column("text"), bench)
-                found = _latent(p, weight, basis)
-                if found is not None:
-                    passage, x = found[0], found[1]
-                    size = np.linalg.norm(x, axis=1, keepdims=True)
-                    x = np.divide(x, size, out=np.zeros_like(x), where=size > 1e-6)
-                    for at in range(0, len(x), 4096):
-                        cos = x[at : at + 4096] @ latent.T
-                        for i, j in zip(*np.nonzero(cos >= COSINE)):
-                            k = int(passage[at + i])
-                            doc, item = int(p.owner[k]), bench.items[j]
-                            a = max(int(p.begin[k]) - PASSAGE // 2, int(p.starts[doc]))
-                            b = min(int(p.begin[k]) + PASSAGE + max(PASSAGE // 2, len(item)), int(p.starts[doc + 1]))
-                            share, leak = _verdict(item, p.h[a:b].tolist())
-                            now = (share, float(cos[i, j]), int(j), leak)
-                            old = best.get(doc)
-                            if old is None or (leak, share, -int(j)) > (old[3], old[0], -old[2]):
-                                best[doc] = now
+                p = _Blocks(part.column("text"), bench)
+                for k, j, cosine in _candidates(p, weight, basis, latent, wanted):
+                    doc, item = int(p.owner[k]), bench.items[j]
+                    a = max(int(p.begin[k]) - PASSAGE // 2, int(p.starts[doc]))
+                    b = min(int(p.begin[k]) + PASSAGE + max(PASSAGE // 2, len(item)), int(p.starts[doc + 1]))
+                    share, leak = _verdict(item, p.h[a:b].tolist())
+                    old = best.get(doc)
+                    if old is None or (leak, share, -j) > (old[3], old[0], -old[2]):
+                        best[doc] = (share, cosine, j, leak)
                 none = (0.0, 0.0, -1, False)
                 got = [best.get(i, none) for i in range(n)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([g[3] for g in got]), pa.array([item_ids[g[2]] if g[2] >= 0 else None for g in got], pa.int64()), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "contaminated", "item_id", "share", "cosine"])
