@@ -154,6 +154,7 @@ def test_sharding_compacts_and_versions(spark, make_docs, tmp_path, rng):
     key = lambda r: (r[0], r[1] or "")
     assert sorted(((r.doc_id, r.text) for r in table.read().collect()), key=key) == sorted(everything, key=key)
     assert table.read(1).count() == 62
+    assert all(s["bytes"] <= 1.25 * table.target for s in now["shards"])
     with pytest.raises(Exception, match="exist"):
         table._commit(now["version"] - 1, [])
     assert table.version() == now["version"]

@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL, FANOUT, TARGET = 16 << 20, 4, 128 << 20
-AT_ONCE = 64
+AT_ONCE = 16
 
 
 class ShardTable:
@@ -108,25 +109,22 @@ class ShardTable:
             groups.append(group)
         return [g for g in groups if len(g) > 1]
 
+    def _merge(self, group: list[dict]) -> list[dict]:
+        """One task reads a group's shards and writes one of target size, without a shuffle."""
+        folder = f"data/m-{uuid.uuid4().hex}"
+        rows = self.spark.read.option("mergeSchema", True).parquet(*(f"{self.path}/{s['name']}" for s in group))
+        rows.coalesce(1).write.parquet(f"{self.path}/{folder}")
+        return self._written(folder, level=1 + max(s["level"] for s in group))
+
     def compact(self) -> int:
-        """Merge until no tier is full; a Spark job merges up to ``AT_ONCE`` groups, one task
-        for each shard of target size, without a shuffle. Returns the version reached.
-        Merged shards' sources stay until ``vacuum``."""
+        """Merge until no tier is full, up to ``AT_ONCE`` groups side by side. Returns the
+        version reached. Merged shards' sources stay until ``vacuum``."""
         while True:
             base = self.manifest()
             if not (groups := self.plan(base["shards"])):
                 return base["version"]
-            made = []
-            for at in range(0, len(groups), AT_ONCE):
-                some, folder = groups[at : at + AT_ONCE], f"data/m-{uuid.uuid4().hex}"
-                parts = [self.spark.read.parquet(*(f"{self.path}/{s['name']}" for s in g)).coalesce(1) for g in some]
-                merged = parts[0]
-                for p in parts[1:]:
-                    merged = merged.unionByName(p, allowMissingColumns=True)
-                merged.write.option("maxRecordsPerFile", 0).parquet(f"{self.path}/{folder}")
-                for shard in self._written(folder):
-                    number = int(shard["name"].rpartition("/part-")[2].split("-")[0])
-                    made.append(shard | {"level": 1 + max(s["level"] for s in some[number])})
+            with ThreadPoolExecutor(AT_ONCE) as pool:
+                made = [s for shards in pool.map(self._merge, groups) for s in shards]
             gone = {s["name"] for g in groups for s in g}
             try:
                 self._commit(base["version"], sorted([s for s in base["shards"] if s["name"] not in gone] + made, key=lambda s: s["name"]))

@@ -18,8 +18,8 @@ chosen per window, not left to right, so that neighbouring windows share them:
    dealt by window, so that no common passage has to fit one task.
 
 Digits are 64-bit hashes, compared together with the first one. Steps 1-2 range-partition by
-both digits and sort; a group that spans partitions goes to step 3 at the seams. Before step
-3's shuffle each batch settles its own repeats. Sorted rows are read as a stream; a task
+both digits and sort; a group that spans partitions goes to step 3 at the seams. Before each
+shuffle a batch settles its own repeats. Sorted rows are read as a stream; a task
 holds one row, or one group of at most ``FEW`` runs.
 
 Null text counts as empty; texts under ``length`` bytes keep all. Rows that share a doc_id are
@@ -42,6 +42,8 @@ from veritable.llm.common import materialize, text_bytes, text_slices
 LENGTH, GRAM = 100, 32
 #: A first digit that at most this many unsettled runs share is compared within one task.
 FEW = 64
+#: Marks, in a run's number of windows, one that its batch has found to be a repeat.
+_FLAG = 128
 #: Bytes hashed at once; a longer text is cut into overlapping chunks of this size.
 CHUNK = 1 << 18
 
@@ -127,16 +129,36 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int):
     return h, np.searchsorted(offsets, lo, "right") - 1, lo, hi, anchor[first]
 
 
+def _first_of_kind(first, last, doc, place):
+    """Sort by digits, doc_id and place; mark rows that repeat an earlier row of their kind
+    and leave out rows that are that earlier row itself."""
+    order = np.lexsort((place, doc, last, first))
+    first, last, doc, place = first[order], last[order], doc[order], place[order]
+    seen = np.zeros(len(first), bool)
+    seen[1:] = (first[1:] == first[:-1]) & (last[1:] == last[:-1])
+    top = np.maximum.accumulate(np.where(seen, 0, np.arange(len(first))))
+    other = ~seen | (doc != doc[top]) | (place != place[top])
+    return first[other], last[other], doc[other], place[other], seen[other]
+
+
 def _mark_runs(length: int):
+    """The runs of each batch's texts. A run whose two digits the batch has seen earlier is a
+    repeat already: it is flagged, and dealt by its place, so that a very common one does not
+    meet in one task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, found = batch.column("doc_id").to_numpy(), []
             for data, rows, offsets, shift in _chunks(batch, length):
-                if len(data) < length or (found := _runs(data, offsets, length)) is None:
+                if len(data) < length or (runs := _runs(data, offsets, length)) is None:
                     continue
-                h, text, lo, hi, anchor = found
+                h, text, lo, hi, anchor = runs
                 second = _span_hash(_prefix(data), lo, hi + length, (anchor - lo) * 256 + (hi - lo))
-                yield pa.RecordBatch.from_arrays([pa.array(h[anchor].view(np.int64)), pa.array(second.view(np.int64)), pa.array(ids[rows[text]]), pa.array(((lo - offsets[text] + shift) << 8) | (hi - lo + 1))], ["first", "second", "doc_id", "run"])
+                found.append((h[anchor].view(np.int64), second.view(np.int64), ids[rows[text]], ((lo - offsets[text] + shift) << 8) | (hi - lo + 1)))
+            if found:
+                first, second, doc, place, seen = _first_of_kind(*map(np.concatenate, zip(*found)))
+                dealt = _mix(place.view(np.uint64) ^ _mix(doc.view(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (np.where(seen, dealt, first), np.where(seen, 0, second), doc, np.where(seen, place | _FLAG, place)))], ["first", "second", "doc_id", "run"])
 
     return run
 
@@ -156,6 +178,12 @@ def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         rows = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
+        flagged = rows[:, 3] & _FLAG > 0
+        if flagged.any():
+            yield out(rows[flagged] & [-1, -1, -1, ~_FLAG], True)
+            rows = rows[~flagged]
+            if not len(rows):
+                continue
         begin = kind is None
         before = np.concatenate([rows[:1] if begin else kind[None], rows[:-1]])
         new = (rows[:, :2] != before[:, :2]).any(1)
@@ -199,18 +227,6 @@ def _windows_of(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(lo - (edges - n), n) + np.arange(int(edges[-1])), np.repeat(np.arange(len(n)), n)
 
 
-def _first_of_kind(first, last, doc, place):
-    """Sort by digits, doc_id and place; mark rows that repeat an earlier row of their kind
-    and leave out rows that are that earlier row itself."""
-    order = np.lexsort((place, doc, last, first))
-    first, last, doc, place = first[order], last[order], doc[order], place[order]
-    seen = np.zeros(len(first), bool)
-    seen[1:] = (first[1:] == first[:-1]) & (last[1:] == last[:-1])
-    top = np.maximum.accumulate(np.where(seen, 0, np.arange(len(first))))
-    other = ~seen | (doc != doc[top]) | (place != place[top])
-    return first[other], last[other], doc[other], place[other], seen[other]
-
-
 def _spell(length: int):
     """The unsettled runs of each text. A run whose first digit few rows share is sent whole,
     with the bytes that it covers. One that many share is spelled into its windows; a window
@@ -357,8 +373,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` kept_text
     (characters that lost a byte are dropped there). ``carry`` names columns that come along
     as one struct, ``carried``, which spares a join to get them back."""
-    if not GRAM < length <= GRAM + 255:
-        raise ValueError(f"length must be from {GRAM + 1} to {GRAM + 255}")
+    if not GRAM < length <= GRAM + 126:
+        raise ValueError(f"length must be from {GRAM + 1} to {GRAM + 126}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     marked = rows.select("doc_id", "text").mapInArrow(_mark_runs(length), "first long, second long, doc_id long, run long")
     dealt = marked.repartitionByRange("first", "second").sortWithinPartitions("first", "second", "doc_id", "run")
