@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritable.llm.common import prefix_offsets, text_slices
+from veritable.llm.common import prefix_offsets, text_slices, tidy
 from veritable.llm.range_coder import decode_block, encode_block
 from veritable.llm.tokens import piece_tokenizer, tokenizer_path
 
@@ -81,7 +81,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, cut: str = "
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "shard int, block int, before long, n_docs long, n_tokens long, payload binary").write.parquet(path)
+    ordered.mapInArrow(tidy(run), "shard int, block int, before long, n_docs long, n_tokens long, payload binary").write.parquet(path)
 
 
 def read(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -103,4 +103,4 @@ def read(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
                     out.append(pa.array([s.tobytes() for s in spans], pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return placed.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

@@ -3,10 +3,11 @@ row remainders, batch slicing for Arrow functions and distributed connected comp
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The Arrow function ``run``, handing free memory back to the system when its task ends.
+    Spark uses its Python workers again; what their allocators keep would add up over the
+    stages of a job."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def held_out(doc_id="doc_id"):
     """True for the fifth of the documents whose labels no model may learn."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
@@ -112,7 +130,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     a, b = edges.columns[:2]
     pairs = edges.select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst")).where("src <> dst")
-    stars = materialize(pairs.mapInArrow(_forest, "src long, dst long").distinct(), "edges")
+    stars = materialize(pairs.mapInArrow(tidy(_forest), "src long, dst long").distinct(), "edges")
 
     def mark(df: DataFrame):
         row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("s")).first()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritable.llm.common import SLICE_BYTES, text_bytes, text_slices
+from veritable.llm.common import SLICE_BYTES, text_bytes, text_slices, tidy
 from veritable.llm.words import plain_words
 
 PASSAGE, FEATURES, RANK = 64, 1 << 13, 96
@@ -158,7 +158,7 @@ def _document_frequency(docs: DataFrame, bench: _Benchmark) -> tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(df[used])], ["f", "n"])
 
     out = np.zeros(FEATURES + 1, np.int64)
-    for r in docs.select("text").mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(tidy(run), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
         out[r["f"]] = r["n"]
     return out[:FEATURES], int(out[FEATURES])
 
@@ -186,7 +186,7 @@ def _basis(docs: DataFrame, bench: _Benchmark, weight: np.ndarray) -> tuple[np.n
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(total[used, k].astype(np.float32)) for k in range(RANK))], ["f", *names])
 
     z = np.zeros((FEATURES, RANK))
-    sums = docs.select("text").mapInArrow(run, "f int, " + ", ".join(f"{n} float" for n in names)).groupBy("f").agg(*(F.sum(n).alias(n) for n in names))
+    sums = docs.select("text").mapInArrow(tidy(run), "f int, " + ", ".join(f"{n} float" for n in names)).groupBy("f").agg(*(F.sum(n).alias(n) for n in names))
     for r in sums.toPandas().itertuples(index=False):  # FEATURES rows at most
         z[r[0]] = r[1:]
     # the items' own rows, one passage per item, with as much weight as the corpus
@@ -255,7 +255,7 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
                 got = [best.get(i, none) for i in range(n)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([g[3] for g in got]), pa.array([item_ids[g[2]] if g[2] >= 0 else None for g in got], pa.int64()), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "contaminated", "item_id", "share", "cosine"])
 
-    return rows.mapInArrow(run, fields)
+    return rows.mapInArrow(tidy(run), fields)
 
 
 def _verdict(item: np.ndarray, words: list[int]) -> tuple[float, bool]:

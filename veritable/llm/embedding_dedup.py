@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritable.llm.common import components, materialize
+from veritable.llm.common import components, materialize, tidy
 
 BITS, TABLES = 12, 32
 CROWDED, CROWDED_BITS, CROWDED_ROUNDS = 64, 4, 4
@@ -89,7 +89,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, bits: int = BIT
     member = keyed.drop("embedding").join(classes, ["label", "k1", "k2"]).select("vec_id", "rep", "copies")
     member = materialize(member, "members")
     reps = materialize(good.join(member.where("vec_id = rep").select("vec_id"), "vec_id", "left_semi").select(F.col("vec_id").alias("rep"), "embedding", F.col("label").cast("string").alias("label")), "classes")
-    dealt = materialize(reps.mapInArrow(_buckets(bits, tables, CROWDED_BITS, CROWDED_ROUNDS), "rep long, label string, tbl int, bucket long, fine array<int>"), "buckets")
+    dealt = materialize(reps.mapInArrow(tidy(_buckets(bits, tables, CROWDED_BITS, CROWDED_ROUNDS)), "rep long, label string, tbl int, bucket long, fine array<int>"), "buckets")
     sizes = dealt.groupBy("label", "tbl", "bucket").count().where("count > 1")
     quiet = dealt.join(sizes.where(F.col("count") <= crowded).drop("count"), ["label", "tbl", "bucket"], "left_semi").withColumn("round", F.lit(0)).withColumn("part", F.lit(0))
     busy = dealt.join(sizes.where(F.col("count") > crowded).drop("count"), ["label", "tbl", "bucket"], "left_semi").select("*", F.posexplode("fine").alias("round", "part"))
@@ -98,7 +98,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, bits: int = BIT
     left = reps.select(F.col("rep").alias("a"), F.col("embedding").alias("x"), F.col("label").alias("la"))
     right = reps.select(F.col("rep").alias("b"), F.col("embedding").alias("y"), F.col("label").alias("lb"))
     full = pairs.join(left, "a").join(right, "b").where("la = lb and size(x) = size(y)").select("a", "b", "x", "y")
-    edges = materialize(full.mapInArrow(_verify(threshold), "a long, b long"), "links")
+    edges = materialize(full.mapInArrow(tidy(_verify(threshold)), "a long, b long"), "links")
     both = edges.union(edges.select("b", "a"))
     weights = member.where("vec_id = rep").select(F.col("rep").alias("b"), "copies")
     linked = both.join(weights, "b").groupBy("a").agg(F.sum("copies").alias("others"))

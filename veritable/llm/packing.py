@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritable.llm.common import materialize, prefix_offsets, text_slices
+from veritable.llm.common import materialize, prefix_offsets, text_slices, tidy
 from veritable.llm.tokens import piece_tokenizer, tokenizer_path
 
 TOKENIZER, LENGTH, END = "word_bpe_49k.json", 2048, 1
+#: Text tokenized at once: a slice takes some 50 times its bytes while it is encoded.
+_SLICE = 2 << 20
 
 
 def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -42,13 +44,13 @@ def tokenize(docs: DataFrame, path: str, cut: str = "word", end: int = END, text
         tokenizer, part, before = piece_tokenizer(path, cut), TaskContext.get().partitionId(), 0
         kind = np.dtype("<u2" if max(end + 1, tokenizer.library.get_vocab_size()) <= 1 << 16 else "<u4")
         for batch in batches:
-            for rows in text_slices(batch):
+            for rows in text_slices(batch, most=_SLICE):
                 ids, counts = tokenizer.encode(rows.column("text"), end)
                 places = before + np.cumsum(counts) - counts
                 before += len(ids)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(len(counts), part, np.int32)), pa.array(places), pa.array(counts), _binary(ids.astype(kind), counts)], ["doc_id", "part", "before", "n", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, part int, before long, n long, ids binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, part int, before long, n long, ids binary")
 
 
 def cut_pieces(tokens: DataFrame, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
@@ -81,7 +83,7 @@ def cut_pieces(tokens: DataFrame, length: int = LENGTH, with_ids: bool = False)
                 out, names = [*out, pa.array(kept, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
+    return placed.mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, cut: str = "word", length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:

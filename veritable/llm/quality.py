@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritable.llm.common import held_out, text_bytes, text_slices
+from veritable.llm.common import held_out, text_bytes, text_slices, tidy
 from veritable.llm.words import shaped_words
 
 BUCKETS, DIMS, SLOTS = 1 << 13, 32, 2
@@ -59,7 +59,7 @@ def word_vectors(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, di
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(rows[used, d].astype(np.float32)) for d in range(dims))], ["bucket", *(f"d{d}" for d in range(dims))])
 
     names = [f"d{d}" for d in range(dims)]
-    sums = docs.select(F.col(text).alias("text")).where("text is not null").mapInArrow(gather, "bucket int, " + ", ".join(f"{n} float" for n in names))
+    sums = docs.select(F.col(text).alias("text")).where("text is not null").mapInArrow(tidy(gather), "bucket int, " + ", ".join(f"{n} float" for n in names))
     out = np.zeros((buckets, dims))
     for r in sums.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toPandas().itertuples(index=False):
         out[r[0]] = r[1:]
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
                 x = pool(part.column("text"), vectors)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "y", "x"])
 
-    sample = rows.mapInArrow(features, "doc_id long, y int, x array<float>").toPandas().sort_values("doc_id")
+    sample = rows.mapInArrow(tidy(features), "doc_id long, y int, x array<float>").toPandas().sort_values("doc_id")
     if sample.empty:
         return vectors, Network()
     x = np.stack(sample["x"].to_list()).astype(np.float64)
@@ -171,4 +171,4 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
                 s = network.score(pool(part.column("text"), vectors))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s, pa.float64())], ["doc_id", "held_out", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(tidy(run), "doc_id long, held_out boolean, score double")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritable.llm.common import components, materialize
+from veritable.llm.common import components, materialize, tidy
 
 SEED = 42
 WIDTH = 3
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             fps = np.array([fingerprint(t.as_py() or b"") for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _half(fp: np.ndarray, half: int) -> np.ndarray:
@@ -96,7 +96,7 @@ def links(classes: DataFrame, distance: int = 2, crowded: int = CROWDED) -> Data
     are those of all pairs within two bits."""
     if distance != 2:
         raise ValueError("the grid is laid out for a distance of 2")
-    cells = materialize(classes.select("fp").mapInArrow(_cells, "cell long, fp long, look boolean"), "cells")
+    cells = materialize(classes.select("fp").mapInArrow(tidy(_cells), "cell long, fp long, look boolean"), "cells")
     sizes = cells.groupBy("cell").agg(F.count_if(~F.col("look")).alias("own"), F.count_if(F.col("look")).alias("looks")).where("own > 0 and own + looks > 1")
     few, many = f"own <= {crowded} and looks <= {32 * crowded}", f"own > {crowded} or looks > {32 * crowded}"
     quiet = cells.join(sizes.where(few).select("cell"), "cell", "left_semi")

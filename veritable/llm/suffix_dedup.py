@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritable.llm.common import materialize, text_bytes, text_slices
+from veritable.llm.common import materialize, text_bytes, text_slices, tidy
 
 LENGTH, GRAM = 100, 32
 #: A first digit that at most this many unsettled runs share is compared within one task.
@@ -376,19 +376,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     if not GRAM < length <= GRAM + 126:
         raise ValueError(f"length must be from {GRAM + 1} to {GRAM + 126}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
-    marked = rows.select("doc_id", "text").mapInArrow(_mark_runs(length), "first long, second long, doc_id long, run long")
+    marked = rows.select("doc_id", "text").mapInArrow(tidy(_mark_runs(length)), "first long, second long, doc_id long, run long")
     dealt = marked.repartitionByRange("first", "second").sortWithinPartitions("first", "second", "doc_id", "run")
-    scanned = materialize(dealt.mapInArrow(_scan_runs, _SCHEMA), "runs")
+    scanned = materialize(dealt.mapInArrow(tidy(_scan_runs), _SCHEMA), "runs")
     # one exchange of the texts serves both joins, as long as both read the same columns of it
     by_doc = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     reps = scanned.where("not settled").select("first", "doc_id", "run")
     sizes = reps.groupBy("first").agg((F.count("*") <= FEW).alias("few"))
     edges = reps.join(sizes, "first").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("run", "first", "few"))).alias("runs"))
-    spelled = by_doc.join(edges, "doc_id").mapInArrow(_spell(length), "first long, last long, doc_id long, place long, settled boolean, covered binary")
-    windows = spelled.repartition("first", "last").sortWithinPartitions("first", "last", "doc_id", "place").mapInArrow(_scan_windows(length), "doc_id long, place long")
+    spelled = by_doc.join(edges, "doc_id").mapInArrow(tidy(_spell(length)), "first long, last long, doc_id long, place long, settled boolean, covered binary")
+    windows = spelled.repartition("first", "last").sortWithinPartitions("first", "last", "doc_id", "place").mapInArrow(tidy(_scan_windows(length)), "doc_id long, place long")
     spans = scanned.where("settled").select("doc_id", "run").union(windows.select("doc_id", F.shiftleft("place", 8).bitwiseOR(F.lit(1)).alias("run")))
     gone = spans.groupBy("doc_id").agg(F.collect_list("run").alias("spans"))
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     if carry:
         fields += f", carried {rows.schema['carried'].dataType.simpleString()}"
-    return by_doc.join(gone, "doc_id", "left").mapInArrow(_cut(length, with_text, bool(carry)), fields)
+    return by_doc.join(gone, "doc_id", "left").mapInArrow(tidy(_cut(length, with_text, bool(carry))), fields)
