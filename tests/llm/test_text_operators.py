@@ -147,6 +147,27 @@ def test_decontamination_finds_paraphrases_and_leaves_the_rest(spark, make_docs,
     assert decontamination.find(make_docs([]), bench).count() == 0
 
 
+def bench_of(spark, items):
+    return spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+
+
+def leaked(docs, bench):
+    return {r.doc_id: r.item_id for r in decontamination.find(docs, bench).where("contaminated").collect()}
+
+
+def test_decontamination_finds_frequent_leaks_and_items_of_common_words(spark, make_docs, rng):
+    common = ["the", "of", "and", "to", "in", "is", "it", "as", "at", "by", "on", "or"]
+    text = lambda n: [rng.choice(common) if rng.random() < 0.4 else w for w in words(rng, n)]
+    items = [words(rng, 30), [rng.choice(common) for _ in range(24)], words(rng, 25)]
+    docs = [text(60) for _ in range(240)]
+    for i in range(0, 240, 3):
+        docs[i][20:20] = items[0]
+    docs[100][30:30] = items[1]
+    want = {i: 0 for i in range(0, 240, 3)} | {100: 1}
+    assert leaked(make_docs([" ".join(w) for w in docs]), bench_of(spark, items)) == want
+    assert leaked(make_docs([" ".join(items[0])] * 8), bench_of(spark, items)) == {i: 0 for i in range(8)}
+
+
 def naive_repeats(texts, n=100):
     seen, out = set(), {}
     for i, t in enumerate(texts):

@@ -1,19 +1,25 @@
 """Operator 1. Benchmark decontamination by latent semantic retrieval.
 
-A passage is a run of ``PASSAGE`` words, one beginning every ``PASSAGE / 2`` words. Its TF-IDF
-vector keeps the words of the benchmark (hashed into ``FEATURES``) that are not in more than
-``COMMON`` of all half passages. A randomized range finder over all passages of the corpus,
-stacked with the benchmark's own, weighted to carry as much, gives the latent space: each
-task sends A'(A R) for its rows A and the shared random R, and the sum is orthonormalized.
-(A rotation to the singular vectors would change no cosine.) Passages whose latent vector
-has a cosine of ``COSINE`` or more with an item's, and which hold ``OVERLAP`` of the item's
-weighted words, are candidates.
-
-A candidate is checked word by word: the longest common subsequence of the item and the
-words around the passage, found by bit-parallel steps. A document is contaminated if an
+A block is a run of ``BLOCK`` words, one after another. A leak is sought in stretches half again
+as long as the item. A stretch that begins in a block lies in that block and a few more of the
+same text, as many as the item's length asks for; if these hold fewer than ``LOOSE`` of the
+item's words (each counted in a block at most as often as the item has it, words hashed into
+``FEATURES``), no stretch that begins there can pass the check below. All others are
+candidates: nothing that the check would accept is left out, however common its words or long
+the item.
+
+A candidate is checked word by word, by the longest common subsequence (bit-parallel steps) of
+the item and each stretch that begins at one of its words. A document is contaminated if an
 item's share in common is ``SHARE`` or more, or ``LOOSE`` or more with its answer (the last
 ``ANSWER`` words) in common to ``SHARE``. Both shares are of words, weighted alike.
 
+The latent space tells how near a candidate is in the whole of its words. A block's TF-IDF
+vector keeps the words of the benchmark, all with a positive weight. A randomized range finder
+over all blocks of the corpus, stacked with the benchmark's own rows, weighted to carry as
+much, gives the space: each task sends A'(A R) for its rows A and the shared random R, and the
+sum is orthonormalized. (A rotation to the singular vectors would change no cosine.) It cuts
+nothing off: an item of common words, or a short one amid rare words, has a small cosine.
+
 Words are runs of letters and digits, A-Z lower-cased. Null and empty texts are clean. Items
 with fewer than ``LEAST`` words, null or empty, are ignored: too short to tell. Repeated
 items count once. With no usable item everything is clean. The benchmark must have at most
@@ -24,6 +30,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +40,20 @@ from pyspark.sql import functions as F
 from veritable.llm.common import SLICE_BYTES, text_bytes, text_slices, tidy
 from veritable.llm.words import plain_words
 
-PASSAGE, FEATURES, RANK = 64, 1 << 13, 96
-COMMON, COSINE, OVERLAP = 0.03, 0.3, 0.35
+BLOCK, FEATURES, RANK = 32, 1 << 13, 128
 SHARE, LOOSE, ANSWER, LEAST = 0.75, 0.6, 8, 8
 MOST_ITEMS, MOST_WORDS = 100_000, 5_000_000
 SEED = 271
 _SLICE = SLICE_BYTES // 8
+#: Items and blocks compared at once.
+_GROUP, _TILE = 1024, 4096
+#: Blocks up to which a stretch's words are counted as a whole before the check, which decides
+#: alone beyond; features that a matrix product handles in the range finder.
+_LONG, _OFTEN = 64, 256
 
 
 class _Benchmark:
-    """The items' words, and which hashed words the retrieval looks at."""
+    """The items' words."""
 
     def __init__(self, texts: list[str]):
         data, offsets = text_bytes(pa.array(texts, pa.string()))
@@ -54,6 +65,18 @@ class _Benchmark:
         # a 16-bit sieve answers for most words of a corpus before the exact search
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[(self.known >> np.uint64(48)).astype(np.int64)] = True
+        self.seen: dict[int, tuple[_Item, _Item]] = {}
+
+    @cached_property
+    def groups(self) -> list[_Group]:
+        order = np.argsort([len(w) for w in self.items], kind="stable")
+        return [_Group(order[k : k + _GROUP], self.items) for k in range(0, len(order), _GROUP)]
+
+    def bits(self, j: int) -> tuple[_Item, _Item]:
+        """Item ``j`` and its answer."""
+        if j not in self.seen:
+            self.seen[j] = _Item(self.items[j]), _Item(self.items[j][-ANSWER:])
+        return self.seen[j]
 
     def features(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``h`` of benchmark words, and their features."""
@@ -66,84 +89,171 @@ class _Benchmark:
 
 
 class _Blocks:
-    """Sparse counts of benchmark words in the half passages of a slice's texts."""
+    """Sparse counts of benchmark words in the blocks of a slice's texts."""
 
     def __init__(self, column: pa.Array, bench: _Benchmark):
         self.h, owner = plain_words(*text_bytes(column))
         words = np.bincount(owner, minlength=len(column))
         self.starts = np.concatenate([[0], np.cumsum(words)])
-        half = PASSAGE // 2
-        blocks = -(-words // half)
+        blocks = -(-words // BLOCK)
         first = np.cumsum(blocks) - blocks
         self.owner = np.repeat(np.arange(len(words)), blocks)
-        self.begin = self.starts[self.owner] + (np.arange(len(self.owner)) - first[self.owner]) * half
+        self.begin = self.starts[self.owner] + (np.arange(len(self.owner)) - first[self.owner]) * BLOCK
         at, f = bench.features(self.h)
-        block = first[owner[at]] + (at - self.starts[owner[at]]) // half
+        block = first[owner[at]] + (at - self.starts[owner[at]]) // BLOCK
         key, self.count = np.unique(block * FEATURES + f, return_counts=True)
         self.block, self.feature = key // FEATURES, key % FEATURES
-
-
-def _latent(p: _Blocks, weight: np.ndarray, basis: np.ndarray):
-    """(blocks with any weighted feature, their unit TF-IDF rows times basis, and the rows'
-    features, values and places)."""
-    value = weight[p.feature] * p.count
-    some = value > 0
-    block, feature, value = p.block[some], p.feature[some], value[some]
-    if not len(block):
-        return None
-    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    sizes = np.diff(starts, append=len(block))
-    value = value / np.repeat(np.sqrt(np.add.reduceat(value * value, starts)), sizes)
-    rows = np.add.reduceat(basis[feature] * value[:, None].astype(basis.dtype), starts)
-    return block[starts], rows, feature, value, np.repeat(np.arange(len(starts)), sizes)
-
-
-def _candidates(p: _Blocks, weight: np.ndarray, basis: np.ndarray, latent: np.ndarray, wanted: list[np.ndarray]):
-    """(first block of a passage, item, cosine) of passages near an item that also hold
-    ``OVERLAP`` of its weighted features (a leak that passes the word check holds more)."""
-    value = weight[p.feature] * p.count
-    some = np.flatnonzero(value > 0)
-    if not len(some):
-        return
+        self.last = (first + blocks)[self.owner]  # where the blocks of a block's text end
+
+
+def _back(rows: np.ndarray, feature: np.ndarray, value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A' times rows: features present, and their sums."""
+    order = np.argsort(feature, kind="stable")
+    f = feature[order]
+    starts = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+    return f[starts], np.add.reduceat(rows[row[order]] * value[order, None], starts)
+
+
+def _gather(total: np.ndarray, p: _Blocks, weight: np.ndarray, start: np.ndarray, often: np.ndarray) -> None:
+    """Add A'(A start) to ``total`` for the blocks' unit TF-IDF rows A. The features
+    ``often`` go through dense products, the others one by one."""
+    column = np.full(FEATURES, -1)
+    column[often] = np.arange(len(often))
+    for k in range(0, len(p.owner), _TILE):
+        i, j = np.searchsorted(p.block, [k, k + _TILE])
+        if i == j:
+            continue
+        block, feature = p.block[i:j] - k, p.feature[i:j]
+        value = weight[feature] * p.count[i:j]
+        value = (value / np.sqrt(np.bincount(block, value * value))[block]).astype(np.float32)
+        dense = column[feature] >= 0
+        x = np.zeros((int(block[-1]) + 1, len(often)), np.float32)
+        x[block[dense], column[feature[dense]]] = value[dense]
+        rows = x @ start[often]
+        block, feature, value = block[~dense], feature[~dense], value[~dense]
+        if len(block):
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            rows[block[starts]] += np.add.reduceat(start[feature] * value[:, None], starts)
+            f, sums = _back(rows, feature, value, block)
+            total[f] += sums
+        total[often] += x.T @ rows
+
+
+class _Group:
+    """Some items, and how many of their words runs of blocks hold at most. A word that a block
+    has c times and an item m times counts min(c, m): one for each level up to both."""
+
+    def __init__(self, which: np.ndarray, items: list[np.ndarray]):
+        self.which = which
+        sizes = np.array([len(items[j]) for j in which])
+        self.need = np.ceil(LOOSE * sizes - 1e-9).astype(np.int32)
+        self.run = _run(sizes)
+        owner = np.repeat(np.arange(len(which)), sizes)
+        feature = np.concatenate([(items[j] % np.uint64(FEATURES)).astype(np.int64) for j in which])
+        pair, count = np.unique(feature * len(which) + owner, return_counts=True)
+        by_item = np.argsort(pair % len(which), kind="stable")
+        self.feature, self.times = pair[by_item] // len(which), count[by_item]
+        self.kinds = np.bincount(pair % len(which), minlength=len(which))
+        self.start = np.cumsum(self.kinds) - self.kinds
+        count = np.minimum(count, BLOCK)
+        level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        key, owner = np.repeat(pair // len(which), count) * BLOCK + level, np.repeat(pair % len(which), count)
+        order = np.argsort(key, kind="stable")
+        keys, self.size = np.unique(key, return_counts=True)
+        self.owner, self.first = owner[order], np.cumsum(self.size) - self.size
+        self.number = np.full(FEATURES * BLOCK, -1, np.int32)
+        self.number[keys] = np.arange(len(keys))
+        # words of many items are counted by a matrix product, the others one by one
+        many = np.flatnonzero(self.size * 16 > len(which))
+        self.column = np.full(len(keys), -1, np.int32)
+        self.column[many] = np.arange(len(many))
+        self.has = np.zeros((len(many), len(which)), np.uint8)
+        self.has[np.repeat(np.arange(len(many)), self.size[many]), self.owner[_ranges(self.first[many], self.size[many])]] = 1
+
+    def held(self, block: np.ndarray, key: np.ndarray, blocks: int) -> np.ndarray:
+        """(blocks, items): words of the item in the block, as far as the item has them."""
+        number = self.number[key]
+        block, number = block[number >= 0], number[number >= 0]
+        dense = self.column[number] >= 0
+        x = np.zeros((blocks, len(self.has)), np.float32)
+        x[block[dense], self.column[number[dense]]] = 1
+        out = (x @ self.has.astype(np.float32)).astype(np.int32)
+        block, number = block[~dense], number[~dense]
+        size = self.size[number]
+        at = np.repeat(block, size) * len(self.which) + self.owner[_ranges(self.first[number], size)]
+        return out + np.bincount(at, minlength=out.size).reshape(out.shape).astype(np.int32)
+
+    def whole(self, counts: np.ndarray, x: np.ndarray, end: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Words of item y that blocks x to end hold together, as far as the item has them."""
+        out = np.zeros(len(x), np.int64)
+        for k in range(0, len(x), 1 << 14):
+            a, b, items = x[k : k + (1 << 14)], end[k : k + (1 << 14)], y[k : k + (1 << 14)]
+            size = self.kinds[items]
+            at = _ranges(self.start[items], size)
+            f, a, b = self.feature[at], np.repeat(a, size), np.repeat(b, size)
+            got = np.zeros(len(f), np.int64)
+            for step in range(int((b - a).max())):
+                got += np.where(a + step < b, counts[np.minimum(a + step, len(counts) - 1), f], 0)
+            out[k : k + (1 << 14)] = np.add.reduceat(np.minimum(got, self.times[at]), np.cumsum(size) - size)
+        return out
+
+
+def _run(sizes: np.ndarray) -> np.ndarray:
+    """How many blocks a stretch for items of these sizes can touch."""
+    return (sizes + sizes // 2 + BLOCK - 2) // BLOCK + 1
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] of them), then those of first[1] and so on."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _candidates(p: _Blocks, groups: list[_Group]) -> Iterator[tuple[int, int]]:
+    """(block, item) wherever a stretch that begins in the block may hold ``LOOSE`` of the item."""
     total = len(p.owner)
-    starts = np.flatnonzero(np.concatenate([[True], p.block[some][1:] != p.block[some][:-1]]))
-    x = np.zeros((total + 1, basis.shape[1]), np.float32)
-    x[p.block[some][starts]] = np.add.reduceat(basis[p.feature[some]] * value[some, None].astype(np.float32), starts)
-    held = np.zeros((total + 1, FEATURES), bool)
-    held[p.block[some], p.feature[some]] = True
-    # a passage is a block and the next one of the same text
-    follows = np.flatnonzero(p.owner[1:] == p.owner[:-1])
-    x[follows] += x[follows + 1]
-    held[follows] |= held[follows + 1]
-    size = np.linalg.norm(x, axis=1, keepdims=True)
-    x = np.divide(x, size, out=np.zeros_like(x), where=size > 1e-6)
-    lengths = np.array([len(f) for f in wanted])
-    flat, edges = np.concatenate(wanted), np.cumsum(lengths) - lengths
-    for at in range(0, total, 4096):
-        cos = x[at : min(at + 4096, total)] @ latent.T
-        i, j = np.nonzero(cos >= COSINE)
-        for k in range(0, len(i), 1 << 17):
-            a, b = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
-            n = lengths[b]
-            ends = np.cumsum(n)
-            place = np.repeat(edges[b] - (ends - n), n) + np.arange(int(ends[-1]))
-            hits = np.add.reduceat(held[np.repeat(a + at, n), flat[place]].astype(np.int32), ends - n)
-            for q in np.flatnonzero(hits >= OVERLAP * n).tolist():
-                yield int(a[q]) + at, int(b[q]), float(cos[a[q], b[q]])
-
-
-def _common_subsequence(item: np.ndarray, words: list[int]) -> int:
-    """Length of the longest common subsequence, one machine word of bits at a time."""
-    masks: dict[int, int] = {}
-    for i, w in enumerate(item.tolist()):
-        masks[w] = masks.get(w, 0) | 1 << i
-    full = (1 << len(item)) - 1
-    v = full
-    for w in words:
-        u = v & masks.get(w, 0)
-        if u:
-            v = ((v + u) | (v - u)) & full
-    return len(item) - v.bit_count()
+    level = _ranges(np.zeros(len(p.count), np.int64), p.count)
+    block, key = np.repeat(p.block, p.count), np.repeat(p.feature, p.count) * BLOCK + level
+    for g in groups:
+        for a in range(0, total, _TILE):
+            b = min(a + _TILE, total)
+            c = min(b + int(g.run.max()) - 1, total)
+            i, j = np.searchsorted(block, [a, c])
+            counts = None
+            sums = np.zeros((c - a + 1, len(g.which)), np.int32)
+            np.cumsum(g.held(block[i:j] - a, key[i:j], c - a), axis=0, out=sums[1:])
+            for run in np.unique(g.run).tolist():
+                mine = np.flatnonzero(g.run == run)
+                end = np.minimum(np.arange(a, b) + run, p.last[a:b]) - a
+                part = sums[:, mine]
+                x, y = np.nonzero(part[end] - part[: b - a] >= g.need[mine])
+                if len(x) and run <= _LONG:
+                    if counts is None:
+                        i, j = np.searchsorted(p.block, [a, c])
+                        counts = np.zeros((c - a, FEATURES), np.uint8)
+                        counts[p.block[i:j] - a, p.feature[i:j]] = p.count[i:j]
+                    enough = g.whole(counts, x, end[x], mine[y]) >= g.need[mine[y]]
+                    x, y = x[enough], y[enough]
+                yield from zip((x + a).tolist(), g.which[mine[y]].tolist())
+
+
+class _Item:
+    """An item's words as bits."""
+
+    def __init__(self, words: np.ndarray):
+        self.n = len(words)
+        self.masks: dict[int, int] = {}
+        for i, w in enumerate(words.tolist()):
+            self.masks[w] = self.masks.get(w, 0) | 1 << i
+
+    def common(self, words: list[int]) -> int:
+        """Length of the longest common subsequence, one machine word of bits at a time."""
+        full = v = (1 << self.n) - 1
+        get = self.masks.get
+        for w in words:
+            if (m := get(w)) and (u := v & m):
+                v = ((v + u) | (v - u)) & full
+        return self.n - v.bit_count()
 
 
 def _document_frequency(docs: DataFrame, bench: _Benchmark) -> tuple[np.ndarray, int]:
@@ -166,22 +276,14 @@ def _document_frequency(docs: DataFrame, bench: _Benchmark) -> tuple[np.ndarray,
 def _basis(docs: DataFrame, bench: _Benchmark, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Orthonormal (FEATURES, rank) basis, and the items' unit latent vectors."""
     names = [f"d{k}" for k in range(RANK)]
+    often = np.argsort(weight, kind="stable")[:_OFTEN]
     start = np.random.default_rng(SEED).standard_normal((FEATURES, RANK)).astype(np.float32)
 
-    def back(rows: np.ndarray, feature: np.ndarray, value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A' times rows: features present, and their sums."""
-        order = np.argsort(feature, kind="stable")
-        f = feature[order]
-        starts = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-        return f[starts], np.add.reduceat(rows[row[order]] * value[order, None], starts)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((FEATURES, RANK))
         for batch in batches:
             for part in text_slices(batch, most=_SLICE):
-                if (found := _latent(_Blocks(part.column("text"), bench), weight, start)) is not None:
-                    f, sums = back(*found[1:])
-                    total[f] += sums
+                _gather(total, _Blocks(part.column("text"), bench), weight, start, often)
         used = np.flatnonzero(np.abs(total).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(total[used, k].astype(np.float32)) for k in range(RANK))], ["f", *names])
 
@@ -189,7 +291,7 @@ def _basis(docs: DataFrame, bench: _Benchmark, weight: np.ndarray) -> tuple[np.n
     sums = docs.select("text").mapInArrow(tidy(run), "f int, " + ", ".join(f"{n} float" for n in names)).groupBy("f").agg(*(F.sum(n).alias(n) for n in names))
     for r in sums.toPandas().itertuples(index=False):  # FEATURES rows at most
         z[r[0]] = r[1:]
-    # the items' own rows, one passage per item, with as much weight as the corpus
+    # the items' own rows, one per item, with as much weight as the corpus
     feature = np.concatenate([(w % np.uint64(FEATURES)).astype(np.int64) for w in bench.items])
     item = np.repeat(np.arange(len(bench.items)), [len(w) for w in bench.items])
     dense = np.zeros((len(bench.items), FEATURES), np.float32) if len(bench.items) * FEATURES <= 1 << 26 else None
@@ -207,7 +309,7 @@ def _basis(docs: DataFrame, bench: _Benchmark, weight: np.ndarray) -> tuple[np.n
 
     y = times(start)
     own = np.zeros_like(z)
-    found, sums = back(y, f, value, row)
+    found, sums = _back(y, f, value, row)
     own[found] = sums
     share = np.linalg.norm(z) / max(np.linalg.norm(own), 1e-30)
     basis = np.linalg.qr(z + max(share, 1.0) * own)[0].astype(np.float32)
@@ -231,50 +333,58 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     if not bench.items:
         return rows.select("doc_id", F.lit(False).alias("contaminated"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("share"), F.lit(0.0).alias("cosine"))
     df, total = _document_frequency(rows, bench)
-    weight = np.where(df <= COMMON * max(total, 1), np.log((1.0 + total) / (1.0 + df)), 0.0)
+    # no word is too common to count: a leak in most documents makes its own words common
+    weight = 1.0 + np.log((1.0 + total) / (1.0 + df))
     basis, latent = _basis(rows, bench, weight)
-    # the features that tell an item; one that is made of common words alone is told by those
-    features = [np.unique((w % np.uint64(FEATURES)).astype(np.int64)) for w in bench.items]
-    wanted = [f[weight[f] > 0] if (weight[f] > 0).any() else f for f in features]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, most=_SLICE):
                 n = part.num_rows
-                best: dict[int, tuple[float, float, int, bool]] = {}
+                best: dict[int, tuple[bool, float, int, int]] = {}
                 p = _Blocks(part.column("text"), bench)
-                for k, j, cosine in _candidates(p, weight, basis, latent, wanted):
-                    doc, item = int(p.owner[k]), bench.items[j]
-                    a = max(int(p.begin[k]) - PASSAGE // 2, int(p.starts[doc]))
-                    b = min(int(p.begin[k]) + PASSAGE + max(PASSAGE // 2, len(item)), int(p.starts[doc + 1]))
-                    share, leak = _verdict(item, p.h[a:b].tolist())
-                    old = best.get(doc)
-                    if old is None or (leak, share, -j) > (old[3], old[0], -old[2]):
-                        best[doc] = (share, cosine, j, leak)
-                none = (0.0, 0.0, -1, False)
+                for k, j in _candidates(p, bench.groups):
+                    doc, (item, tail) = int(p.owner[k]), bench.bits(j)
+                    a = int(p.begin[k])
+                    words = p.h[a : min(a + BLOCK - 1 + item.n + item.n // 2, int(p.starts[doc + 1]))].tolist()
+                    leak, share = _verdict(item, tail, words)
+                    if (now := (leak, share, -j, -k)) > best.get(doc, (False, -1.0, 0, 0)):
+                        best[doc] = now
+                near = _cosines(p, weight, basis, latent, {d: (-v[3], -v[2]) for d, v in best.items()}, bench)
+                none = (False, 0.0, 1, 0)
                 got = [best.get(i, none) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([g[3] for g in got]), pa.array([item_ids[g[2]] if g[2] >= 0 else None for g in got], pa.int64()), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "contaminated", "item_id", "share", "cosine"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([g[0] for g in got]), pa.array([item_ids[-g[2]] if g[2] <= 0 else None for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64()), pa.array([near.get(i, 0.0) for i in range(n)], pa.float64())], ["doc_id", "contaminated", "item_id", "share", "cosine"])
 
     return rows.mapInArrow(tidy(run), fields)
 
 
-def _verdict(item: np.ndarray, words: list[int]) -> tuple[float, bool]:
-    """Best share of the item in common within a stretch half again as long as the item."""
-    known = set(item.tolist())
-    hits = [i for i, w in enumerate(words) if w in known]
-    n = len(item)
-    if len(hits) < LOOSE * n:
-        return len(hits) / n * 0.5, False
-    reach, top, place = n + n // 2, 0, 0
-    for a in {hits[0], *hits[:: max(1, n // 4)]}:
-        got = _common_subsequence(item, words[a : a + reach])
-        if got > top:
-            top, place = got, a
-    share = top / n
-    if share >= SHARE:
-        return share, True
-    tail = item[-ANSWER:]
-    return share, share >= LOOSE and _common_subsequence(tail, words[place : place + reach]) >= SHARE * len(tail)
+def _cosines(p: _Blocks, weight: np.ndarray, basis: np.ndarray, latent: np.ndarray, found: dict[int, tuple[int, int]], bench: _Benchmark) -> dict[int, float]:
+    """Latent cosine of the item and the blocks that its stretch can touch, by document."""
+    out = {}
+    for doc, (k, j) in found.items():
+        end = min(k + int(_run(np.array(len(bench.items[j])))), int(p.last[k]))
+        a, b = np.searchsorted(p.block, [k, end])
+        x = (weight[p.feature[a:b]] * p.count[a:b]) @ basis[p.feature[a:b]]
+        out[doc] = float(x @ latent[j] / max(np.linalg.norm(x), 1e-30))
+    return out
+
+
+def _verdict(item: _Item, tail: _Item, words: list[int]) -> tuple[bool, float]:
+    """Whether a stretch half again as long as the item, beginning in the first block of
+    ``words``, is a leak, and the best share of the item in common. A share below ``LOOSE`` is
+    that of all ``words``."""
+    got = item.common(words)
+    if got / item.n < LOOSE:
+        return False, got / item.n
+    reach, top, leak = item.n + item.n // 2, 0, False
+    for a, w in enumerate(words[:BLOCK]):
+        if w not in item.masks:
+            continue
+        stretch = words[a : a + reach]
+        got = item.common(stretch)
+        top = max(top, got)
+        leak = leak or got / item.n >= SHARE or (got / item.n >= LOOSE and tail.common(stretch) >= SHARE * tail.n)
+    return leak, top / item.n
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
