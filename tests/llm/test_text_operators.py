@@ -168,6 +168,48 @@ def test_decontamination_finds_frequent_leaks_and_items_of_common_words(spark, m
     assert leaked(make_docs([" ".join(items[0])] * 8), bench_of(spark, items)) == {i: 0 for i in range(8)}
 
 
+def naive_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for k, y in enumerate(b):
+            last, row[k + 1] = row[k + 1], last + 1 if x == y else max(row[k + 1], row[k])
+    return row[-1]
+
+
+def naive_leak(item, text):
+    n = len(item)
+    for a, w in enumerate(text):
+        stretch = text[a : a + n + n // 2]
+        if w not in item or sum(x in item for x in stretch) < 0.6 * n:
+            continue
+        got = naive_common(item, stretch) / n
+        if got >= 0.75 or got >= 0.6 and naive_common(item[-8:], stretch) >= 6:
+            return True
+    return False
+
+
+def test_decontamination_loses_nothing_that_the_word_check_accepts(spark, make_docs, rng):
+    common, vocabulary = ["the", "of", "and", "to", "in", "is"], words(rng, 2000)
+    text = lambda n: [rng.choice(common) if rng.random() < 0.4 else rng.choice(vocabulary) for _ in range(n)]
+    items = [text(n) for n in range(16, 56, 2)]
+    docs = []
+    for i in range(200):
+        w, item = text(rng.randint(60, 200)), list(items[i % 20])
+        # rare words go first, the last 8 words stay: 60 to 65 % are left
+        rare = sorted(range(len(item) - 8), key=lambda k: item[k] in common)
+        for k in rare[: int(len(item) * (0.35 + i % 3 * 0.025))]:
+            item[k] = "other" + str(rng.randrange(10**6))
+        for _ in range(i % 4):
+            item.insert(rng.randrange(len(item)), rng.choice(vocabulary))
+        at = rng.randrange(len(w))
+        w[at:at] = item
+        docs.append(w)
+    want = {i for i, w in enumerate(docs) if any(naive_leak(item, w) for item in items)}
+    assert len(want) > 100
+    assert set(leaked(make_docs([" ".join(w) for w in docs]), bench_of(spark, items))) == want
+
+
 def naive_repeats(texts, n=100):
     seen, out = set(), {}
     for i, t in enumerate(texts):
