@@ -210,6 +210,17 @@ def test_decontamination_loses_nothing_that_the_word_check_accepts(spark, make_d
     assert set(leaked(make_docs([" ".join(w) for w in docs]), bench_of(spark, items))) == want
 
 
+def test_decontamination_finds_items_longer_than_a_passage(spark, make_docs, rng):
+    vocabulary = words(rng, 3000)
+    items = [rng.choices(vocabulary, k=n) for n in (20, 120, 300, 2500)]
+    docs = [rng.choices(vocabulary, k=400) for _ in range(40)]
+    for i, item in enumerate(items):
+        docs[i][150:150] = item
+        docs[10 + i][70:70] = [rng.choice(vocabulary) if k % 6 == 5 else w for k, w in enumerate(item)]
+    want = {i: i % 10 for i in [0, 1, 2, 3, 10, 11, 12, 13]}
+    assert leaked(make_docs([" ".join(w) for w in docs]), bench_of(spark, items)) == want
+
+
 def naive_repeats(texts, n=100):
     seen, out = set(), {}
     for i, t in enumerate(texts):
