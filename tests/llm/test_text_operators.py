@@ -221,6 +221,14 @@ def test_decontamination_finds_items_longer_than_a_passage(spark, make_docs, rng
     assert leaked(make_docs([" ".join(w) for w in docs]), bench_of(spark, items)) == want
 
 
+def test_decontamination_tries_stretches_from_every_word(spark, make_docs):
+    item = [f"item{chr(97 + k)}" for k in range(20)]
+    kept = item[:13] + [item[15], item[19]]  # three quarters, but not the answer
+    spread = [x for k, w in enumerate(kept) for x in (w, f"filler{chr(97 + k)}")]
+    docs = [[item[19]] * 3 + spread, [item[19]] * 3 + spread[2:]]
+    assert leaked(make_docs([" ".join(w) for w in docs]), bench_of(spark, [item])) == {0: 0}
+
+
 def naive_repeats(texts, n=100):
     seen, out = set(), {}
     for i, t in enumerate(texts):
