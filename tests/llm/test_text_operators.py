@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -37,6 +38,26 @@ def test_language_id_without_training_rows(spark, make_docs):
     assert language_id.predict(docs.limit(0), {}, ["doc_id"]).count() == 0
 
 
+def naive_vector(text, dims):
+    out, t = [0] * dims, re.sub(r"[\W\d_]+", " ", " " + text.lower() + " ")
+    for k in range(len(t) - 2):
+        a, b, c = (language_id._letter(0 if x == " " else ord(x), dims).astype(int) for x in t[k : k + 3])
+        out = out + np.roll(a, 2) * np.roll(b, 1) * c
+    return out
+
+
+def test_language_id_vectors_do_not_depend_on_the_other_texts(rng):
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x4E00 + 900)) for _ in range(n))
+    texts = [prose(rng, 20), han(300), "Füße über " + han(200) + " 12 и так далее", prose(rng, 20, "de"), "так далее", "".join(map(chr, range(0x2190, 0x2290))) + "ab", "", None, "abc abc " + han(5) * 3]
+    vectors = language_id._Vectors(64)
+    for some in (texts, texts[:1], texts[::-1], texts[5:6] + texts[:1]):
+        got, has = vectors.of(some)
+        assert has.tolist() == [bool(t) for t in some]
+        for t, v in zip(some, got):
+            if t:
+                assert v.tolist() == list(naive_vector(t, 64))
+
+
 def naive_fingerprint(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)

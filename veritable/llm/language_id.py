@@ -46,7 +46,9 @@ def _trigram_vectors(codes: np.ndarray, dims: int) -> np.ndarray:
 
 class _Vectors:
     """Document vectors of many texts at once: trigram counts times trigram vectors.
-    Letters and trigrams are numbered as they come; the tables are emptied when full."""
+    Letters and trigrams are numbered as they come; the tables are emptied when full. Texts
+    whose letters do not fit beside the others' are added up without a table: the vectors are
+    those of the code points all the same, whatever other texts there are."""
 
     def __init__(self, dims: int):
         self.dims, self.is_letter = dims, np.full(0x110000, -1, np.int8)
@@ -59,23 +61,22 @@ class _Vectors:
         self.vectors = np.zeros((0, self.dims), np.int8)
 
     def _number(self, points: np.ndarray) -> np.ndarray:
-        """Letter numbers; 0 for the blank."""
-        for c in np.flatnonzero(np.bincount(points)).tolist():
-            if self.is_letter[c] < 0:
-                self.is_letter[c] = chr(c).isalpha()
-            if self.is_letter[c] and not self.place[c]:
+        """Letter numbers; 0 for the blank. There are fewer than ``_LETTERS`` letters."""
+        for c in self._letters(points).tolist():
+            if not self.place[c]:
                 if len(self.alphabet) == _LETTERS:
                     self._clear()
-                    return self._number(points) if len(np.unique(points)) < _LETTERS else self._squeezed(points)
+                    return self._number(points)
                 self.place[c] = len(self.alphabet)
                 self.alphabet.append(c)
         return self.place[points].astype(np.int64)
 
-    def _squeezed(self, points: np.ndarray) -> np.ndarray:
-        """For texts with more letters than the table holds: letters share numbers."""
-        letter = np.array([chr(c).isalpha() for c in np.unique(points).tolist()])[np.unique(points, return_inverse=True)[1]]
-        self.alphabet = list(range(_LETTERS))
-        return np.where(letter, points.astype(np.int64) % (_LETTERS - 1) + 1, 0)
+    def _letters(self, points: np.ndarray) -> np.ndarray:
+        """The distinct letters, in order."""
+        found = np.flatnonzero(np.bincount(points))
+        for c in found[self.is_letter[found] < 0].tolist():
+            self.is_letter[c] = chr(c).isalpha()
+        return found[self.is_letter[found] > 0]
 
     def _rows(self, grams: np.ndarray) -> np.ndarray:
         new = grams[self.row[grams] < 0]
@@ -92,24 +93,59 @@ class _Vectors:
         """(n, dims) sums of trigram vectors; whether a text has a letter."""
         low = [" " + t.lower() + " " if t else " " for t in texts]
         sizes = np.fromiter(map(len, low), np.int64, len(low))
-        at = self._number(np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32))
+        points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
         owner = np.repeat(np.arange(len(low), dtype=np.int32), sizes)
+        letters = self._letters(points)
+        if len(letters) < _LETTERS:
+            return self._counted(points, owner, len(low))
+        # the table takes the texts that do with the lowest letters
+        others = (points > letters[_LETTERS - 2]) & (self.is_letter[points] > 0)
+        wide = np.bincount(owner[others], minlength=len(low)) > 0
+        out, has = self._counted(points[~wide[owner]], owner[~wide[owner]], len(low))
+        more, too = self._summed(points[wide[owner]], owner[wide[owner]], len(low))
+        return out + more, has | too
+
+    @staticmethod
+    def _squeezed(at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of blanks as one; also where a trigram of one text begins."""
         keep = np.ones(len(at), bool)
         keep[1:] = (at[1:] != 0) | (at[:-1] != 0) | (owner[1:] != owner[:-1])
         at, owner = at[keep], owner[keep]
-        has = np.bincount(owner[at != 0], minlength=len(low)) > 0
-        out = np.zeros((len(low), self.dims), np.float32)
-        whole = owner[2:] == owner[:-2]
-        grams = ((at[:-2] * _LETTERS + at[1:-1]) * _LETTERS + at[2:])[whole]
+        return at, owner, np.flatnonzero(owner[2:] == owner[:-2])
+
+    def _summed(self, points: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        at, owner, whole = self._squeezed(np.where(self.is_letter[points] > 0, points, 0).astype(np.int64), owner)
+        out = np.zeros((n, self.dims), np.float32)
+        has = np.bincount(owner[at != 0], minlength=n) > 0
+        # equal trigrams of a text are multiplied once
+        order = np.lexsort((at[whole + 2], at[whole + 1], at[whole], owner[whole]))
+        whole = whole[order]
+        codes, owner = np.stack([at[whole], at[whole + 1], at[whole + 2]], 1), owner[whole]
+        first = np.ones(len(whole), bool)
+        first[1:] = (codes[1:] != codes[:-1]).any(1) | (owner[1:] != owner[:-1])
+        times = np.diff(np.flatnonzero(first), append=len(whole)).astype(np.float32)
+        codes, owner = codes[first], owner[first]
+        for k in range(0, len(codes), _BLOCK):
+            o = owner[k : k + _BLOCK]
+            starts = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+            vectors = _trigram_vectors(codes[k : k + _BLOCK], self.dims) * times[k : k + _BLOCK, None]
+            out[o[starts]] += np.add.reduceat(vectors, starts)
+        return out, has
+
+    def _counted(self, points: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        at, owner, whole = self._squeezed(self._number(points), owner)
+        has = np.bincount(owner[at != 0], minlength=n) > 0
+        out = np.zeros((n, self.dims), np.float32)
+        grams = (at[whole] * _LETTERS + at[whole + 1]) * _LETTERS + at[whole + 2]
         kinds = np.flatnonzero(np.bincount(grams, minlength=1))
         number = np.zeros(_LETTERS**3, np.int32)
         number[kinds] = np.arange(len(kinds))
-        owner, grams = owner[: len(whole)][whole].astype(np.int64), number[grams]
+        owner, grams = owner[whole].astype(np.int64), number[grams]
         for first in range(0, len(kinds), _BLOCK):
             width = min(_BLOCK, len(kinds) - first)
             chosen = slice(None) if len(kinds) <= _BLOCK else (grams >= first) & (grams < first + width)
-            counts = np.bincount(owner[chosen] * width + grams[chosen] - first, minlength=len(low) * width)
-            out += counts.reshape(len(low), width).astype(np.float32) @ self._rows(kinds[first : first + width])
+            counts = np.bincount(owner[chosen] * width + grams[chosen] - first, minlength=n * width)
+            out += counts.reshape(n, width).astype(np.float32) @ self._rows(kinds[first : first + width])
         return out, has
 
 
