@@ -9,7 +9,9 @@ largest cosine with it.
 Texts are lower-cased; a run of anything but letters counts as one blank, at both ends too.
 Null text, or text without a letter: ``und`` with score 0. Training rows with null text,
 null language or no letter are ignored; if nothing can be learned all rows are ``und``.
-Repeated rows count as often as they occur. Extra columns are ignored.
+Repeated rows count as often as they occur. A text is its own slice however long it is; the
+memory beside it does not grow with the number of texts. An empty table gives no rows. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ from veritable.llm.common import text_slices, tidy
 
 DIMENSIONS = 512
 SEED = 20177
-#: Letters and trigrams numbered at once, and trigram vectors multiplied at once.
-_LETTERS, _TRIGRAMS, _BLOCK = 160, 1 << 16, 8192
-_SLICE = 1 << 20
+#: Letters and trigrams numbered at once, trigram vectors multiplied at once, and texts counted
+#: at once: a count matrix has at most ``_ROWS`` x ``_BLOCK`` entries, however short the texts.
+_LETTERS, _TRIGRAMS, _BLOCK, _ROWS = 160, 1 << 15, 4096, 256
+_SLICE = 1 << 19
 
 
 @cache
@@ -52,6 +55,8 @@ class _Vectors:
 
     def __init__(self, dims: int):
         self.dims, self.is_letter = dims, np.full(0x110000, -1, np.int8)
+        self.number = np.zeros(_LETTERS**3, np.int32)
+        self.found = np.zeros(_LETTERS**3, bool)
         self._clear()
 
     def _clear(self) -> None:
@@ -69,7 +74,7 @@ class _Vectors:
                     return self._number(points)
                 self.place[c] = len(self.alphabet)
                 self.alphabet.append(c)
-        return self.place[points].astype(np.int64)
+        return self.place[points].astype(np.int32)
 
     def _letters(self, points: np.ndarray) -> np.ndarray:
         """The distinct letters, in order."""
@@ -82,7 +87,8 @@ class _Vectors:
         new = grams[self.row[grams] < 0]
         if len(new):
             if len(self.vectors) + len(new) > _TRIGRAMS:
-                self.row[:], self.vectors, new = -1, self.vectors[:0], grams
+                self.row.fill(-1)
+                self.vectors, new = self.vectors[:0], grams
             letters = np.array(self.alphabet, np.int64)
             codes = np.stack([letters[new // _LETTERS**2], letters[new // _LETTERS % _LETTERS], letters[new % _LETTERS]], 1)
             self.row[new] = np.arange(len(self.vectors), len(self.vectors) + len(new))
@@ -136,16 +142,22 @@ class _Vectors:
         at, owner, whole = self._squeezed(self._number(points), owner)
         has = np.bincount(owner[at != 0], minlength=n) > 0
         out = np.zeros((n, self.dims), np.float32)
-        grams = (at[whole] * _LETTERS + at[whole + 1]) * _LETTERS + at[whole + 2]
-        kinds = np.flatnonzero(np.bincount(grams, minlength=1))
-        number = np.zeros(_LETTERS**3, np.int32)
-        number[kinds] = np.arange(len(kinds))
-        owner, grams = owner[whole].astype(np.int64), number[grams]
+        grams = ((at[whole] * _LETTERS + at[whole + 1]) * _LETTERS + at[whole + 2]).astype(np.int32)
+        self.found[grams] = True
+        kinds = np.flatnonzero(self.found)
+        self.found[kinds] = False
+        self.number[kinds] = np.arange(len(kinds), dtype=np.int32)
+        owner, grams = owner[whole], self.number[grams]
+        edges = np.searchsorted(owner, np.arange(0, n + _ROWS, _ROWS))
         for first in range(0, len(kinds), _BLOCK):
             width = min(_BLOCK, len(kinds) - first)
-            chosen = slice(None) if len(kinds) <= _BLOCK else (grams >= first) & (grams < first + width)
-            counts = np.bincount(owner[chosen] * width + grams[chosen] - first, minlength=n * width)
-            out += counts.reshape(n, width).astype(np.float32) @ self._rows(kinds[first : first + width])
+            vectors = self._rows(kinds[first : first + width])
+            for k, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                rows, g = min(_ROWS, n - k * _ROWS), grams[i:j]
+                chosen = slice(None) if len(kinds) <= _BLOCK else (g >= first) & (g < first + width)
+                places = (owner[i:j][chosen] - np.int32(k * _ROWS)) * np.int32(width) + (g[chosen] - np.int32(first))
+                counts = np.bincount(places, minlength=rows * width).astype(np.float32).reshape(rows, width)
+                out[k * _ROWS : k * _ROWS + rows] += counts @ vectors
         return out, has
 
 

@@ -7,8 +7,9 @@ partition) then gives every document its place in the line. A second pass cuts t
 multiples of the sequence length: a document becomes one piece per sequence it touches, and
 each piece records where it lies. Only the last sequence has padding.
 
-Null text counts as empty: such a document is its end id alone. Repeated rows are packed as
-often as they occur. An empty table gives no pieces. Extra columns are ignored.
+Null text counts as empty: such a document is its end id alone. Rows with a null or repeated
+doc_id are packed like any other, as often as they occur. A long text is a slice of its own,
+cut into as many pieces as it needs. An empty table gives no pieces. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from veritable.llm.tokens import piece_tokenizer, tokenizer_path
 
 TOKENIZER, LENGTH, END = "word_bpe_49k.json", 2048, 1
 #: Text tokenized at once: a slice takes some 50 times its bytes while it is encoded.
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 
 
 def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -43,12 +44,15 @@ def tokenize(docs: DataFrame, path: str, cut: str = "word", end: int = END, text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part, before = piece_tokenizer(path, cut), TaskContext.get().partitionId(), 0
         kind = np.dtype("<u2" if max(end + 1, tokenizer.library.get_vocab_size()) <= 1 << 16 else "<u4")
-        for batch in batches:
-            for rows in text_slices(batch, most=_SLICE):
-                ids, counts = tokenizer.encode(rows.column("text"), end)
-                places = before + np.cumsum(counts) - counts
-                before += len(ids)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(len(counts), part, np.int32)), pa.array(places), pa.array(counts), _binary(ids.astype(kind), counts)], ["doc_id", "part", "before", "n", "ids"])
+        try:
+            for batch in batches:
+                for rows in text_slices(batch, most=_SLICE):
+                    ids, counts = tokenizer.encode(rows.column("text"), end)
+                    places = before + np.cumsum(counts) - counts
+                    before += len(ids)
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(len(counts), part, np.int32)), pa.array(places), pa.array(counts), _binary(ids.astype(kind), counts)], ["doc_id", "part", "before", "n", "ids"])
+        finally:
+            tokenizer.forget()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, part int, before long, n long, ids binary")
 

@@ -2,15 +2,17 @@
 
 Each word kind (hashed into ``BUCKETS``) has a sparse random index vector. Its word vector is
 the sum of the index vectors of the words beside it, over every text of the corpus. A
-document pools its words' unit vectors (mean and spread) with the shares of the shape words;
-a two-layer network in numpy turns that into a probability, calibrated by a temperature
-fitted on labelled rows that the network was not trained on.
+document pools its words' unit vectors (mean and spread), nothing else; a two-layer network in
+numpy turns that into a probability, calibrated by a temperature fitted on labelled rows that
+the network was not trained on.
 
 Word vectors cover all documents. The network is fitted on at most ``FIT_ROWS`` labelled
 rows, chosen by a hash of doc_id; that bound is the only sample. Null and empty texts pool to
 the zero vector and get the network's score for it. Without labels of both kinds every score
 is the share of label 1 (0.5 without any label). Repeated label rows: the largest label
-counts. Extra columns are ignored.
+counts. Rows with a null doc_id are scored like any other and never learned from. A long text
+is a slice of its own; the memory beside it does not grow with the number of texts. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ BUCKETS, DIMS, SLOTS = 1 << 13, 32, 2
 FIT_ROWS = 20_000
 SEED = 977
 _SLICE = 1 << 19
+#: Texts counted at once: a count matrix has at most ``_ROWS`` x ``BUCKETS`` entries.
+_ROWS = 256
 
 
 def _index_vectors(buckets: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,22 +73,19 @@ def word_vectors(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, di
 
 
 def pool(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """One row of features per text: mean and spread of its words' vectors, shares of the
-    three shape words, share of distinct buckets, and the log of the word count."""
+    """One row of features per text: mean and spread of its words' vectors."""
     n, (buckets, dims) = len(column), vectors.shape
     h, owner = shaped_words(*text_bytes(column))
-    b = (h % np.uint64(buckets)).astype(np.int64)
-    out = np.zeros((n, 2 * dims + 5), np.float32)
-    counts = np.bincount(owner * buckets + b, minlength=n * buckets).reshape(n, buckets).astype(np.float32)
-    total = counts.sum(1)
-    per = np.maximum(total, 1)[:, None]
-    sums = counts @ np.concatenate([vectors, vectors * vectors], 1) / per
-    out[:, :dims] = sums[:, :dims]
-    out[:, dims : 2 * dims] = np.sqrt(np.maximum(sums[:, dims:] - sums[:, :dims] ** 2, 0))
-    for k in (1, 2, 3):
-        out[:, 2 * dims + k - 1] = np.bincount(owner[h == k], minlength=n) / per[:, 0]
-    out[:, 2 * dims + 3] = np.count_nonzero(counts, 1) / per[:, 0]
-    out[:, 2 * dims + 4] = np.log1p(total)
+    b = (h % np.uint64(buckets)).astype(np.int32)
+    out = np.zeros((n, 2 * dims), np.float32)
+    both = np.concatenate([vectors, vectors * vectors], 1)
+    edges = np.searchsorted(owner, np.arange(0, n + _ROWS, _ROWS))
+    for at, i, j in zip(range(0, n, _ROWS), edges[:-1].tolist(), edges[1:].tolist()):
+        rows = min(_ROWS, n - at)
+        counts = np.bincount((owner[i:j] - at) * buckets + b[i:j], minlength=rows * buckets).astype(np.float32).reshape(rows, buckets)
+        sums = counts @ both / np.maximum(counts.sum(1), 1)[:, None]
+        out[at : at + rows, :dims] = sums[:, :dims]
+        out[at : at + rows, dims:] = np.sqrt(np.maximum(sums[:, dims:] - sums[:, :dims] ** 2, 0))
     return out
 
 

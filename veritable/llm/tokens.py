@@ -37,7 +37,7 @@ _RE2_WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202
 _RE2_END = rf"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:%$&*#|]+)([\t-\r ]|$)"
 _RE2_ODD = {"word": _MARK, "byte": rf"[{_RE2_WHITE}][{_RE2_WHITE}]|{_MARK}|[\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]"}
 #: Pieces kept at most; the cache starts anew beyond that.
-MOST_PIECES = 400_000
+MOST_PIECES = 1 << 18
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,7 +60,7 @@ class _Numbers(dict):
 
 
 class PieceTokenizer:
-    """``piece_tokenizer`` gives one per worker process, whose cache serves its later tasks."""
+    """``piece_tokenizer`` gives one per worker process; tasks drop the cache when they end."""
 
     def __init__(self, path: str, cut: str):
         from tokenizers import Tokenizer
@@ -105,10 +105,15 @@ class PieceTokenizer:
 
     def _clear(self) -> None:
         self.numbers = _Numbers()
-        self.flat = np.zeros(1 << 20, np.uint32)
+        self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 18, np.int64)
-        self.size = np.zeros(1 << 18, np.int64)
+        self.start = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int64)
+
+    def forget(self) -> None:
+        """Drop the cache. Few of a task's pieces are of use to the next task of its worker,
+        which other stages share."""
+        self._clear()
 
     def _learn(self) -> None:
         new, self.numbers.new = self.numbers.new, []
