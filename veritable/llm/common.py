@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text handled at once by a numpy kernel inside a task; a longer document is its own slice.
@@ -19,10 +19,13 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a session
-    without one (tests, a single machine) a folder of this process."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session on one
+    machine alone (tests) may leave it unset and gets a folder of its own; on a cluster that
+    is an error, as every executor would write to its own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = os.path.join(tempfile.gettempdir(), f"veritable-{os.getuid()}-{os.getpid()}")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -38,6 +41,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(columns: list[str], **more: Column) -> Column:
+    """All these columns as one struct, numbered, so that their names can't clash."""
+    return F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)), *(c.alias(name) for name, c in more.items()))
+
+
+def unpacked(columns: list[str], name: str = "carried") -> list[Column]:
+    return [F.col(f"{name}.c{i}").alias(c) for i, c in enumerate(columns)]
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The Arrow function ``run``, handing free memory back to the system when its task ends.
     Spark uses its Python workers again; what their allocators keep would add up over the

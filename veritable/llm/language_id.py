@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veritable.llm.common import text_slices, tidy
 
@@ -216,5 +217,4 @@ def predict(docs: DataFrame, profiles: dict[str, list[float]], keys: list[str |
                     pred = [names[b] if h else "und" for b, h in zip(best.tolist(), has.tolist())]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(pred, pa.string()), pa.array(conf, pa.float64())], [*kept, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
-    return frame.mapInArrow(tidy(score), f"{fields}, lang_pred string, score double")
+    return frame.mapInArrow(tidy(score), StructType(frame.schema.fields[:-1]).add("lang_pred", "string").add("score", "double"))

@@ -14,8 +14,10 @@ itself or its neighbours pair by pair: its fingerprints, and those that look int
 the points within one bit of themselves, and sharing such a point means to lie within two bits. That finds
 the same components with rows in proportion to the fingerprints.
 
-Null and empty texts have fingerprint zero and form one group. Repeated rows are copies.
-Extra columns are ignored.
+Null and empty texts have fingerprint zero and form one group. Repeated rows are copies; those
+that share a doc_id stay or go together. A row with null doc_id links with nothing: its
+component_id is null. A long text is hashed shingle by shingle in blocks. An empty table gives
+no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,16 +115,19 @@ def links(classes: DataFrame, distance: int = 2, crowded: int = CROWDED) -> Data
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the group)."""
     rows = materialize(fingerprints(docs, text, doc_id), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    classes = rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     reached = components(links(classes))
     # components are over fingerprints; a group's smallest doc_id comes from its classes
     named = classes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component_id", "fp").alias("group"))
     lowest = named.groupBy("group").agg(F.min("rep").alias("component_id"))
     by_class = named.join(lowest, "group").select("fp", "component_id")
-    return rows.join(by_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+    return rows.join(by_class, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component)
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents that are the smallest of their group, with all their columns."""
-    kept = near_duplicates(docs, text, doc_id).where("doc_id = component_id").select(F.col("doc_id").alias(doc_id))
-    return docs.join(kept.distinct(), doc_id, "left_semi")
+    """The documents that are the smallest of their group, with all their columns; documents
+    without an id stay."""
+    ids = near_duplicates(docs, text, doc_id).where("doc_id is not null").groupBy("doc_id")
+    gone = ids.agg(F.max(F.expr("doc_id = component_id")).alias("kept")).where("not kept").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")

@@ -1,30 +1,34 @@
-"""Operator 10. Repeated byte strings by depth-limited radix passes.
+"""Operator 10. Repeated byte strings by a depth-limited radix sort.
 
 Wanted: every string of ``length`` bytes (100) that also starts earlier in the corpus. To
-sort all suffixes would shuffle each byte's suffix; instead the suffixes are grouped by
-digits, most significant first, and only groups of two or more go on. The order of digits is
-chosen per window, not left to right, so that neighbouring windows share them:
+sort all suffixes would shuffle each byte's suffix, so a sparse set of them is ordered: of
+each window only the suffix at its anchor, the place of its smallest 32-byte hash (leftmost if
+tied). Equal windows have equal anchors at equal places, and windows side by side mostly share
+theirs, so one row stands for a run of some thirty windows. Rows are ordered by digits, most
+significant first, and a group of one leaves after each pass:
 
-1. A window's anchor is the place of its smallest 32-byte hash (leftmost if tied). Equal
-   windows have equal anchors at equal places, and windows side by side mostly share theirs, so
-   one row stands for a run of windows. First digit: the anchor's 32 bytes.
+1. First digit: the 32 bytes at the anchor.
 2. Second digit: all bytes that the run's windows cover. Rows that agree in both are equal in
    every window, so all but the earliest are repeats as a whole. Earliest rows whose first
    digit meets no other second digit are done.
-3. The rest (mostly the edges of repeated passages) are compared by each window's own 100
-   bytes, the full depth; all but the earliest of a group are repeats. Runs whose first digit
-   at most ``FEW`` share travel whole, with the bytes they cover, and are spelled out where
-   they meet; runs of a first digit that more share are spelled out before the shuffle and
-   dealt by window, so that no common passage has to fit one task.
-
-Digits are 64-bit hashes, compared together with the first one. Steps 1-2 range-partition by
-both digits and sort; a group that spans partitions goes to step 3 at the seams. Before each
-shuffle a batch settles its own repeats. Sorted rows are read as a stream; a task
-holds one row, or one group of at most ``FEW`` runs.
-
-Null text counts as empty; texts under ``length`` bytes keep all. Rows that share a doc_id are
-one document: a row does not repeat itself (if their texts differ, spans of either apply to
-each). Extra columns are ignored.
+3. The rest (mostly the edges of repeated passages) go on to the full depth. Runs whose first
+   digit at most ``FEW`` share travel with the bytes they cover; where they meet, their
+   windows are sorted by eight bytes at a time, most significant first, and what is alone
+   leaves after each pass. Groups left at the full depth are exactly the repeated windows; all
+   but the earliest of a group are repeats. Runs of a first digit that more share are spelled
+   out before the shuffle and dealt by window, so that no common passage has to fit one task.
+
+The digits of passes 1 and 2, and of windows spelled out, are 64-bit hashes, compared together
+with the first one (128 bits); those of the last pass are the bytes themselves. Passes 1 and 2
+range-partition by both digits and sort; a group that spans partitions goes to pass 3 at the
+seams. Before each shuffle a piece of text settles its own repeats. Sorted rows are read as a
+stream; a task holds one row, or one group of at most ``FEW`` runs.
+
+Null text counts as empty; texts under ``length`` bytes keep all. Rows that share doc_id and
+text are one document: none repeats itself. Rows that share doc_id but not text are documents
+of their own, in the order of their texts' checksums. Rows with null doc_id come before all
+others in the same way. An empty table gives no rows. A long text is hashed in chunks. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +38,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veritable.llm.common import materialize, text_bytes, text_slices, tidy
 
@@ -46,6 +51,11 @@ FEW = 64
 _FLAG = 128
 #: Bytes hashed at once; a longer text is cut into overlapping chunks of this size.
 CHUNK = 1 << 18
+#: Bytes of text whose runs are held back together to settle repeats among them.
+HELD = 1 << 22
+#: A place is a checksum of the text, then the offset in it (a run adds its number of windows).
+_TAG, _AT = 20, 35
+_NULL_ID = -(1 << 63)
 
 _rng = np.random.default_rng(31337)
 _BYTES = _rng.integers(1, 1 << 63, (2, 256), np.uint64)
@@ -146,33 +156,43 @@ def _mark_runs(length: int):
     repeat already: it is flagged, and dealt by its place, so that a very common one does not
     meet in one task."""
 
+    def flush(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        first, second, doc, place, seen = _first_of_kind(*map(np.concatenate, zip(*found)))
+        found.clear()
+        dealt = _mix(place.view(np.uint64) ^ _mix(doc.view(np.uint64))).view(np.int64)
+        return pa.RecordBatch.from_arrays([*map(pa.array, (np.where(seen, dealt, first), np.where(seen, 0, second), doc, np.where(seen, place | _FLAG, place)))], ["first", "second", "key", "run"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch.column("doc_id").to_numpy(), []
+            ids, found, held = batch.column("key").to_numpy(), [], 0
+            tags = batch.column("tag").to_numpy() << _AT
             for data, rows, offsets, shift in _chunks(batch, length):
                 if len(data) < length or (runs := _runs(data, offsets, length)) is None:
                     continue
                 h, text, lo, hi, anchor = runs
                 second = _span_hash(_prefix(data), lo, hi + length, (anchor - lo) * 256 + (hi - lo))
-                found.append((h[anchor].view(np.int64), second.view(np.int64), ids[rows[text]], ((lo - offsets[text] + shift) << 8) | (hi - lo + 1)))
+                place = tags[rows[text]] | (lo - offsets[text] + shift)
+                found.append((h[anchor].view(np.int64), second.view(np.int64), ids[rows[text]], place << 8 | (hi - lo + 1)))
+                held += len(data)
+                if held >= HELD:
+                    yield flush(found)
+                    held = 0
             if found:
-                first, second, doc, place, seen = _first_of_kind(*map(np.concatenate, zip(*found)))
-                dealt = _mix(place.view(np.uint64) ^ _mix(doc.view(np.uint64))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (np.where(seen, dealt, first), np.where(seen, 0, second), doc, np.where(seen, place | _FLAG, place)))], ["first", "second", "doc_id", "run"])
+                yield flush(found)
 
     return run
 
 
-_SCHEMA = "first long, doc_id long, run long, settled boolean"
+_SCHEMA = "first long, key long, run long, settled boolean"
 
 
 def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by both digits, doc_id and place. settled: the whole run is a repeat; not
+    """Rows sorted by both digits, key and place. settled: the whole run is a repeat; not
     settled: the earliest of its kind, with other kinds under its first digit."""
     kind = held = None  # digits and place of the kind that goes on; a row that waits for the next kind
 
     def out(rows: np.ndarray, settled: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(np.full(len(rows), settled))], ["first", "doc_id", "run", "settled"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(np.full(len(rows), settled))], ["first", "key", "run", "settled"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -221,6 +241,22 @@ def _ragged(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(flat)])
 
 
+def _as_runs(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """(key, run) of windows, those side by side in one run of up to 127."""
+    if not len(doc):
+        return np.zeros((0, 2), np.int64)
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    gap = (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)
+    own = np.concatenate([[True], gap | (place[1:] != place[:-1])])
+    new = np.concatenate([[True], gap])[own]
+    doc, place = doc[own], place[own]
+    begin = np.flatnonzero(new)
+    new |= (place - np.repeat(place[begin], np.diff(begin, append=len(doc)))) % 127 == 0
+    begin = np.flatnonzero(new)
+    return np.stack([doc[begin], place[begin] << 8 | np.diff(begin, append=len(doc))], 1)
+
+
 def _windows_of(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each run's windows: their places, and the run of each."""
     edges = np.cumsum(n)
@@ -231,11 +267,13 @@ def _spell(length: int):
     """The unsettled runs of each text. A run whose first digit few rows share is sent whole,
     with the bytes that it covers. One that many share is spelled into its windows; a window
     whose digits the batch has seen earlier is sent as a repeat (settled)."""
-    names = ["first", "last", "doc_id", "place", "settled", "covered"]
+    names = ["first", "last", "key", "place", "settled", "covered"]
+    offset = (1 << _AT) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids = batch.column("key").to_numpy()
+            tags = batch.column("tag").to_numpy() << _AT
             spelled: list[tuple[np.ndarray, ...]] = []
             lists = batch.column("runs")
             edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -245,23 +283,23 @@ def _spell(length: int):
                 if len(data) < length:
                     continue
                 a, b = edges[rows[0]], edges[rows[-1] + 1]
-                lo, n, first, few = run_of[a:b] >> 8, run_of[a:b] & 255, first_of[a:b], few_of[a:b]
+                lo, n, first, few = run_of[a:b] >> 8 & offset, run_of[a:b] & 255, first_of[a:b], few_of[a:b]
                 row = np.repeat(np.arange(len(rows)), np.diff(edges[rows[0] : rows[-1] + 2]))
                 if len(rows) == 1:  # perhaps a chunk of a longer text
                     here = (lo >= shift) & (lo + n + length - 1 <= shift + len(data))
                     lo, n, first, few, row = lo[here], n[here], first[here], few[here], row[here]
                 if not len(lo):
                     continue
-                doc, at = ids[rows[row]], lo - shift + offsets[row]
+                doc, at, tag = ids[rows[row]], lo - shift + offsets[row], tags[rows[row]]
                 if few.any():
                     whole = _ragged(data, at[few], n[few] + length - 1)
                     zero = np.zeros(len(whole), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(first[few]), pa.array(zero), pa.array(doc[few]), pa.array(lo[few] << 8 | n[few]), pa.array(zero > 0), whole], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(first[few]), pa.array(zero), pa.array(doc[few]), pa.array((tag[few] | lo[few]) << 8 | n[few]), pa.array(zero > 0), whole], names)
                 if not few.all():
                     many = ~few
                     p, of = _windows_of(at[many], n[many])
                     last = _span_hash(_prefix(data), p, p + length, np.zeros(1, np.int64)).view(np.int64)
-                    spelled.append((first[many][of], last, doc[many][of], p + (lo - at)[many][of]))
+                    spelled.append((first[many][of], last, doc[many][of], (p + (lo - at)[many][of]) | tag[many][of]))
             if spelled:
                 first, last, doc, place, seen = _first_of_kind(*map(np.concatenate, zip(*spelled)))
                 # settled rows need no company: they are dealt by their place
@@ -270,26 +308,51 @@ def _spell(length: int):
     return run
 
 
+def _equal_windows(data: np.ndarray, start: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that equal another one of their group in all ``length`` bytes, and the number of
+    each one's class: a radix sort by eight bytes a pass, from the first byte on. What is
+    alone in its class leaves after each pass."""
+    words = np.lib.stride_tricks.sliding_window_view(data, 8)
+    left = np.arange(len(start))
+    for depth in [*range(0, length - 8, 8), length - 8]:
+        if not len(left):
+            break
+        digit = np.ascontiguousarray(words[start[left] + depth]).view(">u8").ravel().astype(np.uint64)
+        order = np.lexsort((digit, group))
+        left, group, digit = left[order], group[order], digit[order]
+        new = np.ones(len(left) + 1, bool)
+        new[1:-1] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
+        group = np.cumsum(new[:-1])
+        together = ~(new[:-1] & new[1:])
+        left, group = left[together], group[together]
+    return left, group
+
+
 def _scan_windows(length: int):
-    """Rows sorted by digits, doc_id and place: places of the windows that are repeats."""
+    """Rows sorted by digits, key and place: the windows that are repeats, as runs."""
 
     def inside(rows: pa.RecordBatch) -> np.ndarray:
         """Repeats among whole runs; all runs of a first digit are here."""
-        first, doc, run = (rows.column(k).to_numpy() for k in ("first", "doc_id", "place"))
+        first, doc, run = (rows.column(k).to_numpy() for k in ("first", "key", "place"))
         lo, n = run >> 8, run & 255
         data, offsets = text_bytes(rows.column("covered"))
         out = []
         step = max(1, CHUNK // (length + 255))
-        group = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1], [True]]))
+        new = np.concatenate([[True], first[1:] != first[:-1], [True]])
+        number, edges = np.cumsum(new[:-1]), np.flatnonzero(new)
         at = 0
-        while at < len(first):  # whole groups, about as many bytes as the tables serve
-            end = int(group[max(np.searchsorted(group, at + step, "right") - 1, np.searchsorted(group, at, "right"))])
+        while at < len(first):  # whole groups, some CHUNK bytes of them
+            end = int(edges[max(np.searchsorted(edges, at + step, "right") - 1, np.searchsorted(edges, at, "right"))])
             piece = data[offsets[at] : offsets[end]]
             p, of = _windows_of(offsets[at:end] - offsets[at], n[at:end])
-            last = _span_hash(_prefix(piece), p, p + length, np.zeros(1, np.int64)).view(np.int64)
             place = p - (offsets[at:end] - offsets[at])[of] + lo[at:end][of]
-            _, _, d, w, seen = _first_of_kind(first[at:end][of], last, doc[at:end][of], place)
-            out.append(np.stack([d[seen], w[seen]], 1))
+            left, kind = _equal_windows(piece, p, number[at:end][of], length)
+            d, w = doc[at:end][of][left], place[left]
+            order = np.lexsort((w, d, kind))
+            d, w, kind = d[order], w[order], kind[order]
+            top = np.maximum.accumulate(np.where(np.concatenate([[True], kind[1:] != kind[:-1]]), np.arange(len(kind)), 0)) if len(kind) else order
+            repeat = (d != d[top]) | (w != w[top])
+            out.append(_as_runs(d[repeat], w[repeat]))
             at = end
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
@@ -297,7 +360,7 @@ def _scan_windows(length: int):
         kind, waiting = None, None  # the kind of window that goes on; runs whose group may go on
 
         def out(rows: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["doc_id", "place"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["key", "run"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -317,7 +380,7 @@ def _scan_windows(length: int):
             rows = np.stack([spelled.column(i).to_numpy() for i in range(4)], 1)
             settled = spelled.column("settled").to_numpy(zero_copy_only=False)
             if settled.any():
-                yield out(rows[settled][:, 2:])
+                yield out(_as_runs(rows[settled][:, 2], rows[settled][:, 3]))
             rows = rows[~settled]
             if not len(rows):
                 continue
@@ -330,7 +393,7 @@ def _scan_windows(length: int):
             found = rows[same & (rows[:, 2:] != top[:, 2:]).any(1)]
             kind = top[-1]
             if len(found):
-                yield out(found[:, 2:])
+                yield out(_as_runs(found[:, 2], found[:, 3]))
         if waiting is not None:
             yield out(inside(waiting))
 
@@ -338,27 +401,29 @@ def _scan_windows(length: int):
 
 
 def _cut(length: int, with_text: bool, carried: bool):
+    offset = (1 << _AT) - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = batch.column("spans").to_pylist()
-            texts = batch.column("text").cast(pa.binary())
+            lists = batch.column("spans")
+            edges = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy(zero_copy_only=False)
             out: list[list] = [[], [], [], [], []]
-            for text, spans in zip(texts, runs):
+            for text, a, b in zip(batch.column("text").cast(pa.binary()), edges[:-1].tolist(), edges[1:].tolist()):
                 raw = text.as_py() or b""
                 removed = n_spans = 0
-                if spans:
-                    v = np.array(spans, np.int64)
-                    lo, end = np.minimum(v >> 8, len(raw)), np.minimum((v >> 8) + (v & 255) + length - 1, len(raw))
-                    edge = np.bincount(lo, minlength=len(raw) + 1) - np.bincount(end, minlength=len(raw) + 1)
+                kept = raw
+                if b > a:
+                    v = flat[a:b].astype(np.int64)
+                    lo = v >> 8 & offset
+                    edge = np.bincount(lo, minlength=len(raw) + 1) - np.bincount(lo + (v & 255) + length - 1, minlength=len(raw) + 1)
                     gone = np.cumsum(edge)[:-1] > 0
                     removed = int(gone.sum())
                     n_spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[:1].sum())
-                    raw_kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                else:
-                    raw_kept = raw
-                for column, value in zip(out, (len(raw), removed, n_spans, hashlib.sha256(raw_kept).hexdigest(), raw_kept.decode("utf-8", "ignore") if with_text else None)):
+                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                for column, value in zip(out, (len(raw), removed, n_spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None)):
                     column.append(value)
-            arrays = [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())]
+            arrays = [batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string())))]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
                 arrays, names = [*arrays, pa.array(out[4], pa.string())], [*names, "kept_text"]
@@ -369,26 +434,33 @@ def _cut(length: int, with_text: bool, carried: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, carry: Column | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` kept_text
-    (characters that lost a byte are dropped there). ``carry`` names columns that come along
-    as one struct, ``carried``, which spares a join to get them back."""
+    (characters that lost a byte are dropped there). ``carry`` is a struct that comes along as
+    ``carried``, which spares a join to get other columns back."""
     if not GRAM < length <= GRAM + 126:
         raise ValueError(f"length must be from {GRAM + 1} to {GRAM + 126}")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
-    marked = rows.select("doc_id", "text").mapInArrow(tidy(_mark_runs(length)), "first long, second long, doc_id long, run long")
-    dealt = marked.repartitionByRange("first", "second").sortWithinPartitions("first", "second", "doc_id", "run")
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_NULL_ID)).alias("key"), F.crc32(text.cast("binary")).bitwiseAND((1 << _TAG) - 1).alias("tag"), text.alias("text"), *([carry.alias("carried")] if carry is not None else []))
+    marked = rows.select("key", "tag", "text").mapInArrow(tidy(_mark_runs(length)), "first long, second long, key long, run long")
+    dealt = marked.repartitionByRange("first", "second").sortWithinPartitions("first", "second", "key", "run")
     scanned = materialize(dealt.mapInArrow(tidy(_scan_runs), _SCHEMA), "runs")
     # one exchange of the texts serves both joins, as long as both read the same columns of it
-    by_doc = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    reps = scanned.where("not settled").select("first", "doc_id", "run")
+    by_doc = rows.repartition("key", "tag")
+    tag = F.shiftright("run", _AT + 8).alias("tag")
+    reps = scanned.where("not settled").select("first", "key", "run")
     sizes = reps.groupBy("first").agg((F.count("*") <= FEW).alias("few"))
-    edges = reps.join(sizes, "first").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("run", "first", "few"))).alias("runs"))
-    spelled = by_doc.join(edges, "doc_id").mapInArrow(tidy(_spell(length)), "first long, last long, doc_id long, place long, settled boolean, covered binary")
-    windows = spelled.repartition("first", "last").sortWithinPartitions("first", "last", "doc_id", "place").mapInArrow(tidy(_scan_windows(length)), "doc_id long, place long")
-    spans = scanned.where("settled").select("doc_id", "run").union(windows.select("doc_id", F.shiftleft("place", 8).bitwiseOR(F.lit(1)).alias("run")))
-    gone = spans.groupBy("doc_id").agg(F.collect_list("run").alias("spans"))
-    fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    if carry:
-        fields += f", carried {rows.schema['carried'].dataType.simpleString()}"
-    return by_doc.join(gone, "doc_id", "left").mapInArrow(tidy(_cut(length, with_text, bool(carry))), fields)
+    edges = reps.join(sizes, "first").groupBy("key", tag).agg(F.array_sort(F.collect_list(F.struct("run", "first", "few"))).alias("runs"))
+    spelled = by_doc.join(edges, ["key", "tag"]).mapInArrow(tidy(_spell(length)), "first long, last long, key long, place long, settled boolean, covered binary")
+    windows = spelled.repartition("first", "last").sortWithinPartitions("first", "last", "key", "place").mapInArrow(tidy(_scan_windows(length)), "key long, run long")
+    spans = scanned.where("settled").select("key", "run").union(windows)
+    gone = spans.groupBy("key", tag).agg(F.collect_list("run").alias("spans"))
+    fields = StructType()
+    for name in ("doc_id", "n_bytes", "n_removed", "n_spans"):
+        fields.add(name, "long")
+    fields.add("kept_sha256", "string")
+    if with_text:
+        fields.add("kept_text", "string")
+    if carry is not None:
+        fields.add("carried", rows.schema["carried"].dataType)
+    return by_doc.join(gone, ["key", "tag"], "left").mapInArrow(tidy(_cut(length, with_text, carry is not None)), fields)
