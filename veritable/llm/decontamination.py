@@ -1,36 +1,39 @@
 """Operator 1. Benchmark decontamination by latent semantic retrieval.
 
-A block is a run of ``BLOCK`` words, one after another. A leak is sought in stretches half again
-as long as the item. A stretch that begins in a block lies in that block and a few more of the
-same text, as many as the item's length asks for; if these hold fewer than ``LOOSE`` of the
-item's words (each counted in a block at most as often as the item has it, words hashed into
-``FEATURES``), no stretch that begins there can pass the check below. All others are
-candidates: nothing that the check would accept is left out, however common its words or long
-the item.
-
-A candidate is checked word by word, by the longest common subsequence (bit-parallel steps) of
-the item and each stretch that begins at one of its words. A document is contaminated if an
-item's share in common is ``SHARE`` or more, or ``LOOSE`` or more with its answer (the last
-``ANSWER`` words) in common to ``SHARE``. Both shares are of words, weighted alike.
-
-The latent space tells how near a candidate is in the whole of its words. A block's TF-IDF
-vector keeps the words of the benchmark, all with a positive weight. A randomized range finder
-over all blocks of the corpus, stacked with the benchmark's own rows, weighted to carry as
-much, gives the space: each task sends A'(A R) for its rows A and the shared random R, and the
-sum is orthonormalized. (A rotation to the singular vectors would change no cosine.) It cuts
-nothing off: an item of common words, or a short one amid rare words, has a small cosine.
-
-Words are runs of letters and digits, A-Z lower-cased. Null and empty texts are clean. Items
-with fewer than ``LEAST`` words, null or empty, are ignored: too short to tell. Repeated
-items count once. With no usable item everything is clean. The benchmark must have at most
-``MOST_ITEMS`` items and ``MOST_WORDS`` words, which bounds what tasks receive; more raises.
-Extra columns are ignored.
+Texts are cut into blocks of ``BLOCK`` words, and passages are runs of 2 to 12 blocks. Items are
+cut into pieces of at most ``PIECE`` words, and their answer is a piece of its own. A piece is
+compared with passages a quarter longer than itself, which begin at every fourth of their
+length (of the shortest, every half).
+
+1. TF-IDF. A block's vector keeps the words of the benchmark (hashed into ``FEATURES``), all with
+   a positive weight: a leak in most documents makes its own words common.
+2. Randomised SVD of the matrix A whose rows are the unit TF-IDF passages of the corpus and, with
+   as much weight, those of the benchmark. Each task sends Y = A'(A R) for its rows and a shared
+   random R of ``RANK`` + ``EXTRA`` columns; the sum and R'Y give the truncated decomposition
+   (one pass, as A'A has no negative eigenvalue). The ``RANK`` largest singular values stay.
+3. Retrieval. Passages and pieces are folded into the latent space, each direction divided by
+   its singular value s, damped to sqrt(s^2 + ``DAMP`` mean s^2), so that neither common words nor an
+   item that leaked often outweigh or lose their direction; a cosine of ``COSINE`` or more makes
+   a candidate. Nothing else does.
+4. Check. The candidate's surroundings are compared with the whole item, word by word, by the
+   longest common subsequence (bit-parallel steps) with stretches of half again the item's
+   length, from every word on that can matter. Surroundings that lack too many of the item's
+   words, told by bit sets, are spared that. A document is contaminated if an item's share in
+   common is ``SHARE`` or more, or ``LOOSE`` or more with its answer (the last ``ANSWER`` words)
+   in common to ``SHARE``.
+
+Words are runs of letters and digits, A-Z lower-cased. Null and empty texts are clean; a row with
+null doc_id is judged like any other. A long text is cut into passages like any other; its slice
+is as long as itself. Items of fewer than ``LEAST`` words are too short for a share: they count
+only if all their words stand together, and not at all under ``SHORTEST`` words. Null and empty
+items are ignored, repeated ones count once (by the smallest item_id). With no usable item
+everything is clean. A benchmark of more than ``MOST_ITEMS`` items or ``MOST_WORDS`` words is
+taken in blocks of that size, one after another. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,20 +43,22 @@ from pyspark.sql import functions as F
 from veritable.llm.common import SLICE_BYTES, text_bytes, text_slices, tidy
 from veritable.llm.words import plain_words
 
-BLOCK, FEATURES, RANK = 32, 1 << 13, 128
-SHARE, LOOSE, ANSWER, LEAST = 0.75, 0.6, 8, 8
-MOST_ITEMS, MOST_WORDS = 100_000, 5_000_000
+BLOCK, PIECE, FEATURES, RANK, EXTRA = 8, 64, 1 << 13, 128, 16
+#: Passage lengths and how far apart passages begin, in blocks.
+SCALES, STRIDES = (2, 3, 4, 6, 8, 12), (1, 1, 1, 1, 2, 3)
+COSINE, DAMP = 0.35, 4.0
+SHARE, LOOSE, ANSWER, LEAST, SHORTEST = 0.75, 0.6, 8, 8, 3
+MOST_ITEMS, MOST_WORDS = 20_000, 2_000_000
 SEED = 271
 _SLICE = SLICE_BYTES // 8
-#: Items and blocks compared at once.
-_GROUP, _TILE = 1024, 4096
-#: Blocks up to which a stretch's words are counted as a whole before the check, which decides
-#: alone beyond; features that a matrix product handles in the range finder.
-_LONG, _OFTEN = 64, 256
+#: Blocks of a row of the decomposed matrix; rows and pieces handled at once; candidates held.
+_ROW, _TILE, _HELD = 4, 2048, 1 << 18
+#: Features that a matrix product handles in the randomised SVD; the others go one by one.
+_OFTEN = 256
 
 
 class _Benchmark:
-    """The items' words."""
+    """The items' words, and the pieces by which they are sought."""
 
     def __init__(self, texts: list[str]):
         data, offsets = text_bytes(pa.array(texts, pa.string()))
@@ -61,16 +66,25 @@ class _Benchmark:
         every = np.split(h, np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]) if texts else []
         self.which = [i for i, w in enumerate(every) if len(w) >= LEAST]
         self.items = [every[i] for i in self.which]
+        self.short = {n: self._joined([i for i, w in enumerate(every) if len(w) == n], every) for n in range(SHORTEST, LEAST)}
         self.known = np.unique(np.concatenate(self.items)) if self.items else np.zeros(0, np.uint64)
         # a 16-bit sieve answers for most words of a corpus before the exact search
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[(self.known >> np.uint64(48)).astype(np.int64)] = True
         self.seen: dict[int, tuple[_Item, _Item]] = {}
-
-    @cached_property
-    def groups(self) -> list[_Group]:
-        order = np.argsort([len(w) for w in self.items], kind="stable")
-        return [_Group(order[k : k + _GROUP], self.items) for k in range(0, len(order), _GROUP)]
+        self.total = np.array([len(w) for w in self.items], np.int64)
+        words = np.concatenate([*self.items, np.zeros(0, np.uint64)])
+        self.sets = _bit_sets(np.repeat(np.arange(len(self.items)), self.total), (words % np.uint64(FEATURES)).astype(np.int64), len(self.items))
+        pieces = [(j, a, b - a) for j, w in enumerate(self.items) for a, b in _cuts(len(w))]
+        self.item, self.begin, self.size = np.array(pieces, np.int64).reshape(-1, 3).T
+        self.scale = np.minimum(np.searchsorted(np.array(SCALES) * BLOCK, 1.25 * self.size), len(SCALES) - 1)
+
+    @staticmethod
+    def _joined(which: list[int], every: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of short items' words together, sorted, and which items they are."""
+        h = np.array([_together(every[i], len(every[i]))[0] for i in which], np.uint64)
+        order = np.argsort(h, kind="stable")
+        return h[order], np.array(which, np.int64)[order]
 
     def bits(self, j: int) -> tuple[_Item, _Item]:
         """Item ``j`` and its answer."""
@@ -87,23 +101,53 @@ class _Benchmark:
         at = at[self.known[np.minimum(found, len(self.known) - 1)] == h[at]]
         return at, (h[at] % np.uint64(FEATURES)).astype(np.int64)
 
+    def rows(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces' unit TF-IDF vectors as (piece, feature, value)."""
+        words = np.concatenate([self.items[j][b : b + n] for j, b, n in zip(self.item, self.begin, self.size)])
+        piece = np.repeat(np.arange(len(self.item)), self.size)
+        keys, count = np.unique(piece * FEATURES + (words % np.uint64(FEATURES)).astype(np.int64), return_counts=True)
+        row, feature = keys // FEATURES, keys % FEATURES
+        return row, feature, _unit(row, weight[feature] * count, len(self.item))
+
+
+def _cuts(n: int) -> list[tuple[int, int]]:
+    """Pieces of an item of n words, and its answer."""
+    edges = np.linspace(0, n, -(-n // PIECE) + 1).astype(int).tolist()
+    return [*zip(edges[:-1], edges[1:]), *([(n - ANSWER, n)] if n > 2 * ANSWER else [])]
+
+
+def _together(h: np.ndarray, n: int) -> np.ndarray:
+    """One hash for each run of ``n`` words."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(h) - n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = (out ^ h[k : len(h) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
+
+
+def _unit(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """The values of a sparse matrix with its rows scaled to length one."""
+    return (value / np.sqrt(np.maximum(np.bincount(row, value * value, n), 1e-30))[row]).astype(np.float32)
+
 
 class _Blocks:
     """Sparse counts of benchmark words in the blocks of a slice's texts."""
 
-    def __init__(self, column: pa.Array, bench: _Benchmark):
+    def __init__(self, column: pa.Array, bench: _Benchmark, block: int = BLOCK):
         self.h, owner = plain_words(*text_bytes(column))
         words = np.bincount(owner, minlength=len(column))
         self.starts = np.concatenate([[0], np.cumsum(words)])
-        blocks = -(-words // BLOCK)
+        blocks = -(-words // block)
         first = np.cumsum(blocks) - blocks
         self.owner = np.repeat(np.arange(len(words)), blocks)
-        self.begin = self.starts[self.owner] + (np.arange(len(self.owner)) - first[self.owner]) * BLOCK
+        self.first, self.last = first[self.owner], (first + blocks)[self.owner]
+        self.begin = self.starts[self.owner] + (np.arange(len(self.owner)) - self.first) * block
         at, f = bench.features(self.h)
-        block = first[owner[at]] + (at - self.starts[owner[at]]) // BLOCK
-        key, self.count = np.unique(block * FEATURES + f, return_counts=True)
+        key, self.count = np.unique((first[owner[at]] + (at - self.starts[owner[at]]) // block) * FEATURES + f, return_counts=True)
         self.block, self.feature = key // FEATURES, key % FEATURES
-        self.last = (first + blocks)[self.owner]  # where the blocks of a block's text end
 
 
 def _back(rows: np.ndarray, feature: np.ndarray, value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,6 +158,21 @@ def _back(rows: np.ndarray, feature: np.ndarray, value: np.ndarray, row: np.ndar
     return f[starts], np.add.reduceat(rows[row[order]] * value[order, None], starts)
 
 
+def _times(row: np.ndarray, feature: np.ndarray, value: np.ndarray, m: np.ndarray, n: int) -> np.ndarray:
+    """A times m for the sparse rows A, sorted by row: the k-th entries of all rows at once, the
+    rows with most entries first."""
+    size = np.bincount(row, minlength=n)
+    start, order = np.cumsum(size) - size, np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    out = np.zeros((n, m.shape[1]), np.float32)
+    for k in range(int(size[0]) if n else 0):
+        at = start[: np.searchsorted(-size, -k)] + k
+        out[: len(at)] += m[feature[at]] * value[at, None]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def _gather(total: np.ndarray, p: _Blocks, weight: np.ndarray, start: np.ndarray, often: np.ndarray) -> None:
     """Add A'(A start) to ``total`` for the blocks' unit TF-IDF rows A. The features
     ``often`` go through dense products, the others one by one."""
@@ -124,8 +183,7 @@ def _gather(total: np.ndarray, p: _Blocks, weight: np.ndarray, start: np.ndarray
         if i == j:
             continue
         block, feature = p.block[i:j] - k, p.feature[i:j]
-        value = weight[feature] * p.count[i:j]
-        value = (value / np.sqrt(np.bincount(block, value * value))[block]).astype(np.float32)
+        value = _unit(block, weight[feature] * p.count[i:j], int(block[-1]) + 1)
         dense = column[feature] >= 0
         x = np.zeros((int(block[-1]) + 1, len(often)), np.float32)
         x[block[dense], column[feature[dense]]] = value[dense]
@@ -139,104 +197,6 @@ def _gather(total: np.ndarray, p: _Blocks, weight: np.ndarray, start: np.ndarray
         total[often] += x.T @ rows
 
 
-class _Group:
-    """Some items, and how many of their words runs of blocks hold at most. A word that a block
-    has c times and an item m times counts min(c, m): one for each level up to both."""
-
-    def __init__(self, which: np.ndarray, items: list[np.ndarray]):
-        self.which = which
-        sizes = np.array([len(items[j]) for j in which])
-        self.need = np.ceil(LOOSE * sizes - 1e-9).astype(np.int32)
-        self.run = _run(sizes)
-        owner = np.repeat(np.arange(len(which)), sizes)
-        feature = np.concatenate([(items[j] % np.uint64(FEATURES)).astype(np.int64) for j in which])
-        pair, count = np.unique(feature * len(which) + owner, return_counts=True)
-        by_item = np.argsort(pair % len(which), kind="stable")
-        self.feature, self.times = pair[by_item] // len(which), count[by_item]
-        self.kinds = np.bincount(pair % len(which), minlength=len(which))
-        self.start = np.cumsum(self.kinds) - self.kinds
-        count = np.minimum(count, BLOCK)
-        level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        key, owner = np.repeat(pair // len(which), count) * BLOCK + level, np.repeat(pair % len(which), count)
-        order = np.argsort(key, kind="stable")
-        keys, self.size = np.unique(key, return_counts=True)
-        self.owner, self.first = owner[order], np.cumsum(self.size) - self.size
-        self.number = np.full(FEATURES * BLOCK, -1, np.int32)
-        self.number[keys] = np.arange(len(keys))
-        # words of many items are counted by a matrix product, the others one by one
-        many = np.flatnonzero(self.size * 16 > len(which))
-        self.column = np.full(len(keys), -1, np.int32)
-        self.column[many] = np.arange(len(many))
-        self.has = np.zeros((len(many), len(which)), np.uint8)
-        self.has[np.repeat(np.arange(len(many)), self.size[many]), self.owner[_ranges(self.first[many], self.size[many])]] = 1
-
-    def held(self, block: np.ndarray, key: np.ndarray, blocks: int) -> np.ndarray:
-        """(blocks, items): words of the item in the block, as far as the item has them."""
-        number = self.number[key]
-        block, number = block[number >= 0], number[number >= 0]
-        dense = self.column[number] >= 0
-        x = np.zeros((blocks, len(self.has)), np.float32)
-        x[block[dense], self.column[number[dense]]] = 1
-        out = (x @ self.has.astype(np.float32)).astype(np.int32)
-        block, number = block[~dense], number[~dense]
-        size = self.size[number]
-        at = np.repeat(block, size) * len(self.which) + self.owner[_ranges(self.first[number], size)]
-        return out + np.bincount(at, minlength=out.size).reshape(out.shape).astype(np.int32)
-
-    def whole(self, counts: np.ndarray, x: np.ndarray, end: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Words of item y that blocks x to end hold together, as far as the item has them."""
-        out = np.zeros(len(x), np.int64)
-        for k in range(0, len(x), 1 << 14):
-            a, b, items = x[k : k + (1 << 14)], end[k : k + (1 << 14)], y[k : k + (1 << 14)]
-            size = self.kinds[items]
-            at = _ranges(self.start[items], size)
-            f, a, b = self.feature[at], np.repeat(a, size), np.repeat(b, size)
-            got = np.zeros(len(f), np.int64)
-            for step in range(int((b - a).max())):
-                got += np.where(a + step < b, counts[np.minimum(a + step, len(counts) - 1), f], 0)
-            out[k : k + (1 << 14)] = np.add.reduceat(np.minimum(got, self.times[at]), np.cumsum(size) - size)
-        return out
-
-
-def _run(sizes: np.ndarray) -> np.ndarray:
-    """How many blocks a stretch for items of these sizes can touch."""
-    return (sizes + sizes // 2 + BLOCK - 2) // BLOCK + 1
-
-
-def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, ... (size[0] of them), then those of first[1] and so on."""
-    ends = np.cumsum(size)
-    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
-def _candidates(p: _Blocks, groups: list[_Group]) -> Iterator[tuple[int, int]]:
-    """(block, item) wherever a stretch that begins in the block may hold ``LOOSE`` of the item."""
-    total = len(p.owner)
-    level = _ranges(np.zeros(len(p.count), np.int64), p.count)
-    block, key = np.repeat(p.block, p.count), np.repeat(p.feature, p.count) * BLOCK + level
-    for g in groups:
-        for a in range(0, total, _TILE):
-            b = min(a + _TILE, total)
-            c = min(b + int(g.run.max()) - 1, total)
-            i, j = np.searchsorted(block, [a, c])
-            counts = None
-            sums = np.zeros((c - a + 1, len(g.which)), np.int32)
-            np.cumsum(g.held(block[i:j] - a, key[i:j], c - a), axis=0, out=sums[1:])
-            for run in np.unique(g.run).tolist():
-                mine = np.flatnonzero(g.run == run)
-                end = np.minimum(np.arange(a, b) + run, p.last[a:b]) - a
-                part = sums[:, mine]
-                x, y = np.nonzero(part[end] - part[: b - a] >= g.need[mine])
-                if len(x) and run <= _LONG:
-                    if counts is None:
-                        i, j = np.searchsorted(p.block, [a, c])
-                        counts = np.zeros((c - a, FEATURES), np.uint8)
-                        counts[p.block[i:j] - a, p.feature[i:j]] = p.count[i:j]
-                    enough = g.whole(counts, x, end[x], mine[y]) >= g.need[mine[y]]
-                    x, y = x[enough], y[enough]
-                yield from zip((x + a).tolist(), g.which[mine[y]].tolist())
-
-
 class _Item:
     """An item's words as bits."""
 
@@ -257,137 +217,252 @@ class _Item:
 
 
 def _document_frequency(docs: DataFrame, bench: _Benchmark) -> tuple[np.ndarray, int]:
+    """Rows of the matrix that hold each feature, and rows in all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(FEATURES + 1, np.int64)
         for batch in batches:
             for part in text_slices(batch, most=_SLICE):
-                p = _Blocks(part.column("text"), bench)
+                p = _Blocks(part.column("text"), bench, _ROW * BLOCK)
                 df[:FEATURES] += np.bincount(p.feature, minlength=FEATURES)
                 df[FEATURES] += len(p.owner)
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(df[used])], ["f", "n"])
 
     out = np.zeros(FEATURES + 1, np.int64)
-    for r in docs.select("text").mapInArrow(tidy(run), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(tidy(run), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():  # FEATURES rows
         out[r["f"]] = r["n"]
     return out[:FEATURES], int(out[FEATURES])
 
 
-def _basis(docs: DataFrame, bench: _Benchmark, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Orthonormal (FEATURES, rank) basis, and the items' unit latent vectors."""
-    names = [f"d{k}" for k in range(RANK)]
+def truncated(y: np.ndarray, start: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``rank`` largest singular values of A and its right singular vectors, from
+    y = A'A start."""
+    shift = 1e-7 * np.linalg.norm(y)
+    y = y + shift * start
+    core = start.T @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    good = values > 1e-9 * values[-1]
+    left, s, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+    square = s * s - shift
+    keep = np.flatnonzero(square > 1e-6 * square[0])[:rank]
+    return np.sqrt(square[keep]), left[:, keep]
+
+
+def _space(docs: DataFrame, bench: _Benchmark, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What folds a TF-IDF vector into the latent space (FEATURES, rank), and the pieces' unit
+    latent vectors."""
+    names = [f"d{k}" for k in range(RANK + EXTRA)]
     often = np.argsort(weight, kind="stable")[:_OFTEN]
-    start = np.random.default_rng(SEED).standard_normal((FEATURES, RANK)).astype(np.float32)
+    start = np.random.default_rng(SEED).standard_normal((FEATURES, len(names))).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FEATURES, RANK))
+        total = np.zeros((FEATURES, len(names)))
         for batch in batches:
             for part in text_slices(batch, most=_SLICE):
-                _gather(total, _Blocks(part.column("text"), bench), weight, start, often)
+                _gather(total, _Blocks(part.column("text"), bench, _ROW * BLOCK), weight, start, often)
         used = np.flatnonzero(np.abs(total).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(total[used, k].astype(np.float32)) for k in range(RANK))], ["f", *names])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(total[used, k].astype(np.float32)) for k in range(len(names)))], ["f", *names])
 
-    z = np.zeros((FEATURES, RANK))
+    y = np.zeros((FEATURES, len(names)))
     sums = docs.select("text").mapInArrow(tidy(run), "f int, " + ", ".join(f"{n} float" for n in names)).groupBy("f").agg(*(F.sum(n).alias(n) for n in names))
     for r in sums.toPandas().itertuples(index=False):  # FEATURES rows at most
-        z[r[0]] = r[1:]
-    # the items' own rows, one per item, with as much weight as the corpus
-    feature = np.concatenate([(w % np.uint64(FEATURES)).astype(np.int64) for w in bench.items])
-    item = np.repeat(np.arange(len(bench.items)), [len(w) for w in bench.items])
-    dense = np.zeros((len(bench.items), FEATURES), np.float32) if len(bench.items) * FEATURES <= 1 << 26 else None
-    keys, count = np.unique(item * FEATURES + feature, return_counts=True)
-    row, f = keys // FEATURES, keys % FEATURES
-    value = weight[f] * count
-    norm = np.sqrt(np.bincount(row, value * value, len(bench.items)))
-    value = np.where(norm[row] > 0, value / np.maximum(norm[row], 1e-30), 0)
-
-    def times(m: np.ndarray) -> np.ndarray:
-        if dense is not None:
-            dense[row, f] = value
-            return dense @ m
-        return np.stack([np.bincount(row, value * m[f, k], len(bench.items)) for k in range(m.shape[1])], 1)
-
-    y = times(start)
-    own = np.zeros_like(z)
-    found, sums = _back(y, f, value, row)
-    own[found] = sums
-    share = np.linalg.norm(z) / max(np.linalg.norm(own), 1e-30)
-    basis = np.linalg.qr(z + max(share, 1.0) * own)[0].astype(np.float32)
-    latent = times(basis)
-    size = np.linalg.norm(latent, axis=1, keepdims=True)
-    return basis, np.divide(latent, size, out=np.zeros_like(latent), where=size > 0).astype(np.float32)
+        y[r[0]] = r[1:]
+    row, feature, value = bench.rows(weight)
+    own = np.zeros_like(y)
+    found, back = _back(_times(row, feature, value, start, len(bench.item)), feature, value, row)
+    own[found] = back
+    sizes, vectors = truncated(y + max(np.linalg.norm(y) / max(np.linalg.norm(own), 1e-30), 1.0) * own, start.astype(np.float64), RANK)
+    fold = (vectors / np.sqrt(sizes**2 + DAMP * np.mean(sizes**2))).astype(np.float32)
+    latent = _times(row, feature, value, fold, len(bench.item))
+    return fold, latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-30)
+
+
+def _candidates(p: _Blocks, bench: _Benchmark, fold: np.ndarray, weight: np.ndarray, latent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first block, end block, piece, cosine) of passages near a piece."""
+    if not len(p.block):
+        return
+    line = np.zeros((len(p.owner) + 1, fold.shape[1]))
+    np.cumsum(_times(p.block, p.feature, (weight[p.feature] * p.count).astype(np.float32), fold, len(p.owner)), axis=0, out=line[1:])
+    place = np.arange(len(p.owner))
+    for scale, (blocks, stride) in enumerate(zip(SCALES, STRIDES)):
+        pieces = np.flatnonzero(bench.scale == scale)
+        if not len(pieces):
+            continue
+        a = place[(place - p.first) % stride == 0]
+        b = np.minimum(a + blocks, p.last[a])
+        for i in range(0, len(a), _TILE):
+            x = (line[b[i : i + _TILE]] - line[a[i : i + _TILE]]).astype(np.float32)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-20)
+            for k in range(0, len(pieces), _TILE):
+                cosine = x @ latent[pieces[k : k + _TILE]].T
+                near = np.flatnonzero(cosine >= COSINE)
+                if len(near):
+                    r, c = np.divmod(near, cosine.shape[1])
+                    yield a[i + r], b[i + r], pieces[k + c], cosine[r, c]
+
+
+class _Sets:
+    """Which words the blocks hold, as sets of 256 bits; a run's set is the union of two runs of
+    a power of two blocks."""
+
+    def __init__(self, p: _Blocks, levels: int = 6):
+        self.levels = [_bit_sets(p.block, p.feature, len(p.owner))]
+        for k in range(levels):
+            last = self.levels[-1]
+            self.levels.append(last.copy())
+            self.levels[-1][: -(1 << k)] |= last[1 << k :]
+
+    def lacks(self, a: np.ndarray, b: np.ndarray, sets: np.ndarray) -> np.ndarray:
+        """How many bits of ``sets`` blocks a to b do not hold; 0 for runs beyond the levels."""
+        out = np.zeros(len(a), np.int64)
+        level = np.floor(np.log2(np.maximum(b - a, 1))).astype(np.int64)
+        for k, table in enumerate(self.levels):
+            at = np.flatnonzero((level == k) & (b > a))
+            out[at] = np.bitwise_count(sets[at] & ~(table[a[at]] | table[b[at] - (1 << k)])).sum(1)
+        return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, contaminated, item_id and share of its best match (null
-    and 0 without a candidate), cosine of that candidate."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    chosen = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    bound = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
-    if bound["n"] > MOST_ITEMS or bound["c"] > 8 * MOST_WORDS:
-        raise ValueError(f"the benchmark has {bound['n']} items and {bound['c']} characters; the bound is {MOST_ITEMS} items and {8 * MOST_WORDS} characters")
-    items = chosen.orderBy("item_id").collect()
-    bench = _Benchmark([r["text"] for r in items])
-    item_ids = [items[i]["item_id"] for i in bench.which]
-    fields = "doc_id long, contaminated boolean, item_id long, share double, cosine double"
-    if not bench.items:
-        return rows.select("doc_id", F.lit(False).alias("contaminated"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("share"), F.lit(0.0).alias("cosine"))
-    df, total = _document_frequency(rows, bench)
-    # no word is too common to count: a leak in most documents makes its own words common
-    weight = 1.0 + np.log((1.0 + total) / (1.0 + df))
-    basis, latent = _basis(rows, bench, weight)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, most=_SLICE):
-                n = part.num_rows
-                best: dict[int, tuple[bool, float, int, int]] = {}
-                p = _Blocks(part.column("text"), bench)
-                for k, j in _candidates(p, bench.groups):
-                    doc, (item, tail) = int(p.owner[k]), bench.bits(j)
-                    a = int(p.begin[k])
-                    words = p.h[a : min(a + BLOCK - 1 + item.n + item.n // 2, int(p.starts[doc + 1]))].tolist()
-                    leak, share = _verdict(item, tail, words)
-                    if (now := (leak, share, -j, -k)) > best.get(doc, (False, -1.0, 0, 0)):
-                        best[doc] = now
-                near = _cosines(p, weight, basis, latent, {d: (-v[3], -v[2]) for d, v in best.items()}, bench)
-                none = (False, 0.0, 1, 0)
-                got = [best.get(i, none) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([g[0] for g in got]), pa.array([item_ids[-g[2]] if g[2] <= 0 else None for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64()), pa.array([near.get(i, 0.0) for i in range(n)], pa.float64())], ["doc_id", "contaminated", "item_id", "share", "cosine"])
-
-    return rows.mapInArrow(tidy(run), fields)
-
-
-def _cosines(p: _Blocks, weight: np.ndarray, basis: np.ndarray, latent: np.ndarray, found: dict[int, tuple[int, int]], bench: _Benchmark) -> dict[int, float]:
-    """Latent cosine of the item and the blocks that its stretch can touch, by document."""
-    out = {}
-    for doc, (k, j) in found.items():
-        end = min(k + int(_run(np.array(len(bench.items[j])))), int(p.last[k]))
-        a, b = np.searchsorted(p.block, [k, end])
-        x = (weight[p.feature[a:b]] * p.count[a:b]) @ basis[p.feature[a:b]]
-        out[doc] = float(x @ latent[j] / max(np.linalg.norm(x), 1e-30))
-    return out
+def _bit_sets(row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+    bits = np.zeros((n, 256), bool)
+    bits[row, feature % 256] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _regions(p: _Blocks, sets: _Sets, bench: _Benchmark, found: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int, int, int, float]]:
+    """(text, item, first word, end word, cosine) where a whole item may lie around its pieces'
+    candidates; those that overlap are one."""
+    a, b, piece, cosine = (np.concatenate(x) for x in zip(*found))
+    item, before, size = bench.item[piece], bench.begin[piece], bench.size[piece]
+    total, text = bench.total[item], p.owner[a]
+    lo = np.maximum(p.begin[a] - before - before // 2 - size // 2, p.starts[text])
+    hi = np.minimum(p.begin[a] + (b - a) * BLOCK + (total - before - size) * 3 // 2 + size // 2 + 1, p.starts[text + 1])
+    first = p.first[a] + (lo - p.starts[text]) // BLOCK
+    some = total - sets.lacks(first, p.first[a] + -(-(hi - p.starts[text]) // BLOCK), bench.sets[item]) >= LOOSE * total - 1e-9
+    text, item, lo, hi, cosine = (x[some] for x in (text, item, lo, hi, cosine))
+    group = text * len(bench.items) + item
+    order = np.lexsort((lo, group))
+    group, lo, hi, cosine = group[order].tolist(), lo[order].tolist(), hi[order].tolist(), cosine[order].tolist()
+    k = 0
+    while k < len(group):
+        end, best, j = hi[k], cosine[k], k + 1
+        while j < len(group) and group[j] == group[k] and lo[j] <= end:
+            end, best, j = max(end, hi[j]), max(best, cosine[j]), j + 1
+        yield group[k] // len(bench.items), group[k] % len(bench.items), lo[k], end, best
+        k = j
 
 
 def _verdict(item: _Item, tail: _Item, words: list[int]) -> tuple[bool, float]:
-    """Whether a stretch half again as long as the item, beginning in the first block of
-    ``words``, is a leak, and the best share of the item in common. A share below ``LOOSE`` is
-    that of all ``words``."""
-    got = item.common(words)
-    if got / item.n < LOOSE:
+    """Whether a stretch of ``words``, half again as long as the item, is a leak, and the best
+    share of the item in common. A share below ``LOOSE`` is that of all ``words``."""
+    got, enough = item.common(words), int(np.ceil(LOOSE * item.n - 1e-9))
+    if got < enough:
         return False, got / item.n
-    reach, top, leak = item.n + item.n // 2, 0, False
-    for a, w in enumerate(words[:BLOCK]):
-        if w not in item.masks:
+    reach, top, leak, a = item.n + item.n // 2, 0, False, 0
+    while a < len(words) and top < item.n:
+        if words[a] not in item.masks:
+            a += 1
             continue
         stretch = words[a : a + reach]
         got = item.common(stretch)
         top = max(top, got)
-        leak = leak or got / item.n >= SHARE or (got / item.n >= LOOSE and tail.common(stretch) >= SHARE * tail.n)
+        leak = leak or got / item.n >= SHARE or (got >= enough and tail.common(stretch) >= SHARE * tail.n)
+        # a stretch that begins d words later has at most d more in common
+        a += max(1, (top + 1 if leak else min(top + 1, enough)) - got)
     return leak, top / item.n
 
 
+def _best(part: pa.RecordBatch, bench: _Benchmark, weight: np.ndarray, fold: np.ndarray, latent: np.ndarray) -> dict[int, tuple[bool, float, int, float]]:
+    """By row: leak, share, item and cosine of the best match."""
+    best: dict[int, tuple[bool, float, int, float]] = {}
+
+    def take(text: int, leak: bool, share: float, item: int, cosine: float) -> None:
+        now = best.get(text)
+        if now is None or (leak, share, -item) > (now[0], now[1], -now[2]):
+            best[text] = (leak, share, item, cosine)
+
+    p = _Blocks(part.column("text"), bench)
+    found: list[tuple[np.ndarray, ...]] = []
+    sets = _Sets(p)
+
+    def check() -> None:
+        for text, j, start, end, cosine in _regions(p, sets, bench, found) if found else ():
+            item, tail = bench.bits(j)
+            take(text, *_verdict(item, tail, p.h[start:end].tolist()), bench.which[j], cosine)
+        found.clear()
+
+    for some in _candidates(p, bench, fold, weight, latent) if bench.items else ():
+        found.append(some)
+        if sum(len(x[0]) for x in found) > _HELD:
+            check()
+    check()
+    for n, (hashes, which) in bench.short.items():
+        if len(hashes):
+            h = _together(p.h, n)
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            for k in np.flatnonzero(hashes[at] == h).tolist():
+                text = int(np.searchsorted(p.starts, k, "right")) - 1
+                if k + n <= p.starts[text + 1]:
+                    take(text, True, 1.0, int(which[at[k]]), 1.0)
+    return best
+
+
+def _benchmark_blocks(benchmark: DataFrame) -> Iterator[tuple[list[int | None], list[str]]]:
+    """The distinct items in order of item_id, as many at once as the bounds allow."""
+    ids, texts, words = [], [], 0
+    chosen = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
+    for r in chosen.orderBy("item_id", "text").toLocalIterator():
+        if ids and (len(ids) == MOST_ITEMS or words + len(r["text"]) // 4 > MOST_WORDS):
+            yield ids, texts
+            ids, texts, words = [], [], 0
+        ids.append(r["item_id"])
+        texts.append(r["text"])
+        words += len(r["text"]) // 4
+    if ids:
+        yield ids, texts
+
+
+_FIELDS = ["doc_id", "text", "contaminated", "item_id", "share", "cosine"]
+
+
+def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, contaminated, item_id, share and cosine of its best match
+    (null, 0 and 0 without a candidate)."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = rows.select("doc_id", "text", F.lit(False).alias("contaminated"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("share"), F.lit(0.0).alias("cosine"))
+    blocks = _benchmark_blocks(benchmark)
+    block = next(blocks, None)
+    while block:
+        (ids, texts), block = block, next(blocks, None)
+        bench = _Benchmark(texts)
+        weight, fold, latent = np.zeros(FEATURES), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32)
+        if bench.items:
+            df, total = _document_frequency(rows, bench)
+            weight = 1.0 + np.log((1.0 + total) / (1.0 + df))
+            fold, latent = _space(rows, bench, weight)
+        kept = [c for c in _FIELDS if block or c != "text"]  # the texts go on to the next block
+        schema = out.select(*kept).schema
+        out = out.mapInArrow(tidy(_search(bench, ids, weight, fold, latent, kept)), schema)
+    return out.drop("text")
+
+
+def _search(bench: _Benchmark, ids: list[int | None], weight: np.ndarray, fold: np.ndarray, latent: np.ndarray, kept: list[str]):
+    """Adds a block of items to what the blocks before it found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, most=_SLICE):
+                rows = [list(x) for x in zip(*(part.column(c).to_pylist() for c in _FIELDS[2:]))]
+                for i, (leak, share, item, cosine) in _best(part, bench, weight, fold, latent).items():
+                    if rows[i][1] is None or (leak, share) > (rows[i][0], rows[i][2]):
+                        rows[i] = [leak, ids[item], share, cosine]
+                found = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.bool_(), pa.int64(), pa.float64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept[:-4]), *found], kept)
+
+    return run
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that match no item, with all their columns."""
-    leaks = find(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    leaks = find(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__leak")).distinct()
+    return docs.join(leaks, F.col("doc_id").cast("long") == F.col("__leak"), "left_anti")
