@@ -2,8 +2,8 @@
 
 Texts are cut into blocks of ``BLOCK`` words, and passages are runs of 2 to 12 blocks. Items are
 cut into pieces of at most ``PIECE`` words, and their answer is a piece of its own. A piece is
-compared with passages a quarter longer than itself, which begin at every fourth of their
-length (of the shortest, every half).
+compared with passages a quarter longer than itself, which begin at every third of their length
+or less (of the shortest, every half).
 
 1. TF-IDF. A block's vector keeps the words of the benchmark (hashed into ``FEATURES``), all with
    a positive weight: a leak in most documents makes its own words common.
@@ -45,7 +45,7 @@ from veritable.llm.words import plain_words
 
 BLOCK, PIECE, FEATURES, RANK, EXTRA = 8, 64, 1 << 13, 128, 16
 #: Passage lengths and how far apart passages begin, in blocks.
-SCALES, STRIDES = (2, 3, 4, 6, 8, 12), (1, 1, 1, 1, 2, 3)
+SCALES, STRIDES = (2, 3, 4, 6, 8, 12), (1, 1, 1, 2, 2, 3)
 COSINE, DAMP = 0.35, 4.0
 SHARE, LOOSE, ANSWER, LEAST, SHORTEST = 0.75, 0.6, 8, 8, 3
 MOST_ITEMS, MOST_WORDS = 20_000, 2_000_000
@@ -158,16 +158,18 @@ def _back(rows: np.ndarray, feature: np.ndarray, value: np.ndarray, row: np.ndar
     return f[starts], np.add.reduceat(rows[row[order]] * value[order, None], starts)
 
 
-def _times(row: np.ndarray, feature: np.ndarray, value: np.ndarray, m: np.ndarray, n: int) -> np.ndarray:
-    """A times m for the sparse rows A, sorted by row: the k-th entries of all rows at once, the
-    rows with most entries first."""
+def _times(row: np.ndarray, feature: np.ndarray, value: np.ndarray | None, m: np.ndarray, n: int) -> np.ndarray:
+    """A times m for the sparse rows A, sorted by row (ones without ``value``): the k-th entries
+    of all rows at once, the rows with most entries first."""
     size = np.bincount(row, minlength=n)
     start, order = np.cumsum(size) - size, np.argsort(-size, kind="stable")
     start, size = start[order], size[order]
     out = np.zeros((n, m.shape[1]), np.float32)
     for k in range(int(size[0]) if n else 0):
         at = start[: np.searchsorted(-size, -k)] + k
-        out[: len(at)] += m[feature[at]] * value[at, None]
+        for i in range(0, len(at), 1024):
+            more = m[feature[at[i : i + 1024]]]
+            out[i : i + len(more)] += more if value is None else more * value[at[i : i + 1024], None]
     back = np.empty_like(out)
     back[order] = out
     return back
@@ -250,7 +252,7 @@ def truncated(y: np.ndarray, start: np.ndarray, rank: int) -> tuple[np.ndarray,
 
 
 def _space(docs: DataFrame, bench: _Benchmark, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What folds a TF-IDF vector into the latent space (FEATURES, rank), and the pieces' unit
+    """What folds a vector of counts into the latent space (FEATURES, rank), and the pieces' unit
     latent vectors."""
     names = [f"d{k}" for k in range(RANK + EXTRA)]
     often = np.argsort(weight, kind="stable")[:_OFTEN]
@@ -275,31 +277,45 @@ def _space(docs: DataFrame, bench: _Benchmark, weight: np.ndarray) -> tuple[np.n
     sizes, vectors = truncated(y + max(np.linalg.norm(y) / max(np.linalg.norm(own), 1e-30), 1.0) * own, start.astype(np.float64), RANK)
     fold = (vectors / np.sqrt(sizes**2 + DAMP * np.mean(sizes**2))).astype(np.float32)
     latent = _times(row, feature, value, fold, len(bench.item))
-    return fold, latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-30)
+    return weight[:, None].astype(np.float32) * fold, latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-30)
 
 
-def _candidates(p: _Blocks, bench: _Benchmark, fold: np.ndarray, weight: np.ndarray, latent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _candidates(p: _Blocks, bench: _Benchmark, fold: np.ndarray, latent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first block, end block, piece, cosine) of passages near a piece."""
     if not len(p.block):
         return
-    line = np.zeros((len(p.owner) + 1, fold.shape[1]))
-    np.cumsum(_times(p.block, p.feature, (weight[p.feature] * p.count).astype(np.float32), fold, len(p.owner)), axis=0, out=line[1:])
-    place = np.arange(len(p.owner))
+    at = np.arange(len(p.owner))
+
+    def joined(x: np.ndarray, more: np.ndarray, step: int) -> np.ndarray:
+        """Passages x, each with the one of ``more`` that begins ``step`` blocks later in its text."""
+        out = x.copy()
+        out[:-step] += more[step:] * (at[:-step] + step < p.last[:-step])[:, None]
+        return out
+
+    one = _times(np.repeat(p.block, p.count), np.repeat(p.feature, p.count), None, fold, len(p.owner))
+    two = joined(one, one, 1)
+    four = joined(two, two, 2)
+    eight = joined(four, four, 4)
+    sums = {2: lambda: two, 3: lambda: joined(two, one, 2), 4: lambda: four, 6: lambda: joined(four, two, 4), 8: lambda: eight, 12: lambda: joined(eight, four, 8)}
     for scale, (blocks, stride) in enumerate(zip(SCALES, STRIDES)):
         pieces = np.flatnonzero(bench.scale == scale)
         if not len(pieces):
             continue
-        a = place[(place - p.first) % stride == 0]
+        a = at[(at - p.first) % stride == 0]
         b = np.minimum(a + blocks, p.last[a])
+        passages = sums[blocks]()
         for i in range(0, len(a), _TILE):
-            x = (line[b[i : i + _TILE]] - line[a[i : i + _TILE]]).astype(np.float32)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-20)
+            x = passages[a[i : i + _TILE]]
+            size = np.sqrt(np.einsum("ij,ij->i", x, x))
+            some = np.flatnonzero(size)
+            x = x[some] / size[some, None]
             for k in range(0, len(pieces), _TILE):
                 cosine = x @ latent[pieces[k : k + _TILE]].T
                 near = np.flatnonzero(cosine >= COSINE)
                 if len(near):
                     r, c = np.divmod(near, cosine.shape[1])
-                    yield a[i + r], b[i + r], pieces[k + c], cosine[r, c]
+                    r, near = i + some[r], cosine.ravel()[near]
+                    yield a[r], b[r], pieces[k + c], near
 
 
 class _Sets:
@@ -372,7 +388,7 @@ def _verdict(item: _Item, tail: _Item, words: list[int]) -> tuple[bool, float]:
     return leak, top / item.n
 
 
-def _best(part: pa.RecordBatch, bench: _Benchmark, weight: np.ndarray, fold: np.ndarray, latent: np.ndarray) -> dict[int, tuple[bool, float, int, float]]:
+def _best(part: pa.RecordBatch, bench: _Benchmark, fold: np.ndarray, latent: np.ndarray) -> dict[int, tuple[bool, float, int, float]]:
     """By row: leak, share, item and cosine of the best match."""
     best: dict[int, tuple[bool, float, int, float]] = {}
 
@@ -391,7 +407,7 @@ def _best(part: pa.RecordBatch, bench: _Benchmark, weight: np.ndarray, fold: np.
             take(text, *_verdict(item, tail, p.h[start:end].tolist()), bench.which[j], cosine)
         found.clear()
 
-    for some in _candidates(p, bench, fold, weight, latent) if bench.items else ():
+    for some in _candidates(p, bench, fold, latent) if bench.items else ():
         found.append(some)
         if sum(len(x[0]) for x in found) > _HELD:
             check()
@@ -435,25 +451,25 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     while block:
         (ids, texts), block = block, next(blocks, None)
         bench = _Benchmark(texts)
-        weight, fold, latent = np.zeros(FEATURES), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32)
+        fold, latent = np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32)
         if bench.items:
             df, total = _document_frequency(rows, bench)
             weight = 1.0 + np.log((1.0 + total) / (1.0 + df))
             fold, latent = _space(rows, bench, weight)
         kept = [c for c in _FIELDS if block or c != "text"]  # the texts go on to the next block
         schema = out.select(*kept).schema
-        out = out.mapInArrow(tidy(_search(bench, ids, weight, fold, latent, kept)), schema)
+        out = out.mapInArrow(tidy(_search(bench, ids, fold, latent, kept)), schema)
     return out.drop("text")
 
 
-def _search(bench: _Benchmark, ids: list[int | None], weight: np.ndarray, fold: np.ndarray, latent: np.ndarray, kept: list[str]):
+def _search(bench: _Benchmark, ids: list[int | None], fold: np.ndarray, latent: np.ndarray, kept: list[str]):
     """Adds a block of items to what the blocks before it found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, most=_SLICE):
                 rows = [list(x) for x in zip(*(part.column(c).to_pylist() for c in _FIELDS[2:]))]
-                for i, (leak, share, item, cosine) in _best(part, bench, weight, fold, latent).items():
+                for i, (leak, share, item, cosine) in _best(part, bench, fold, latent).items():
                     if rows[i][1] is None or (leak, share) > (rows[i][0], rows[i][2]):
                         rows[i] = [leak, ids[item], share, cosine]
                 found = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.bool_(), pa.int64(), pa.float64(), pa.float64()))]
