@@ -23,11 +23,35 @@ def test_ids_and_provenance(spark):
         N.image_generator_of(lit("x\\1-million-fake-faces\\a.jpg"), lit("fake")).alias("g"), N.manipulation_of(lit("a/Face2Face/b"), lit("fake")).alias("m"), N.manipulation_of(lit("a"), lit("real")).alias("mr"),
         N.audio_generator(lit(" a07"), lit("fake")).alias("ag"), N.audio_generator(lit("-"), lit("fake")).alias("au"), N.source_id(lit("a:b:c")).alias("s"), N.source_id(lit("a:b")).alias("s2"),
         N.identity_key(lit("a:b:7"), lit("real")).alias("k"), N.source_key(lit(" A\\B ")).alias("sk"), N.name_to_sample_id(lit("a__b__c__d")).alias("back"), N.name_to_sample_id(lit("a__b")).alias("back2"),
-        N.extension(lit("a/b.c/D.JPG")).alias("e"), N.extension(lit("a.b/c")).alias("e2"), N.category(lit("a.flac")).alias("c"), N.source_bucket(lit("a/b/c/d/e"), lit("")).alias("sb"), N.relative_to(lit("/r/x/y"), "/r").alias("rel"),
+        N.extension(lit("a/b.c/D.JPG")).alias("e"), N.extension(lit("a.b/c")).alias("e2"), N.category(lit("a.flac")).alias("c"), N.source_bucket(lit("a/b/c/d/e")).alias("sb"), N.relative_to(lit("/r/x/y"), "/r").alias("rel"),
     )
     assert r.asDict() == {"id": "real_vs_fake:train:31355", "none": None, "g": "stylegan", "m": "face2face", "mr": "none", "ag": "A07", "au": "unknown", "s": "c", "s2": None, "k": "real_7", "sk": "a/b", "back": "a:b:c__d", "back2": "a:b", "e": ".jpg", "e2": "<none>", "c": "audio", "sb": "d", "rel": "x/y"}
 
 
+@pytest.mark.parametrize("path,category,source,made", [
+    ("a/b/x/FlickrFacesHQ/1.jpg", "image", "ffhq_flickrfaceshq", "unknown_generator"), ("k/1M_faces/2.gif", "image", "1_million_fake_faces_stylegan", "stylegan_1m_fake_faces"), ("a/b/c/Deepfake/3.m4v", "video", "Deepfake", "deepfakes_unspecified"),
+    ("x/FaceSwap/4.yaml", "metadata", "unknown", "faceswap_unspecified"), ("LICENSE", "documentation", "unknown", "unknown_generator"), ("a/license.txt", "metadata", "unknown", "unknown_generator"), (".bashrc", "no_extension", "unknown", "unknown_generator"), ("a.cu", "code", "unknown", "unknown_generator"), (None, "no_extension", "unknown", "unknown_generator"),
+])
+def test_path_rules(spark, path, category, source, made):
+    r = one(spark, N.category(F.lit(path)).alias("c"), N.source_bucket(F.lit(path)).alias("s"), N.generator_bucket(F.lit(path), F.lit("fake")).alias("g"), N.generator_bucket(F.lit(path), F.lit("real")).alias("r"))
+    assert (r.c, r.s, r.g, r.r) == (category, source, made, "none_authentic")
+
+
+def test_generator_names_keep_their_case_and_stylegan_comes_first(spark):
+    of = lambda g, p, l: one(spark, N.split_generator(F.lit(g), F.lit(p), F.lit(l)))[0]
+    assert [of("StarGAN", "a", "fake"), of("stylegan", "x/faceswap", "fake"), of("", "a/StyleGAN/faceswap", "fake"), of("unknown", "DeepFake_Detection/a", "fake"), of(None, "a", "fake"), of("stylegan", "a", "real")] == ["StarGAN", "stylegan", "stylegan", "deepfake_detection", "unknown_forgery", "ffhq_authentic"]
+    r = one(spark, N.dataset_of(F.lit("d/ASVspoof2021_LA/x")).alias("d"), N.dataset_of(F.lit("x")).alias("u"), N.image_generator_of(F.lit("k/1m_faces/x"), F.lit("fake")).alias("g"))
+    assert (r.d, r.u, r.g) == ("asvspoof2021_la", "unknown", "stylegan")
+
+
+def test_rows_as_text_and_results_as_metrics(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (None, 2.5, None)], "a int, b double, c string")
+    assert [tuple(r) for r in rows.select(*N.csv_row(rows.columns)).collect()] == [("1", "", "x"), ("", "2.5", "")]
+    r = one(spark, N.split_metrics(F.lit('{"accuracy": 0.5, "roc_auc_note": "one class", "support": 4}')).alias("m"), N.split_metrics(F.lit("{}")).alias("e"), N.response(F.lit("fake"), F.lit(0.12345678), F.lit(3.456), "image", temperature=1.5).alias("r"))
+    assert (r.m.accuracy, r.m.f1, r.m.support, r.m.note) == (0.5, None, 4, "one class") and r.e.confusion_matrix == [[0, 0], [0, 0]] and r.e.support == 0
+    assert (r.r.probability, r.r.inference_latency_ms, r.r.calibrated, r.r.temperature) == (0.123457, 3.46, True, 1.5)
+
+
 def test_upload_rules_in_order(spark):
     cases = [((None, "a.png", "image/png"), "missing_file"), ((0, "a.exe", "x"), "empty_file"), ((1 << 40, "a.exe", "x"), "file_too_large"), ((5, "a.exe", "x"), "bad_extension"), ((5, "a.png", "x/y"), "bad_mime_type"), ((5, "a.png", "image/png"), None)]
     for (size, path, mime), want in cases:

@@ -70,11 +70,13 @@ def joined_id(*parts: ColumnOrName) -> Column:
 
 # --- provenance --------------------------------------------------------------------------
 
-#: Manipulation methods in order of precedence, path markers and codes.
+#: Manipulation methods in order of precedence, path markers and attack codes.
 METHODS = ("deepfakes", "face2face", "faceswap", "neuraltextures", "faceshifter")
-STYLEGAN_MARKERS = ("1-million-fake-faces", "1_million_fake_faces", "stylegan")
-SEEN_ATTACKS = tuple(f"A{n:02d}" for n in range(1, 7))
-UNSEEN_ATTACKS = tuple(f"A{n:02d}" for n in range(7, 20))
+STYLEGAN_MARKERS = ("1-million-fake-faces", "1m_faces", "stylegan")
+STYLEGAN_SOURCES = ("1-million-fake-faces", "stylegan")
+SEEN_ATTACKS = ("A01", "A02", "A03", "A04", "A05", "A06")
+UNSEEN_ATTACKS = ("A07", "A08", "A09", "A10", "A11", "A12", "A13", "A14", "A15", "A16", "A17", "A18", "A19")
+DATASETS = {"asvspoof2019": "asvspoof2019_la", "asvspoof2021": "asvspoof2021_la", "coqui_tts": "coqui_tts_unseen"}
 
 
 def _contains_any(text: Column, markers: tuple[str, ...]) -> Column:
@@ -112,13 +114,22 @@ def unseen_generator(c: ColumnOrName) -> Column:
 
 
 def split_generator(generator: ColumnOrName, path: ColumnOrName, label: ColumnOrName) -> Column:
-    """The generator name that split policies use: a real image counts as authentic, a fake
-    one by the first method its path names, else by its own name."""
-    text, own = F.lower(posix(path)), tidy(generator)
-    chain = F.when(col(label) == "real", "ffhq_authentic")
-    for m in (*METHODS, "stylegan"):
+    """The generator name that split policies use: a real image counts as authentic; a fake one
+    goes by what its own name or its path says, else by its own name as it is written."""
+    text, own = F.lower(posix(path)), F.coalesce(col(generator), F.lit(""))
+    chain = F.when(col(label) == "real", "ffhq_authentic").when((own == "stylegan") | _contains_any(text, STYLEGAN_SOURCES), "stylegan")
+    for m in METHODS:
         chain = chain.when(text.contains(m), m)
-    return chain.when(meaningful(own), own).otherwise("unknown_forgery")
+    chain = chain.when(text.contains("deepfake") & text.contains("detection"), "deepfake_detection")
+    return chain.when(~own.isin("", "unknown"), own).otherwise("unknown_forgery")
+
+
+def dataset_of(path: ColumnOrName) -> Column:
+    """The audio corpus that a path names, or ``unknown``."""
+    text, chain = F.lower(posix(path)), None
+    for marker, name in DATASETS.items():
+        chain = F.when(text.contains(marker), name) if chain is None else chain.when(text.contains(marker), name)
+    return chain.otherwise("unknown")
 
 
 def source_id(sample_id: ColumnOrName) -> Column:
@@ -137,34 +148,63 @@ def source_key(c: ColumnOrName) -> Column:
 
 # --- files -------------------------------------------------------------------------------
 
-#: File categories by extension, in order of precedence.
+#: File categories by extension, in order of precedence; names and extensions of
+#: documentation, which come after them.
 CATEGORIES = {
-    "image": (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif", ".tiff"),
-    "video": (".mp4", ".avi", ".mov", ".mkv", ".webm"),
-    "audio": (".wav", ".flac", ".mp3", ".ogg", ".m4a"),
-    "table": (".csv", ".tsv", ".parquet"),
-    "document": (".json", ".yaml", ".yml", ".txt", ".md"),
-    "archive": (".zip", ".tar", ".gz", ".7z"),
-    "model": (".pt", ".pth", ".onnx", ".npy", ".npz"),
+    "image": (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".gif", ".tif", ".tiff"),
+    "video": (".mp4", ".avi", ".mov", ".mkv", ".webm", ".flv", ".wmv", ".m4v"),
+    "audio": (".wav", ".mp3", ".flac", ".ogg", ".m4a"),
+    "metadata": (".json", ".csv", ".tsv", ".txt", ".md", ".yaml", ".yml", ".xml"),
+    "code": (".py", ".ipynb", ".sh", ".bat", ".ps1", ".cpp", ".c", ".h", ".hpp", ".java", ".js", ".ts", ".html", ".css", ".cu"),
+    "archive": (".zip", ".tar", ".gz", ".bz2", ".7z", ".rar"),
+}
+DOCUMENT_NAMES, DOCUMENT_EXTENSIONS = ("license", "copying", "readme"), (".pdf", ".doc", ".docx")
+#: Extensions and types of uploads.
+UPLOADS = {
+    "image": (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".tiff", ".tif"),
+    "video": (".mp4", ".avi", ".mov", ".wmv", ".webm", ".mkv"),
+    "audio": (".wav", ".mp3", ".ogg", ".flac", ".aac"),
 }
-UPLOADS = {"image": (".jpg", ".jpeg", ".png", ".webp", ".bmp"), "video": (".mp4", ".avi", ".mov", ".mkv", ".webm"), "audio": (".wav", ".mp3", ".flac", ".ogg", ".m4a")}
+UPLOAD_TYPES = {
+    "image": ("image/jpeg", "image/jpg", "image/png", "image/webp", "image/bmp", "image/tiff"),
+    "video": ("video/mp4", "video/avi", "video/mov", "video/wmv", "video/webm", "video/mkv"),
+    "audio": ("audio/wav", "audio/mp3", "audio/mpeg", "audio/ogg", "audio/flac", "audio/aac"),
+}
+#: Source buckets by path markers, and generator buckets by markers in the path.
+SOURCES = {"ffhq_flickrfaceshq": ("flickrfaceshq", "/ffhq"), "1_million_fake_faces_stylegan": ("1-million-fake-faces", "1m_faces"), "faceforensics": ("faceforensics",)}
+GENERATORS = {"deepfakes_unspecified": "deepfake", "faceswap_unspecified": "faceswap", "face2face_unspecified": "face2face", "neuraltextures_unspecified": "neuraltextures"}
 
 
 def extension(path: ColumnOrName) -> Column:
-    """Lower-case suffix with its dot, or ``<none>``."""
-    return F.coalesce(F.nullif(F.lower(F.regexp_extract(posix(path), r"(\.[^./]+)$", 1)), F.lit("")), F.lit("<none>"))
+    """Lower-case suffix with its dot, or ``<none>``; a leading dot begins a name, not a suffix."""
+    return F.coalesce(F.nullif(F.lower(F.regexp_extract(posix(path), r"[^/](\.[^./]+)$", 1)), F.lit("")), F.lit("<none>"))
 
 
 def category(path: ColumnOrName) -> Column:
+    """image, video, audio, metadata, code, archive, documentation, no_extension or other."""
     suffix, chain = extension(path), None
     for name, suffixes in CATEGORIES.items():
         chain = F.when(suffix.isin(*suffixes), name) if chain is None else chain.when(suffix.isin(*suffixes), name)
-    return chain.otherwise("other")
+    named = F.lower(F.element_at(F.split(posix(path), "/"), -1)).isin(*DOCUMENT_NAMES)
+    return chain.when(named | suffix.isin(*DOCUMENT_EXTENSIONS), "documentation").when(suffix == "<none>", "no_extension").otherwise("other")
+
 
+def source_bucket(path: ColumnOrName) -> Column:
+    """The corpus that a path names, else the path's fourth part."""
+    whole = posix(path)
+    chain = F.when(F.coalesce(F.trim(whole), F.lit("")) == "", "unknown")
+    for name, markers in SOURCES.items():
+        chain = chain.when(_contains_any(F.lower(whole), markers), name)
+    return F.coalesce(chain, F.get(F.split(whole, "/"), F.lit(3)), F.lit("unknown"))
 
-def source_bucket(path: ColumnOrName, provenance: ColumnOrName) -> Column:
-    """The provenance if it says something, else the path's fourth part."""
-    return F.coalesce(F.when(meaningful(F.trim(col(provenance))), F.trim(col(provenance))), F.nullif(F.get(F.split(posix(path), "/"), F.lit(3)), F.lit("")), F.lit("unknown"))
+
+def generator_bucket(path: ColumnOrName, label: ColumnOrName) -> Column:
+    """What made an image, as far as its path tells."""
+    text = F.lower(F.coalesce(col(path), F.lit("")))
+    chain = F.when(col(label) == "real", "none_authentic").when(source_bucket(path) == "1_million_fake_faces_stylegan", "stylegan_1m_fake_faces")
+    for name, marker in GENERATORS.items():
+        chain = chain.when(text.contains(marker), name)
+    return chain.when(col(label) == "fake", "unknown_generator").otherwise("none_authentic")
 
 
 def safe_name(sample_id: ColumnOrName) -> Column:
@@ -187,18 +227,22 @@ def file_error(size: ColumnOrName, path: ColumnOrName, mime: ColumnOrName, modal
     """The first rule that an upload breaks: present, size, extension, type; null if none."""
     limits = {"image": 10 << 20, "audio": 50 << 20, "video": 200 << 20} | (max_bytes or {})
     most = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in limits.items() for x in kv)), col(modality)), F.lit(100 << 20))
-    allowed = F.lit(False)
-    for name, suffixes in UPLOADS.items():
-        allowed = allowed | ((col(modality) == name) & extension(path).isin(*suffixes))
     return F.coalesce(
         F.when(col(size).isNull(), "missing_file"),
         F.when(col(size) == 0, "empty_file"),
         F.when(col(size) > most, "file_too_large"),
-        F.when(~F.coalesce(allowed, F.lit(False)), "bad_extension"),
-        F.when(~F.coalesce(F.startswith(col(mime), F.concat(col(modality), F.lit("/"))), F.lit(False)), "bad_mime_type"),
+        F.when(~_listed(modality, extension(path), UPLOADS), "bad_extension"),
+        F.when(~_listed(modality, col(mime), UPLOAD_TYPES), "bad_mime_type"),
     )
 
 
+def _listed(modality: ColumnOrName, value: Column, lists: dict[str, tuple[str, ...]]) -> Column:
+    found = F.lit(False)
+    for name, values in lists.items():
+        found = found | ((col(modality) == name) & value.isin(*values))
+    return F.coalesce(found, F.lit(False))
+
+
 def expired(modified: ColumnOrName, now: ColumnOrName, hours: float) -> Column:
     return F.unix_timestamp(col(now)) - F.unix_timestamp(col(modified)) > F.lit(hours * 3600)
 
@@ -228,6 +272,26 @@ def imbalanced(n_real: ColumnOrName, n_fake: ColumnOrName, threshold: float = 0.
     return F.coalesce(F.abs(0.5 - F.try_divide(F.least(col(n_real), col(n_fake)), n)) > threshold, F.lit(False))
 
 
+def csv_row(columns: list[str]) -> list[Column]:
+    """Columns as the text that a CSV row holds: null is empty."""
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]
+
+
+def split_metrics(result: ColumnOrName) -> Column:
+    """One split's metrics from a JSON result: missing numbers stay null, missing support is 0
+    and a missing matrix is all zeros; the note falls back to that of the ROC-AUC."""
+    r = F.from_json(col(result), "accuracy double, f1 double, roc_auc double, balanced_accuracy double, precision double, recall double, support bigint, confusion_matrix array<array<bigint>>, note string, roc_auc_note string")
+    zeros = F.array(F.array(F.lit(0).cast("long"), F.lit(0).cast("long")), F.array(F.lit(0).cast("long"), F.lit(0).cast("long")))
+    kept = [r[c].alias(c) for c in ("accuracy", "f1", "roc_auc", "balanced_accuracy", "precision", "recall")]
+    return F.struct(*kept, F.coalesce(r["support"], F.lit(0)).cast("long").alias("support"), F.coalesce(r["confusion_matrix"], zeros).alias("confusion_matrix"), F.coalesce(r["note"], r["roc_auc_note"], F.lit("")).alias("note"))
+
+
+def response(label: ColumnOrName, probability: ColumnOrName, latency_ms: ColumnOrName, modality: str, version: str = "unknown", temperature: float | None = None) -> Column:
+    """A prediction as the service answers it."""
+    p = F.bround(col(probability), 6)
+    return F.struct(col(label).alias("prediction"), p.alias("probability"), p.alias("calibrated_probability"), F.lit(modality).alias("modality"), F.lit(version).alias("model_version"), F.bround(col(latency_ms), 2).alias("inference_latency_ms"), F.lit(temperature is not None).alias("calibrated"), F.bround(F.lit(temperature).cast("double"), 6).alias("temperature"))
+
+
 def text_bar(value: ColumnOrName, width: int = 20) -> Column:
     full = F.greatest(F.lit(0), F.least(F.lit(width), F.round(F.coalesce(col(value), F.lit(0.0)) * width).cast("int")))
     return F.concat(F.repeat(F.lit("#"), full), F.repeat(F.lit("."), width - full))

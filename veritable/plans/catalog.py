@@ -106,9 +106,12 @@ def r06_deduplicate(spark, sf):
     return manifest.deduplicate(rows, "file_hash", "sample_id", "doc_id").select("doc_id", "decision")
 
 
-@query(with_ctes("manifest", "select sample_id, 'bad_label' as rule from manifest where label is null"))
+@query(with_ctes("manifest", """, holes as (select sample_id, label, case when doc_id % 7 = 0 then '' when doc_id % 11 = 0 then null else path end as path, case when doc_id % 13 = 0 then null else generator end as generator from manifest)
+  select sample_id, 'bad_label' as rule from holes where label is null union all select sample_id, 'empty:path' from holes where coalesce(path, '') = '' union all select sample_id, 'empty:generator' from holes where coalesce(generator, '') = ''"""))
 def p09_violations(spark, sf):
-    return manifest.violations(b.manifest(spark, sf), ["sample_id", "path", "generator"], "sample_id")
+    path = F.when(F.col("doc_id") % 7 == 0, "").when(F.col("doc_id") % 11 == 0, None).otherwise(F.col("path"))
+    rows = b.manifest(spark, sf).withColumn("path", path).withColumn("generator", F.when(F.col("doc_id") % 13 == 0, None).otherwise(F.col("generator")))
+    return manifest.violations(rows, ["sample_id", "path", "generator"], "sample_id")
 
 
 # --- projections -------------------------------------------------------------------------
@@ -122,7 +125,7 @@ def p01_image_label(spark, sf):
     return rows.select("doc_id", normalize.image_label(F.col("quality").cast("string"), F.lit(" ")).alias("label"), F.when(strict.isNotNull(), "bad").otherwise("ok").alias("strict"))
 
 
-@query("""select p_partkey, coalesce(nullif(lower(regexp_extract(p_name || '.' || p_type, '(\\.[^./]+)$', 1)), ''), '<none>') as ext, lower(replace(coalesce(nullif(trim(p_brand), ''), 'unknown'), '\\', '/')) as source_key, replace(p_brand || ':' || p_size, ':', '__') as safe from part""")
+@query("""select p_partkey, coalesce(nullif(lower(regexp_extract(p_name || '.' || p_type, '[^/](\\.[^./]+)$', 1)), ''), '<none>') as ext, lower(replace(coalesce(nullif(trim(p_brand), ''), 'unknown'), '\\', '/')) as source_key, replace(p_brand || ':' || p_size, ':', '__') as safe from part""")
 def p20_part_keys(spark, sf):
     rows = b.table(spark, sf, "part")
     return rows.select("p_partkey", normalize.extension(F.concat_ws(".", "p_name", "p_type")).alias("ext"), normalize.source_key("p_brand").alias("source_key"), normalize.safe_name(F.concat_ws(":", "p_brand", "p_size")).alias("safe"))
@@ -134,11 +137,108 @@ def p18_identity(spark, sf):
     return rows.select("sample_id", normalize.identity_key("sample_id", "label").alias("identity"), normalize.safe_name("sample_id").alias("name"), normalize.name_to_sample_id(normalize.safe_name("sample_id")).alias("back"))
 
 
-@query("""select event_id, case when value = 0 then 'empty_file' when value > 200 then 'file_too_large' when event_type <> 'click' then 'bad_extension' end as error from events""")
+#: Paths that take every branch of the path rules, dealt to the parts by key.
+PATHS = [
+    "a/b/c/FlickrFacesHQ/1.jpg", "a/x/ffhq/2.JPEG", "k/1-million-fake-faces/3.png", "k/1m_faces/4.gif", "k/FaceForensics/5.m4v", "a/b/c/own_source/6.flv", "a/b/7.wmv", "", "   ",
+    "x\\StyleGAN\\8.tif", "x/Deepfakes/9.mp4", "x/face2face/10.avi", "x/faceswap/11.mov", "x/neuraltextures/12.mkv", "x/faceshifter/13.webm", "x/deepfake_detection/14.bmp",
+    "d/ASVspoof2019/15.flac", "d/asvspoof2021/16.wav", "d/coqui_tts/17.mp3", "m/18.yaml", "m/19.ipynb", "m/20.cu", "m/21.7z", "m/LICENSE", "m/readme", "m/22.pdf", "m/23", "m/.hidden", "m/24.xyz", "m.d/25", "m/26.a.tar", "m/27.m4a", "m/28.aac",
+]
+LABELS_OF_PATHS, NAMES_OF_PATHS = ["fake", "real", None], ["", "unknown", "StarGAN", "stylegan", None]
+
+
+def _listed_sql(values: list, key: str) -> str:
+    """A DuckDB list of these values, and the one that the key picks."""
+    return "[" + ", ".join("null" if v is None else "'" + v + "'" for v in values) + f"][({key} % {len(values)} + 1)::int]"
+
+
+def _picked(values: list, key: str):
+    return F.get(F.array(*map(F.lit, values)), (F.col(key) % len(values)).cast("int"))
+
+
+def _in_sql(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+_PATHS_SQL = f"""with t as (select p_partkey, {_listed_sql(PATHS, "p_partkey")} as path, {_listed_sql(LABELS_OF_PATHS, "(p_partkey // 33)")} as label, {_listed_sql(NAMES_OF_PATHS, "(p_partkey // 99)")} as generator from part),
+  u as (select *, lower(replace(path, '\\', '/')) as q, replace(path, '\\', '/') as whole, coalesce(nullif(lower(regexp_extract(replace(path, '\\', '/'), '[^/](\\.[^./]+)$', 1)), ''), '<none>') as ext from t)"""
+
+
+def _paths(spark, sf):
+    rows = b.table(spark, sf, "part").select("p_partkey", F.floor(F.col("p_partkey") / 33).alias("k33"), F.floor(F.col("p_partkey") / 99).alias("k99"))
+    return rows.select("p_partkey", _picked(PATHS, "p_partkey").alias("path"), _picked(LABELS_OF_PATHS, "k33").alias("label"), _picked(NAMES_OF_PATHS, "k99").alias("generator"))
+
+
+@query(_PATHS_SQL + """ select p_partkey, case
+    when ext in ('.jpg', '.jpeg', '.png', '.bmp', '.webp', '.gif', '.tif', '.tiff') then 'image'
+    when ext in ('.mp4', '.avi', '.mov', '.mkv', '.webm', '.flv', '.wmv', '.m4v') then 'video'
+    when ext in ('.wav', '.mp3', '.flac', '.ogg', '.m4a') then 'audio'
+    when ext in ('.json', '.csv', '.tsv', '.txt', '.md', '.yaml', '.yml', '.xml') then 'metadata'
+    when ext in ('.py', '.ipynb', '.sh', '.bat', '.ps1', '.cpp', '.c', '.h', '.hpp', '.java', '.js', '.ts', '.html', '.css', '.cu') then 'code'
+    when ext in ('.zip', '.tar', '.gz', '.bz2', '.7z', '.rar') then 'archive'
+    when split_part(q, '/', -1) in ('license', 'copying', 'readme') or ext in ('.pdf', '.doc', '.docx') then 'documentation'
+    when ext = '<none>' then 'no_extension' else 'other' end as category from u""")
+def p21_category(spark, sf):
+    return _paths(spark, sf).select("p_partkey", normalize.category("path").alias("category"))
+
+
+_BUCKET_SQL = """case when q like '%flickrfaceshq%' or q like '%/ffhq%' then 'ffhq_flickrfaceshq'
+    when q like '%1-million-fake-faces%' or contains(q, '1m_faces') then '1_million_fake_faces_stylegan'
+    when q like '%faceforensics%' then 'faceforensics' when trim(whole) = '' then 'unknown'
+    when len(string_split(whole, '/')) >= 4 then split_part(whole, '/', 4) else 'unknown' end"""
+
+
+@query(_PATHS_SQL + f" select p_partkey, {_BUCKET_SQL} as bucket from u")
+def p23_source_bucket(spark, sf):
+    return _paths(spark, sf).select("p_partkey", normalize.source_bucket("path").alias("bucket"))
+
+
+@query(_PATHS_SQL + f""" select p_partkey, case when label = 'real' then 'none_authentic' when {_BUCKET_SQL} = '1_million_fake_faces_stylegan' then 'stylegan_1m_fake_faces'
+    when lower(path) like '%deepfake%' then 'deepfakes_unspecified' when lower(path) like '%faceswap%' then 'faceswap_unspecified'
+    when lower(path) like '%face2face%' then 'face2face_unspecified' when lower(path) like '%neuraltextures%' then 'neuraltextures_unspecified'
+    when label = 'fake' then 'unknown_generator' else 'none_authentic' end as bucket from u""")
+def p24_generator_bucket(spark, sf):
+    return _paths(spark, sf).select("p_partkey", normalize.generator_bucket("path", "label").alias("bucket"))
+
+
+@query(_PATHS_SQL + """ select p_partkey, case when label = 'real' then 'unknown'
+    when q like '%1-million-fake-faces%' or contains(q, '1m_faces') or q like '%stylegan%' then 'stylegan' else 'unknown' end as generator from u""")
+def p05_image_generator(spark, sf):
+    return _paths(spark, sf).select("p_partkey", normalize.image_generator_of("path", "label").alias("generator"))
+
+
+@query(_PATHS_SQL + """ select p_partkey, case when label = 'real' then 'none' when q like '%deepfakes%' then 'deepfakes' when q like '%face2face%' then 'face2face' when q like '%faceswap%' then 'faceswap'
+    when q like '%neuraltextures%' then 'neuraltextures' when q like '%faceshifter%' then 'faceshifter' else 'unknown' end as method from u""")
+def p06_manipulation(spark, sf):
+    return _paths(spark, sf).select("p_partkey", normalize.manipulation_of("path", "label").alias("method"))
+
+
+@query(_PATHS_SQL + """ select p_partkey, case when q like '%asvspoof2019%' then 'asvspoof2019_la' when q like '%asvspoof2021%' then 'asvspoof2021_la' when contains(q, 'coqui_tts') then 'coqui_tts_unseen' else 'unknown' end as dataset from u""")
+def p14_dataset(spark, sf):
+    return _paths(spark, sf).select("p_partkey", normalize.dataset_of("path").alias("dataset"))
+
+
+@query(_PATHS_SQL + """ select p_partkey, case when label = 'real' then 'ffhq_authentic' when generator = 'stylegan' or q like '%1-million-fake-faces%' or q like '%stylegan%' then 'stylegan'
+    when q like '%deepfakes%' then 'deepfakes' when q like '%face2face%' then 'face2face' when q like '%faceswap%' then 'faceswap' when q like '%neuraltextures%' then 'neuraltextures' when q like '%faceshifter%' then 'faceshifter'
+    when q like '%deepfake%' and q like '%detection%' then 'deepfake_detection' when coalesce(generator, '') not in ('', 'unknown') then generator else 'unknown_forgery' end as generator from u""")
+def p17_split_generator(spark, sf):
+    return _paths(spark, sf).select("p_partkey", normalize.split_generator("generator", "path", "label").alias("generator"))
+
+
+#: Suffixes and types of uploads, right and wrong, dealt to the events by their ids.
+SUFFIXES = ["jpg", "jpeg", "png", "webp", "bmp", "tiff", "tif", "gif", "mp4", "avi", "mov", "wmv", "webm", "mkv", "flv", "wav", "mp3", "ogg", "flac", "aac", "m4a", "exe"]
+TYPES = ["image/jpeg", "image/gif", "image/tiff", "video/mp4", "video/mkv", "video/x-msvideo", "audio/mpeg", "audio/aac", "audio/x-wav", "text/plain", None, "image/jpg", "image/png", "image/webp", "image/bmp", "video/avi", "video/mov", "video/wmv", "video/webm", "audio/wav", "audio/mp3", "audio/ogg", "audio/flac"]
+MODALITIES = ["image", "video", "audio", "text", None]
+
+
+@query(f"""with t as (select event_id, value, {_listed_sql(SUFFIXES, "event_id")} as ext, {_listed_sql(TYPES, "(event_id // 5)")} as mime, {_listed_sql(MODALITIES, "event_id")} as m from events),
+  r(m, exts, types) as (values ('image', ['jpg', 'jpeg', 'png', 'webp', 'bmp', 'tiff', 'tif'], ['image/jpeg', 'image/jpg', 'image/png', 'image/webp', 'image/bmp', 'image/tiff']),
+    ('video', ['mp4', 'avi', 'mov', 'wmv', 'webm', 'mkv'], ['video/mp4', 'video/avi', 'video/mov', 'video/wmv', 'video/webm', 'video/mkv']),
+    ('audio', ['wav', 'mp3', 'ogg', 'flac', 'aac'], ['audio/wav', 'audio/mp3', 'audio/mpeg', 'audio/ogg', 'audio/flac', 'audio/aac']))
+  select event_id, case when value = 0 then 'empty_file' when value > case when t.m = 'image' then 200 when t.m = 'audio' then 52428800 when t.m = 'video' then 209715200 else 104857600 end then 'file_too_large'
+    when not coalesce(list_contains(exts, ext), false) then 'bad_extension' when not coalesce(list_contains(types, mime), false) then 'bad_mime_type' end as error from t left join r on t.m = r.m""")
 def p33_upload_errors(spark, sf):
-    rows = b.table(spark, sf, "events")
-    path = F.concat(F.lit("f."), F.when(F.col("event_type") == "click", "png").otherwise("exe"))
-    return rows.select("event_id", normalize.file_error(F.col("value"), path, F.lit("image/png"), F.lit("image"), {"image": 200}).alias("error"))
+    rows = b.table(spark, sf, "events").withColumn("k5", F.floor(F.col("event_id") / 5))
+    return rows.select("event_id", normalize.file_error(F.col("value"), F.concat(F.lit("f."), _picked(SUFFIXES, "event_id")), _picked(TYPES, "k5"), _picked(MODALITIES, "event_id"), {"image": 200}).alias("error"))
 
 
 @query("""select event_id, (json_extract_string(props, '$.k') is null) as missing, ['bad_modality'] as errors from events where json_extract_string(props, '$.k') is not null""")
