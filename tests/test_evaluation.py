@@ -106,3 +106,29 @@ def test_fusion(spark):
     assert C.normalized_weights({"a": 1, "b": 3}) == {"a": 0.25, "b": 0.75}
     with pytest.raises(ValueError):
         C.normalized_weights({})
+
+
+def test_ranked_scores_equal_counting_with_continuous_scores_and_null_keys(spark):
+
+    r = random.Random(5)
+    data = [(m, r.choice([0, 1]), r.random() ** k) for m, k in (("a", 1), (None, 30)) for _ in range(700)] + [("one", 1, 0.5), ("one", 1, 0.7)]
+    scores = spark.createDataFrame(data, "model string, y int, prob double")
+    for row in E.ranked_scores(scores, ["model"], buckets=16).collect():
+        mine = [(y, p) for m, y, p in data if m == row.model]
+        below = [y for y, p in mine if p < row.prob]
+        assert (row.below_pos, row.below_neg, row.n_pos + row.n_neg) == (sum(below), len(below) - sum(below), len(mine))
+    auc = {x.model: x.roc_auc for x in E.roc_auc(scores, ["model"]).collect()}
+    for m in ("a", None):
+        pos, neg = ([p for k, y, p in data if k == m and y == want] for want in (1, 0))
+        assert auc[m] == pytest.approx(sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg))
+    assert auc["one"] is None and len(E.reliability_table(scores, ["model"]).where("model is null and n > 0").collect()) > 3
+
+
+def test_pictures_that_are_not_square_have_no_spectrum(spark):
+    from veritable.functions import arrays as A
+
+    rows = spark.createDataFrame([([1.0] * 6,), (None,), ([],), ([1.0, None, 2.0, 3.0],), ([float(i) for i in range(256)],)], "v array<double>")
+    got = rows.select(A.spectrum_magnitude("v").alias("s"), A.laplacian_variance("v").alias("l"), A.perceptual_hash("v").alias("h")).collect()
+    assert [(r.s, r.l, r.h) for r in got[:4]] == [(None, None, None)] * 4
+    # a ramp grows along both axes: of its low cosine waves those of row 0 and column 0 alone are not zero
+    assert len(got[4].s) == 256 and got[4].h is not None

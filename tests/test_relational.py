@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -129,8 +130,6 @@ def test_pairwise_and_generator_examples(spark):
 
 
 def test_roles_and_splits(spark):
-    import hashlib
-
     keys = [f"k{i}" for i in range(200)]
     df = spark.createDataFrame([(k,) for k in keys], "k string")
     got = {r.k: (r.p, r.x) for r in df.select("k", S.md5_percent("k").alias("p"), S.md5_fraction("k").alias("x")).collect()}
@@ -145,3 +144,33 @@ def test_roles_and_splits(spark):
     shares = {r.subset: r["count"] for r in S.hashed_shares(df, "k").groupBy("subset").count().collect()}
     assert shares == {"train": 140, "val": 30, "test": 30}
     assert S.forbidden_features(["a", "target"], ["target", "id"]) == ["target"]
+
+
+def test_rows_with_nulls_are_kept(spark):
+    from veritable.operators import tabular
+
+    rows = spark.createDataFrame([(1, "a", "2024-01-01 10:00:00"), (2, None, None), (3, "b", "2024-01-01 09:00:00"), (None, "b", "2024-02-01 00:00:00")], "k long, g string, ts string")
+    shares = S.hashed_shares(rows, "k", stratum="g")
+    assert shares.count() == 4 and shares.where("g is null").count() == 1
+    cut = {(r.k, r.subset) for r in S.time_aware(rows, "ts", "k", (0.5, 0.25)).collect()}
+    assert cut == {(3, "train"), (1, "train"), (None, "val"), (2, "test")}
+    roles = S.speaker_roles(rows, "g").collect()
+    assert len(roles) == 4 and [r.split_role for r in roles if r.g is None] == ["train"]
+    tainted = S.speaker_roles(rows, "g", F.col("k") == 3)
+    assert {r.k: r.split_role for r in tainted.where("g = 'b' or g is null").collect()} == {3: "test_unseen", None: "test_unseen", 2: "train"}
+    weights = tabular.balanced_weights(spark.createDataFrame([(0,), (0,), (0,), (1,), (None,)], "y int"))
+    assert {r.y: r.weight for r in weights.collect()} == {0: 4 / 6, 1: 2.0}
+
+
+def test_five_paths_of_a_shared_content(spark):
+    rows = spark.createDataFrame([("h", f"p{i}") for i in range(9)] + [("x", "only"), (None, "n"), ("", "e"), ("", "f")], "file_hash string, path string")
+    (got,) = M.duplicate_content(rows).collect()
+    assert (got.n, got.first_path, got.last_path, got.paths) == (9, "p0", "p8", ["p0", "p1", "p2", "p3", "p4"])
+
+
+def test_hash_ranks_equal_a_sort(spark):
+    rows = spark.range(500).selectExpr("id", "if(id % 7 = 0, null, id % 3) as g")
+    got = {r.id: (r["__r"], r["__total"]) for r in S.hash_ranks(rows, "id", ["g"]).collect()}
+    for g in (None, 0, 1, 2):
+        ids = sorted((i for i in range(500) if (None if i % 7 == 0 else i % 3) == g), key=lambda i: hashlib.md5(f"s{i}".encode()).hexdigest())
+        assert [got[i] for i in ids] == [(k + 1, len(ids)) for k in range(len(ids))]

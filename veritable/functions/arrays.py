@@ -135,41 +135,52 @@ def deviation_shares(features: ColumnOrName) -> Column:
     return F.transform(far, lambda d: d / (F.aggregate(far, F.lit(0.0), lambda a, v: a + v) + 1e-6))
 
 
+def _square(v) -> np.ndarray | None:
+    """A picture given row by row; None if it is null, empty, not square or holds a null."""
+    if v is None or not len(v) or int(np.sqrt(len(v))) ** 2 != len(v):
+        return None
+    picture = np.asarray(v, float).reshape(int(np.sqrt(len(v))), -1)
+    return picture if np.isfinite(picture).all() else None
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def spectrum_magnitude(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """20 ln of the shifted 2-d spectrum of a square picture given row by row."""
+    """20 ln of the shifted 2-d spectrum of a square picture given row by row; null for others."""
     for s in batches:
-        out = []
-        for v in s:
-            side = int(np.sqrt(len(v)))
-            out.append((20 * np.log(np.abs(np.fft.fftshift(np.fft.fft2(np.reshape(v[: side * side], (side, side))))) + 1e-12)).ravel())
-        yield pd.Series(out)
+        pictures = [_square(v) for v in s]
+        yield pd.Series([None if p is None else (20 * np.log(np.abs(np.fft.fftshift(np.fft.fft2(p))) + 1e-12)).ravel() for p in pictures], dtype=object)
 
 
 @F.pandas_udf(T.DoubleType())
 def laplacian_variance(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Variance of the Laplacian of a square picture; borders are reflected."""
+    """Variance of the Laplacian of a square picture, borders reflected; null for others."""
     for s in batches:
         out = []
         for v in s:
-            side = int(np.sqrt(len(v)))
-            p = np.pad(np.reshape(np.asarray(v[: side * side], float), (side, side)), 1, mode="reflect") if side > 1 else np.zeros((3, 3))
+            picture = _square(v)
+            if picture is None:
+                out.append(None)
+                continue
+            p = np.pad(picture, 1, mode="reflect") if len(picture) > 1 else np.zeros((3, 3))
             out.append(float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).var()))
-        yield pd.Series(out)
+        yield pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(T.LongType())
 def perceptual_hash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """64 bits: the low 8x8 cosine coefficients of a square picture above their median."""
+    """64 bits: the low 8x8 cosine coefficients of a square picture above their median; null for others."""
     for s in batches:
         out = []
         for v in s:
-            side = int(np.sqrt(len(v)))
-            k = np.arange(side)
-            basis = np.cos(np.pi * (2 * k[None, :] + 1) * np.arange(8)[:, None] / (2 * max(side, 1)))
-            low = (basis @ np.reshape(np.asarray(v[: side * side], float), (side, side)) @ basis.T).ravel()
+            picture = _square(v)
+            if picture is None:
+                out.append(None)
+                continue
+            k = np.arange(len(picture))
+            basis = np.cos(np.pi * (2 * k[None, :] + 1) * np.arange(8)[:, None] / (2 * len(picture)))
+            low = (basis @ picture @ basis.T).ravel()
             out.append(int(np.packbits(low > np.median(low)).view(">i8")[0]))
-        yield pd.Series(out)
+        yield pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))

@@ -39,7 +39,7 @@ def compare_models(metrics: DataFrame, base: str, variant: str, value: str = "f1
 
 
 def comparison_table(metrics: DataFrame, names: list[str]) -> DataFrame:
-    """Long form: model, split, metric, value, sorted."""
+    """Long form: model, split, metric, value; rows in no order."""
     pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names)))
     return metrics.select("model", "split", pairs.alias("p")).select("model", "split", "p.metric", "p.value")
 

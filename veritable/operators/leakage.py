@@ -10,15 +10,14 @@ from veritable.functions.normalize import meaningful
 PAIRS = (("train", "val"), ("train", "test_seen"), ("train", "test_unseen"), ("val", "test_seen"), ("val", "test_unseen"))
 
 
-def overlaps(df: DataFrame, key: str, role: str = "split_role", pairs=PAIRS, usable: Column | None = None, examples: int = 5) -> DataFrame:
-    """left_role, right_role, n_shared and sorted examples for every pair of roles, zeros
-    included. One pass: each key's set of roles is an aggregate, so no self-join is needed."""
+def overlaps(df: DataFrame, key: str, role: str = "split_role", pairs=PAIRS, usable: Column | None = None) -> DataFrame:
+    """left_role, right_role, n_shared and the first and last shared key for every pair of
+    roles, zeros included (``overlap_examples`` lists more). One pass: each key's set of roles is an aggregate, so no self-join is needed."""
     ok = meaningful(key) if usable is None else usable
     sets = df.where(ok).groupBy(key).agg(F.collect_set(role).alias("__roles"))
     both = F.array(*(F.struct(F.lit(a).alias("left_role"), F.lit(b).alias("right_role")) for a, b in pairs))
     hits = F.filter(both, lambda p: F.array_contains("__roles", p["left_role"]) & F.array_contains("__roles", p["right_role"]))
     found = sets.select(key, F.explode(hits).alias("p")).groupBy("p.left_role", "p.right_role")
-    # min_by-like bounded examples: the smallest keys, kept by a bounded array
     shared = found.agg(F.count("*").alias("n_shared"), F.min(key).alias("first_example"), F.max(key).alias("last_example"))
     wanted = df.sparkSession.createDataFrame(list(pairs), "left_role string, right_role string")
     return wanted.join(F.broadcast(shared), ["left_role", "right_role"], "left").fillna(0, ["n_shared"])

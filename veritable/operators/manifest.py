@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritable.operators.splits import hash_ranks
+
 LABELS = ("real", "fake")
 
 
@@ -33,9 +35,12 @@ def summary(df: DataFrame, label: str = "label", size: str = "file_size") -> Dat
 
 
 def duplicate_content(df: DataFrame, hash_col: str = "file_hash", path: str = "path") -> DataFrame:
-    """Hashes that occur more than once, with how often and the first five paths."""
-    groups = df.where(F.col(hash_col).isNotNull() & (F.col(hash_col) != "")).groupBy(hash_col).agg(F.count("*").alias("n"), F.min(path).alias("first_path"), F.max(path).alias("last_path"))
-    return groups.where("n > 1")
+    """Hashes that occur more than once, with how often, the first and last path and the first
+    five paths in order (each task keeps five rows a hash before the shuffle)."""
+    rows = df.where(F.col(hash_col).isNotNull() & (F.col(hash_col) != ""))
+    groups = rows.groupBy(hash_col).agg(F.count("*").alias("n"), F.min(path).alias("first_path"), F.max(path).alias("last_path")).where("n > 1")
+    five = rows.select(hash_col, path).withColumn("__r", F.row_number().over(Window.partitionBy(hash_col).orderBy(path))).where("__r <= 5")
+    return groups.join(five.groupBy(hash_col).agg(F.array_sort(F.collect_list(path)).alias("paths")), hash_col)
 
 
 def first_wins(df: DataFrame, key: str, order: list[str | Column]) -> DataFrame:
@@ -114,22 +119,20 @@ def violations(df: DataFrame, required: list[str], ident: str) -> DataFrame:
 
 def balanced_subset(df: DataFrame, key: str, most: int, label: str = "label", seed: str = "s") -> DataFrame:
     """min(most, fakes) rows per class, in hash order, cut 70/15/15 by position within class."""
-    per = df.where(F.col(label).isin(*LABELS)).select("*", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))).alias("__h"))
+    per = df.where(F.col(label).isin(*LABELS))
     q = per.agg(F.least(F.lit(most), F.count_if(F.col(label) == "fake"), F.count_if(F.col(label) == "real"))).first()[0]
-    ranked = per.withColumn("__r", F.row_number().over(Window.partitionBy(label).orderBy("__h", key))).where(F.col("__r") <= q)
+    ranked = hash_ranks(per, key, [label], seed).where(F.col("__r") <= q)
     a = int(q * 0.70)
     b = a + int(q * 0.15)
-    return ranked.withColumn("subset", F.when(F.col("__r") <= a, "train").when(F.col("__r") <= b, "val").otherwise("test")).drop("__h", "__r")
+    return ranked.select(*df.columns, F.when(F.col("__r") <= a, "train").when(F.col("__r") <= b, "val").otherwise("test").alias("subset"))
 
 
 def generator_quota(df: DataFrame, key: str, label: str = "label", generator: str = "generator", seed: str = "s") -> DataFrame:
     """All reals, and as many fakes, spread evenly over generators; what small generators
     leave is filled in hash order."""
     real, fake = df.where(F.col(label) == "real"), df.where(F.col(label) == "fake")
-    hashed = fake.withColumn("__h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
-    ranked = hashed.withColumn("__r", F.row_number().over(Window.partitionBy(generator).orderBy("__h", key)))
     n, kinds = df.agg(F.count_if(F.col(label) == "real"), F.count_distinct(F.when(F.col(label) == "fake", F.col(generator)))).first()
-    # rows within quota come first; a limit takes each task's best rows before the last merge
-    marked = ranked.withColumn("__over", F.col("__r") > n // max(kinds, 1))
-    chosen = marked.orderBy("__over", "__h", key).limit(n).select(*df.columns)
-    return real.unionByName(chosen)
+    # rows within quota come first, and of the rest those with the smallest hashes
+    per = hash_ranks(fake, key, [generator], seed).withColumn("__over", (F.col("__r") > n // max(kinds, 1)).cast("int"))
+    chosen = hash_ranks(per.select(*df.columns, "__over"), key, [], seed, F.col("__over")).where(F.col("__r") <= n)
+    return real.unionByName(chosen.select(*df.columns))

@@ -42,32 +42,55 @@ def distinct_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.where("prob is not null and y is not null").groupBy(*keys, "prob").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
 
 
+def _join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on the keys, null equal to null; the keys come once."""
+    other = right.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(other, same, how).drop(*(f"__{k}" for k in keys))
+
+
+def ranked_scores(scores: DataFrame, keys: list[str], buckets: int = 128) -> DataFrame:
+    """The distinct scores with pos and neg, how many of each lie strictly below (below_pos,
+    below_neg), and the totals n_pos and n_neg. Scores are dealt to ``buckets`` ranges of about
+    equal size by approximate quantiles; sums over the few buckets and within each bucket give
+    exact counts, so no task sorts all scores of a key."""
+    rows = distinct_scores(scores, keys)
+    shares = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("prob", shares, F.lit(10 * buckets)).alias("__cuts"))
+    dealt = _join_same(rows, cuts, keys).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("prob")))).drop("__cuts")
+    sizes = dealt.groupBy(*keys, "__b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    starts = sizes.select(*keys, "__b", zero(F.sum("p").over(before)).alias("__p"), zero(F.sum("n").over(before)).alias("__n"), F.sum("p").over(whole).alias("n_pos"), F.sum("n").over(whole).alias("n_neg"))
+    inside = Window.partitionBy(*keys, "__b").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
+    out = _join_same(dealt, starts, [*keys, "__b"])
+    return out.select(*keys, "prob", "pos", "neg", (F.col("__p") + zero(F.sum("pos").over(inside))).alias("below_pos"), (F.col("__n") + zero(F.sum("neg").over(inside))).alias("below_neg"), "n_pos", "n_neg")
+
+
 def roc_auc(scores: DataFrame, keys: list[str], single_class: float | None = None) -> DataFrame:
     """Chance that a positive outranks a negative, ties one half; null (or ``single_class``)
     where only one class occurs."""
-    w = Window.partitionBy(*keys).orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
-    rows = distinct_scores(scores, keys).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
     # in half units, so that the sum is exact
-    wins = F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg")))
+    wins = F.sum(F.col("pos") * (2 * F.col("below_neg") + F.col("neg")))
     auc = F.try_divide(wins.cast("double"), F.lit(2.0) * F.sum("pos") * F.sum("neg"))
-    return rows.groupBy(*keys).agg((auc if single_class is None else F.coalesce(auc, F.lit(single_class))).alias("roc_auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return ranked_scores(scores, keys).groupBy(*keys).agg((auc if single_class is None else F.coalesce(auc, F.lit(single_class))).alias("roc_auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
 def pr_auc(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Average precision: precision weighted by the recall each distinct threshold adds."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = distinct_scores(scores, keys).withColumn("tp", F.sum("pos").over(w)).withColumn("np", F.sum(F.col("pos") + F.col("neg")).over(w))
-    return rows.groupBy(*keys).agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("np")), F.sum("pos")).alias("pr_auc"))
+    tp = F.col("n_pos") - F.col("below_pos")
+    precision = tp / (tp + F.col("n_neg") - F.col("below_neg"))
+    return ranked_scores(scores, keys).groupBy(*keys).agg(F.try_divide(F.sum(F.col("pos") * precision), F.sum("pos")).alias("pr_auc"))
 
 
 def error_rates(scores: DataFrame, keys: list[str]) -> DataFrame:
     """False accepts (negatives at or above) and false rejects (positives below) at every
     distinct score as threshold."""
-    before = Window.partitionBy(*keys).orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    rows = distinct_scores(scores, keys)
-    rows = rows.select("*", F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("fn"), F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("tn"), F.sum("pos").over(whole).alias("n_pos"), F.sum("neg").over(whole).alias("n_neg"))
-    return rows.select(*keys, "prob", F.try_divide((F.col("n_neg") - F.col("tn")).cast("double"), "n_neg").alias("far"), F.try_divide(F.col("fn").cast("double"), "n_pos").alias("frr"))
+    rows = ranked_scores(scores, keys)
+    return rows.select(*keys, "prob", F.try_divide((F.col("n_neg") - F.col("below_neg")).cast("double"), "n_neg").alias("far"), F.try_divide(F.col("below_pos").cast("double"), "n_pos").alias("frr"))
 
 
 def eer(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,9 +132,9 @@ def reliability(scores: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
 
 def reliability_table(scores: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
     """Every bin of every key, empty ones as zeros."""
-    bins = scores.sparkSession.range(n).select(F.col("id").cast("int").alias("bin"))
-    grid = scores.select(*keys).distinct().join(F.broadcast(bins))
-    return grid.join(reliability(scores, keys, n), [*keys, "bin"], "left").fillna(0).select(*keys, "bin", "n", "accuracy", "confidence")
+    bins = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin")
+    grid = scores.select(*keys).distinct().select(*keys, bins)
+    return _join_same(grid, reliability(scores, keys, n), [*keys, "bin"], "left").fillna(0, ["n", "accuracy", "confidence"]).select(*keys, "bin", "n", "accuracy", "confidence")
 
 
 def ece(scores: DataFrame, keys: list[str], n: int = 10, null_on_single_class: bool = False) -> DataFrame:
@@ -201,7 +224,14 @@ def fit_temperature(scores: DataFrame, low: float = 0.01, high: float = 10.0, ro
     """(temperature, NLL before, NLL after) for one score table with logit and y. The NLL has
     one minimum over the temperature; each round evaluates a grid in one aggregate over
     distinct (logit, y) and narrows it. One class only: (1, nll, nll). No rows: ValueError."""
-    cells = scores.groupBy("logit", "y").agg(F.count("*").alias("n"))
+    cells = scores.groupBy("logit", "y").agg(F.count("*").alias("n")).persist()  # read once by every round
+    try:
+        return _fit_on_cells(cells, low, high, rounds, points)
+    finally:
+        cells.unpersist()
+
+
+def _fit_on_cells(cells: DataFrame, low: float, high: float, rounds: int, points: int) -> tuple[float, float, float]:
     classes = cells.agg(F.count_distinct("y").alias("k")).first()["k"]
     if not classes:
         raise ValueError("no rows to fit a temperature on")

@@ -42,12 +42,15 @@ def speaker_roles(clips: DataFrame, speaker: str = "speaker", unseen: Column | N
     speakers go whole by their md5; speakers with fewer than ``min_clips`` seen clips train.
 
     One pass over speakers (an aggregate) and one join back; the tainted flag is an
-    aggregate, so the clips are never gathered."""
-    flag = F.coalesce(unseen, F.lit(False))
-    per = clips.groupBy(speaker).agg(F.bool_or(flag).alias("__tainted"), F.count_if(~flag).alias("__n"))
-    roll = md5_percent(speaker)
+    aggregate, so the clips are never gathered. A clip without a speaker goes by itself:
+    test_unseen if it is unseen, else train."""
+    flag = F.lit(False) if unseen is None else F.coalesce(unseen, F.lit(False))
+    per = clips.groupBy(F.col(speaker).alias("__speaker")).agg(F.bool_or(flag).alias("__tainted"), F.count_if(~flag).alias("__n"))
+    roll = md5_percent("__speaker")
     role = F.when(F.col("__tainted"), "test_unseen").when(F.col("__n") < min_clips, "train").when(roll < cuts[0], "train").when(roll < cuts[1], "val").otherwise("test_seen")
-    return clips.join(per.select(speaker, role.alias("split_role")), speaker)
+    alone = F.when(flag, "test_unseen").otherwise("train")
+    known = per.where("__speaker is not null").select("__speaker", role.alias("__role"))
+    return clips.withColumn("__alone", alone).join(known, F.col(speaker) == F.col("__speaker"), "left").select(*clips.columns, F.coalesce("__role", "__alone").alias("split_role"))
 
 
 def allowed_rows(df: DataFrame, policy: dict[str, list[str]], generator: str = "generator", role: str = "split_role") -> DataFrame:
@@ -66,32 +69,47 @@ def policy_errors(df: DataFrame, policy: dict[str, list[str]], generator: str =
     return counts.where(bad)
 
 
+def hash_ranks(df: DataFrame, key: str, keys: list[str], seed: str = "s", first: Column | None = None) -> DataFrame:
+    """Adds __r, each row's rank from 1 in order of ``first`` (a small number; lower ones come
+    before) and the hash of ``key``, per combination of ``keys`` (null is a value), and __total,
+    the rows of that combination. Ranks come from counts of hash buckets and a rank within a
+    bucket, so no task sorts more than a bucket."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    rows = df.select("*", *(F.col(k).alias(n) for k, n in zip(keys, names)), (F.lit(0) if first is None else first.cast("int")).alias("__f"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("__h")).withColumn("__b", F.substring("__h", 1, 3))
+    sizes = rows.groupBy(*names, "__f", "__b").agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy(*names)
+    before = whole.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
+    # 4096 buckets per combination at most
+    starts = sizes.select(*(F.col(n).alias(f"{n}s") for n in names), F.col("__f").alias("__fs"), F.col("__b").alias("__bs"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(whole).alias("__total"))
+    same = (F.col("__f") == F.col("__fs")) & (F.col("__b") == F.col("__bs"))
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}s"))
+    rank = F.col("__start") + F.row_number().over(Window.partitionBy(*names, "__f", "__b").orderBy("__h", key))
+    return rows.join(starts, same).select(*df.columns, rank.alias("__r"), "__total")
+
+
 def hashed_shares(df: DataFrame, key: str, shares: tuple[float, float] = (0.70, 0.15), seed: str = "s", stratum: str | None = None) -> DataFrame:
-    """Exact shares in hash order, per stratum if given. Ranks come from counts of hash
-    buckets and a rank within a bucket, so no task sorts more than a bucket."""
-    keys = [stratum] if stratum else []
-    rows = df.withColumn("__h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).withColumn("__b", F.substring("__h", 1, 3))
-    sizes = rows.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    # 4096 buckets per stratum at most
-    starts = sizes.select(*keys, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(whole).alias("__total"))
-    ranked = rows.join(starts, [*keys, "__b"]).withColumn("__r", F.col("__start") + F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__h", key)))
+    """Exact shares in hash order, per stratum if given. Rows with a null stratum are a stratum;
+    null keys hash like empty ones."""
+    ranked = hash_ranks(df, key, [stratum] if stratum else [], seed)
     a = F.floor(F.col("__total") * shares[0])
     b = a + F.floor(F.col("__total") * shares[1])
     return ranked.withColumn("subset", F.when(F.col("__r") <= a, "train").when(F.col("__r") <= b, "val").otherwise("test")).select(*df.columns, "subset")
 
 
 def time_aware(df: DataFrame, ts: str, key: str, shares: tuple[float, float] = (0.70, 0.15)) -> DataFrame:
-    """Earliest rows train, latest test, cut by exact position. Positions come from counts per
-    day and a rank within the day, so no task sorts the whole table."""
-    rows = df.withColumn("__d", F.to_date(ts))
+    """Earliest rows train, latest test, cut by exact position; rows without a time come last.
+    Positions come from counts per hour and a rank within the hour, so no task sorts the whole
+    table."""
+    last = F.lit("9999-12-31").cast("timestamp")
+    rows = df.withColumn("__d", F.date_trunc("hour", F.coalesce(F.col(ts).cast("timestamp"), last)))
     sizes = rows.groupBy("__d").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per day
+    # one row per hour
     starts = sizes.select("__d", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     total = df.count()
-    ranked = rows.join(F.broadcast(starts), "__d").withColumn("__r", F.col("__start") + F.row_number().over(Window.partitionBy("__d").orderBy(ts, key)))
+    order = Window.partitionBy("__d").orderBy(F.col(ts).asc_nulls_last(), key)
+    ranked = rows.join(starts, "__d").withColumn("__r", F.col("__start") + F.row_number().over(order))
     a = int(total * shares[0])
     b = a + int(total * shares[1])
     return ranked.withColumn("subset", F.when(F.col("__r") <= a, "train").when(F.col("__r") <= b, "val").otherwise("test")).select(*df.columns, "subset")

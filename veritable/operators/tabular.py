@@ -27,11 +27,13 @@ def preprocessor(numeric: list[str], categorical: list[str]) -> list:
 
 
 def balanced_weights(df: DataFrame, label: str = "y") -> DataFrame:
-    """weight = rows / (2 x rows of the class)."""
-    n = df.groupBy(label).agg(F.count("*").alias("__n"))
-    total = n.agg(F.sum("__n").alias("__total"))
-    per = n.join(F.broadcast(total)).select(label, (F.col("__total") / (2.0 * F.col("__n"))).alias("weight"))  # two rows
-    return df.join(F.broadcast(per), label)
+    """weight = rows / (2 x rows of the class); rows without a label teach nothing and are left out."""
+    known = df.where(F.col(label).isNotNull())
+    counts = known.groupBy(label).count().collect()  # two classes
+    weight, total = F.lit(1.0), sum(r["count"] for r in counts)
+    for r in counts:
+        weight = F.when(F.col(label) == r[label], total / (2.0 * r["count"])).otherwise(weight)
+    return known.withColumn("weight", weight)
 
 
 def fit(df: DataFrame, numeric: list[str], categorical: list[str], label: str = "y", model: str = "logistic") -> PipelineModel:

@@ -3,6 +3,8 @@ hand, each as a DataFrame and as the equal DuckDB common table expression."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ from veritable.operators import metrics, splits
 UNSEEN = ["src18", "src19"]
 
 
+def set_checkpoint_dir(spark: SparkSession) -> None:
+    """spark.checkpoint.dir, or a folder of its own in a session on one machine; on a cluster
+    the setting is needed, as executors share no local folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -57,7 +57,7 @@ def a15_manifest_facets(spark, sf):
     return manifest.facet_counts(b.manifest(spark, sf), ["label", "upstream_split", "generator"])
 
 
-@query(with_ctes("manifest", "select file_hash, count(*) as n, min(path) as first_path, max(path) as last_path from manifest group by file_hash having count(*) > 1"))
+@query(with_ctes("manifest", "select file_hash, count(*) as n, min(path) as first_path, max(path) as last_path, (list(path order by path))[1:5] as paths from manifest group by file_hash having count(*) > 1"))
 def a04_duplicate_content(spark, sf):
     return manifest.duplicate_content(b.manifest(spark, sf))
 
@@ -100,9 +100,7 @@ def j23_last_wins(spark, sf):
 def r06_deduplicate(spark, sf):
     rows = b.manifest(spark, sf).select("doc_id", "file_hash", "sample_id")
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        b.set_checkpoint_dir(spark)
     return manifest.deduplicate(rows, "file_hash", "sample_id", "doc_id").select("doc_id", "decision")
 
 
