@@ -90,11 +90,22 @@ def digests(rendered: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as a log: every row is a message of its own, in order of
-    turn (ties: by role and text)."""
+    """A table of finished turns as the log that leads to them, in order of turn (ties: by role
+    and text): a user's text is typed in two parts or, every third time, corrected by an edit;
+    any other text is streamed in two deltas, every third time after a draft and its
+    regeneration. Folding the log gives the turns again."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("seq", F.row_number().over(order).cast("long"))
-    return rows.select("conv_id", "seq", F.lit("message").alias("event"), F.col("seq").alias("turn"), "role", "text")
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("at", F.row_number().over(order).cast("long"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.substr("text", F.lit(1), half), F.substr("text", half + 1, F.length("text"))
+    event = lambda name, text: F.struct(F.lit(name).alias("event"), text.alias("text"))
+    third = F.col("at") % 3 == 0
+    typed = F.when(third, F.array(event("message", first), event("edit", F.col("text")))).otherwise(F.array(event("message", first), event("delta", rest)))
+    parts = F.array(event("message", F.lit("")), event("delta", first), event("delta", rest))
+    again = F.array(event("message", rest), event("delta", F.lit(" draft")), event("regenerate", F.lit("")), event("delta", first), event("delta", rest))
+    log = F.when(F.coalesce(F.col("role"), F.lit("")) == "user", typed).when(third, again).otherwise(parts)
+    events = rows.select("conv_id", "at", "role", F.posexplode(log).alias("k", "e"))
+    return events.select("conv_id", (F.col("at") * 8 + F.col("k")).alias("seq"), F.col("e.event").alias("event"), F.col("at").alias("turn"), "role", F.col("e.text").alias("text"))
 
 
 def format_log(events: DataFrame) -> DataFrame:
