@@ -11,8 +11,11 @@ Buckets with more than ``CROWDED`` classes are dealt again by ``CROWDED_BITS`` m
 while far pairs rarely meet. No bucket is dropped or cut.
 
 A vector whose label is null, or that is null, empty, zero or holds a null or non-finite
-component, links with nothing and is its own component. Repeated rows with one vec_id are
-one vector (any of its rows); extra columns are ignored.
+component, links with nothing and is its own component. So does a row with null vec_id: its
+component_id is null and it is kept. Repeated rows with one vec_id are one vector, that of the
+largest label and then the largest vector. Each linked pair of different vectors is verified,
+so the work grows with the links that there are. An empty table gives no rows; long vectors
+are rows like others. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,7 +80,8 @@ def _verify(threshold: float):
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, bits: int = BITS, tables: int = TABLES, crowded: int = CROWDED) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
-    rows = vectors.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
+    rows = named.where("vec_id is not null").groupBy("vec_id").agg(F.max(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.*")
     x = F.col("embedding")
     usable = x.isNotNull() & (F.size(x) > 0) & F.col("label").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = materialize(rows.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("embedding", F.transform(x, lambda v: F.when(v == 0, 0).otherwise(v).cast("double"))), "vectors")
@@ -107,4 +111,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, bits: int = BIT
     of_class = of_class.select("rep", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     found = member.select("vec_id", "rep").join(of_class, "rep").select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return found.unionByName(alone).withColumn("kept", F.expr("vec_id = component_id"))
+    nameless = named.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return found.unionByName(alone).unionByName(nameless).withColumn("kept", F.expr("vec_id <=> component_id"))
