@@ -8,10 +8,12 @@ that is lost or runs twice leaves no partial file, and any store that Spark know
 
 Block row: shard, block (number within the shard), before (tokens before it in its shard),
 n_docs, n_tokens, payload. Payload: length of the index, zlib-compressed index (doc_id and
-token count of each document, 8 bytes each), CRC-32 of the index, range-coded ids.
+token count of each document and whether it has an id, 8 bytes each), CRC-32 of the index,
+range-coded ids.
 
 Null text counts as empty: such a document is its end id alone. Rows with equal doc_id stay
-side by side, ordered by text. An empty table gives no rows. Extra columns are ignored.
+side by side, ordered by text; those with null doc_id come first. A long text is a block of its
+own. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,22 +36,23 @@ TOKENIZER, END = "byte_bpe_50k.json", 0
 BLOCK_TOKENS = 1 << 20
 
 
-def seal(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    index = zlib.compress(np.stack([doc_ids, counts]).astype("<i8").tobytes(), 1)
+def seal(doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
+    index = zlib.compress(np.stack([doc_ids.fill_null(0).to_numpy(), known, counts]).astype("<i8").tobytes(), 1)
     return struct.pack("<II", len(index), zlib.crc32(index)) + index + encode_block(ids)
 
 
-def unseal(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unseal(payload: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """doc_ids, token counts and ids of a block; raises ValueError if it is damaged."""
     size, crc = struct.unpack_from("<II", payload)
     index = payload[8 : 8 + size]
     if zlib.crc32(index) != crc:
         raise ValueError("damaged block: index checksum differs")
-    doc_ids, counts = np.frombuffer(zlib.decompress(index), "<i8").reshape(2, -1)
+    doc_ids, known, counts = np.frombuffer(zlib.decompress(index), "<i8").reshape(3, -1)
     ids = decode_block(payload[8 + size :])
     if counts.sum() != len(ids):
         raise ValueError("damaged block: index and ids disagree")
-    return doc_ids, counts, ids
+    return pa.array(doc_ids, mask=known == 0), counts, ids
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, cut: str = "byte", end: int = END, block_tokens: int = BLOCK_TOKENS) -> None:
@@ -59,25 +62,28 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, cut: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = piece_tokenizer(tokenizer, cut), TaskContext.get().partitionId()
         block = before = held = 0
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        parts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal block, before, held
-            doc_ids, counts, ids = (np.concatenate(x) for x in zip(*parts))
+            doc_ids, (counts, ids) = pa.concat_arrays([p[0] for p in parts]), (np.concatenate(x) for x in list(zip(*parts))[1:])
             row = [[shard], [block], [before], [len(doc_ids)], [len(ids)], [seal(doc_ids, counts, ids)]]
             block, before, held = block + 1, before + len(ids), 0
             parts.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "block", "before", "n_docs", "n_tokens", "payload"])
 
-        for batch in batches:
-            for rows in text_slices(batch, most=2 * block_tokens):
-                ids, counts = encoder.encode(rows.column("text"), end)
-                parts.append((rows.column("doc_id").to_numpy(), counts, ids))
-                held += len(ids)
-                if held >= block_tokens:
-                    yield flush()
-        if parts:
-            yield flush()
+        try:
+            for batch in batches:
+                for rows in text_slices(batch, most=2 * block_tokens):
+                    ids, counts = encoder.encode(rows.column("text"), end)
+                    parts.append((rows.column("doc_id"), counts, ids))
+                    held += len(ids)
+                    if held >= block_tokens:
+                        yield flush()
+            if parts:
+                yield flush()
+        finally:
+            encoder.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -98,7 +104,7 @@ def read(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
                 edges = np.concatenate([[0], np.cumsum(counts)])
                 raw = memoryview(ids.astype("<u4").tobytes())
                 spans = [raw[4 * a : 4 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-                out = [pa.array(doc_ids), pa.array(start + edges[:-1]), pa.array(counts), pa.array([zlib.crc32(s) for s in spans], pa.int64())]
+                out = [doc_ids, pa.array(start + edges[:-1]), pa.array(counts), pa.array([zlib.crc32(s) for s in spans], pa.int64())]
                 if with_ids:
                     out.append(pa.array([s.tobytes() for s in spans], pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])

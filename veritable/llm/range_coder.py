@@ -43,7 +43,7 @@ class _Model:
         self.seen = np.zeros(vocabulary, np.int64)
         self.freq0 = np.zeros(vocabulary, np.uint64)
         self.cum0 = np.zeros(vocabulary, np.uint64)
-        self.slots = np.zeros(0, np.int64)
+        self.slots, self.bits0 = np.zeros(0, np.int64), 16
         self.fresh: list[np.ndarray] = []
         self.joint = np.zeros((32, 4))
         self.step = 0
@@ -95,12 +95,13 @@ class _Model:
             self.fresh.clear()
             self.seen += np.bincount(new, minlength=len(self.seen))
             ids = np.flatnonzero(self.seen)
-            if len(ids) < 1 << 15:
-                counts = self.seen[ids]
-                freq = 1 + counts * ((1 << 16) - len(ids)) // max(1, int(counts.sum()))
-                self.freq0[ids] = freq
-                self.cum0[ids] = np.cumsum(freq) - freq
-                self.slots = np.repeat(ids, freq)
+            # as many bits as the ids seen need, and one more
+            self.bits0 = max(16, len(ids).bit_length() + 1)
+            counts = self.seen[ids]
+            freq = 1 + counts * ((1 << self.bits0) - len(ids)) // max(1, int(counts.sum()))
+            self.freq0[ids] = freq
+            self.cum0[ids] = np.cumsum(freq) - freq
+            self.slots = np.repeat(ids, freq)
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -109,6 +110,11 @@ def _shape(n: int) -> tuple[int, int]:
     return -(-n // steps), steps
 
 
+def _wide(vocabulary: int) -> int:
+    """Bits of an id beyond its lower 16."""
+    return max(0, (vocabulary - 1).bit_length() - 16)
+
+
 class _Writer:
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.uint64)
@@ -116,9 +122,9 @@ class _Writer:
         self.lane: list[np.ndarray] = []
         self.word: list[np.ndarray] = []
 
-    def put(self, who: np.ndarray | slice, cum: np.ndarray, freq: np.ndarray) -> None:
-        """who: the lanes, as places or as a slice from 0."""
-        r = self.range[who] >> _T16
+    def put(self, who: np.ndarray | slice, cum: np.ndarray, freq: np.ndarray, bits: int = 16) -> None:
+        """who: the lanes, as places or as a slice from 0; frequencies add up to 2**bits at most."""
+        r = self.range[who] >> np.uint64(bits)
         low = self.low[who] + cum * r
         r *= freq
         while True:
@@ -153,9 +159,9 @@ class _Reader:
             self.code = (self.code << _T16) | self.words[self.at]
             self.at += 1
 
-    def slot(self, who: np.ndarray | slice) -> np.ndarray:
-        self.r = self.range[who] >> _T16
-        return np.minimum((self.code[who] - self.low[who]) // self.r, np.uint64(65535))
+    def slot(self, who: np.ndarray | slice, bits: int = 16) -> np.ndarray:
+        self.r = self.range[who] >> np.uint64(bits)
+        return np.minimum((self.code[who] - self.low[who]) // self.r, np.uint64((1 << bits) - 1))
 
     def take(self, who: np.ndarray | slice, cum: np.ndarray, freq: np.ndarray) -> None:
         low, r = self.low[who] + cum * self.r, self.r * freq
@@ -175,7 +181,7 @@ class _Reader:
 
 
 def encode_block(ids: np.ndarray) -> bytes:
-    """ids: any non-negative 32-bit integers."""
+    """ids: non-negative integers of a vocabulary that fits memory, as a table has an entry for each."""
     n = len(ids)
     if not n:
         return _sealed(_HEAD.pack(_MAGIC, 0, 0, 0, 0))
@@ -183,7 +189,7 @@ def encode_block(ids: np.ndarray) -> bytes:
     grid = np.zeros(lanes * steps, np.uint32)
     grid[:n] = ids
     columns = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    model, out = _Model(int(grid.max()) + 1), _Writer(lanes)
+    model, out, wide = _Model(int(grid.max()) + 1), _Writer(lanes), _wide(int(grid.max()) + 1)
     p1 = p2 = np.zeros(lanes, np.uint32)
     with np.errstate(over="ignore"):
         for t in range(steps):
@@ -197,11 +203,12 @@ def encode_block(ids: np.ndarray) -> bytes:
             known = np.flatnonzero(outcome == 2)
             if len(known):
                 ids = x.take(known)
-                out.put(known, model.cum0.take(ids), model.freq0.take(ids))
+                out.put(known, model.cum0.take(ids), model.freq0.take(ids), model.bits0)
             new = np.flatnonzero(outcome == 3)
             if len(new):
                 ones, ids = np.full(len(new), _ONE), x.take(new).astype(np.uint64)
-                out.put(new, ids >> _T16, ones)
+                if wide:
+                    out.put(new, ids >> _T16, ones, wide)
                 out.put(new, ids & np.uint64(0xFFFF), ones)
             model.learn(x, seen, right_a, right_b, outcome, cell)
             p2, p1 = p1, x
@@ -226,7 +233,7 @@ def decode_block(data: bytes) -> np.ndarray:
     steps = _shape(n)[1]
     sizes = np.frombuffer(body, "<u4", lanes, _HEAD.size).astype(np.int64)
     source = _Reader(sizes, np.frombuffer(body, "<u2", count, _HEAD.size + 4 * lanes))
-    model, columns = _Model(vocabulary), np.zeros((steps, lanes), np.uint32)
+    model, wide, columns = _Model(vocabulary), _wide(vocabulary), np.zeros((steps, lanes), np.uint32)
     p1 = p2 = np.zeros(lanes, np.uint32)
     with np.errstate(over="ignore"):
         for t in range(steps):
@@ -243,13 +250,15 @@ def decode_block(data: bytes) -> np.ndarray:
             x = np.where(outcome == 0, a, b)
             known = np.flatnonzero(outcome == 2)
             if len(known):
-                ids = model.slots.take(source.slot(known).astype(np.int64))
+                ids = model.slots.take(source.slot(known, model.bits0).astype(np.int64))
                 source.take(known, model.cum0.take(ids), model.freq0.take(ids))
                 x[known] = ids
             new = np.flatnonzero(outcome == 3)
             if len(new):
-                ones, high = np.full(len(new), _ONE), source.slot(new)
-                source.take(new, high, ones)
+                ones, high = np.full(len(new), _ONE), np.zeros(len(new), np.uint64)
+                if wide:
+                    high = source.slot(new, wide)
+                    source.take(new, high, ones)
                 low = source.slot(new)
                 source.take(new, low, ones)
                 x[new] = (high << _T16) | low
