@@ -58,11 +58,17 @@ def op8_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.read(spark.read.parquet(path))
 
 
+#: Arrivals that the sharding query appends the documents in.
+ARRIVALS = 8
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Appends all documents as they arrive, compacts, and reads the committed table back:
+    """Appends all documents in several arrivals, compacts, and reads the committed table back:
     every document with the shard that holds it."""
     table = sharding.ShardTable(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    table.append(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    for k in range(ARRIVALS):
+        table.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
     table.compact()
     text = F.coalesce("text", F.lit(""))
     return table.read().select("doc_id", F.col("__shard").alias("shard"), F.octet_length(text).cast("long").alias("n_bytes"), F.crc32(text.cast("binary")).alias("text_crc32"))

@@ -2,16 +2,19 @@
 
 Arrivals are appended as small immutable shards (Parquet files that nothing changes
 afterwards). A shard belongs to the tier of its size: tier t holds sizes up to
-``small * fanout ** t``. When a tier has ``fanout`` shards, runs of neighbours of about
-``target`` bytes are merged into one shard each; a merged shard of ``target`` bytes or more is
-final. The table is what the newest manifest lists. A commit writes a new manifest under the
-next version's name by an atomic rename that fails if the name exists, so a reader sees the
-old or the new list, never a mixture, and of two writers one loses and starts over. Shards
+``small * fanout ** t``. When a tier has ``fanout`` shards, they are merged in order of arrival
+into shards of about ``target`` bytes, each of which takes the place of its first source; a
+shard of half of ``target`` or more is final. The table is what the newest manifest lists. A
+commit writes a new manifest under the next version's name by a rename that fails if the name
+exists, so a reader sees the old or the new list, never a mixture, and of two writers one loses
+and starts over. The file system must offer that rename: HDFS does; on local disks and object
+stores Hadoop looks first and moves then, so there only one writer at a time is safe. Shards
 that no manifest lists (of a lost task or a lost race) are never read.
 
 Row data passes through Spark's writers only; the driver handles file names and sizes. Any
-schema works, null values included; an empty arrival adds a version without shards. Rows are
-kept as they come, repeated ones included.
+schema works, null values and long texts included; columns that only some arrivals have are
+null in the rest. An empty arrival adds a version without shards. Rows are kept as they come,
+repeated ones included.
 """
 
 from __future__ import annotations
@@ -76,10 +79,13 @@ class ShardTable:
         """Every non-empty partition of ``rows`` becomes one shard; returns the new version."""
         folder = f"data/a-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{folder}")
+        made = self._written(folder, level=0)
+        if len(made) == 1 and self.spark.read.parquet(f"{self.path}/{folder}").isEmpty():
+            made = []
         while True:
             base = self.manifest()
             try:
-                return self._commit(base["version"], base["shards"] + self._written(folder, level=0))
+                return self._commit(base["version"], base["shards"] + made)
             except Exception as error:
                 if "already exist" not in str(error):
                     raise
@@ -124,10 +130,10 @@ class ShardTable:
             if not (groups := self.plan(base["shards"])):
                 return base["version"]
             with ThreadPoolExecutor(AT_ONCE) as pool:
-                made = [s for shards in pool.map(self._merge, groups) for s in shards]
-            gone = {s["name"] for g in groups for s in g}
+                made = list(pool.map(self._merge, groups))
+            places = {s["name"]: [] for g in groups for s in g} | {g[0]["name"]: m for g, m in zip(groups, made)}
             try:
-                self._commit(base["version"], sorted([s for s in base["shards"] if s["name"] not in gone] + made, key=lambda s: s["name"]))
+                self._commit(base["version"], [x for s in base["shards"] for x in places.get(s["name"], [s])])
             except Exception as error:
                 if "already exist" not in str(error):
                     raise
@@ -150,5 +156,5 @@ class ShardTable:
         if not shards:
             raise ValueError("the table has no rows yet: its schema is unknown")
         # basePath-less reads of single files add no partition column
-        rows = self.spark.read.parquet(*(f"{self.path}/{s['name']}" for s in shards))
+        rows = self.spark.read.option("mergeSchema", True).parquet(*(f"{self.path}/{s['name']}" for s in shards))
         return rows.withColumn("__shard", F.element_at(F.split("_metadata.file_path", "/data/"), -1))
