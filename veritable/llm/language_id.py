@@ -201,7 +201,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[float]], keys: list[str |
     kept = frame.columns[:-1]
     prototypes = _unit(np.array([profiles[n] for n in names], np.float64).reshape(len(names), dims))
     common = prototypes.mean(0) if len(names) > 1 else np.zeros(dims)
-    prototypes = _unit(prototypes - common).astype(np.float32)
+    prototypes = _unit(prototypes - common)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = _Vectors(dims) if names else None
@@ -210,9 +210,9 @@ def predict(docs: DataFrame, profiles: dict[str, list[float]], keys: list[str |
                 pred, conf = ["und"] * part.num_rows, np.zeros(part.num_rows)
                 if names:
                     v, has = vectors.of(part.column("__text").to_pylist())
-                    cos = _unit(_unit(v) - common.astype(np.float32)) @ prototypes.T
+                    cos = _unit(_unit(v.astype(np.float64)) - common) @ prototypes.T
                     best = cos.argmax(1)
-                    odds = np.exp(12.0 * (cos - cos.max(1, keepdims=True)).astype(np.float64))
+                    odds = np.exp(12.0 * (cos - cos.max(1, keepdims=True)))
                     conf = np.where(has, 1 / odds.sum(1), 0.0)
                     pred = [names[b] if h else "und" for b, h in zip(best.tolist(), has.tolist())]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(pred, pa.string()), pa.array(conf, pa.float64())], [*kept, "lang_pred", "score"])
