@@ -162,3 +162,41 @@ def test_sharding_compacts_and_versions(spark, make_docs, tmp_path, rng):
     before = table.version()
     table.append(make_docs([]))
     assert table.version() == before + 1 and table.read().count() == len(everything)
+
+
+def test_range_coder_beats_zlib_on_skewed_ids_and_learns_many_ids():
+    r = np.random.default_rng(3)
+    for ids in (np.minimum(r.zipf(1.2, 400_000), 50_000), np.repeat(r.integers(0, 200_000, 40_000), 6)[r.permutation(240_000)]):
+        data = range_coder.encode_block(ids.astype(np.uint32))
+        assert (range_coder.decode_block(data) == ids).all()
+        assert len(data) < len(zlib.compress(ids.astype("<u4").tobytes(), 6))
+
+
+def test_rows_without_ids_are_written_and_linked_with_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "one two"), (3, "b"), (None, "one two"), (3, "a")], "doc_id long, text string")
+    binary_output.write(docs, str(tmp_path / "t"))
+    rows = sorted(binary_output.read(spark.read.parquet(str(tmp_path / "t"))).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, 3, 3] and rows[0].ids_crc32 == rows[1].ids_crc32
+    vectors = spark.createDataFrame([(None, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1), (2, [9.0, 0.0], 0)], "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(vectors).collect()), key=str)
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (None, 0, None, True)]
+
+
+def test_shards_keep_their_order_and_every_column(spark, make_docs, tmp_path):
+    table = sharding.ShardTable(spark, str(tmp_path / "t"), small=100_000, fanout=4, target=1_000_000)
+    for k in range(4):
+        rows = spark.createDataFrame([(k, f"text {k}")], "doc_id long, text string").coalesce(1)
+        table.append(rows.withColumn("extra", F.lit(k)) if k == 2 else rows)
+    table.append(spark.createDataFrame([], "doc_id long, text string"))
+    assert len(table.manifest()["shards"]) == 4
+    table.compact()
+    table.append(spark.createDataFrame([(9, "last")], "doc_id long, text string").coalesce(1))
+    assert [s["level"] for s in table.manifest()["shards"]] == [1, 0]
+    assert sorted((r.doc_id, r.extra) for r in table.read().collect()) == [(0, None), (1, None), (2, 2), (3, None), (9, None)]
+
+
+def test_chat_log_of_the_query_streams_edits_and_regenerates(spark):
+    table = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", f"text {k}") for k in range(12)], "conv_id long, turn long, role string, text string")
+    events = chat.as_events(table)
+    assert {r.event for r in events.select("event").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    assert [(r.role, r.text) for r in chat.fold(events).orderBy("turn").collect()] == [("assistant" if k % 2 else "user", f"text {k}") for k in range(12)]

@@ -2,13 +2,16 @@
 
 import random
 import re
+import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import prose
 from tests.llm.test_output_operators import library_ids
 from tests.llm.test_text_operators import naive_fingerprint, naive_groups
+from veritable.llm import queries
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +88,38 @@ def test_stages_one_after_another(spark, folder):
     whole = corpus_pipeline.run(spark, folder).collect()
     assert {(p.doc_id, p.doc_tokens) for p in whole} == {(p.doc_id, p.doc_tokens) for p in pieces}
     assert sum(p.length for p in whole) == sum(p.length for p in pieces)
+
+
+def test_stages_take_odd_columns_nulls_and_empty_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = docs.selectExpr("*", "1 as score", "'x' as lang_pred", "2 as `my col`", "3 as `a.b`", "4 as kept_text", "5 as `tag`", "6 as component_id", "7 as carried")
+    odd = odd.unionByName(odd.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    for table in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, folder)
+            assert out.dtypes == odd.dtypes, name
+            rows = out.collect()
+            assert table is odd or not rows
+            assert all((r["score"], r["lang_pred"], r["my col"], r["a.b"], r["tag"]) == (1, "x", 2, 3, 5) for r in rows)
+            if table is odd:
+                assert any(r.doc_id is None for r in rows), name
+        corpus_pipeline.STAGES[-1][1](spark, table, folder).count()
+
+
+def test_registered_queries_return_their_contracts(spark):
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    want = {
+        "op2_language_id": ["doc_id", "held_out", "lang_pred", "score"], "op3_simhash": ["doc_id", "fingerprint", "component_id"], "op4_quality": ["doc_id", "held_out", "score", "predicted"],
+        "op8_binary_output": ["doc_id", "start", "n_tokens", "ids_crc32"], "op9_sharding": ["doc_id", "shard", "n_bytes", "text_crc32"], "op10_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        "op1_decontamination": ["doc_id", "contaminated", "item_id", "share", "cosine"],
+    }
+    for name, columns in want.items():
+        rows = queries.QUERIES[name](spark, sf).collect()
+        assert len(rows) == n and list(rows[0].asDict()) == columns, name
+        for r in rows:
+            if "held_out" in columns:
+                assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1
+            if "predicted" in columns:
+                assert r.predicted == int(r.score >= 0.3)
+    assert -1 in {r.conv_id for r in queries.QUERIES["op6_chat"](spark, sf).collect()}

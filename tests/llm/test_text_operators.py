@@ -293,3 +293,52 @@ def test_suffix_dedup_with_repeated_rows_keeps_one_copy(spark, make_docs, rng):
     assert [r.n_removed for r in rows] == [0, 0]
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
     assert docs.select(F.lit(1)).count() == 1
+
+
+def test_language_of_a_text_does_not_depend_on_its_neighbours(spark, make_docs, rng):
+    texts = [prose(rng, 12, lang) for lang in ("en", "de") * 20] + ["".join(chr(0x4E00 + k) for k in range(400)), "".join(chr(0x4E00 + 7 * k) + "a" for k in range(200))]
+    profiles = language_id.fit(make_docs(texts[:40], ["en", "de"] * 20).select("text", "lang"))
+    predict = lambda ts, n: {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language_id.predict(make_docs(ts).select("doc_id", "text").repartition(n), profiles, ["doc_id"]).collect()}
+    vectors = language_id._Vectors(64)
+    whole, has = vectors.of(texts)
+    for i, t in enumerate(texts):
+        one, h = language_id._Vectors(64).of([t])
+        assert (one[0] == whole[i]).all() and h[0] == has[i]
+    assert predict(texts, 1) == predict(texts, 30)
+
+
+def test_suffix_dedup_of_rows_without_or_with_equal_ids(spark, rng):
+    passage = prose(rng, 60)
+    rows = [(None, "a " + passage), (None, "b " + passage), (None, "a " + passage), (4, "c " + passage), (4, "other " + prose(rng, 40))]
+    got = sorted((r.doc_id or -1, r.n_removed > 0, r.kept_text) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect())
+    # of the texts without an id one keeps the passage, in both its rows or alone
+    assert [x[1] for x in got].count(False) in (2, 3) and (4, False, rows[4][1]) in got and any(x[0] == 4 and x[1] for x in got)
+
+
+def test_simhash_keeps_rows_without_an_id(spark, rng):
+    text = prose(rng, 40)
+    docs = spark.createDataFrame([(None, text), (2, text), (1, text), (None, text)], "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in simhash.keep_one(docs).collect()) == [0, 0, 1]
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {None: None, 1: 1, 2: 1}
+
+
+def test_decontamination_of_short_items_and_of_a_benchmark_in_blocks(spark, make_docs, rng, monkeypatch):
+    monkeypatch.setattr(decontamination, "MOST_ITEMS", 3)
+    vocabulary = words(rng, 500)
+    items = [rng.choices(vocabulary, k=n) for n in (2, 4, 6, 20, 30, 40, 90)]
+    docs = [rng.choices(vocabulary, k=120) for _ in range(30)]
+    for i, item in enumerate(items):
+        docs[i][50:50] = item
+    docs[20][10:10] = [items[1][0], "between", *items[1][1:]]
+    assert leaked(make_docs([" ".join(w) for w in docs]), bench_of(spark, items)) == {i: i for i in range(1, 7)}
+    docs = spark.createDataFrame([(None, " ".join(items[4])), (None, "clean")], "doc_id long, text string")
+    assert sorted(r.contaminated for r in decontamination.find(docs, bench_of(spark, items)).collect()) == [False, True]
+
+
+def test_truncated_decomposition_equals_the_exact_one():
+    r = np.random.default_rng(2)
+    a = r.standard_normal((300, 12)) @ r.standard_normal((12, 60))
+    start = r.standard_normal((60, 20))
+    sizes, vectors = decontamination.truncated(a.T @ (a @ start), start, 8)
+    _, s, v = np.linalg.svd(a)
+    assert np.allclose(sizes, s[:8], rtol=1e-4) and np.allclose(np.abs(np.sum(vectors * v[:8].T, 0)), 1, atol=1e-3)
