@@ -239,11 +239,14 @@ def p33_upload_errors(spark, sf):
     return rows.select("event_id", normalize.file_error(F.col("value"), F.concat(F.lit("f."), _picked(SUFFIXES, "event_id")), _picked(TYPES, "k5"), _picked(MODALITIES, "event_id"), {"image": 200}).alias("error"))
 
 
-@query("""select event_id, (json_extract_string(props, '$.k') is null) as missing, ['bad_modality'] as errors from events where json_extract_string(props, '$.k') is not null""")
+#: Feature objects with every kind of error and none, and what is wrong with each.
+PAYLOADS = ['{"k": 1.5, "x": 2, "modality_tag": "image"}', '{"k": "bad", "modality_tag": "audio"}', '{"x": 1, "z": 3, "modality_tag": "video"}', '{}', '{"k": 1, "x": 1, "modality_tag": "text"}', None]
+
+
+@query("""select event_id, case event_id % 6 when 0 then '' when 1 then 'missing:x,not_numeric:k' when 2 then 'missing:k,unknown:z' when 4 then 'bad_modality' else 'missing:k,missing:x,bad_modality' end as errors from events""")
 def p46_feature_errors(spark, sf):
     rows = b.table(spark, sf, "events")
-    errors = normalize.feature_errors("props", ["k"])
-    return rows.select("event_id", F.array_contains(errors, "missing:k").alias("missing"), errors.alias("errors")).where("not missing")
+    return rows.select("event_id", F.array_join(normalize.feature_errors(_picked(PAYLOADS, "event_id"), ["k", "x"]), ",").alias("errors"))
 
 
 @query(with_ctes("small", """select doc_id, round(1 / (1 + exp(-(ln(p / (1 - p)) / 1.5::double))), 6) as calibrated, case when 1 / (1 + exp(-(ln(p / (1 - p)) / 1.5::double))) >= 0.4 then 'fake' else 'real' end as label
