@@ -107,11 +107,11 @@ def test_chat_folds_deltas_edits_and_regenerations(spark):
     assert chat.format_log(events.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("crowded", [2, 64])
-def test_embedding_dedup_equals_brute_force(spark, crowded):
+@pytest.mark.parametrize("crowded, noise", [(2, 0.12), (64, 0.12), (64, 0.03), (64, 0.2)])
+def test_embedding_dedup_equals_brute_force(spark, crowded, noise):
     r = np.random.default_rng(5)
     centers = r.standard_normal((30, 32))
-    x = (centers[r.integers(0, 30, 300)] + 0.12 * r.standard_normal((300, 32))).astype(np.float32)
+    x = (centers[r.integers(0, 30, 300)] + noise * r.standard_normal((300, 32))).astype(np.float32)
     x[50:70] = x[50]
     x[70] = x[50] * 2
     label = r.integers(0, 3, 300).tolist()
