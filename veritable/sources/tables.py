@@ -30,12 +30,17 @@ def parsed_labels(rows: DataFrame, label: str = "label", text: str = "label_str"
     return rows.withColumn("parse_error", image_label_error(label, text)).withColumn("clean_label", image_label(label, text))
 
 
-def read_protocol(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Protocol lines of at least five fields: speaker, clip, attack, label; blanks and # skipped."""
+def protocol_rows(lines: DataFrame, *more: Column) -> DataFrame:
+    """Lines (column value) of at least five fields: speaker, clip, attack, label; blanks and # skipped."""
     line = F.trim("value")
     parts = F.split(line, r"\s+")
-    rows = spark.read.text(path).where((line != "") & ~line.startswith("#")).where(F.size(parts) >= 5)
-    return rows.select(parts[0].alias("speaker_id"), parts[1].alias("clip_id"), parts[3].alias("attack"), audio_label(parts[4]).alias("label"), F.col("_metadata.file_path").alias("protocol_file"))
+    rows = lines.where((line != "") & ~line.startswith("#")).where(F.size(parts) >= 5)
+    return rows.select(parts[0].alias("speaker_id"), parts[1].alias("clip_id"), parts[3].alias("attack"), audio_label(parts[4]).alias("label"), *more)
+
+
+def read_protocol(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The rows of protocol files, and the file of each."""
+    return protocol_rows(spark.read.text(path), F.col("_metadata.file_path").alias("protocol_file"))
 
 
 def successful(metadata: DataFrame, version: str, mode: str | None = None) -> DataFrame:
