@@ -44,7 +44,7 @@ def test_scan_and_validate(spark, tmp_path):
     listing = media.listing(spark, str(tmp_path))
     assert "content" not in listing.columns and listing.count() == 5
     assert [(r.name, r.n) for r in media.repeated_names(listing).collect()] == [("a.jpg", 2)]
-    assert {r.category: r.n_files for r in media.directory_summary(listing).collect()} == {"image": 3, "document": 1, "audio": 1}
+    assert {r.category: r.n_files for r in media.directory_summary(listing).collect()} == {"image": 3, "metadata": 1, "audio": 1}
 
 
 def test_video_labels(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,24 +93,28 @@ def generator_pairs(df: DataFrame, ident: str, order: str, most: int = 10, role:
     return a.join(b, generator)
 
 
-def near_hash_pairs(hashes: DataFrame, bits: int, most: int, key: str = "hash") -> DataFrame:
+def near_hash_pairs(hashes: DataFrame, bits: int, most: int, key: str = "hash", agree: int = 3) -> DataFrame:
     """Pairs of distinct hashes at Hamming distance 1..most: (a, b, distance), a < b.
 
-    The bits are cut into most + 1 bands; two hashes that differ in at most ``most`` bits agree
-    in a band, so an equi-join on bands misses none. A pair is reported by its first
-    common band only, which spares a distinct over all candidates."""
-    n = most + 1
+    The bits are cut into most + agree bands; two hashes that differ in at most ``most`` bits
+    agree in ``agree`` bands or more, so an equi-join on all choices of so many bands misses none.
+    More bands to agree in make longer keys that fewer far hashes share, and more rows per
+    hash. A pair is reported by its first common choice only, which spares a distinct over all
+    candidates."""
+    n = most + agree
     edges = [round(bits * k / n) for k in range(n + 1)]
-    band = lambda c, k: F.shiftrightunsigned(c, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
+    mask = lambda k: F.lit((1 << (edges[k + 1] - edges[k])) - 1).cast("long")
+    band = lambda c, k: F.shiftrightunsigned(c, edges[k]).bitwiseAND(mask(k))
+    joined = lambda c, ks: F.array(*(band(c, k) for k in ks))
     rows = hashes.select(F.col(key).cast("long").alias("h")).where("h is not null").distinct()
-    cells = rows.select("h", F.posexplode(F.array(*(band(F.col("h"), k) for k in range(n)))).alias("band", "part"))
-    a, b = cells.select("band", "part", F.col("h").alias("a")), cells.select("band", "part", F.col("h").alias("b"))
+    choices = [F.struct(F.lit(ks[-1]).alias("last"), F.xxhash64(F.lit(i), joined(F.col("h"), ks)).alias("cell"), F.lit(i).alias("choice")) for i, ks in enumerate(combinations(range(n), agree))]
+    cells = rows.select("h", F.explode(F.array(*choices)).alias("c")).select("h", "c.*")
+    a, b = cells.withColumnRenamed("h", "a"), cells.select("cell", "choice", F.col("h").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = a.join(b, ["band", "part"]).where("a < b").where(F.bit_count(x) <= most)
-    earlier = F.lit(False)
-    for k in range(n):
-        earlier = earlier | ((F.col("band") > k) & (band(x, k) == 0))
-    return pairs.where(~earlier).select("a", "b", F.bit_count(x).alias("distance"))
+    pairs = a.join(b, ["cell", "choice"]).where("a < b").where(F.bit_count(x) <= most)
+    # the first common choice: no other band up to its last one agrees
+    same = [F.when((F.col("last") >= k) & (band(x, k) == 0), 1).otherwise(0) for k in range(n)]
+    return pairs.where(sum(same[1:], same[0]) == agree).select("a", "b", F.bit_count(x).alias("distance"))
 
 
 def near_duplicates(df: DataFrame, hash_col: str, ident: str, role: str, bits: int, most: int) -> DataFrame:

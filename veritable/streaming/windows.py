@@ -63,17 +63,18 @@ def ema_series(windows: DataFrame, stream: str, alpha: float, threshold: float =
 
 def sweep(df: DataFrame, stream: str, configs: list[tuple[int, float]], alpha: float, order: str = "pos") -> DataFrame:
     """Final smoothed score of each stream for every (window, overlap): 0.5 where the stream
-    is too short for a window."""
-    parts = []
-    for window, overlap in configs:
-        w = sliding_windows(df, stream, window, effective_step(window, overlap))
-        last = ema_last(w, stream, "window_idx", "raw", alpha)
-        rows = df.select(stream).distinct().join(last, stream, "left")
-        parts.append(rows.select(F.lit(window).alias("window_size"), F.lit(overlap).alias("overlap"), stream, F.coalesce("smoothed", F.lit(0.5)).alias("final_score")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    is too short for a window. One scan and one shuffle serve all configurations; each window
+    size is averaged once."""
+    for window in sorted({w for w, _ in configs}):
+        df = df.withColumn(f"__raw{window}", F.avg("x").over(Window.partitionBy(stream).orderBy(order).rowsBetween(1 - window, 0)))
+    choices = [F.struct(F.lit(w).alias("window_size"), F.lit(o).alias("overlap"), F.lit(effective_step(w, o)).alias("step"), F.col(f"__raw{w}").alias("raw")) for w, o in configs]
+    rows = df.select(stream, F.col(order).alias("at"), F.explode(F.array(*choices)).alias("c")).select(stream, "at", "c.*")
+    full = (F.col("at") >= F.col("window_size")) & ((F.col("at") - F.col("window_size")) % F.col("step") == 0)
+    # a stream's first element keeps its row, so that short streams are there too
+    rows = rows.where(full | (F.col("at") == 1)).withColumn("raw", F.when(full, F.col("raw")))
+    line = F.array_sort(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("at", "raw"))))
+    last = _smooth(F.transform(line, lambda s: s["raw"]), alpha)
+    return rows.groupBy("window_size", "overlap", stream).agg(F.coalesce(last, F.lit(0.5)).alias("final_score"))
 
 
 def smooth_boxes(boxes: Column, alpha: float) -> Column:
