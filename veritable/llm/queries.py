@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritable.llm import binary_output, chat, decontamination, embedding_dedup, language_id, packing, quality, sharding, simhash, suffix_dedup
+from veritable.llm import binary_output, chat, decontamination, embedding_dedup, hard_negatives, language_id, merkle, packing, pii, quality, sharding, simhash, suffix_dedup
 from veritable.llm.common import held_out, shared_dir
 
 
@@ -78,6 +78,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), label=shifted)
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -89,9 +102,73 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_binary_output": op8_binary_output,
     "op9_sharding": op9_sharding,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_merkle": op11_merkle,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_pii": op13_pii,
 }
 
+
+def _merkle_sql(levels: int = 7) -> str:
+    """The trees level by level: 16 ** levels leaves a source, and as many sources."""
+    field = lambda c: f"coalesce(strlen(({c})::varchar)::varchar || ':' || ({c})::varchar, '-')"
+    text = "case when changed then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end"
+    crc = "list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda s: ord(s)::bigint)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))"
+    head = ", ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+    def tree(of: str, keys: str, rest: str) -> str:
+        """From of0 (tree, rank, n, digest, shown, proof and ``rest``): of1 and so on; a tree's top stays."""
+        return "".join(
+            f"""
+            , {of}{k}s as (select *, rank // 16 as up, row_number() over (partition by {keys}, rank // 16 order by rank) as place from (select distinct {keys}, rank, n, digest from {of}{k}))
+            , {of}{k}r as (select {keys}, up, list(digest order by place) as run from {of}{k}s group by all)
+            , {of}{k + 1} as (
+              select {", ".join(f"a.{c}" for c in [keys, *rest.split(", ")] if c)}, a.rank // 16 as rank, (a.n + 15) // 16 as n,
+                case when a.n > 1 then sha256(array_to_string(r.run, '')) else a.digest end as digest,
+                case when a.n > 1 then sha256(array_to_string(list_concat(r.run[: a.rank % 16], [a.shown], r.run[a.rank % 16 + 2 :]), '')) else a.shown end as shown,
+                case when a.n > 1 then a.proof || array_to_string(list_concat(r.run[: a.rank % 16], r.run[a.rank % 16 + 2 :]), '') else a.proof end as proof
+              from {of}{k} a join {of}{k}r r on a.{keys} = r.{keys} and a.rank // 16 = r.up)"""
+            for k in range(levels)
+        )
+
+    return f"""
+        with changed as (select *, coalesce((4294967295 - {crc}) % 5 = 0, false) as changed from documents)
+        , hashed as (select doc_id, source, sha256(concat({head}, {field("text")})) as leaf, sha256(concat({head}, {field(text)})) as shown from changed)
+        , numbered as (select source, row_number() over (order by source nulls first) - 1 as tree from (select distinct source from documents))
+        , leaf0 as (
+          select n.tree, h.doc_id, h.leaf, row_number() over (partition by n.tree order by h.doc_id nulls first, h.leaf) - 1 as rank,
+            count(*) over (partition by n.tree) as n, h.leaf as digest, h.shown, '' as proof
+          from hashed h join numbered n on h.source is not distinct from n.source)
+        {tree("leaf", "tree", "doc_id, leaf")}
+        , crown0 as (select 0 as crown, doc_id, leaf, tree, tree as rank, (select count(*) from numbered) as n, digest as subroot, digest, shown, proof from leaf{levels})
+        {tree("crown", "crown", "doc_id, leaf, subroot")}
+        select doc_id, leaf, subroot, digest as root, sha256(proof) as proof_sha256, shown as folded_root, shown = digest as verified from crown{levels}
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle": _merkle_sql(),
+    "op12_hard_negatives": """
+        with v as (
+          select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+            list_transform(embedding, lambda x: floor(256 * x::double)) as q
+          from embeddings
+          where label is not null and embedding is not null
+            and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))) is not false
+        ), scored as (
+          select a.vec_id as anchor_id, v.vec_id, a.label = v.label as same, list_dot_product(a.q, v.q)::bigint as score
+          from v a, v where a.vec_id % 100 = 0 and a.vec_id <> v.vec_id and len(a.q) = len(v.q)
+        ), mates as (
+          select anchor_id, vec_id as positive_id, score as positive_score,
+            row_number() over (partition by anchor_id order by score desc, vec_id) as place
+          from scored where same
+        ), found as (
+          select p.anchor_id, p.positive_id, s.vec_id as negative_id, p.positive_score, s.score as negative_score,
+            row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as rank
+          from mates p join scored s on s.anchor_id = p.anchor_id
+          where p.place <= 5 and not s.same and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+        )
+        select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from found where rank <= 10
+    """,
     "op6_chat": """
         with rows as (
           select conv_id, turn, role, coalesce(text, '') as text from conversations
