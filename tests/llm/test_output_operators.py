@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import prose
@@ -156,7 +157,7 @@ def test_sharding_compacts_and_versions(spark, make_docs, tmp_path, rng):
     assert table.read(1).count() == 62
     assert all(s["bytes"] <= 1.25 * table.target for s in now["shards"])
     with pytest.raises(Exception, match="exist"):
-        table._commit(now["version"] - 1, [])
+        table._commit(now["version"] - 1, [], StructType())
     assert table.version() == now["version"]
     assert table.vacuum() > 0 and table.read().count() == len(everything)
     before = table.version()
@@ -195,6 +196,32 @@ def test_shards_keep_their_order_and_every_column(spark, make_docs, tmp_path):
     assert sorted((r.doc_id, r.extra) for r in table.read().collect()) == [(0, None), (1, None), (2, 2), (3, None), (9, None)]
 
 
+def test_shards_of_empty_arrivals_and_of_a_column_named_shard(spark, tmp_path):
+    table = sharding.ShardTable(spark, str(tmp_path / "e"))
+    for columns in ("doc_id long, text string", "doc_id long, extra array<int>"):
+        table.append(spark.createDataFrame([], columns))
+    assert table.compact() == 2 and table.read().count() == 0
+    assert dict(table.read().dtypes) == {"doc_id": "bigint", "text": "string", "extra": "array<int>", "__shard": "string"}
+    with pytest.raises(ValueError, match="doc_id"):
+        table.append(spark.createDataFrame([], "doc_id string"))
+    table = sharding.ShardTable(spark, str(tmp_path / "s"))
+    table.append(spark.createDataFrame([(1, "mine")], "doc_id long, __shard string"))
+    with pytest.raises(ValueError, match="another name"):
+        table.read()
+    (row,) = table.read(shard="file").collect()
+    assert row["__shard"] == "mine" and row.file.endswith(".parquet")
+
+
+def test_many_rows_without_an_id_are_written_by_several_tasks(spark, tmp_path):
+    docs = spark.range(400).selectExpr("cast(null as long) as doc_id", "concat('text number ', id) as text").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges would be one
+    binary_output.write(docs, str(tmp_path / "t"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    blocks = spark.read.parquet(str(tmp_path / "t"))
+    rows = binary_output.read(blocks).collect()
+    assert blocks.select("shard").distinct().count() > 1 and len(rows) == 400 and sum(r.n_tokens for r in rows) == max(r.start + r.n_tokens for r in rows)
+
+
 def test_chat_log_of_the_query_streams_edits_and_regenerates(spark):
     table = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", f"text {k}") for k in range(12)], "conv_id long, turn long, role string, text string")
     events = chat.as_events(table)

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -342,3 +343,116 @@ def test_truncated_decomposition_equals_the_exact_one():
     sizes, vectors = decontamination.truncated(a.T @ (a @ start), start, 8)
     _, s, v = np.linalg.svd(a)
     assert np.allclose(sizes, s[:8], rtol=1e-4) and np.allclose(np.abs(np.sum(vectors * v[:8].T, 0)), 1, atol=1e-3)
+
+
+def test_suffix_dedup_tells_texts_of_one_id_apart(spark, rng, monkeypatch):
+    """Two texts of one doc_id whose first tags clash: nothing of the one is cut out of the other."""
+    passage, other = prose(rng, 60), prose(rng, 70)
+    rows = [(3, passage), (7, "x " + passage), (7, other), (None, "y " + passage), (None, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tag = suffix_dedup._tag
+    monkeypatch.setattr(suffix_dedup, "_tag", lambda text, seed: F.lit(5).cast("long") if seed < 2 else tag(text, seed))
+    assert suffix_dedup._seed(docs.selectExpr("coalesce(doc_id, -1) as key", "text")) == 2
+    got = {(r.doc_id, r.n_bytes): (r.n_removed > 100, r.kept_text) for r in suffix_dedup.remove_repeats(docs, with_text=True).collect()}
+    size = lambda t: len(t.encode())
+    assert got[7, size(other)][0] and got[None, size(other)] == (False, other)  # a null id comes first
+    assert got[None, size(passage) + 2][0] is False and got[3, size(passage)][0] and got[7, size(passage) + 2][0]
+    monkeypatch.setattr(suffix_dedup, "_tag", lambda text, seed: F.lit(5).cast("long"))
+    with pytest.raises(RuntimeError):
+        suffix_dedup.remove_repeats(docs)
+
+
+def test_suffix_dedup_of_many_rows_without_an_id_and_many_copies(spark, rng):
+    passage = prose(rng, 40)
+    texts = [f"{i} {prose(rng, 30)}" for i in range(2500)] + [f"{i} {passage} {i}" for i in range(2500)]
+    copies = "copied " + prose(rng, 50) + passage
+    rows = [(None, t) for t in texts] + [(5, copies)] * 1000
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = suffix_dedup.remove_repeats(docs, carry=F.struct("text")).collect()
+    # without an id, texts come first, in the order of their tags
+    line = docs.where("doc_id is null").select("text", suffix_dedup._tag(F.col("text"), 0).alias("tag")).orderBy("tag").collect()
+    line = [r.text for r in line] + [copies]
+    want = naive_repeats(line)
+    by_text = {t: want[i] for i, t in enumerate(line)}
+    assert len(got) == 6000 and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == by_text[r.carried.text] for r in got)
+
+
+def test_cleaning_judges_each_row_by_its_own_text(spark, rng):
+    vocabulary = words(rng, 400)
+    item = " ".join(rng.choices(vocabulary, k=40))
+    clean = [" ".join(rng.choices(vocabulary, k=120)) for _ in range(6)]
+    leak = clean[0] + " " + item + " " + clean[1]
+    rows = [(1, leak, 0), (1, clean[2], 1), (None, leak, 2), (None, clean[3], 3), (2, None, 4), (3, "", 5), (4, clean[4], 6), (5, leak, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __leak int").withColumn("carried", F.lit("mine"))
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontamination.clean(docs, benchmark)
+    assert got.columns == docs.columns and sorted(r["__leak"] for r in got.collect()) == [1, 3, 4, 5, 6]
+    kept = simhash.keep_one(docs.withColumnRenamed("__leak", "gone").withColumn("__gone", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "gone", "carried", "__gone"] and kept.count() > 4
+
+
+def test_word_vectors_and_pools_equal_loops(spark, rng):
+    texts = [prose(rng, 20), prose(rng, 3), "", None, "one", "two words"] + [prose(rng, 9) for _ in range(10)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    buckets, dims = 64, 8
+    got = quality.word_vectors(docs, buckets=buckets, dims=dims)
+    place, sign = quality._index_vectors(buckets, dims)
+    lines = []
+    for t in texts:
+        h, _ = quality.shaped_words(*quality.text_bytes(pa.array([t], pa.string())))
+        lines.append([int(x) % buckets for x in h.tolist()])
+    want = np.zeros((buckets, dims))
+    for line in lines:
+        for i, b in enumerate(line):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(line):
+                    for k in range(quality.SLOTS):
+                        want[b, place[k][line[j]]] += sign[k][line[j]]
+    want -= want.sum(0) / max(1, np.count_nonzero(np.abs(want).sum(1)))
+    size = np.linalg.norm(want, axis=1)
+    want = np.array([v / s if s else v for v, s in zip(want, size)])
+    assert got == pytest.approx(want, abs=1e-4)
+    pooled = quality.pool(pa.array(texts, pa.string()), got)
+    for row, line in zip(pooled, lines):
+        v = got[line] if line else np.zeros((1, dims))
+        assert row == pytest.approx(np.concatenate([v.mean(0), v.std(0)]), abs=1e-3)
+
+
+def test_quality_network_slopes_and_temperature():
+    r = np.random.default_rng(4)
+    z, t = r.normal(0, 1, (40, 5)), r.integers(0, 2, 40).astype(float)
+    params = [r.normal(0, 0.5, (5, 3)), r.normal(0, 0.5, 3), r.normal(0, 0.5, 3), np.float64(0.1)]
+
+    def loss():
+        logit = np.tanh(z @ params[0] + params[1]) @ params[2] + params[3]
+        return np.mean(np.logaddexp(0, logit) - t * logit) + 0.5e-4 * ((params[0] ** 2).sum() + (params[2] ** 2).sum())
+
+    for i, slope in enumerate(quality.Network.slopes(params, z, t)):
+        flat = np.atleast_1d(params[i]).astype(float)
+        for at in np.ndindex(flat.shape):
+            both = []
+            for step in (1e-5, -1e-5):
+                moved = flat.copy()
+                moved[at] += step
+                before, params[i] = params[i], moved if np.ndim(params[i]) else moved[0]
+                both.append(loss())
+                params[i] = before
+            assert np.atleast_1d(slope)[at] == pytest.approx((both[0] - both[1]) / 2e-5, abs=1e-7)
+    x = r.normal(0, 1, (600, 4))
+    y = (x[:, 0] + r.normal(0, 1, 600) > 0).astype(int)
+    calibrate = np.arange(600) % 5 == 0
+    network = quality.Network().fit(x, y, calibrate)
+    logit, own = network.logits(x[calibrate]), y[calibrate]
+    cost = lambda temp: np.mean(np.logaddexp(0, logit / temp) - own * logit / temp)
+    best = min(np.geomspace(0.25, 8, 4001), key=cost)
+    assert network.temperature == pytest.approx(best, rel=0.05) and cost(network.temperature) <= cost(best) + 1e-4
+
+
+def test_quality_learns_one_row_of_each_id(spark, rng):
+    rows = [(i, prose(rng, 30, ["en", "de"][i % 2])) for i in range(120)]
+    docs = spark.createDataFrame(rows + [rows[1]] * 200 + [(None, "nobody's")], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id int, quality int")
+    vectors, network = quality.fit(docs, labels)
+    got = quality.score(docs, vectors, network).collect()
+    assert len(got) == 321 and all(0 <= r.score <= 1 for r in got) and [r.held_out for r in got if r.doc_id is None] == [None]

@@ -86,7 +86,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, cut: str = "
             encoder.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share an id, or have none, are dealt by their text, so none needs one task
+    tag = F.xxhash64("text")
+    ordered = rows.withColumn("tag", tag).repartitionByRange("doc_id", "tag").sortWithinPartitions("doc_id", "tag", "text").drop("tag")
     ordered.mapInArrow(tidy(run), "shard int, block int, before long, n_docs long, n_tokens long, payload binary").write.parquet(path)
 
 

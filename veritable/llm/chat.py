@@ -69,7 +69,7 @@ def render(messages: DataFrame) -> DataFrame:
     rows = messages.select("conv_id", "turn", "role", piece.alias("piece"), F.length(body).alias("size"), (F.length(role) + len(OPEN) + 1).alias("head"))
     rows = rows.withColumn("from", F.coalesce(F.sum(F.length("piece").cast("long")).over(before), F.lit(0)) + F.col("head"))
     parts = F.array_sort(F.collect_list(F.struct("turn", "piece", "role", "from", "size")))
-    spans = F.transform(F.filter("parts", lambda p: p["role"] == "assistant"), lambda p: F.struct(p["from"].cast("int").alias("start"), p["size"].alias("length")))
+    spans = F.transform(F.filter("parts", lambda p: p["role"] == "assistant"), lambda p: F.struct(p["from"].alias("start"), p["size"].alias("length")))
     return rows.groupBy("conv_id").agg(parts.alias("parts")).select("conv_id", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 

@@ -46,6 +46,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column's name that is not among these, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def packed(columns: list[str], **more: Column) -> Column:
     """All these columns as one struct, numbered, so that their names can't clash."""
     return F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)), *(c.alias(name) for name, c in more.items()))

@@ -37,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritable.llm.common import SLICE_BYTES, text_bytes, text_slices, tidy
+from veritable.llm.common import SLICE_BYTES, packed, text_bytes, text_slices, tidy, unpacked
 from veritable.llm.words import plain_words
 
 BLOCK, PIECE, FEATURES, RANK, EXTRA = 8, 64, 1 << 13, 128, 16
@@ -441,11 +441,13 @@ def _benchmark_blocks(benchmark: DataFrame) -> Iterator[tuple[list[int | None],
 _FIELDS = ["doc_id", "text", "contaminated", "item_id", "share", "cosine"]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: Column | None = None) -> DataFrame:
     """One row per document: doc_id, contaminated, item_id, share and cosine of its best match
-    (null, 0 and 0 without a candidate)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = rows.select("doc_id", "text", F.lit(False).alias("contaminated"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("share"), F.lit(0.0).alias("cosine"))
+    (null, 0 and 0 without a candidate). With ``carry``, a struct that comes along as ``carried``,
+    the text stays too, so that rows need not be joined back by their ids."""
+    along = [] if carry is None else [carry.alias("carried")]
+    rows = docs.select(*along, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = rows.select("*", F.lit(False).alias("contaminated"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("share"), F.lit(0.0).alias("cosine"))
     blocks = _benchmark_blocks(benchmark)
     block = next(blocks, None)
     while block:
@@ -456,10 +458,10 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
             df, total = _document_frequency(rows, bench)
             weight = 1.0 + np.log((1.0 + total) / (1.0 + df))
             fold, latent = _space(rows, bench, weight)
-        kept = [c for c in _FIELDS if block or c != "text"]  # the texts go on to the next block
+        kept = [c for c in out.columns if block or along or c != "text"]  # the texts go on to the next block
         schema = out.select(*kept).schema
         out = out.mapInArrow(tidy(_search(bench, ids, fold, latent, kept)), schema)
-    return out.drop("text")
+    return out if along else out.drop("text")
 
 
 def _search(bench: _Benchmark, ids: list[int | None], fold: np.ndarray, latent: np.ndarray, kept: list[str]):
@@ -479,6 +481,9 @@ def _search(bench: _Benchmark, ids: list[int | None], fold: np.ndarray, latent:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that match no item, with all their columns."""
-    leaks = find(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("long") == F.col("__leak"), "left_anti")
+    """The documents that match no item, with all their columns. Each row is judged by its own
+    text, whatever its doc_id is and whichever others share it."""
+    others = [c for c in docs.columns if c != "text"]
+    rows = find(docs, benchmark, carry=packed(others)).where("not contaminated")
+    restored = dict(zip(others, unpacked(others))) | {"text": F.col("text")}
+    return rows.select(*(restored[c] for c in docs.columns))

@@ -104,9 +104,23 @@ class Block:
         self.size = np.maximum(np.abs(self.least), np.abs(self.most))
 
     @classmethod
-    def of(cls, batch: pa.RecordBatch) -> Iterator[Block]:
-        for row in batch.to_pylist():
-            yield cls(row["d"], row["ids"], row["labels"], row["columns"])
+    def of(cls, batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+        """The blocks of a task, small ones of one length as one."""
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = sum(len(r["ids"]) for r in [*held, row]) // 8
+                if held and (row["d"] != held[0]["d"] or n > BLOCK or n * row["d"] > BLOCK_NUMBERS):
+                    yield cls._merged(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield cls._merged(held)
+
+    @classmethod
+    def _merged(cls, rows: list[dict]) -> Block:
+        whole = lambda parts: b"".join(parts)
+        return cls(rows[0]["d"], whole(r["ids"] for r in rows), whole(r["labels"] for r in rows), [whole(c) for c in zip(*(r["columns"] for r in rows))])
 
 
 def scan(block: Block, anchor: np.ndarray, alive: np.ndarray, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -129,12 +143,17 @@ def scan(block: Block, anchor: np.ndarray, alive: np.ndarray, keep: Callable[[np
         part = columns[dims] if len(alive) == columns.shape[1] else columns[np.ix_(dims, alive)]
         score = score + a[dims] @ part
         end = at + len(dims)
-        stay = keep(alive, score + low_left[end], score + high_left[end])
+        stay = keep(alive, _held(score + low_left[end]), _held(score + high_left[end]))
         if not stay.all():
             alive, score = alive[stay], score[stay]
             if not len(alive):
                 break
-    return alive, score
+    return alive, _held(score)
+
+
+def _held(scores: np.ndarray) -> np.ndarray:
+    """Whole numbers within 64 bits; only those that are no doubles can be beyond."""
+    return np.clip(scores, -_LONG, _LONG) if scores.dtype == object and len(scores) else scores
 
 
 def _kth(values: np.ndarray, k: int):
@@ -165,32 +184,27 @@ def _batch(found: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def _bounded(score: int) -> int:
-    return max(-_LONG, min(_LONG, score))
-
-
 def _find_positives(anchors: dict[int, list[tuple[int, int, np.ndarray]]], most: int):
     """``anchors``: (vec_id, label, numbers) by length. Best rows of each anchor's label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, Best] = {}
-        for batch in batches:
-            for block in Block.of(batch):
-                of_kind = {k: np.flatnonzero(block.labels == k) for k in np.unique(block.labels).tolist()}
-                for vec_id, label, a in anchors.get(len(block.columns), ()):
-                    alive = of_kind.get(label)
-                    if alive is None:
-                        continue
-                    alive = alive[block.ids[alive] != vec_id]
-                    top = best.setdefault(vec_id, Best(most))
-
-                    def keep(places, lower, upper, top=top):
-                        bars = [b for b in (top.bar, _kth(lower, most)) if b is not None]
-                        return upper >= max(bars) if bars else np.ones(len(places), bool)
-
-                    places, scores = scan(block, a, alive, keep)
-                    top.add(scores, block.ids[places])
-        rows = [(a, _bounded(s), i) for a, top in best.items() for s, i in top.rows]
+        for block in Block.of(batches):
+            of_kind = {k: np.flatnonzero(block.labels == k) for k in np.unique(block.labels).tolist()}
+            for vec_id, label, a in anchors.get(len(block.columns), ()):
+                alive = of_kind.get(label)
+                if alive is None:
+                    continue
+                alive = alive[block.ids[alive] != vec_id]
+                top = best.setdefault(vec_id, Best(most))
+
+                def keep(places, lower, upper, top=top):
+                    bars = [b for b in (top.bar, _kth(lower, most)) if b is not None]
+                    return upper >= max(bars) if bars else np.ones(len(places), bool)
+
+                places, scores = scan(block, a, alive, keep)
+                top.add(scores, block.ids[places])
+        rows = [(a, s, i) for a, top in best.items() for s, i in top.rows]
         yield _batch(rows, ["anchor_id", "score", "vec_id"], [pa.int64()] * 3)
 
     return run
@@ -202,30 +216,29 @@ def _find_negatives(anchors: dict[int, list[tuple[int, int, np.ndarray]]], windo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int], Best] = {}
-        for batch in batches:
-            for block in Block.of(batch):
-                not_kind = {k: np.flatnonzero(block.labels != k) for k in np.unique(block.labels).tolist()}
-                every = np.arange(len(block.ids))
-                for vec_id, label, a in anchors.get(len(block.columns), ()):
-                    wanted = windows.get(vec_id)
-                    alive = not_kind.get(label, every)
-                    if not wanted or not len(alive):
-                        continue
-                    tops = [best.setdefault((vec_id, positive), Best(most)) for positive, _, _ in wanted]
-
-                    def keep(places, lower, upper, wanted=wanted, tops=tops):
-                        stay = np.zeros(len(places), bool)
-                        for (_, least, largest), top in zip(wanted, tops):
-                            sure = lower[(lower >= least) & (upper <= largest)]
-                            bars = [b for b in (least, top.bar, _kth(sure, most)) if b is not None]
-                            stay |= (upper >= max(bars)) & (lower <= largest)
-                        return stay
-
-                    places, scores = scan(block, a, alive, keep)
+        for block in Block.of(batches):
+            not_kind = {k: np.flatnonzero(block.labels != k) for k in np.unique(block.labels).tolist()}
+            every = np.arange(len(block.ids))
+            for vec_id, label, a in anchors.get(len(block.columns), ()):
+                wanted = windows.get(vec_id)
+                alive = not_kind.get(label, every)
+                if not wanted or not len(alive):
+                    continue
+                tops = [best.setdefault((vec_id, positive), Best(most)) for positive, _, _ in wanted]
+
+                def keep(places, lower, upper, wanted=wanted, tops=tops):
+                    stay = np.zeros(len(places), bool)
                     for (_, least, largest), top in zip(wanted, tops):
-                        inside = (scores >= least) & (scores <= largest)
-                        top.add(scores[inside], block.ids[places[inside]])
-        rows = [(a, p, _bounded(s), i) for (a, p), top in best.items() for s, i in top.rows]
+                        sure = lower[(lower >= least) & (upper <= largest)]
+                        bars = [b for b in (least, top.bar, _kth(sure, most)) if b is not None]
+                        stay |= (upper >= max(bars)) & (lower <= largest)
+                    return stay
+
+                places, scores = scan(block, a, alive, keep)
+                for (_, least, largest), top in zip(wanted, tops):
+                    inside = (scores >= least) & (scores <= largest)
+                    top.add(scores[inside], block.ids[places[inside]])
+        rows = [(a, p, s, i) for (a, p), top in best.items() for s, i in top.rows]
         yield _batch(rows, ["anchor_id", "positive_id", "score", "vec_id"], [pa.int64()] * 4)
 
     return run

@@ -10,7 +10,8 @@ Word vectors cover all documents. The network is fitted on at most ``FIT_ROWS``
 rows, chosen by a hash of doc_id; that bound is the only sample. Null and empty texts pool to
 the zero vector and get the network's score for it. Without labels of both kinds every score
 is the share of label 1 (0.5 without any label). Repeated label rows: the largest label
-counts. Rows with a null doc_id are scored like any other and never learned from. A long text
+counts. Of documents that share a doc_id the smallest text teaches. Rows with a null doc_id are
+scored like any other, never learned from, and ``held_out`` is null there. A long text
 is a slice of its own; the memory beside it does not grow with the number of texts. Extra
 columns are ignored.
 """
@@ -106,6 +107,14 @@ class Network:
             return np.full(len(x), self.constant)
         return 1 / (1 + np.exp(-np.clip(self.logits(x.astype(np.float64)) / self.temperature, -30, 30)))
 
+    @staticmethod
+    def slopes(params: list, z: np.ndarray, t: np.ndarray, keep: float = 1e-4) -> list:
+        """Of the mean cross-entropy and half ``keep`` times the squared weights, by each parameter."""
+        a = np.tanh(z @ params[0] + params[1])
+        d = (1 / (1 + np.exp(-np.clip(a @ params[2] + params[3], -30, 30))) - t) / len(t)
+        back = d[:, None] * params[2] * (1 - a * a)
+        return [z.T @ back + keep * params[0], back.sum(0), a.T @ d + keep * params[2], d.sum()]
+
     def fit(self, x: np.ndarray, y: np.ndarray, calibrate: np.ndarray) -> Network:
         """``calibrate`` marks the rows that only set the temperature."""
         self.constant = float(y.mean()) if len(y) else 0.5
@@ -121,10 +130,7 @@ class Network:
             order = rng.permutation(len(t))
             for at in range(0, len(t), 256):
                 rows = order[at : at + 256]
-                a = np.tanh(z[rows] @ params[0] + params[1])
-                d = (1 / (1 + np.exp(-np.clip(a @ params[2] + params[3], -30, 30))) - t[rows]) / len(rows)
-                back = d[:, None] * params[2] * (1 - a * a)
-                grads, step = [z[rows].T @ back + 1e-4 * params[0], back.sum(0), a.T @ d + 1e-4 * params[2], d.sum()], step + 1
+                grads, step = self.slopes(params, z[rows], t[rows]), step + 1
                 for i, g in enumerate(grads):
                     m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
                     params[i] = params[i] - self.rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
@@ -143,10 +149,12 @@ class Network:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, Network]:
     """Word vectors of all documents, and the network fitted on labelled rows that are not held out."""
     vectors = word_vectors(docs)
-    known = labels.where(~held_out() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    known = labels.where(~held_out() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     # FIT_ROWS pairs of numbers at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    # one row for each id, however often it is repeated
+    rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")).select("doc_id", "text", "y")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,8 +13,9 @@ that no manifest lists (of a lost task or a lost race) are never read.
 
 Row data passes through Spark's writers only; the driver handles file names and sizes. Any
 schema works, null values and long texts included; columns that only some arrivals have are
-null in the rest. An empty arrival adds a version without shards. Rows are kept as they come,
-repeated ones included.
+null in the rest, and the manifest keeps the schema of all arrivals. An empty arrival adds a
+version without shards; a table of empty ones reads as an empty table. Rows are kept as they
+come, repeated ones included.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 SMALL, FANOUT, TARGET = 16 << 20, 4, 128 << 20
 AT_ONCE = 16
@@ -49,7 +51,7 @@ class ShardTable:
     def manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
-            return {"version": 0, "shards": []}
+            return {"version": 0, "schema": {"type": "struct", "fields": []}, "shards": []}
         stream = self._fs.open(self._at(f"manifests/v{version:012d}.json"))
         try:
             text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -57,8 +59,8 @@ class ShardTable:
             stream.close()
         return json.loads(text)
 
-    def _commit(self, base: int, shards: list[dict]) -> int:
-        text = json.dumps({"version": base + 1, "shards": shards}, sort_keys=True)
+    def _commit(self, base: int, shards: list[dict], schema: StructType) -> int:
+        text = json.dumps({"version": base + 1, "schema": schema.jsonValue(), "shards": shards}, sort_keys=True)
         self._fs.mkdirs(self._at("manifests"))
         draft, final = self._at(f"manifests/.draft-{uuid.uuid4().hex}"), self._at(f"manifests/v{base + 1:012d}.json")
         stream = self._fs.create(draft, False)
@@ -85,7 +87,7 @@ class ShardTable:
         while True:
             base = self.manifest()
             try:
-                return self._commit(base["version"], base["shards"] + made)
+                return self._commit(base["version"], base["shards"] + made, _joined(StructType.fromJson(base["schema"]), rows.schema))
             except Exception as error:
                 if "already exist" not in str(error):
                     raise
@@ -133,7 +135,7 @@ class ShardTable:
                 made = list(pool.map(self._merge, groups))
             places = {s["name"]: [] for g in groups for s in g} | {g[0]["name"]: m for g, m in zip(groups, made)}
             try:
-                self._commit(base["version"], [x for s in base["shards"] for x in places.get(s["name"], [s])])
+                self._commit(base["version"], [x for s in base["shards"] for x in places.get(s["name"], [s])], StructType.fromJson(base["schema"]))
             except Exception as error:
                 if "already exist" not in str(error):
                     raise
@@ -150,11 +152,26 @@ class ShardTable:
                 removed += 1
         return removed
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The table as of a version, with the shard each row is in as ``__shard``."""
-        shards = self.manifest(version)["shards"]
-        if not shards:
-            raise ValueError("the table has no rows yet: its schema is unknown")
+    def read(self, version: int | None = None, shard: str = "__shard") -> DataFrame:
+        """The table as of a version, with the shard each row is in as a column ``shard``. The
+        columns are those of all arrivals, empty ones too. A name that is taken is an error."""
+        found = self.manifest(version)
+        if not found["version"]:
+            raise ValueError("nothing has arrived yet: the schema is unknown")
+        schema = StructType.fromJson(found["schema"])
+        if shard.lower() in (f.name.lower() for f in schema):
+            raise ValueError(f"there is a column {shard} already: give another name for the shard")
+        if not found["shards"]:
+            return self.spark.createDataFrame([], schema).withColumn(shard, F.lit(None).cast("string"))
         # basePath-less reads of single files add no partition column
-        rows = self.spark.read.option("mergeSchema", True).parquet(*(f"{self.path}/{s['name']}" for s in shards))
-        return rows.withColumn("__shard", F.element_at(F.split("_metadata.file_path", "/data/"), -1))
+        rows = self.spark.read.schema(schema).parquet(*(f"{self.path}/{s['name']}" for s in found["shards"]))
+        return rows.withColumn(shard, F.element_at(F.split("_metadata.file_path", "/data/"), -1))
+
+
+def _joined(known: StructType, more: StructType) -> StructType:
+    """The columns of both; one that both have must have one type."""
+    types = {f.name: f.dataType for f in known}
+    for f in more:
+        if types.get(f.name, f.dataType) != f.dataType:
+            raise ValueError(f"column {f.name} came as {types[f.name].simpleString()}, now as {f.dataType.simpleString()}")
+    return StructType([*known.fields, *(StructField(f.name, f.dataType) for f in more if f.name not in types)])

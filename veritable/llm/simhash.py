@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritable.llm.common import components, materialize, tidy
+from veritable.llm.common import components, materialize, quoted, tidy, unused
 
 SEED = 42
 WIDTH = 3
@@ -129,5 +129,6 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """The documents that are the smallest of their group, with all their columns; documents
     without an id stay."""
     ids = near_duplicates(docs, text, doc_id).where("doc_id is not null").groupBy("doc_id")
-    gone = ids.agg(F.max(F.expr("doc_id = component_id")).alias("kept")).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")
+    name = unused("gone", docs.columns)
+    gone = ids.agg(F.max(F.expr("doc_id = component_id")).alias("kept")).where("not kept").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col(quoted(doc_id)).cast("long") == F.col(name), "left_anti")
