@@ -132,3 +132,53 @@ def test_pictures_that_are_not_square_have_no_spectrum(spark):
     assert [(r.s, r.l, r.h) for r in got[:4]] == [(None, None, None)] * 4
     # a ramp grows along both axes: of its low cosine waves those of row 0 and column 0 alone are not zero
     assert len(got[4].s) == 256 and got[4].h is not None
+
+
+def test_null_keys_and_null_rows_in_every_metric(spark):
+    """A null key has the metrics of its rows; rows without a score or a label count nowhere."""
+    import random
+
+    r = random.Random(4)
+    rows = [(m, s, r.randrange(2), round(r.random(), 2)) for m in ("a", None) for s in ("s", None) for _ in range(60)]
+    odd = [("a", "s", None, 0.9), ("a", "s", 1, None), (None, None, 1, None), ("only", "s", 1, None), ("one", "s", 1, 0.3), (None, "s", 1, 1.7)]
+    df = spark.createDataFrame(rows + odd, "model string, split string, y int, prob double").repartition(3)
+    got = {(g.model, g.split): g for g in E.all_metrics(df, ["model", "split"]).collect()}
+    cal = {(g.model, g.split): g for g in E.calibration(df, ["model", "split"]).collect()}
+    errors = {(g.model, g.split): g.ece for g in E.ece(df, ["model", "split"]).collect()}
+    curve = {(g.model, g.split): g.eer for g in E.curve_eer(df, ["model", "split"]).collect()}
+    grid = [0.0, 0.1, 0.25, 0.3, 0.5, 0.9]
+    even = E.threshold_grid(0.05, 0.96, 0.01)
+    for points in (grid, even):
+        counts = {(c.model, c.split, c.threshold): (c.tp, c.fp, c.tn, c.fn) for c in E.threshold_counts(df, ["model", "split"], points).collect()}
+        for m, s in {(k[0], k[1]) for k in counts}:
+            mine = [(y, p) for a, b, y, p in rows + odd if (a, b) == (m, s) and y is not None and p is not None]
+            for t in points:
+                assert counts[m, s, t] == (sum(y == 1 and p >= t for y, p in mine), sum(y == 0 and p >= t for y, p in mine), sum(y == 0 and p < t for y, p in mine), sum(y == 1 and p < t for y, p in mine))
+    assert set(got) == {("a", "s"), ("a", None), (None, "s"), (None, None), ("only", "s"), ("one", "s")} == set(cal)
+    for key, g in got.items():
+        mine = [(y, p) for a, b, y, p in rows + odd if (a, b) == key and y is not None and p is not None]
+        assert (g.tp, g.fn) == (sum(y == 1 and p >= 0.5 for y, p in mine), sum(y == 1 and p < 0.5 for y, p in mine))
+        if not mine:
+            assert (g.ece, g.brier, g.nll, g.roc_auc, cal[key].ece, key in errors) == (None, None, None, None, None, False)
+            continue
+        bins = {}
+        for y, p in mine:
+            if 0 <= p <= 1:
+                bins.setdefault(min(9, sum(p >= e for e in E.bin_edges()) - 1), []).append((y, p))
+        want = sum(abs(sum(y for y, _ in v) - sum(p for _, p in v)) for v in bins.values()) / len(mine)
+        assert g.ece == pytest.approx(want) == pytest.approx(errors[key]) and cal[key].ece == pytest.approx(want, abs=1e-6)
+        pos, neg = [p for y, p in mine if y], [p for y, p in mine if not y]
+        if pos and neg:
+            assert g.roc_auc == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)) == pytest.approx(cal[key].roc_auc)
+            at = {t: (sum(b >= t for b in neg) / len(neg), sum(a < t for a in pos) / len(pos)) for _, t in mine}
+            t = min(at, key=lambda t: (abs(at[t][0] - at[t][1]), t))
+            assert g.eer == pytest.approx(sum(at[t]) / 2) and 0 <= curve[key] <= 1
+        else:
+            assert g.roc_auc is None and g.eer is None and curve[key] == 0.5
+
+
+def test_youden_threshold_and_single_class_auc(spark):
+    df = spark.createDataFrame([("m", y, p) for y, p in ((0, 0.1), (0, 0.4), (1, 0.35), (1, 0.8))] + [("one", 1, 0.2)], "model string, y int, prob double")
+    got = {r.model: (r.threshold, r.value) for r in E.best_balanced_threshold(df, ["model"], [0.05, 0.3, 0.5, 0.9], near=None, criterion="youden").collect()}
+    assert got["m"] == (0.3, 0.5) and got["one"][0] == 0.5
+    assert {r.model: r.roc_auc for r in E.roc_auc(df, ["model"], single_class=0.5).collect()} == {"m": 0.75, "one": 0.5}

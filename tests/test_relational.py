@@ -174,3 +174,64 @@ def test_hash_ranks_equal_a_sort(spark):
     for g in (None, 0, 1, 2):
         ids = sorted((i for i in range(500) if (None if i % 7 == 0 else i % 3) == g), key=lambda i: hashlib.md5(f"s{i}".encode()).hexdigest())
         assert [got[i] for i in ids] == [(k + 1, len(ids)) for k in range(len(ids))]
+
+
+def test_deduplicate_with_nulls_and_chains(spark):
+    rows = [(0, None, None), (1, None, "a"), (2, "p", None), (3, "p", "b"), (4, "-", "c"), (5, None, "c")]
+    df = spark.createDataFrame(rows, "ord long, path string, sample_id string")
+    assert [x.decision for x in M.deduplicate(df).orderBy("ord").collect()] == sequential(rows)
+    chain = [(i, f"p{(i + 1) // 2}", f"i{i // 2}") for i in range(9)]  # each waits for the one before
+    df = spark.createDataFrame(chain, "ord long, path string, sample_id string")
+    assert [x.decision for x in M.deduplicate(df).orderBy("ord").collect()] == sequential(chain)
+    with pytest.raises(RuntimeError):
+        M.deduplicate(df, rounds=2)
+    with pytest.raises(ValueError):
+        M.deduplicate(spark.createDataFrame([(None, "p", "i")], "ord long, path string, sample_id string"))
+
+
+def test_ranks_with_many_null_keys_and_times(spark):
+    rows = spark.range(400).selectExpr("id", "if(id < 300, null, id) as k", "if(id < 250, null, timestamp_seconds(id % 60)) as ts")
+    ranked = S.hash_ranks(rows.repartition(6), "k", []).collect()
+    assert sorted(r["__r"] for r in ranked) == list(range(1, 401)) and {r["__total"] for r in ranked} == {400}
+    cut = S.time_aware(rows, "ts", "k", (0.25, 0.10)).collect()
+    timed = sorted((r.ts, r.k is not None, r.k or 0) for r in cut if r.ts)
+    assert [sum(r.subset == s for r in cut) for s in ("train", "val", "test")] == [100, 40, 260]
+    assert {(r.ts, r.k is not None, r.k or 0) for r in cut if r.subset == "train"} == set(timed[:100])
+
+
+def test_first_wins_takes_the_least_of_each_key(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), (None, 5, "z"), (None, None, "n"), ("b", 7, None)], "k string, o int, v string")
+    assert {(r.k, r.o, r.v) for r in M.first_wins(rows, "k", ["o"]).collect()} == {("a", 1, "y"), (None, None, "n"), ("b", 7, None)}
+    assert M.first_wins(rows, "k", ["o"]).columns == rows.columns
+
+
+def test_counts_of_classes_give_the_verdict_of_all_pairs(spark):
+    r = random.Random(9)
+    roles = ["train", "val", "test_seen", "test_unseen", None]
+    rows = [(i, f"s{i}", r.choice(["h1", "h2", "h3", None]), r.choice(roles)) for i in range(60)] + [(100, "x", "h9", "val"), (101, "y", "h9", "val")]
+    df = spark.createDataFrame(rows, "ord long, sample_id string, file_hash string, split_role string")
+    pairs = L.pairwise(df, "file_hash", "exact_duplicate", "sample_id", "ord")
+    unseen = (F.col("split_1") == "test_unseen") | (F.col("split_2") == "test_unseen")
+    want = L.verdict(pairs.withColumn("severity", F.when(unseen, "critical").otherwise("warning"))).first()
+    classes = L.duplicate_classes(df, "file_hash", "sample_id")
+    assert L.count_pairs(classes, "file_hash").first() == want and want.n_violations > 100
+    assert {c.file_hash for c in classes.collect()} == {"h1", "h2", "h3"} and sum(c.n for c in classes.collect()) == sum(h in ("h1", "h2", "h3") and s is not None for _, _, h, s in rows)
+    assert L.count_pairs(classes.limit(0), "file_hash").first().status == "PASS"
+
+
+@pytest.mark.parametrize("agree", [None, 1, 2, 4])
+def test_near_hashes_of_64_bits_whatever_bands_agree(spark, agree):
+    r = random.Random(3)
+    hashes = [r.getrandbits(64) for _ in range(20)]
+    for h in list(hashes):
+        for n in (1, 5, 6, 7):
+            for k in r.sample(range(64), n):
+                h ^= 1 << k
+            hashes.append(h)
+    signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+    df = spark.createDataFrame([(h,) for h in [*signed, None, signed[0]]], "hash long")
+    got = {(p.a, p.b, p.distance) for p in L.near_hash_pairs(df, 64, 6, agree=agree).collect()}
+    unsigned = {s: h for s, h in zip(signed, hashes)}
+    want = {(a, b, (unsigned[a] ^ unsigned[b]).bit_count()) for a in unsigned for b in unsigned if a < b and 1 <= (unsigned[a] ^ unsigned[b]).bit_count() <= 6}
+    assert got == want and len(want) >= 40
+    assert L.bands_to_agree(10**9, 64, 6) > L.bands_to_agree(1000, 64, 6)

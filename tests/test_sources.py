@@ -1,10 +1,12 @@
 import io
+import json
 import struct
 import wave
 
 import pytest
 from pyspark.sql import functions as F
 
+from veritable.operators import compare, splits
 from veritable.sources import media, sinks, tables
 
 
@@ -76,3 +78,43 @@ def test_sinks(spark, tmp_path):
     sinks.append_rows(df, str(tmp_path / "a"))
     assert spark.read.parquet(str(tmp_path / "a")).count() == 4
     assert "metric: auc" in sinks.text_report("Report", df)
+
+
+def test_every_role_has_its_files_and_an_empty_one_its_header(spark, tmp_path):
+    df = spark.createDataFrame([("a", "train", None), ("b", "val", "x,y"), ("c", "train", "z"), ("d", None, "w")], "id string, split_role string, note string")
+    roles = ["train", "val", "test_seen"]
+    stats = df.groupBy("split_role").count()
+    sinks.write_outputs(df, str(tmp_path / "out"), ["id", "note"], roles, stats, "# Report\n\nAll well.\n")
+    for role, want in (("train", [("a", None), ("c", "z")]), ("val", [("b", "x,y")]), ("test_seen", [])):
+        files = sorted((tmp_path / "out" / "splits" / f"role={role}").glob("part-*.csv"))
+        assert files and all(f.read_text().startswith("id,note") for f in files)
+        rows = spark.read.option("header", True).schema("id string, note string").csv(str(tmp_path / "out" / "splits" / f"role={role}")).collect()
+        assert sorted(map(tuple, rows)) == want
+    (report,) = (tmp_path / "out" / "report").glob("part-*")
+    assert report.read_text() == "# Report\n\nAll well.\n" and spark.read.json(str(tmp_path / "out" / "statistics")).count() == 3
+
+
+def test_reports_show_gaps_and_changes(spark):
+    rows = spark.createDataFrame([("m", "test_seen", 0.9, 0.8, 10, 4, 1, 0, 5), ("m", "test_unseen", 0.7, None, 10, 3, 2, 1, 4), ("n", "test_seen", 0.5, 0.5, 4, 1, 1, 1, 1)], "model string, split string, accuracy double, f1 double, support long, tn long, fp long, fn long, tp long")
+    text = sinks.gap_report(rows, compare.generalization_gap(rows, ["accuracy", "f1"]), ["accuracy", "f1"])
+    assert "| m | test_unseen | 0.7000 | n/a | 10 | 3 | 2 | 1 | 4 |" in text and "| m | 0.2000 | n/a | n/a |" in text and "| n | n/a | n/a | split_without_rows |" in text
+    change = spark.createDataFrame([("m", s, *v) for s, v in (("before", (0.2, 0.3, 0.7, 0.5)), ("after", (0.1, 0.25, 0.6, 0.5)))], "model string, stage string, ece double, brier double, nll double, f1 double")
+    text = sinks.calibration_report(change, ["model"], 1.5)
+    assert "Temperature: 1.5000" in text and "| m | after | 0.1000 | 0.2500 | 0.6000 | 0.5000 |" in text and "| m | -0.1000 | -0.0500 | -0.1000 | 0.0000 |" in text
+
+
+def test_policies_are_read_and_give_roles(spark):
+    text = json.dumps({"generator_taxonomy": {"unseen_forgery": ["newgan"]}, "split_generators": {"train": ["real", "oldgan"], "val": None}, "source_split_mapping": {"train": "train", "valid": "val", "test": "test_seen"}, "validation": {"min_minority_class_fraction": 0.2, "incompatible_split_pairs": [["train", "val"]]}})
+    policy = splits.load_policy(text)
+    assert policy == splits.Policy({"train": ["real", "oldgan"], "val": []}, ["newgan"], {"train": "train", "valid": "val", "test": "test_seen"}, 0.2, [("train", "val")])
+    assert splits.load_policy("{}").least_share == 0.10
+    with pytest.raises(ValueError):
+        splits.load_policy("[1]")
+    df = spark.createDataFrame([("train", "oldgan"), ("valid", "newgan"), ("test", None), ("odd", "real"), (None, None)], "upstream string, generator string")
+    assert [r[0] for r in df.select(splits.policy_roles(policy, "upstream", "generator")).collect()] == ["train", "test_unseen", "test_seen", None, None]
+
+
+def test_three_models_vote(spark):
+    df = spark.createDataFrame([(0.9, 0.2, 0.3), (0.1, 0.2, 0.3), (0.5, 0.5, 0.5), (None, 0.5, 0.5)], "a double, b double, c double")
+    got = [r[0] for r in df.select(compare.triad(F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert [(pytest.approx(g.prob), g.label, pytest.approx(g.confidence)) for g in got[:2]] == [(0.51, "FAKE", 0.51), (0.19, "REAL", 0.81)] and got[2].label == "FAKE" and got[3] is None

@@ -83,8 +83,8 @@ def squared_distance(x: ColumnOrName, y: ColumnOrName) -> Column:
 
 
 def sign_bits(x: ColumnOrName, n: int) -> Column:
-    """Bit i is set where the i-th value is positive."""
-    bits = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.get(col(x), i) > 0, F.expr("bigint(1)") * F.expr("1L")).otherwise(F.lit(0).cast("bigint")) * F.pow(F.lit(2), i).cast("bigint"))
+    """Bit i is set where the i-th value is positive, for up to 64 of them."""
+    bits = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.get(col(x), i) > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
 
 

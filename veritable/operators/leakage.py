@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,6 +85,26 @@ def pairwise(df: DataFrame, key: str, kind: str, ident: str, order: str, role: s
     return pairs.select(F.lit(kind).alias("violation_type"), F.col("a.id").alias("sample_id_1"), F.col("b.id").alias("sample_id_2"), F.col("a.role").alias("split_1"), F.col("b.role").alias("split_2"))
 
 
+def duplicate_classes(df: DataFrame, key: str, ident: str, role: str = "split_role", usable: Column | None = None) -> DataFrame:
+    """The same without pairs: key, role, n rows and the first id, of keys that several roles have."""
+    ok = F.col(key).isNotNull() if usable is None else usable
+    per = df.where(ok & F.col(role).isNotNull()).groupBy(key, F.col(role).alias("role")).agg(F.count("*").alias("n"), F.min(ident).alias("first_id"))
+    several = per.groupBy(key).agg(F.min("role").alias("lo"), F.max("role").alias("hi")).where("lo <> hi").select(key)
+    return per.join(several, key, "left_semi")
+
+
+def count_pairs(classes: DataFrame, key: str, critical: str = "test_unseen") -> DataFrame:
+    """n_violations, n_critical (pairs with a row of that role), n_warning and status, as
+    ``verdict`` has them of all pairs of ``pairwise``, from the sizes of the classes alone."""
+    n, other = F.col("n"), F.when(F.col("role") != critical, F.col("n")).otherwise(F.lit(0))
+    # of a key's rows, pairs of different roles: half of all ordered pairs but those of one role
+    pairs = lambda c: (F.sum(c) * F.sum(c) - F.sum(c * c)) / 2
+    per = classes.groupBy(key).agg(pairs(n).cast("long").alias("every"), pairs(other).cast("long").alias("mild"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    rows = per.agg(zero("every").alias("n_violations"), zero(F.col("every") - F.col("mild")).alias("n_critical"), zero("mild").alias("n_warning"))
+    return rows.withColumn("status", _status())
+
+
 def generator_pairs(df: DataFrame, ident: str, order: str, most: int = 10, role: str = "split_role", generator: str = "generator") -> DataFrame:
     """Example pairs of train and test_unseen rows of a generator, at most most x most each."""
     w = Window.partitionBy(generator, role).orderBy(order)
@@ -93,20 +114,31 @@ def generator_pairs(df: DataFrame, ident: str, order: str, most: int = 10, role:
     return a.join(b, generator)
 
 
-def near_hash_pairs(hashes: DataFrame, bits: int, most: int, key: str = "hash", agree: int = 3) -> DataFrame:
+def bands_to_agree(n: int, bits: int, most: int) -> int:
+    """The number of bands whose join costs least for n hashes: a row for each hash and choice of
+    bands, and half the pairs that chance lets agree. All give the same pairs of hashes."""
+    def cost(agree: int) -> float:
+        choices = comb(most + agree, agree)
+        return choices * n * (1 + n / 2 / 2 ** (bits * agree // (most + agree)))
+
+    return min(range(1, 6), key=cost)
+
+
+def near_hash_pairs(hashes: DataFrame, bits: int, most: int, key: str = "hash", agree: int | None = None) -> DataFrame:
     """Pairs of distinct hashes at Hamming distance 1..most: (a, b, distance), a < b.
 
     The bits are cut into most + agree bands; two hashes that differ in at most ``most`` bits
     agree in ``agree`` bands or more, so an equi-join on all choices of so many bands misses none.
     More bands to agree in make longer keys that fewer far hashes share, and more rows per
-    hash. A pair is reported by its first common choice only, which spares a distinct over all
-    candidates."""
+    hash; None chooses by their number. A pair is reported by its first common choice only, which
+    spares a distinct over all candidates."""
+    rows = hashes.select(F.col(key).cast("long").alias("h")).where("h is not null").distinct()
+    agree = bands_to_agree(rows.count(), bits, most) if agree is None else agree
     n = most + agree
     edges = [round(bits * k / n) for k in range(n + 1)]
     mask = lambda k: F.lit((1 << (edges[k + 1] - edges[k])) - 1).cast("long")
     band = lambda c, k: F.shiftrightunsigned(c, edges[k]).bitwiseAND(mask(k))
     joined = lambda c, ks: F.array(*(band(c, k) for k in ks))
-    rows = hashes.select(F.col(key).cast("long").alias("h")).where("h is not null").distinct()
     choices = [F.struct(F.lit(ks[-1]).alias("last"), F.xxhash64(F.lit(i), joined(F.col("h"), ks)).alias("cell"), F.lit(i).alias("choice")) for i, ks in enumerate(combinations(range(n), agree))]
     cells = rows.select("h", F.explode(F.array(*choices)).alias("c")).select("h", "c.*")
     a, b = cells.withColumnRenamed("h", "a"), cells.select("cell", "choice", F.col("h").alias("b"))
@@ -139,4 +171,8 @@ def near_clusters(df: DataFrame, hash_col: str, order: str, bits: int, most: int
 def verdict(violations: DataFrame) -> DataFrame:
     """Counts by severity, and FAIL, PASS_WITH_WARNINGS or PASS."""
     rows = violations.agg(F.count("*").alias("n_violations"), F.count_if(F.col("severity") == "critical").alias("n_critical"), F.count_if(F.col("severity") == "warning").alias("n_warning"))
-    return rows.withColumn("status", F.when(F.col("n_critical") > 0, "FAIL").when(F.col("n_warning") > 0, "PASS_WITH_WARNINGS").otherwise("PASS"))
+    return rows.withColumn("status", _status())
+
+
+def _status() -> Column:
+    return F.when(F.col("n_critical") > 0, "FAIL").when(F.col("n_warning") > 0, "PASS_WITH_WARNINGS").otherwise("PASS")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritable.operators.shared import materialize
 from veritable.operators.splits import hash_ranks
 
 LABELS = ("real", "fake")
@@ -44,9 +45,13 @@ def duplicate_content(df: DataFrame, hash_col: str = "file_hash", path: str = "p
 
 
 def first_wins(df: DataFrame, key: str, order: list[str | Column]) -> DataFrame:
-    """The first row of each key by an explicit order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
+    """The first row of each key by an explicit order, without a sort: one minimum per key,
+    combined before the shuffle."""
+    by = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(F.col(o) if isinstance(o, str) else o for o in order)))
+    rest = [c for c in df.columns if c != key]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(key).agg(F.min_by(F.struct(*rest), by).alias("__row")).select(*(F.col(c) if c == key else F.col(f"__row.`{c}`") for c in df.columns))
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -55,31 +60,37 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("__row")).select(key, "__row.*")
 
 
-def deduplicate(df: DataFrame, path: str = "path", ident: str = "sample_id", order: str = "ord", materialize=None) -> DataFrame:
+def deduplicate(df: DataFrame, path: str = "path", ident: str = "sample_id", order: str = "ord", rounds: int = 64) -> DataFrame:
     """The sequential rule, without a sequence: rows in order are kept unless their path, or
     else their id, was kept before; skipped rows block nothing. Adds ``decision``: kept,
-    duplicate_path or duplicate_id.
+    duplicate_path or duplicate_id. Null is a path, and an id, like any other.
 
     Each round keeps every undecided row that comes first both in its path group and in its
     id group, then decides all rows that meet a kept one. Rounds end when none is undecided
-    (one or two for real manifests). ``materialize(df)`` cuts lineage between rounds;
-    by default it is DataFrame.checkpoint().
-    """
-    cut = materialize or (lambda d: d.checkpoint())
-    rows = df.select("*", F.col(path).alias("__p"), F.col(ident).alias("__i"), F.col(order).alias("__o"))
-    open_rows = cut(rows.select("__p", "__i", "__o"))
-    kept = None
+    (one or two for real manifests): each decides the first undecided row at least. Rows that
+    wait for each other in a long chain take a round a link; after ``rounds`` of them this raises.
+    ``order`` is distinct and not null; a row without it is an error."""
+    same = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(c).cast("string")))
+    if not df.where(F.col(order).isNull()).isEmpty():
+        raise ValueError(f"rows without {order}")
+    rows = df.select("*", same(path).alias("__p"), same(ident).alias("__i"), F.col(order).alias("__o"))
+    open_rows = materialize(rows.select("__p", "__i", "__o"), "undecided")
+    kept: list[DataFrame] = []
     while not open_rows.isEmpty():
-        first_p, first_i = Window.partitionBy("__p"), Window.partitionBy("__i")
-        marked = open_rows.withColumn("mp", F.min("__o").over(first_p)).withColumn("mi", F.min("__o").over(first_i))
-        accepted = marked.where("__o = mp and __o = mi").select("__p", "__i", "__o")
-        kept = cut(accepted if kept is None else kept.union(accepted))
-        rest = open_rows.join(kept.select("__p"), "__p", "left_anti")
-        open_rows = cut(rest.join(kept.select("__i"), "__i", "left_anti").select("__p", "__i", "__o"))
-    if kept is None:
+        if len(kept) == rounds:
+            raise RuntimeError(f"rows that wait for each other are not decided after {rounds} rounds")
+        first_p, first_i = (open_rows.groupBy(k).agg(F.min("__o").alias(f"{k}o")) for k in ("__p", "__i"))
+        first = open_rows.join(first_p.select(F.col("__po").alias("__o")), "__o", "left_semi")
+        kept.append(materialize(first.join(first_i.select(F.col("__io").alias("__o")), "__o", "left_semi"), "kept"))
+        rest = open_rows.join(kept[-1].select("__p"), "__p", "left_anti")
+        open_rows = materialize(rest.join(kept[-1].select("__i"), "__i", "left_anti"), "undecided")
+    if not kept:
         return df.withColumn("decision", F.lit("kept")).limit(0)
-    by_path = kept.select("__p", F.col("__o").alias("__kp"))
-    decided = rows.join(by_path, "__p", "left").join(kept.select(F.col("__o").alias("__k"), F.lit(True).alias("__kept")), rows["__o"] == F.col("__k"), "left")
+    every = kept[0]
+    for more in kept[1:]:
+        every = every.unionByName(more)
+    by_path = every.select("__p", F.col("__o").alias("__kp"))
+    decided = rows.join(by_path, "__p", "left").join(every.select(F.col("__o").alias("__k"), F.lit(True).alias("__kept")), rows["__o"] == F.col("__k"), "left")
     decision = F.when(F.col("__kept"), "kept").when(F.col("__kp") < F.col("__o"), "duplicate_path").otherwise("duplicate_id")
     return decided.select(*df.columns, decision.alias("decision"))
 

@@ -11,13 +11,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritable.operators.shared import join_same, materialize
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
 
 
+def known(scores: DataFrame) -> DataFrame:
+    """Rows that count: those with a score and a label. Null ones take no part in any metric."""
+    return scores.where("prob is not null and y is not null")
+
+
 def confusion(scores: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
-    """tp, fp, tn, fn per key in one pass."""
+    """tp, fp, tn, fn per key in one pass; a key without known rows has zeros."""
     pred, pos = F.col("prob") >= threshold, F.col("y") == 1
     n = lambda c, name: F.count_if(c).alias(name)
     return scores.groupBy(*keys).agg(n(pred & pos, "tp"), n(pred & ~pos, "fp"), n(~pred & ~pos, "tn"), n(~pred & pos, "fn"))
@@ -39,37 +46,43 @@ def classification(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 def distinct_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Positives and negatives per distinct score."""
-    return scores.where("prob is not null and y is not null").groupBy(*keys, "prob").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
-
+    return known(scores).groupBy(*keys, "prob").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
 
-def _join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on the keys, null equal to null; the keys come once."""
-    other = right.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in right.columns if c not in keys))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return left.join(other, same, how).drop(*(f"__{k}" for k in keys))
 
-
-def ranked_scores(scores: DataFrame, keys: list[str], buckets: int = 128) -> DataFrame:
+def ranked_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
     """The distinct scores with pos and neg, how many of each lie strictly below (below_pos,
-    below_neg), and the totals n_pos and n_neg. Scores are dealt to ``buckets`` ranges of about
-    equal size by approximate quantiles; sums over the few buckets and within each bucket give
-    exact counts, so no task sorts all scores of a key."""
-    rows = distinct_scores(scores, keys)
-    shares = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("prob", shares, F.lit(10 * buckets)).alias("__cuts"))
-    dealt = _join_same(rows, cuts, keys).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("prob")))).drop("__cuts")
-    sizes = dealt.groupBy(*keys, "__b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    below_neg), and the totals n_pos and n_neg. Scores are counted once and dealt to sorted
+    ranges of (keys, prob), as many as their size asks for; sums over the ranges and within each
+    give exact counts, so no task sorts all scores of a key."""
+    rows = distinct_scores(scores, keys).repartitionByRange(*(F.asc_nulls_first(k) for k in (*keys, "prob")))
+    rows = materialize(rows.withColumn("__b", F.spark_partition_id()), "ranked-scores")
+    sizes = rows.groupBy(*keys, "__b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
     starts = sizes.select(*keys, "__b", zero(F.sum("p").over(before)).alias("__p"), zero(F.sum("n").over(before)).alias("__n"), F.sum("p").over(whole).alias("n_pos"), F.sum("n").over(whole).alias("n_neg"))
     inside = Window.partitionBy(*keys, "__b").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
-    out = _join_same(dealt, starts, [*keys, "__b"])
+    out = join_same(rows, starts, [*keys, "__b"])
     return out.select(*keys, "prob", "pos", "neg", (F.col("__p") + zero(F.sum("pos").over(inside))).alias("below_pos"), (F.col("__n") + zero(F.sum("neg").over(inside))).alias("below_neg"), "n_pos", "n_neg")
 
 
+def ranking(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """roc_auc, pr_auc, eer and eer_threshold per key, from one ranking: null where one class is
+    missing (pr_auc: without positives)."""
+    wins = F.sum(F.col("pos") * (2 * F.col("below_neg") + F.col("neg")))
+    tp = F.col("n_pos") - F.col("below_pos")
+    precision = tp / (tp + F.col("n_neg") - F.col("below_neg"))
+    far, frr = _rates()
+    best = F.min_by(F.struct(far.alias("far"), frr.alias("frr"), "prob"), F.when(far.isNotNull() & frr.isNotNull(), F.struct(F.abs(far - frr), F.col("prob"))))
+    rows = ranked_scores(scores, keys).groupBy(*keys).agg(F.try_divide(wins.cast("double"), F.lit(2.0) * F.sum("pos") * F.sum("neg")).alias("roc_auc"), F.try_divide(F.sum(F.col("pos") * precision), F.sum("pos")).alias("pr_auc"), best.alias("b"))
+    return rows.select(*keys, "roc_auc", "pr_auc", ((F.col("b.far") + F.col("b.frr")) / 2).alias("eer"), F.col("b.prob").alias("eer_threshold"))
+
+
+def _rates() -> tuple[Column, Column]:
+    """False accepts (negatives at or above) and false rejects (positives below)."""
+    return F.try_divide((F.col("n_neg") - F.col("below_neg")).cast("double"), "n_neg"), F.try_divide(F.col("below_pos").cast("double"), "n_pos")
+
+
 def roc_auc(scores: DataFrame, keys: list[str], single_class: float | None = None) -> DataFrame:
     """Chance that a positive outranks a negative, ties one half; null (or ``single_class``)
     where only one class occurs."""
@@ -89,8 +102,8 @@ def pr_auc(scores: DataFrame, keys: list[str]) -> DataFrame:
 def error_rates(scores: DataFrame, keys: list[str]) -> DataFrame:
     """False accepts (negatives at or above) and false rejects (positives below) at every
     distinct score as threshold."""
-    rows = ranked_scores(scores, keys)
-    return rows.select(*keys, "prob", F.try_divide((F.col("n_neg") - F.col("below_neg")).cast("double"), "n_neg").alias("far"), F.try_divide(F.col("below_pos").cast("double"), "n_pos").alias("frr"))
+    far, frr = _rates()
+    return ranked_scores(scores, keys).select(*keys, "prob", far.alias("far"), frr.alias("frr"))
 
 
 def eer(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,12 +117,13 @@ def eer(scores: DataFrame, keys: list[str]) -> DataFrame:
 def curve_eer(scores: DataFrame, keys: list[str], single_class: float = 0.5) -> DataFrame:
     """Equal error rate from the curve, which also has a threshold above every score;
     ``single_class`` where only one class occurs."""
+    scores = known(scores)
     ends = scores.groupBy(*keys).agg(F.lit(float("inf")).alias("prob"), F.lit(0.0).alias("far"), F.lit(1.0).alias("frr"))
     gap = F.abs(F.col("far") - F.col("frr"))
     rows = error_rates(scores, keys).unionByName(ends).where("far is not null and frr is not null")
     best = rows.groupBy(*keys).agg(F.min_by(F.struct("far", "frr"), F.struct(gap, -F.col("prob"))).alias("b"))
     classes = scores.groupBy(*keys).agg(F.count_distinct("y").alias("k"))
-    return best.join(classes, keys).select(*keys, F.when(F.col("k") < 2, F.lit(single_class)).otherwise((F.col("b.far") + F.col("b.frr")) / 2).alias("eer"))
+    return join_same(best, classes, keys).select(*keys, F.when(F.col("k") < 2, F.lit(single_class)).otherwise((F.col("b.far") + F.col("b.frr")) / 2).alias("eer"))
 
 
 def bin_edges(n: int = 10) -> list[float]:
@@ -126,7 +140,7 @@ def bin_of(prob: Column, n: int = 10) -> Column:
 
 def reliability(scores: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
     """bin, n, accuracy and confidence of the bins that hold rows."""
-    rows = scores.withColumn("bin", bin_of(F.col("prob"), n)).where("bin is not null")
+    rows = known(scores).withColumn("bin", bin_of(F.col("prob"), n)).where("bin is not null")
     return rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("accuracy"), F.avg("prob").alias("confidence"))
 
 
@@ -134,15 +148,15 @@ def reliability_table(scores: DataFrame, keys: list[str], n: int = 10) -> DataFr
     """Every bin of every key, empty ones as zeros."""
     bins = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin")
     grid = scores.select(*keys).distinct().select(*keys, bins)
-    return _join_same(grid, reliability(scores, keys, n), [*keys, "bin"], "left").fillna(0, ["n", "accuracy", "confidence"]).select(*keys, "bin", "n", "accuracy", "confidence")
+    return join_same(grid, reliability(scores, keys, n), [*keys, "bin"], "left").fillna(0, ["n", "accuracy", "confidence"]).select(*keys, "bin", "n", "accuracy", "confidence")
 
 
 def ece(scores: DataFrame, keys: list[str], n: int = 10, null_on_single_class: bool = False) -> DataFrame:
-    """Expected calibration error; all rows count in the denominator."""
-    total = scores.groupBy(*keys).agg(F.count("*").alias("total"), F.count_distinct("y").alias("classes"))
+    """Expected calibration error; all known rows count in the denominator, those outside 0..1 too."""
+    total = known(scores).groupBy(*keys).agg(F.count("*").alias("total"), F.count_distinct("y").alias("classes"))
     gaps = reliability(scores, keys, n).groupBy(*keys).agg(F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("confidence"))).alias("gap"))
     value = F.coalesce(F.col("gap"), F.lit(0.0)) / F.col("total")
-    return total.join(gaps, keys, "left").select(*keys, (F.when(F.col("classes") > 1, value) if null_on_single_class else value).alias("ece"))
+    return join_same(total, gaps, keys, "left").select(*keys, (F.when(F.col("classes") > 1, value) if null_on_single_class else value).alias("ece"))
 
 
 def nll(prob: Column, y: Column, eps: float = 1e-7) -> Column:
@@ -153,22 +167,39 @@ def nll(prob: Column, y: Column, eps: float = 1e-7) -> Column:
 
 def proper_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
     y = F.col("y").cast("double")
-    return scores.groupBy(*keys).agg(F.avg((F.col("prob") - y) * (F.col("prob") - y)).alias("brier"), F.avg(nll(F.col("prob"), y)).alias("nll"))
+    return known(scores).groupBy(*keys).agg(F.avg((F.col("prob") - y) * (F.col("prob") - y)).alias("brier"), F.avg(nll(F.col("prob"), y)).alias("nll"))
+
+
+def scan_once(scores: DataFrame, keys: list[str], threshold: float = 0.5, n: int = 10) -> DataFrame:
+    """tp, fp, tn, fn, ece, brier and nll per key, from one aggregate by key and bin."""
+    pred, pos, y = F.col("prob") >= threshold, F.col("y") == 1, F.col("y").cast("double")
+    is_known = F.col("prob").isNotNull() & F.col("y").isNotNull()
+    count = lambda c, name: F.count_if(c).alias(name)
+    squared = (F.col("prob") - y) * (F.col("prob") - y)
+    cells = scores.withColumn("__bin", F.when(is_known, bin_of(F.col("prob"), n))).groupBy(*keys, "__bin").agg(
+        count(pred & pos, "tp"), count(pred & ~pos, "fp"), count(~pred & ~pos, "tn"), count(~pred & pos, "fn"), count(is_known, "n"),
+        F.sum(F.when(is_known, y)).alias("hits"), F.sum(F.when(is_known, F.col("prob"))).alias("sure"), F.sum(squared).alias("squared"), F.sum(F.when(is_known, nll(F.col("prob"), y))).alias("loss"),
+    )
+    gap = F.sum(F.when(F.col("__bin").isNotNull(), F.col("n") * F.abs(F.col("hits") / F.col("n") - F.col("sure") / F.col("n"))))
+    mean = lambda c: F.try_divide(c, F.sum("n"))
+    error = F.when(F.sum("n") > 0, F.coalesce(mean(gap), F.lit(0.0)))
+    return cells.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")), error.alias("ece"), mean(F.sum("squared")).alias("brier"), mean(F.sum("loss")).alias("nll"))
 
 
 def calibration(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """ece, brier, nll, f1 (rounded to 6 places) and roc_auc."""
-    f1 = classification(confusion(scores, keys), keys).select(*keys, "f1")
-    rows = ece(scores, keys).join(proper_scores(scores, keys), keys).join(f1, keys).join(roc_auc(scores, keys).select(*keys, "roc_auc"), keys)
+    """ece, brier, nll, f1 (rounded to 6 places) and roc_auc; null for a key without known rows."""
+    rows = scan_once(scores, keys)
+    f1 = classification(rows, keys).select(*keys, "f1")
+    rows = join_same(join_same(rows, f1, keys), roc_auc(scores, keys).select(*keys, "roc_auc"), keys, "left")
     return rows.select(*keys, *(F.bround(c, 6).alias(c) for c in ("ece", "brier", "nll", "f1")), "roc_auc")
 
 
 def all_metrics(scores: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
-    """The full evaluation row per key; null AUC, EER where one class is missing."""
-    rows = classification(confusion(scores, keys, threshold), keys)
-    for part in (roc_auc(scores, keys).select(*keys, "roc_auc"), pr_auc(scores, keys), eer(scores, keys).select(*keys, "eer"), ece(scores, keys), proper_scores(scores, keys)):
-        rows = rows.join(part, keys, "left")
-    return rows
+    """The full evaluation row per key; null AUC, EER where one class is missing. Two passes: one
+    aggregate, one ranking."""
+    once = scan_once(scores, keys, threshold)
+    rows = join_same(classification(once, keys), ranking(scores, keys).drop("eer_threshold"), keys, "left")
+    return join_same(rows, once.select(*keys, "ece", "brier", "nll"), keys)
 
 
 # --- thresholds --------------------------------------------------------------------------
@@ -178,12 +209,25 @@ def threshold_grid(low: float, high: float, step: float) -> list[float]:
     return [float(t) for t in np.arange(low, high, step)]
 
 
+def _reached(prob: Column, grid: list[float]) -> Column:
+    """How many thresholds of the sorted grid a score reaches: for an even grid by arithmetic,
+    put right by the thresholds beside the guess."""
+    n = len(grid)
+    step = (grid[-1] - grid[0]) / max(1, n - 1)
+    if n < 3 or any(abs(t - grid[0] - i * step) > step / 4 for i, t in enumerate(grid)):
+        return F.size(F.filter(F.array(*(F.lit(t) for t in grid)), lambda t: prob >= t))
+    points = F.array(*(F.lit(t) for t in grid))
+    guess = F.least(F.lit(n), F.greatest(F.lit(0), F.floor((prob - grid[0]) / step).cast("int") + 1))
+    more = F.coalesce(F.get(points, guess) <= prob, F.lit(False)).cast("int")
+    less = F.coalesce(F.get(points, guess - 1) > prob, F.lit(False)).cast("int")
+    return guess + more - less
+
+
 def threshold_counts(scores: DataFrame, keys: list[str], grid: list[float]) -> DataFrame:
-    """tp, fp, tn, fn at every threshold. Rows are first counted by the number of thresholds
-    they reach, so the grid multiplies a small table, not the scores."""
+    """tp, fp, tn, fn at every threshold, of known rows. Rows are first counted by the number of
+    thresholds they reach, so the grid multiplies a small table, not the scores."""
     g = sorted(grid)
-    reached = F.size(F.filter(F.array(*(F.lit(t) for t in g)), lambda t: F.col("prob") >= t))
-    cells = scores.groupBy(*keys, reached.alias("reached")).agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
+    cells = known(scores).groupBy(*keys, _reached(F.col("prob"), g).alias("reached")).agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
     points = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("threshold")) for i, t in enumerate(g))))
     wide = cells.select("*", points.alias("t")).select(*keys, "pos", "neg", "reached", "t.i", "t.threshold")
     hit = F.col("reached") > F.col("i")

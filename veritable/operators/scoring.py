@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritable.operators.registry import eligible
+from veritable.sources.commits import BatchTable
 
 
 def score_batches(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Series]], keys: list[str], batch_rows: int = 256) -> DataFrame:
@@ -28,7 +29,8 @@ def score_batches(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.
 
 def process(df: DataFrame, work: Callable[[dict], dict], key: str, schema: str) -> DataFrame:
     """key, status, error_message and the fields of ``schema``: ``work`` gets one row as a dict
-    and returns its fields; what it raises becomes the row's failure, not the job's."""
+    and returns its fields; what it raises becomes the row's failure, not the job's. Rows are
+    dicts one by one, as fits media, where a row is a file."""
     names = [f.split()[0] for f in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,3 +71,24 @@ def throughput(history: DataFrame, at: str, done: str, total: int) -> DataFrame:
     seconds = F.unix_timestamp(at) - F.unix_timestamp(F.lag(at).over(w))
     rate = F.try_divide((F.col(done) - F.lag(done).over(w)).cast("double"), seconds)
     return history.withColumn("per_second", rate).withColumn("seconds_left", F.try_divide(F.lit(total) - F.col(done), F.col("per_second")))
+
+
+def run_batches(registry: DataFrame, table: BatchTable, work: Callable[[dict], dict], key: str, schema: str, version: str, batches: int = 16, stop: Callable[[int, str], None] | None = None) -> DataFrame:
+    """Process every row of ``registry`` once, in ``batches`` parts by hash of ``key``, whatever
+    the run is stopped by. Each part is one committed batch of ``table``: a run that begins again
+    leaves out parts that are there, and what a stopped one wrote without a commit is never
+    read. Returns the registry as all committed batches have it (``recovered``): it is derived
+    from them, so there is no second write that could be missed. Rows with a null key are one
+    part's. ``stop(part, point)`` is told of the points "written" and "committed" (for tests)."""
+    tell = stop or (lambda part, point: None)
+    for part in range(batches):
+        batch = f"{version}-{batches}-{part:04d}"
+        if table.committed(batch):
+            continue
+        todo = registry.where(F.pmod(F.xxhash64(key), F.lit(batches)) == part)
+        entry = table.write(process(todo, work, key, schema).withColumn("preprocessing_version", F.lit(version)))
+        tell(part, "written")
+        table.commit(entry, batch)
+        tell(part, "committed")
+    done = table.read()
+    return recovered(registry, done.where(F.col("preprocessing_version") == version), key)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritable.functions.normalize import ColumnOrName, col, meaningful
+from veritable.operators.shared import join_same, numbered
 
 ROLES = ("train", "val", "test_seen", "test_unseen")
 
@@ -53,6 +57,46 @@ def speaker_roles(clips: DataFrame, speaker: str = "speaker", unseen: Column | N
     return clips.withColumn("__alone", alone).join(known, F.col(speaker) == F.col("__speaker"), "left").select(*clips.columns, F.coalesce("__role", "__alone").alias("split_role"))
 
 
+@dataclass(frozen=True)
+class Policy:
+    """A split's rules: generators by role, unseen ones, role by upstream split, the least share of
+    the smaller class, and pairs of roles that must share nothing."""
+
+    generators: dict[str, list[str]]
+    unseen: list[str]
+    upstream: dict[str, str]
+    least_share: float
+    apart: list[tuple[str, str]]
+
+
+def load_policy(text: str) -> Policy:
+    """A policy document: JSON, or YAML where a YAML reader is installed."""
+    try:
+        import yaml
+
+        raw = yaml.safe_load(text)
+    except ModuleNotFoundError:
+        raw = json.loads(text)
+    if not isinstance(raw, dict):
+        raise ValueError("a policy is a mapping")
+    rules = raw.get("validation") or {}
+    return Policy(
+        {str(k): [str(x) for x in v or []] for k, v in (raw.get("split_generators") or {}).items()},
+        [str(x) for x in (raw.get("generator_taxonomy") or {}).get("unseen_forgery") or []],
+        {str(k): str(v) for k, v in (raw.get("source_split_mapping") or {}).items()},
+        float(rules.get("min_minority_class_fraction", 0.10)),
+        [(str(a), str(b)) for a, b in rules.get("incompatible_split_pairs") or []],
+    )
+
+
+def policy_roles(policy: Policy, upstream: ColumnOrName, generator: ColumnOrName) -> Column:
+    """The role that a policy gives a row; null where its upstream split has none."""
+    role = F.lit(None).cast("string")
+    for name, value in policy.upstream.items():
+        role = F.when(col(upstream) == name, value).otherwise(role)
+    return F.when(col(generator).isin(*policy.unseen), "test_unseen").otherwise(role)
+
+
 def allowed_rows(df: DataFrame, policy: dict[str, list[str]], generator: str = "generator", role: str = "split_role") -> DataFrame:
     """Rows whose generator its role allows; a role without a list allows all."""
     ok = F.lit(True)
@@ -71,21 +115,15 @@ def policy_errors(df: DataFrame, policy: dict[str, list[str]], generator: str =
 
 def hash_ranks(df: DataFrame, key: str, keys: list[str], seed: str = "s", first: Column | None = None) -> DataFrame:
     """Adds __r, each row's rank from 1 in order of ``first`` (a small number; lower ones come
-    before) and the hash of ``key``, per combination of ``keys`` (null is a value), and __total,
-    the rows of that combination. Ranks come from counts of hash buckets and a rank within a
-    bucket, so no task sorts more than a bucket."""
-    names = [f"__k{i}" for i in range(len(keys))]
-    rows = df.select("*", *(F.col(k).alias(n) for k, n in zip(keys, names)), (F.lit(0) if first is None else first.cast("int")).alias("__f"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("__h")).withColumn("__b", F.substring("__h", 1, 3))
-    sizes = rows.groupBy(*names, "__f", "__b").agg(F.count("*").alias("__n"))
-    whole = Window.partitionBy(*names)
-    before = whole.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
-    # 4096 buckets per combination at most
-    starts = sizes.select(*(F.col(n).alias(f"{n}s") for n in names), F.col("__f").alias("__fs"), F.col("__b").alias("__bs"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(whole).alias("__total"))
-    same = (F.col("__f") == F.col("__fs")) & (F.col("__b") == F.col("__bs"))
-    for n in names:
-        same = same & F.col(n).eqNullSafe(F.col(f"{n}s"))
-    rank = F.col("__start") + F.row_number().over(Window.partitionBy(*names, "__f", "__b").orderBy("__h", key))
-    return rows.join(starts, same).select(*df.columns, rank.alias("__r"), "__total")
+    before), the hash of ``key`` and then the key and a hash of the row, per combination of
+    ``keys`` (null is a value), and __total, the rows of that combination. Ranks come from counts
+    of sorted ranges and a rank within a range, so no task sorts a whole combination, nor all
+    rows with a null key, which hash like empty ones."""
+    rows = df.select("*", (F.lit(0) if first is None else first.cast("int")).alias("__f"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("__h"), F.xxhash64(*df.columns).alias("__x"))
+    ranked = numbered(rows, keys, ["__f", "__h", key, "__x"], "__r")
+    if not keys:
+        return ranked.select(*df.columns, "__r", F.lit(df.count()).alias("__total"))
+    return join_same(ranked, df.groupBy(*keys).agg(F.count("*").alias("__total")), keys).select(*df.columns, "__r", "__total")
 
 
 def hashed_shares(df: DataFrame, key: str, shares: tuple[float, float] = (0.70, 0.15), seed: str = "s", stratum: str | None = None) -> DataFrame:
@@ -99,17 +137,11 @@ def hashed_shares(df: DataFrame, key: str, shares: tuple[float, float] = (0.70,
 
 def time_aware(df: DataFrame, ts: str, key: str, shares: tuple[float, float] = (0.70, 0.15)) -> DataFrame:
     """Earliest rows train, latest test, cut by exact position; rows without a time come last.
-    Positions come from counts per hour and a rank within the hour, so no task sorts the whole
-    table."""
-    last = F.lit("9999-12-31").cast("timestamp")
-    rows = df.withColumn("__d", F.date_trunc("hour", F.coalesce(F.col(ts).cast("timestamp"), last)))
-    sizes = rows.groupBy("__d").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per hour
-    starts = sizes.select("__d", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    Of equal times and keys a hash of the row decides. Positions come from counts of sorted
+    ranges, so no task sorts the whole table, nor all rows without a time."""
+    rows = df.select("*", F.col(ts).isNull().alias("__late"), F.xxhash64(*df.columns).alias("__x"))
+    ranked = numbered(rows, [], ["__late", ts, key, "__x"], "__r")
     total = df.count()
-    order = Window.partitionBy("__d").orderBy(F.col(ts).asc_nulls_last(), key)
-    ranked = rows.join(starts, "__d").withColumn("__r", F.col("__start") + F.row_number().over(order))
     a = int(total * shares[0])
     b = a + int(total * shares[1])
     return ranked.withColumn("subset", F.when(F.col("__r") <= a, "train").when(F.col("__r") <= b, "val").otherwise("test")).select(*df.columns, "subset")

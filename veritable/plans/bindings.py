@@ -89,6 +89,13 @@ def fusion_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("sample_id"), m.alias("m")).select("sample_id", "m.*")
 
 
+def hash32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """32 signs of whole vectors: each of the sum of two components."""
+    e = table(spark, sf_dir, "embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.get("x", 2 * i) + F.get("x", 2 * i + 1))
+    return e.select("vec_id", arrays.sign_bits(sums, 32).alias("hash"), F.when(F.col("vec_id") % 2 == 0, "train").otherwise("test_seen").alias("split_role"))
+
+
 def hash24(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", arrays.sign_bits("embedding", 24).alias("hash"), F.when(F.col("vec_id") % 2 == 0, "train").otherwise("test_seen").alias("split_role"))
@@ -125,6 +132,8 @@ CTE = {
         select l_orderkey || '-' || l_linenumber as sample_id, 'image' as modality, d * 10 as prob from one union all
         select l_orderkey || '-' || l_linenumber, 'audio', t * 10 from one union all
         select l_orderkey || '-' || l_linenumber, 'video', case when q > 5 then q / 50 end from one)""",
+    "hash32": """hash32 as (
+        select vec_id, list_sum([case when embedding[2 * i + 1]::double + embedding[2 * i + 2]::double > 0 then 1::bigint << i else 0 end for i in range(32)])::bigint as hash, case when vec_id % 2 = 0 then 'train' else 'test_seen' end as split_role from embeddings)""",
     "hash24": """hash24 as (
         select vec_id, list_sum([case when embedding[i + 1] > 0 then 1::bigint << i else 0 end for i in range(24)])::bigint as hash, case when vec_id % 2 = 0 then 'train' else 'test_seen' end as split_role from embeddings)""",
 }

@@ -433,24 +433,28 @@ def j19_generator_pairs(spark, sf):
     return leakage.generator_pairs(rows, "sample_id", "doc_id")
 
 
-@query(with_ctes("hash24", "select a.vec_id as id_1, b.vec_id as id_2, a.split_role as role_1, b.split_role as role_2, bit_count(xor(a.hash, b.hash))::int as distance from hash24 a join hash24 b on a.vec_id < b.vec_id and a.split_role <> b.split_role and bit_count(xor(a.hash, b.hash)) between 1 and 4"))
+@query(with_ctes("hash32", "select a.vec_id as id_1, b.vec_id as id_2, a.split_role as role_1, b.split_role as role_2, bit_count(xor(a.hash, b.hash))::int as distance from hash32 a join hash32 b on a.vec_id < b.vec_id and a.split_role <> b.split_role and bit_count(xor(a.hash, b.hash)) between 1 and 5"))
 def j16_near_duplicates(spark, sf):
-    return leakage.near_duplicates(b.hash24(spark, sf), "hash", "vec_id", "split_role", 24, 4)
+    return leakage.near_duplicates(b.hash32(spark, sf), "hash", "vec_id", "split_role", 32, 5)
 
 
-@query(with_ctes("hash24", """, s as (select hash, min(vec_id) as first_seen from hash24 group by 1)
-  select a.first_seen as anchor, count(*) as n_near, min(b.first_seen) as first_member, max(b.first_seen) as last_member from s a join s b on a.first_seen < b.first_seen and bit_count(xor(a.hash, b.hash)) between 1 and 4 group by 1"""))
+@query(with_ctes("hash32", """, s as (select hash, min(vec_id) as first_seen from hash32 group by 1)
+  select a.first_seen as anchor, count(*) as n_near, min(b.first_seen) as first_member, max(b.first_seen) as last_member from s a join s b on a.first_seen < b.first_seen and bit_count(xor(a.hash, b.hash)) between 1 and 5 group by 1"""))
 def j20_near_clusters(spark, sf):
-    return leakage.near_clusters(b.hash24(spark, sf), "hash", "vec_id", 24, 4)
+    return leakage.near_clusters(b.hash32(spark, sf), "hash", "vec_id", 32, 5)
+
+
+@query(with_ctes("manifest split", """, c as (select file_hash, split_role as role, count(*) as n, min(sample_id) as first_id from split where file_hash is not null and split_role is not null group by 1, 2)
+  select file_hash, role, n, first_id from c where file_hash in (select file_hash from c group by 1 having count(*) > 1)"""))
+def j15_duplicate_classes(spark, sf):
+    return leakage.duplicate_classes(b.split(spark, sf), "file_hash", "sample_id")
 
 
 @query(with_ctes("manifest split", """, v as (select a.split_role as s1, b.split_role as s2 from split a join split b on a.file_hash = b.file_hash and a.doc_id < b.doc_id and a.split_role <> b.split_role)
   select count(*) as n_violations, count(*) filter (s2 = 'test_unseen' or s1 = 'test_unseen') as n_critical, count(*) filter (not (s2 = 'test_unseen' or s1 = 'test_unseen')) as n_warning,
   case when count(*) filter (s2 = 'test_unseen' or s1 = 'test_unseen') > 0 then 'FAIL' when count(*) > 0 then 'PASS_WITH_WARNINGS' else 'PASS' end as status from v"""))
 def l23_verdict(spark, sf):
-    rows = leakage.pairwise(b.split(spark, sf), "file_hash", "exact_duplicate", "sample_id", "doc_id")
-    unseen = (F.col("split_1") == "test_unseen") | (F.col("split_2") == "test_unseen")
-    return leakage.verdict(rows.withColumn("severity", F.when(unseen, "critical").otherwise("warning")))
+    return leakage.count_pairs(leakage.duplicate_classes(b.split(spark, sf), "file_hash", "sample_id"), "file_hash")
 
 
 # --- split assignment --------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritable.functions.normalize import audio_label, image_label, image_label_error
@@ -49,12 +49,27 @@ def successful(metadata: DataFrame, version: str, mode: str | None = None) -> Da
     return rows if mode is None else rows.where(F.col("mode") == mode)
 
 
-def spot_check(rows: DataFrame, files: DataFrame, key: str, order: str, stride: int = 5000) -> DataFrame:
-    """Every stride-th row and the last one, without a file: paths that do not resolve. The
-    row number comes from ``order``, a dense ordinal column from 0."""
+def numbered_scan(rows: DataFrame, name: str = "ordinal") -> DataFrame:
+    """Rows of Parquet files with their place in the scan, from 0: files in order of their
+    paths, rows as they lie in them. Each row knows its place in its file; the rows of the
+    files before come from a count per file, so nothing is sorted and only the small table of
+    counts is ordered in one task. ``rows`` is a plain scan, without filters."""
+    at = F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
+    per_file = rows.select(*at).groupBy("__file").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_file.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return rows.select("*", *at).join(starts, "__file").withColumn(name, (F.col("__start") + F.col("__row")).cast("long")).drop("__file", "__row", "__start")
+
+
+def spot_check(rows: DataFrame, files: DataFrame, key: str, order: str | None = None, stride: int = 5000) -> DataFrame:
+    """Every stride-th row and the last one, without a file: paths that do not resolve. Rows
+    are numbered by ``order``, a dense ordinal column from 0, or as they lie in their files."""
+    if order is None:
+        order = "__ordinal"
+        rows = numbered_scan(rows, order)
     last = rows.agg(F.max(order)).first()[0]
     chosen = rows.where((F.col(order) % stride == 0) | (F.col(order) == F.lit(last)))
-    return chosen.join(files.select(key), key, "left_anti")
+    return chosen.join(files.select(key), key, "left_anti").drop("__ordinal")
 
 
 def metrics_from_json(text: Column) -> Column:
