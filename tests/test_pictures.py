@@ -53,7 +53,7 @@ def test_level_lines_are_counted(spark):
     one[15:] = 255.0
     edge = pictures.edges(one, 100.0)
     edge[15] = False  # one row of edge pixels is left
-    assert pictures.level_lines(edge, 8) == 1
+    assert pictures.level_lines(edge, 20) == 1
     flat = page.ravel().tolist()
     df = spark.createDataFrame([(flat, 40), ([200.0] * 6, 4), (None, 3), ([], 3), ([1.0, None], 2), (flat, None), ([5.0], 1)], "p array<double>, w int")
     got = [r.f for r in df.select(pictures.picture_facts("p", "p", "p", "w").alias("f")).collect()]

@@ -82,7 +82,9 @@ class Windows(StatefulProcessor):
 def live_windows(rows: DataFrame, window: int, step: int, alpha: float, threshold: float = 0.5, patience_ms: int | None = None) -> DataFrame:
     """Windows of a live stream of (stream string, pos long from 1, x double). A stream begins
     anew under another name, which resets its state. A missing position is waited for, without end
-    or, with ``patience_ms``, until that time has gone by without it; then it is passed over."""
+    or, with ``patience_ms``, until that time has gone by without it; then it is passed over. A
+    query with patience goes on looking at the time, so it ends by being stopped alone: not under
+    ``run_available``."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
     known = rows.where("stream is not null and pos >= 1 and x is not null")
     mode = "None" if patience_ms is None else "ProcessingTime"
