@@ -113,7 +113,7 @@ def test_ranked_scores_equal_counting_with_continuous_scores_and_null_keys(spark
     r = random.Random(5)
     data = [(m, r.choice([0, 1]), r.random() ** k) for m, k in (("a", 1), (None, 30)) for _ in range(700)] + [("one", 1, 0.5), ("one", 1, 0.7)]
     scores = spark.createDataFrame(data, "model string, y int, prob double")
-    for row in E.ranked_scores(scores, ["model"], buckets=16).collect():
+    for row in E.ranked_scores(scores, ["model"]).collect():
         mine = [(y, p) for m, y, p in data if m == row.model]
         below = [y for y, p in mine if p < row.prob]
         assert (row.below_pos, row.below_neg, row.n_pos + row.n_neg) == (sum(below), len(below) - sum(below), len(mine))

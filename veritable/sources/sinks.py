@@ -30,7 +30,7 @@ def write_outputs(df: DataFrame, path: str, columns: list[str], roles: list[str]
     """What a split run leaves: splits, statistics (JSON lines) and a report."""
     write_splits(df, f"{path}/splits", columns, roles, role)
     write_json(statistics.coalesce(1), f"{path}/statistics")
-    df.sparkSession.createDataFrame([(report,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(f"{path}/report")
+    df.sparkSession.createDataFrame([(report.removesuffix("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
 
 
 def write_json(df: DataFrame, path: str) -> None:
