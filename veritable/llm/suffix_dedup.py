@@ -25,8 +25,8 @@ A group that spans partitions goes to pass 3 at the seams. Before each shuffle a
 settles its own repeats. Sorted rows are read as a stream; a task holds one row, or one group
 of at most ``FEW`` runs.
 
-A document is known by its doc_id and a tag, a 64-bit hash of its text. Where doc_ids repeat,
-tags are checked first: if two texts of one id share a tag, another seed is taken, so no bytes
+A document is known by its doc_id and a tag, a 64-bit hash of its text (zero in a table whose
+doc_ids are unique). Where doc_ids repeat, tags are checked first: if two texts of one id share a tag, another seed is taken, so no bytes
 of one text are cut out of another. A document's list of runs is shorter than its text; copies of
 a row are dealt by the join that brings lists and texts together, which adaptive execution splits
 however many there are.
@@ -460,10 +460,11 @@ def _tag(text: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), text)
 
 
-def _seed(rows: DataFrame) -> int:
-    """The first seed with which no two texts of one key share a tag."""
+def _seed(rows: DataFrame) -> int | None:
+    """The first seed with which no two texts of one key share a tag; None if keys are unique, as
+    they mostly are: then no text is read here."""
     if rows.groupBy("key").count().where("count > 1").isEmpty():
-        return 0  # unique ids, as usual: no text is read
+        return None
     for seed in range(64):
         text = F.col("text")
         marks = rows.select("key", _tag(text, seed).alias("tag"), F.struct(F.xxhash64(F.lit(-1), text), F.xxhash64(F.lit(-2), text)).alias("mark"))
@@ -480,7 +481,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         raise ValueError(f"length must be from {GRAM + 1} to {GRAM + 126}")
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_NULL_ID)).alias("key"), text.alias("text"), *([carry.alias("carried")] if carry is not None else []))
-    rows = rows.withColumn("tag", _tag(F.col("text"), _seed(rows)))
+    # where an id has one row there is nothing to tell apart, and every run carries its tag
+    seed = _seed(rows)
+    rows = rows.withColumn("tag", F.lit(0).cast("long") if seed is None else _tag(F.col("text"), seed))
     digits = [*_DIGITS, "second"]
     marked = rows.select("key", "tag", "text").mapInArrow(tidy(_mark_runs(length)), ", ".join(f"{d} long" for d in digits) + ", key long, tag long, run long")
     dealt = marked.repartitionByRange(*digits).sortWithinPartitions(*digits, "key", "tag", "run")
