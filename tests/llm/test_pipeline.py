@@ -113,6 +113,7 @@ def test_registered_queries_return_their_contracts(spark):
         "op2_language_id": ["doc_id", "held_out", "lang_pred", "score"], "op3_simhash": ["doc_id", "fingerprint", "component_id"], "op4_quality": ["doc_id", "held_out", "score", "predicted"],
         "op8_binary_output": ["doc_id", "start", "n_tokens", "ids_crc32"], "op9_sharding": ["doc_id", "shard", "n_bytes", "text_crc32"], "op10_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         "op1_decontamination": ["doc_id", "contaminated", "item_id", "share", "cosine"],
+        "op11_merkle": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"], "op13_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     }
     for name, columns in want.items():
         rows = queries.QUERIES[name](spark, sf).collect()
