@@ -149,6 +149,13 @@ def test_hard_negatives_of_numbers_beyond_exact_doubles(spark):
     assert mined(spark, rows) == naive_negatives(rows)
 
 
+def test_blocks_of_many_small_tasks_are_joined():
+    rows = [{"d": 2, "ids": np.arange(3 * k, 3 * k + 3).tobytes(), "labels": np.zeros(3, np.int64).tobytes(), "columns": [np.arange(3.0).tobytes()] * 2} for k in range(10)]
+    rows.append({"d": 3, "ids": np.arange(1).tobytes(), "labels": np.zeros(1, np.int64).tobytes(), "columns": [np.arange(1.0).tobytes()] * 3})
+    assert [len(b.ids) for b in hard_negatives.Block.of(iter(rows), 12, 1 << 20)] == [12, 12, 6, 1]
+    assert [len(b.ids) for b in hard_negatives.Block.of(iter(rows), 4096, 20)] == [9, 9, 9, 3, 1]
+
+
 def test_vertical_scan_reads_no_column_of_what_bounds_rule_out():
     r = np.random.default_rng(7)
     x = np.floor(r.normal(0, 20, (16, 500)))

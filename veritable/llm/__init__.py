@@ -1,4 +1,4 @@
-"""Training-data operators: ten independent building blocks for corpus preparation.
+"""Training-data operators: thirteen independent building blocks for corpus preparation.
 
 Nothing outside this subpackage imports it, so it can be removed as a whole.
 """

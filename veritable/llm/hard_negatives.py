@@ -104,16 +104,18 @@ class Block:
         self.size = np.maximum(np.abs(self.least), np.abs(self.most))
 
     @classmethod
-    def of(cls, batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-        """The blocks of a task, small ones of one length as one."""
+    def of(cls, rows: Iterator[dict], most: int = BLOCK, numbers: int = BLOCK_NUMBERS) -> Iterator[Block]:
+        """Blocks of these rows, small ones of one length as one: how many there are does not depend
+        on how many tasks have made them."""
         held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                n = sum(len(r["ids"]) for r in [*held, row]) // 8
-                if held and (row["d"] != held[0]["d"] or n > BLOCK or n * row["d"] > BLOCK_NUMBERS):
-                    yield cls._merged(held)
-                    held = []
-                held.append(row)
+        n = 0
+        for row in rows:
+            more = len(row["ids"]) // 8
+            if held and (row["d"] != held[0]["d"] or n + more > most or (n + more) * row["d"] > numbers):
+                yield cls._merged(held)
+                held, n = [], 0
+            held.append(row)
+            n += more
         if held:
             yield cls._merged(held)
 
@@ -189,7 +191,7 @@ def _find_positives(anchors: dict[int, list[tuple[int, int, np.ndarray]]], most:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, Best] = {}
-        for block in Block.of(batches):
+        for block in Block.of(row for batch in batches for row in batch.to_pylist()):
             of_kind = {k: np.flatnonzero(block.labels == k) for k in np.unique(block.labels).tolist()}
             for vec_id, label, a in anchors.get(len(block.columns), ()):
                 alive = of_kind.get(label)
@@ -216,7 +218,7 @@ def _find_negatives(anchors: dict[int, list[tuple[int, int, np.ndarray]]], windo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int], Best] = {}
-        for block in Block.of(batches):
+        for block in Block.of(row for batch in batches for row in batch.to_pylist()):
             not_kind = {k: np.flatnonzero(block.labels != k) for k in np.unique(block.labels).tolist()}
             every = np.arange(len(block.ids))
             for vec_id, label, a in anchors.get(len(block.columns), ()):
@@ -267,10 +269,10 @@ def mine(vectors: DataFrame, label: Column | None = None, anchor: Column | None
     chunks = materialize(asked.mapInArrow(tidy(_columns(chunk, ANCHOR_NUMBERS)), _BLOCK_SCHEMA), "anchors")
     best, found = [], []
     # a chunk is bounded, whatever the table: the driver holds one at a time
-    for row in chunks.toLocalIterator():
-        part = Block(row["d"], bytes(row["ids"]), bytes(row["labels"]), [bytes(c) for c in row["columns"]])
-        anchors = {row["d"]: list(zip(part.ids.tolist(), part.labels.tolist(), np.ascontiguousarray(part.columns.T)))}
-        own = blocks.where(F.col("d") == row["d"])
+    for part in Block.of((row.asDict() for row in chunks.toLocalIterator()), chunk, ANCHOR_NUMBERS):
+        d = len(part.columns)
+        anchors = {d: list(zip(part.ids.tolist(), part.labels.tolist(), np.ascontiguousarray(part.columns.T)))}
+        own = blocks.where(F.col("d") == d)
         mates = own.where(F.arrays_overlap("kinds", F.array(*(F.lit(k) for k in np.unique(part.labels).tolist()))))
         top = _top(mates.mapInArrow(tidy(_find_positives(anchors, positives)), "anchor_id long, score long, vec_id long"), ["anchor_id"], positives)
         best.append(materialize(top.select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives"))
