@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,11 +14,16 @@ def _numbers(values: list[float]) -> Column:
     return F.array(*(F.lit(float(v)) for v in values))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dense(x: Column, layer: Layer, relu: bool = False) -> Column:
     """Rows of weights times x, and a bias each; cut off at zero if ``relu``."""
     weights, bias = layer
     rows = F.array(*(F.struct(_numbers(w).alias("w"), F.lit(float(b)).alias("b")) for w, b in zip(weights, bias, strict=True)))
-    out = F.transform(rows, lambda r: F.aggregate(F.zip_with(r["w"], x, lambda p, q: p * q), F.lit(0.0), lambda a, v: a + v) + r["b"])
+    out = _let(x, lambda y: F.transform(rows, lambda r: F.aggregate(F.zip_with(r["w"], y, lambda p, q: p * q), F.lit(0.0), lambda a, v: a + v) + r["b"]))
     return F.transform(out, lambda v: F.greatest(v, F.lit(0.0))) if relu else out
 
 
@@ -32,7 +39,7 @@ def _sigmoid(v: Column) -> Column:
 
 
 def _times(x: Column, factor: Column) -> Column:
-    return F.transform(x, lambda v: v * factor)
+    return _let(factor, lambda f: F.transform(x, lambda v: v * f))
 
 
 def concatenated(features: dict[str, Column], sizes: dict[str, int]) -> Column:
