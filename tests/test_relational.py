@@ -235,3 +235,20 @@ def test_near_hashes_of_64_bits_whatever_bands_agree(spark, agree):
     want = {(a, b, (unsigned[a] ^ unsigned[b]).bit_count()) for a in unsigned for b in unsigned if a < b and 1 <= (unsigned[a] ^ unsigned[b]).bit_count() <= 6}
     assert got == want and len(want) >= 40
     assert L.bands_to_agree(10**9, 64, 6) > L.bands_to_agree(1000, 64, 6)
+
+
+@pytest.mark.parametrize("agree", [4, 5])
+def test_choices_of_bands_are_little_code(spark, agree, monkeypatch):
+    """All choices of five bands of ten as columns of their own did not compile, beyond 64 KB a method."""
+    monkeypatch.setattr(L, "bands_to_agree", lambda *_: agree)
+    spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        df = spark.createDataFrame([(k, h, "train" if k % 2 else "val") for k, h in enumerate([0, 1, 31, 63, -1, -2, 1 << 31])], "id int, hash long, role string")
+        got = {(r.id_1, r.id_2, r.distance) for r in L.near_duplicates(df, "hash", "id", "role", 64, 5).collect()}
+        near = {(r.anchor, r.n_near) for r in L.near_clusters(df, "hash", "id", 64, 5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.codegen.factoryMode")
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert got == {(0, 1, 1), (1, 2, 4), (2, 3, 1), (1, 6, 2), (4, 5, 1)}
+    assert near == {(0, 3), (1, 3), (2, 1), (4, 1)}

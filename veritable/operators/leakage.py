@@ -116,10 +116,11 @@ def generator_pairs(df: DataFrame, ident: str, order: str, most: int = 10, role:
 
 def bands_to_agree(n: int, bits: int, most: int) -> int:
     """The number of bands whose join costs least for n hashes: a row for each hash and choice of
-    bands, and half the pairs that chance lets agree. All give the same pairs of hashes."""
+    bands, shuffled and sorted for the price of some 30 comparisons, and half the pairs that
+    chance lets agree. All give the same pairs of hashes."""
     def cost(agree: int) -> float:
         choices = comb(most + agree, agree)
-        return choices * n * (1 + n / 2 / 2 ** (bits * agree // (most + agree)))
+        return choices * n * (30 + n / 2 / 2 ** (bits * agree // (most + agree)))
 
     return min(range(1, 6), key=cost)
 
@@ -136,16 +137,16 @@ def near_hash_pairs(hashes: DataFrame, bits: int, most: int, key: str = "hash",
     agree = bands_to_agree(rows.count(), bits, most) if agree is None else agree
     n = most + agree
     edges = [round(bits * k / n) for k in range(n + 1)]
-    mask = lambda k: F.lit((1 << (edges[k + 1] - edges[k])) - 1).cast("long")
-    band = lambda c, k: F.shiftrightunsigned(c, edges[k]).bitwiseAND(mask(k))
-    joined = lambda c, ks: F.array(*(band(c, k) for k in ks))
-    choices = [F.struct(F.lit(ks[-1]).alias("last"), F.xxhash64(F.lit(i), joined(F.col("h"), ks)).alias("cell"), F.lit(i).alias("choice")) for i, ks in enumerate(combinations(range(n), agree))]
-    cells = rows.select("h", F.explode(F.array(*choices)).alias("c")).select("h", "c.*")
+    band = [((1 << edges[k + 1]) - (1 << edges[k])) for k in range(n)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    # choices are one constant, not a column each: hundreds of columns are more code than the JVM compiles
+    choices = F.array(*(F.struct(F.lit(i).alias("choice"), F.lit(ks[-1]).alias("last"), F.lit(signed(sum(band[k] for k in ks))).cast("long").alias("bands")) for i, ks in enumerate(combinations(range(n), agree))))
+    cells = rows.select("h", F.explode(choices).alias("c")).select("h", "c.choice", "c.last", F.col("h").bitwiseAND(F.col("c.bands")).alias("cell"))
     a, b = cells.withColumnRenamed("h", "a"), cells.select("cell", "choice", F.col("h").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
     pairs = a.join(b, ["cell", "choice"]).where("a < b").where(F.bit_count(x) <= most)
     # the first common choice: no other band up to its last one agrees
-    same = [F.when((F.col("last") >= k) & (band(x, k) == 0), 1).otherwise(0) for k in range(n)]
+    same = [F.when((F.col("last") >= k) & (x.bitwiseAND(F.lit(signed(band[k])).cast("long")) == 0), 1).otherwise(0) for k in range(n)]
     return pairs.where(sum(same[1:], same[0]) == agree).select("a", "b", F.bit_count(x).alias("distance"))
 
 
