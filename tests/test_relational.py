@@ -252,3 +252,15 @@ def test_choices_of_bands_are_little_code(spark, agree, monkeypatch):
         spark.conf.unset("spark.sql.codegen.fallback")
     assert got == {(0, 1, 1), (1, 2, 4), (2, 3, 1), (1, 6, 2), (4, 5, 1)}
     assert near == {(0, 3), (1, 3), (2, 1), (4, 1)}
+
+
+def test_near_duplicates_of_whole_vectors(spark):
+    """All pairs of the 24-bit hashes within four bits; five bits of 32 had left 4 of these."""
+    from veritable.plans import bindings, catalog
+
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    hashes = {r.vec_id: sum(1 << i for i in range(24) if sum(r.embedding[i::24]) > 0) for r in rows}
+    assert {r.vec_id: r.hash for r in bindings.hash24(spark, sf).collect()} == hashes
+    want = {(a, b) for a in hashes for b in hashes if a < b and (a + b) % 2 and 1 <= (hashes[a] ^ hashes[b]).bit_count() <= 4}
+    assert {(r.id_1, r.id_2) for r in catalog.QUERIES["j16_near_duplicates"](spark, sf).collect()} == want and len(want) > 40

@@ -84,8 +84,9 @@ def squared_distance(x: ColumnOrName, y: ColumnOrName) -> Column:
 
 def sign_bits(x: ColumnOrName, n: int) -> Column:
     """Bit i is set where the i-th value is positive, for up to 64 of them."""
-    bits = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.get(col(x), i) > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+    # over the values themselves: x may be an expression, which every mention in the lambda would work out anew
+    bits = F.transform(F.slice(col(x), 1, n), lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+    return F.coalesce(F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b)), F.lit(0).cast("bigint"))
 
 
 def hamming(a: ColumnOrName, b: ColumnOrName) -> Column:
