@@ -135,3 +135,21 @@ def test_age_is_that_of_the_clock_as_written(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert got == {0: True, 1: False, 2: None}
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    from veritable.plans import bindings
+
+    df = spark.createDataFrame([(x,) for x in (-1e-7, 1e-7, 0.0, -0.0, -0.1234565, 1.5, None)], "x double")
+    got = [r[0] for r in df.select(bindings.rounded(F.col("x"))).collect()]
+    assert list(map(repr, got)) == ["-0.0", "0.0", "0.0", "-0.0", "-0.123457", "1.5", "None"]
+
+
+def test_small_negative_numbers_stay_negative_in_registered_queries(spark, tmp_path):
+    from veritable.plans import catalog, features  # noqa: F401
+
+    v = [-1e-7 if i % 2 else 0.5 for i in range(64)]
+    spark.createDataFrame([(0, v)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name, column in (("v03_dropped_frames", "masked"), ("v09_center_fit", "cropped"), ("v11_masked_bands", "masked"), ("v16_align", "aligned")):
+        got = catalog.QUERIES[name](spark, str(tmp_path)).first()[column]
+        assert "-0.0" in map(repr, got), name

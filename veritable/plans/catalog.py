@@ -751,7 +751,7 @@ def v08_decibels(spark, sf):
 @query(f"with {_VEC} select vec_id, [round(x, 6) for x in v[13:52]] as cropped, len(v) + 36 as padded from e")
 def v09_center_fit(spark, sf):
     rows = b.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return rows.select("vec_id", F.transform(arrays.center_fit("v", 40), lambda x: F.round(x, 6)).alias("cropped"), F.size(arrays.center_fit("v", 100)).cast("long").alias("padded"))
+    return rows.select("vec_id", F.transform(arrays.center_fit("v", 40), lambda x: b.rounded(x)).alias("cropped"), F.size(arrays.center_fit("v", 100)).cast("long").alias("padded"))
 
 
 @query(f"with {_VEC} select vec_id, round(list_sum([(x - list_min(v)) / (list_max(v) - list_min(v)) for x in v]), 6) as total from e")

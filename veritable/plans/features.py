@@ -28,7 +28,7 @@ _EYES = {"lx": "2 + vec_id % 3", "ly": "2 + vec_id % 4", "rx": "5 + vec_id % 2",
 def v16_align(spark, sf):
     rows = b.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     eye = {k: F.when(F.col("vec_id") % 10 != 0, F.expr(x.replace("vec_id // 4", "floor(vec_id / 4)")).cast("double")) for k, x in _EYES.items()}
-    return rows.select("vec_id", F.transform(pictures.align_by_eyes("v", 8, 8, eye["lx"], eye["ly"], eye["rx"], eye["ry"]), lambda v: F.round(v, 6)).alias("aligned"))
+    return rows.select("vec_id", F.transform(pictures.align_by_eyes("v", 8, 8, eye["lx"], eye["ly"], eye["rx"], eye["ry"]), lambda v: b.rounded(v)).alias("aligned"))
 
 
 def _reflected(at: str) -> str:
@@ -88,7 +88,7 @@ def _frames(spark, sf):
 
 
 def _flat(frames: Column) -> Column:
-    return F.transform(F.flatten(frames), lambda v: F.round(v, 6))
+    return F.transform(F.flatten(frames), lambda v: b.rounded(v))
 
 
 @query(f"select vec_id, [case when {_uniform_sql(11, 'vec_id', 'i // 8')} > 0.25 then round(embedding[i + 1]::double, 6) else 0 end for i in range(64)] as masked from embeddings")
