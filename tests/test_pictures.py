@@ -153,3 +153,9 @@ def test_small_negative_numbers_stay_negative_in_registered_queries(spark, tmp_p
     for name, column in (("v03_dropped_frames", "masked"), ("v09_center_fit", "cropped"), ("v11_masked_bands", "masked"), ("v16_align", "aligned")):
         got = catalog.QUERIES[name](spark, str(tmp_path)).first()[column]
         assert "-0.0" in map(repr, got), name
+
+
+def test_rows_of_one_large_file_stay_where_they_are_read(spark, tmp_path):
+    spark.range(2000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    plan = tables.numbered_scan(spark.read.parquet(str(tmp_path / "one")))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

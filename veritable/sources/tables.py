@@ -53,12 +53,13 @@ def numbered_scan(rows: DataFrame, name: str = "ordinal") -> DataFrame:
     """Rows of Parquet files with their place in the scan, from 0: files in order of their
     paths, rows as they lie in them. Each row knows its place in its file; the rows of the
     files before come from a count per file, so nothing is sorted and only the small table of
-    counts is ordered in one task. ``rows`` is a plain scan, without filters."""
+    counts, a row per file, is ordered in one task and sent to all: dealt by file, the rows of one
+    large file would meet in one task. ``rows`` is a plain scan, without filters."""
     at = F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
     per_file = rows.select(*at).groupBy("__file").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_file.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return rows.select("*", *at).join(starts, "__file").withColumn(name, (F.col("__start") + F.col("__row")).cast("long")).drop("__file", "__row", "__start")
+    return rows.select("*", *at).join(F.broadcast(starts), "__file").withColumn(name, (F.col("__start") + F.col("__row")).cast("long")).drop("__file", "__row", "__start")
 
 
 def spot_check(rows: DataFrame, files: DataFrame, key: str, order: str | None = None, stride: int = 5000) -> DataFrame:
