@@ -159,3 +159,15 @@ def test_rows_of_one_large_file_stay_where_they_are_read(spark, tmp_path):
     spark.range(2000).coalesce(1).write.parquet(str(tmp_path / "one"))
     plan = tables.numbered_scan(spark.read.parquet(str(tmp_path / "one")))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_features_of_a_sample_are_gathered_once(spark, tmp_path):
+    from veritable.plans import bindings, catalog, features  # noqa: F401
+
+    rows = [(1, 1, 0.1, 0.2, 10.0), (1, 1, 0.05, 0.3, 4.0), (1, 2, None, 0.0, 5.0), (None, 1, 0.02, 0.1, 50.0), (2, None, 0.03, 0.05, 6.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_discount double, l_tax double, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.sample_id: tuple(None if x is None else round(x, 9) for x in r[1:]) for r in bindings.fusion_rows(spark, str(tmp_path)).collect()}
+    assert got == {"1-1": (0.5, 2.0, None), "1-2": (None, 0.0, None), None: (0.3, 1.0, 1.0)}
+    for name in ("f05_feature_fusion", "f06_gated_fusion", "f08_triad"):
+        plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "pivotfirst" not in plan and "Generate explode" not in plan, name

@@ -155,7 +155,7 @@ _ALL = "list_concat(" + ", ".join(MODALITIES) + ")"
 
 
 def _features(spark, sf):
-    rows = b.fusion_probs(spark, sf).groupBy("sample_id").pivot("modality", list(MODALITIES)).agg(F.max("prob"))
+    rows = b.fusion_rows(spark, sf)
     return rows, {m: F.when(F.col(m).isNotNull(), F.array(F.col(m), F.col(m) * F.col(m), 1 - F.col(m))) for m in MODALITIES}
 
 
