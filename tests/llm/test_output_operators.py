@@ -227,3 +227,26 @@ def test_chat_log_of_the_query_streams_edits_and_regenerates(spark):
     events = chat.as_events(table)
     assert {r.event for r in events.select("event").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
     assert [(r.role, r.text) for r in chat.fold(events).orderBy("turn").collect()] == [("assistant" if k % 2 else "user", f"text {k}") for k in range(12)]
+
+
+def test_far_vectors_that_share_a_bucket_are_not_shuffled_as_pairs(spark):
+    """Every pair of a label shares a bucket of no bits; before, all of them went on to be compared."""
+    rng = np.random.default_rng(5)
+    near = rng.standard_normal((20, 64))
+    x = np.concatenate([rng.standard_normal((260, 64)), near, near + 0.3 * rng.standard_normal((20, 64))])
+    table = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    met, compare = [], embedding_dedup._compare
+
+    def counted(pairs, left, right):
+        met.append(pairs.count())
+        return compare(pairs, left, right)
+
+    embedding_dedup._compare = counted
+    try:
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(table, bits=1, tables=4, crowded=10**6).collect()}
+    finally:
+        embedding_dedup._compare = compare
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (unit @ unit.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    assert {i: n for i, (n, _) in got.items()} == dict(enumerate(links.sum(axis=1).tolist())) and links.sum() >= 20
+    assert met[2] < 200 < len(x) ** 2 / 8

@@ -3,8 +3,8 @@
 Vectors are compared only with vectors of the same label and length. Equal vectors of a
 label form one class from the start. In each of ``TABLES`` tables a class falls into the
 bucket named by the signs of ``BITS`` random projections; classes that share a bucket are
-candidates, verified by their exact cosine in double precision. Links join classes;
-connected components follow.
+candidates; those whose other ``SKETCH`` signs differ too much are let go, the rest verified by
+their exact cosine in double precision. Links join classes; connected components follow.
 
 Buckets with more than ``CROWDED`` classes are dealt again by ``CROWDED_BITS`` more signs, in
 ``CROWDED_ROUNDS`` independent ways, so that the chance to find a near pair stays as high
@@ -43,6 +43,10 @@ CROWDED, CROWDED_BITS, CROWDED_ROUNDS = 64, 4, 4
 SEED = 4099
 #: Classes that a ball's centre is the mean of, at most.
 CENTRE_OF = 32
+#: Signs of every ball's centre, besides the tables', by which most of the far pairs that share a
+#: bucket are told before anything is shuffled for them, and how many standard deviations off a
+#: near pair may be: one in some 10^8 is further off.
+SKETCH, SKETCH_OFF = 128, 6
 #: Radians left out of every bound, far more than rounding can be.
 MARGIN = 1e-6
 
@@ -76,6 +80,23 @@ def _buckets(bits: int, tables: int, extra_bits: int, rounds: int):
     return run
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ball, radius, two halves of the signs of its centre)."""
+    for batch in batches:
+        for rows, x in _matrix(batch.column(2)):
+            signs = np.packbits(x @ _planes(x.shape[1], SKETCH) > 0, axis=1).view(np.int64)
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(signs[:, 0]), pa.array(signs[:, 1])], ["ball", "radius", "s1", "s2"])
+
+
+def _alike(theta: float):
+    """Whether two balls (columns s1, s2, radius; t1, t2, radius_b) may hold a near pair: signs
+    differ with the chance of the angle over a half turn."""
+    p = F.least(F.lit(0.5), (F.col("radius") + F.col("radius_b") + theta + MARGIN) / math.pi)
+    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+    return differ <= p * SKETCH + SKETCH_OFF * F.sqrt(p * (1 - p) * SKETCH) + 1
+
+
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, cosine of their vectors in double precision)."""
     for batch in batches:
@@ -153,12 +174,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, bits: int = BIT
     placed = materialize(placed.join(weights, "rep"), "placed")
     balls = placed.groupBy("ball").agg(F.max("angle").alias("radius"), F.sum("copies").alias("held"), F.min("rep").alias("least"))
     balls = materialize(balls.join(middles, "ball"), "middles")
+    sketches = balls.select("ball", F.col("radius").cast("double").alias("radius"), "embedding").mapInArrow(tidy(_sketches), "ball string, radius double, s1 long, s2 long")
+    sketches = materialize(sketches, "sketches")
     sizes = dealt.groupBy("label", "tbl", "bucket").count().where("count > 1")
     quiet = dealt.join(sizes.where(F.col("count") <= crowded).drop("count"), ["label", "tbl", "bucket"], "left_semi").withColumn("round", F.lit(0)).withColumn("part", F.lit(0))
     busy = dealt.join(sizes.where(F.col("count") > crowded).drop("count"), ["label", "tbl", "bucket"], "left_semi").select("*", F.posexplode("fine").alias("round", "part"))
-    cells = quiet.unionByName(busy).select("rep", F.xxhash64("label", "tbl", "bucket", "round", "part").alias("cell")).join(placed.select("rep", "ball"), "rep")
-    cells = cells.select("ball", "cell").distinct()
-    pairs = cells.withColumnRenamed("ball", "a").join(cells.withColumnRenamed("ball", "b"), "cell").where("a < b").select("a", "b").distinct()
+    cells = quiet.unionByName(busy).select("rep", F.xxhash64("label", "tbl", "bucket", "round", "part").alias("cell")).join(placed.select("rep", "ball").join(sketches, "ball"), "rep")
+    cells = cells.select("cell", "ball", "radius", "s1", "s2").distinct()
+    pairs = cells.withColumnRenamed("ball", "a").join(cells.toDF("cell", "b", "radius_b", "t1", "t2"), "cell").where((F.col("a") < F.col("b")) & _alike(theta)).select("a", "b").distinct()
     middle = balls.select("ball", "label", "embedding")
     wide = balls.select("ball", "radius")
     met = _compare(pairs, middle, middle).join(wide.toDF("a", "ra"), "a").join(wide.toDF("b", "rb"), "b").withColumn("d", _angle()).withColumn("r", F.col("ra") + F.col("rb"))
