@@ -2,6 +2,7 @@ import random
 import re
 import time
 
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -98,6 +99,68 @@ def test_live_windows_pass_over_what_stays_away(spark, tmp_path):
     assert [(g.window_idx, g.smoothed) for g in sorted(got, key=lambda g: g.window_idx)] == [(k, pytest.approx(s)) for k, (_, _, _, s) in enumerate(want)]
 
 
+class Store:
+    """A state store of one key, in memory, that counts calls which write."""
+
+    def __init__(self):
+        self.calls, self.kept = 0, {}
+
+    def _state(self, name, *_):
+        return State(self, name)
+
+    getValueState = getListState = getMapState = _state
+
+
+class State:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def exists(self):
+        return self.name in self.store.kept
+
+    def get(self):
+        kept = self.store.kept.get(self.name)
+        return iter(kept) if isinstance(kept, list) else kept
+
+    def iterator(self):
+        return iter(self.store.kept[self.name])
+
+    def _write(self, value):
+        self.store.calls += 1
+        self.store.kept[self.name] = value
+
+    update = put = _write
+
+    def clear(self):
+        self.store.calls += 1
+        self.store.kept.pop(self.name, None)
+
+    def appendValue(self, value):
+        self._write([*self.store.kept.get(self.name, []), value])
+
+    def updateValue(self, key, value):
+        self._write([*self.store.kept.get(self.name, []), (key, value)])
+
+    def removeKey(self, key):
+        self._write([kv for kv in self.store.kept[self.name] if kv[0] != key])
+
+
+def test_live_windows_call_the_store_a_few_times_however_many_values_wait():
+    r = random.Random(2)
+    xs = [r.random() for _ in range(400)]
+    order = list(range(2, 401))
+    r.shuffle(order)
+    store, out = Store(), []
+    live = L.Windows(4, 2, 0.3, 0.5, None)
+    live.init(store)
+    for came in (order[:150], order[100:300], order[300:], [1], [1, 7]):
+        store.calls = 0
+        for pdf in live.handleInputRows(("a",), iter([pd.DataFrame({"pos": came, "x": [xs[i - 1] for i in came]})]), None):
+            out += pdf[["window_idx", "frame_idx", "raw", "smoothed"]].values.tolist()
+        assert store.calls <= 4
+    assert out == [pytest.approx(w) for w in by_hand(xs, 4, 2, 0.3)]
+
+
 @pytest.mark.parametrize("alpha", [0.0, 0.3, 1.0])
 def test_scans_of_long_streams_equal_the_loop(spark, alpha):
     """One stream with nine rows of ten, blocks far smaller than it, nulls, a stream without a name."""
