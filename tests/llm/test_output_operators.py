@@ -33,6 +33,26 @@ def test_piece_tokenizer_equals_library(name, cut, awkward, rng, monkeypatch):
         assert [p.tolist() for p in parts] == [x + [1] for x in library_ids(name, texts[at : at + 7])]
 
 
+def test_pieces_used_most_stay_for_the_next_task(rng, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_PIECES", 300)
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 120)
+    often = [f"w{i}" for i in range(100)]
+    tokenizer = tokens.PieceTokenizer(tokens.tokenizer_path("word_bpe_49k.json"), "word")
+    for task in range(3):
+        for k in range(6):
+            texts = [" ".join(often), " ".join(f"x{task}y{k}z{i}" for i in range(90)), " ".join(rng.sample(often, 50))]
+            ids, counts = tokenizer.encode(texts, 1)
+            assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [x + [1] for x in library_ids("word_bpe_49k.json", texts)]
+        tokenizer.forget()
+        assert len(tokenizer.numbers) == 120 and set(often) <= set(tokenizer.numbers)
+    # a task that breaks off while it learns leaves nothing behind
+    monkeypatch.setattr(tokenizer, "_together", lambda pieces: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        tokenizer.encode(["never seen"])
+    tokenizer.forget()
+    assert not tokenizer.numbers
+
+
 def test_packing_places_every_id_once(spark, make_docs, awkward, rng):
     texts = [prose(rng, rng.randint(1, 900)) for _ in range(60)] + awkward + ODD
     want = [x + [1] for x in library_ids("word_bpe_49k.json", texts)]

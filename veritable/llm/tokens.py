@@ -36,8 +36,9 @@ _PLAIN = re.compile(f" ?[0-9{_LETTER}{_SIGN}'\"()\\-]+$")
 _RE2_WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RE2_END = rf"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:%$&*#|]+)([\t-\r ]|$)"
 _RE2_ODD = {"word": _MARK, "byte": rf"[{_RE2_WHITE}][{_RE2_WHITE}]|{_MARK}|[\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]"}
-#: Pieces kept at most; the cache starts anew beyond that.
-MOST_PIECES = 1 << 18
+#: Pieces kept at most (some 160 bytes each); and those, most used, that stay beyond that and
+#: from a task to the next of its worker, which knows half of its pieces by them.
+MOST_PIECES, KEPT_PIECES = 1 << 19, 1 << 18
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,7 +61,7 @@ class _Numbers(dict):
 
 
 class PieceTokenizer:
-    """``piece_tokenizer`` gives one per worker process; tasks drop the cache when they end."""
+    """``piece_tokenizer`` gives one per worker process; tasks cut its cache down when they end."""
 
     def __init__(self, path: str, cut: str):
         from tokenizers import Tokenizer
@@ -109,17 +110,30 @@ class PieceTokenizer:
         self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
+        self.uses = np.zeros(1 << 14, np.int64)
 
     def forget(self) -> None:
-        """Drop the cache. Few of a task's pieces are of use to the next task of its worker,
-        which other stages share."""
-        self._clear()
+        """Keep the pieces that were used most, as other stages share the worker; none if a
+        task broke off while it learned some."""
+        if self.numbers.new:
+            self._clear()
+        n = len(self.numbers)
+        if n > KEPT_PIECES:
+            kept = np.sort(np.argpartition(self.uses[:n], n - KEPT_PIECES)[n - KEPT_PIECES :])
+            names, sizes, starts, uses, flat = list(self.numbers), self.size[kept], self.start[kept], self.uses[kept] // 2, self.flat
+            self._clear()
+            self.numbers.update((names[i], k) for k, i in enumerate(kept.tolist()))
+            self.size, self.uses, self.start = sizes, uses, np.cumsum(sizes) - sizes
+            self.used = int(sizes.sum())
+            self.flat = flat[np.repeat(starts - self.start, sizes) + np.arange(self.used)]
+        if self.used > 1 << 21:
+            self._clear()
 
     def _learn(self) -> None:
-        new, self.numbers.new = self.numbers.new, []
+        new = self.numbers.new
         first = len(self.numbers) - len(new)
         if len(self.numbers) > len(self.start):
-            self.start, self.size = (np.concatenate([a, np.zeros(len(self.numbers) + len(a), np.int64)]) for a in (self.start, self.size))
+            self.start, self.size, self.uses = (np.concatenate([a, np.zeros(len(self.numbers), np.int64)]) for a in (self.start, self.size, self.uses))
         plain = np.fromiter((self.mark is not None and _PLAIN.match(p) is not None for p in new), bool, len(new))
         for chosen, encode in ((np.flatnonzero(plain), self._together), (np.flatnonzero(~plain), self._alone)):
             if not len(chosen):
@@ -132,6 +146,7 @@ class PieceTokenizer:
             self.start[first + chosen] = self.used + np.cumsum(sizes) - sizes
             self.size[first + chosen] = sizes
             self.used = need
+        self.numbers.new = []
 
     def _by_arrow(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all texts and each text's number of pieces; each distinct piece
@@ -156,7 +171,7 @@ class PieceTokenizer:
         """All ids one after another, and each text's number of ids; ``end`` follows each text.
         Null counts as empty."""
         if len(self.numbers) > MOST_PIECES or self.used > 1 << 22:
-            self._clear()
+            self.forget()
         texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
         odd = pc.match_substring_regex(texts, _RE2_ODD[self.kind]).to_numpy(zero_copy_only=False)
         if not odd.any():
@@ -172,6 +187,7 @@ class PieceTokenizer:
             codes = codes[np.repeat(begin - (np.cumsum(pieces) - pieces), pieces) + np.arange(len(codes))]
         if self.numbers.new:
             self._learn()
+        self.uses += np.bincount(codes, minlength=len(self.uses))
         sizes = self.size[codes]
         stops = np.cumsum(sizes)
         at = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(pieces)])]
