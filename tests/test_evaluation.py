@@ -134,6 +134,23 @@ def test_pictures_that_are_not_square_have_no_spectrum(spark):
     assert len(got[4].s) == 256 and got[4].h is not None
 
 
+def test_picture_features_are_the_three_functions_in_one_python_process(spark, tmp_path):
+    import random
+
+    import __spark_entry__ as e
+    from veritable.functions import arrays as A
+
+    r = random.Random(6)
+    odd = [([1.0] * 6,), (None,), ([],), ([1.0, None, 2.0, 3.0],), ([float("nan")] * 4,), ([2.5],), ([float(i) for i in range(256)],)]
+    rows = spark.createDataFrame(odd + [([r.gauss(0, 1) for _ in range(64)],) for _ in range(2500)], "v array<double>").coalesce(1)
+    one = rows.select("v", A.picture_features("v").alias("f")).select("v", "f.magnitude", "f.sharpness", "f.phash").collect()
+    three = rows.select("v", A.spectrum_magnitude("v").alias("magnitude"), A.laplacian_variance("v").alias("sharpness"), A.perceptual_hash("v").alias("phash")).collect()
+    assert list(map(str, one)) == list(map(str, three))
+    spark.createDataFrame([(1, [0.5] * 64)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    plan = e.queries()["v05_spectrum"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_null_keys_and_null_rows_in_every_metric(spark):
     """A null key has the metrics of its rows; rows without a score or a label count nowhere."""
     import random

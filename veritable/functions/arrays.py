@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,44 +145,70 @@ def _square(v) -> np.ndarray | None:
     return picture if np.isfinite(picture).all() else None
 
 
+def _magnitudes(pictures: np.ndarray) -> np.ndarray:
+    """Of pictures of one size, as the functions below."""
+    return (20 * np.log(np.abs(np.fft.fftshift(np.fft.fft2(pictures), axes=(1, 2))) + 1e-12)).reshape(len(pictures), -1)
+
+
+def _sharpness(pictures: np.ndarray) -> list[float]:
+    p = np.pad(pictures, ((0, 0), (1, 1), (1, 1)), mode="reflect") if pictures.shape[1] > 1 else np.zeros((len(pictures), 3, 3))
+    return [float(x.var()) for x in p[:, :-2, 1:-1] + p[:, 2:, 1:-1] + p[:, 1:-1, :-2] + p[:, 1:-1, 2:] - 4 * p[:, 1:-1, 1:-1]]
+
+
+def _phashes(pictures: np.ndarray) -> np.ndarray:
+    k = np.arange(pictures.shape[1])
+    basis = np.cos(np.pi * (2 * k[None, :] + 1) * np.arange(8)[:, None] / (2 * len(k)))
+    low = np.stack([(basis @ p @ basis.T).ravel() for p in pictures])
+    return np.packbits(low > np.median(low, axis=1, keepdims=True), axis=1).view(">i8").ravel().astype(np.int64)
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def spectrum_magnitude(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """20 ln of the shifted 2-d spectrum of a square picture given row by row; null for others."""
     for s in batches:
-        pictures = [_square(v) for v in s]
-        yield pd.Series([None if p is None else (20 * np.log(np.abs(np.fft.fftshift(np.fft.fft2(p))) + 1e-12)).ravel() for p in pictures], dtype=object)
+        yield pd.Series([None if (p := _square(v)) is None else _magnitudes(p[None])[0] for v in s], dtype=object)
 
 
 @F.pandas_udf(T.DoubleType())
 def laplacian_variance(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Variance of the Laplacian of a square picture, borders reflected; null for others."""
     for s in batches:
-        out = []
-        for v in s:
-            picture = _square(v)
-            if picture is None:
-                out.append(None)
-                continue
-            p = np.pad(picture, 1, mode="reflect") if len(picture) > 1 else np.zeros((3, 3))
-            out.append(float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).var()))
-        yield pd.Series(out, dtype=object)
+        yield pd.Series([None if (p := _square(v)) is None else _sharpness(p[None])[0] for v in s], dtype=object)
 
 
 @F.pandas_udf(T.LongType())
 def perceptual_hash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """64 bits: the low 8x8 cosine coefficients of a square picture above their median; null for others."""
     for s in batches:
-        out = []
-        for v in s:
-            picture = _square(v)
-            if picture is None:
-                out.append(None)
-                continue
-            k = np.arange(len(picture))
-            basis = np.cos(np.pi * (2 * k[None, :] + 1) * np.arange(8)[:, None] / (2 * len(picture)))
-            low = (basis @ picture @ basis.T).ravel()
-            out.append(int(np.packbits(low > np.median(low)).view(">i8")[0]))
-        yield pd.Series(out, dtype=object)
+        yield pd.Series([None if (p := _square(v)) is None else int(_phashes(p[None])[0]) for v in s], dtype=object)
+
+
+_FEATURES = pa.struct([("magnitude", pa.list_(pa.float64())), ("sharpness", pa.float64()), ("phash", pa.int64())])
+
+
+def _picture_rows(v: pa.Array) -> pa.Array:
+    flat, edges = v.values.to_numpy(zero_copy_only=False), v.offsets.to_numpy()
+    known = v.is_valid().to_numpy(zero_copy_only=False)
+    pictures = [_square(flat[a:b]) if ok else None for a, b, ok in zip(edges[:-1].tolist(), edges[1:].tolist(), known.tolist())]
+    columns = [[None] * len(v) for _ in _FEATURES]
+    sizes = np.array([0 if p is None else len(p) for p in pictures])
+    for size in set(sizes[sizes > 0].tolist()):
+        at = np.flatnonzero(sizes == size).tolist()
+        alike = np.stack([pictures[i] for i in at])
+        for column, values in zip(columns, (_magnitudes(alike), _sharpness(alike), _phashes(alike))):
+            for i, x in zip(at, values):
+                column[i] = x
+    columns = [pa.array(c, f.type) for c, f in zip(columns, _FEATURES)]
+    return pa.StructArray.from_arrays(columns, fields=list(_FEATURES))
+
+
+@F.arrow_udf(T.StructType([T.StructField("magnitude", T.ArrayType(T.DoubleType())), T.StructField("sharpness", T.DoubleType()), T.StructField("phash", T.LongType())]))
+def picture_features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """All three in one: each Arrow function over an iterator has a Python process of its own in every
+    task. A batch is worked on by the thousand rows."""
+    for v in batches:
+        parts = [_picture_rows(v.slice(a, 1000)) for a in range(0, len(v), 1000)]
+        yield pa.concat_arrays(parts) if parts else pa.array([], _FEATURES)
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))

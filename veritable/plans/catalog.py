@@ -783,7 +783,7 @@ def v18_hash_bits(spark, sf):
 def v05_spectrum(spark, sf):
     """Fourier magnitudes, Laplacian variance and perceptual hash of 8x8 pictures (numpy in Arrow batches)."""
     rows = b.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return rows.select("vec_id", arrays.spectrum_magnitude("v").alias("magnitude"), arrays.laplacian_variance("v").alias("sharpness"), arrays.perceptual_hash("v").alias("phash"))
+    return rows.select("vec_id", arrays.picture_features("v").alias("f")).select("vec_id", "f.magnitude", "f.sharpness", "f.phash")
 
 
 # --- features over time ------------------------------------------------------------------
