@@ -36,8 +36,8 @@ _PLAIN = re.compile(f" ?[0-9{_LETTER}{_SIGN}'\"()\\-]+$")
 _RE2_WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RE2_END = rf"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:%$&*#|]+)([\t-\r ]|$)"
 _RE2_ODD = {"word": _MARK, "byte": rf"[{_RE2_WHITE}][{_RE2_WHITE}]|{_MARK}|[\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]"}
-#: Pieces kept at most (some 160 bytes each); and those, most used, that stay beyond that and
-#: from a task to the next of its worker, which knows half of its pieces by them.
+#: Pieces kept at most; and those, most used, that stay beyond that and from a task to the next
+#: of its worker.
 MOST_PIECES, KEPT_PIECES = 1 << 19, 1 << 18
 
 
