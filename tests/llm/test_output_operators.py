@@ -270,3 +270,43 @@ def test_far_vectors_that_share_a_bucket_are_not_shuffled_as_pairs(spark):
     links = (unit @ unit.T >= 0.93) & ~np.eye(len(x), dtype=bool)
     assert {i: n for i, (n, _) in got.items()} == dict(enumerate(links.sum(axis=1).tolist())) and links.sum() >= 20
     assert met[2] < 200 < len(x) ** 2 / 8
+
+
+@pytest.mark.parametrize("name,cut", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_words_of_letters_are_encoded_without_marks(name, cut, rng):
+    """Marks between words made the library encode several times what the texts hold."""
+    made = []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **options):
+            out = self.library.encode_batch_fast(texts, **options)
+            made.extend(len(e.ids) for e in out)
+            return out
+
+    texts = [" " + " ".join(dict.fromkeys("".join(rng.choices("abdeilnorstÀéÿß", k=rng.randint(1, 12))) for _ in range(1500)))]
+    tokenizer = tokens.PieceTokenizer(tokens.tokenizer_path(name), cut)
+    tokenizer.library = Counted(tokenizer.library)
+    for _ in range(2):  # the second time every piece is known
+        ids, counts = tokenizer.encode(texts)
+        assert ids.tolist() == library_ids(name, texts)[0] and counts.tolist() == [len(ids)]
+        assert sum(made) <= len(ids) + 8
+
+
+def test_pieces_whose_hashes_are_equal_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "_hashed", lambda pieces: np.zeros(len(pieces), np.uint64))
+    tokenizer = tokens.PieceTokenizer(tokens.tokenizer_path("byte_bpe_50k.json"), "byte")
+    texts = ["one two three", "two three, four", "", "one"]
+    for _ in range(2):
+        ids, counts = tokenizer.encode(texts, 0)
+        assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [x + [0] for x in library_ids("byte_bpe_50k.json", texts)]
+
+
+def test_an_id_is_coded_in_one_step(monkeypatch):
+    ids = np.minimum(np.random.default_rng(4).zipf(1.3, 100_000), 500).astype(np.uint32)
+    coded, put = [], range_coder._Writer.put
+    monkeypatch.setattr(range_coder._Writer, "put", lambda self, who, cum, *rest: (coded.append(len(cum)), put(self, who, cum, *rest))[1])
+    data = range_coder.encode_block(ids)
+    assert (range_coder.decode_block(data) == ids).all() and sum(coded) < 1.2 * len(ids)

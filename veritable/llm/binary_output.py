@@ -74,7 +74,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, cut: str = "
 
         try:
             for batch in batches:
-                for rows in text_slices(batch, most=2 * block_tokens):
+                for rows in text_slices(batch, most=4 * block_tokens):
                     ids, counts = encoder.encode(rows.column("text"), end)
                     parts.append((rows.column("doc_id"), counts, ids))
                     held += len(ids)

@@ -20,14 +20,17 @@ import zlib
 
 import numpy as np
 
-_MAGIC = b"VTB1"
+_MAGIC = b"VTB2"
 _HEAD = struct.Struct("<4sIIII")
 _LANES = 4096
-_T16, _T32, _T48 = np.uint64(16), np.uint64(1 << 32), np.uint64(1 << 48)
-_MASK32 = np.uint64((1 << 32) - 1)
+_T16, _T40, _T48 = np.uint64(16), np.uint64(1 << 40), np.uint64(1 << 48)
+_MASK40 = np.uint64((1 << 40) - 1)
 _ONE, _T48_BITS = np.uint64(1), np.uint64(48)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _HASH_BITS = 18
+#: Bits of an outcome's share. A known id is coded with its outcome at once: with both, shares stay
+#: well above one part of the shortest range, 2**40.
+_OUTCOME_BITS = 12
 
 
 #: How sure a prediction is after it failed (0..3 before) or held (4..7).
@@ -74,9 +77,9 @@ class _Model:
         rest = 1 - q[:, 0] - q[:, 1]
         q[:, 2], q[:, 3] = rest * known, rest * (1 - known)
         p = (n + 8.0 * q) / (n.sum(1) + 8.0)[:, None]
-        self.freq = 1 + (p * 65528.0).astype(np.uint64)
+        self.freq = 1 + (p * ((1 << _OUTCOME_BITS) - 8)).astype(np.uint64)
         self.cum = np.concatenate([np.zeros((32, 1), np.uint64), np.cumsum(self.freq, 1, dtype=np.uint64)], 1)[:, :4].copy()
-        self.freq[:, 3] = np.uint64(65536) - self.cum[:, 3]
+        self.freq[:, 3] = np.uint64(1 << _OUTCOME_BITS) - self.cum[:, 3]
         self.cum_flat, self.freq_flat = self.cum.ravel(), self.freq.ravel()
 
     def learn(self, x, seen, right_a, right_b, outcome, cell) -> None:
@@ -129,11 +132,11 @@ class _Writer:
         r *= freq
         while True:
             same = (low ^ (low + r)) < _T48
-            at = np.flatnonzero(same | (r < _T32))
+            at = np.flatnonzero(same | (r < _T40))
             if not len(at):
                 break
             l, w = low.take(at), r.take(at)
-            w = np.where(same.take(at), w, (~l + _ONE) & _MASK32)
+            w = np.where(same.take(at), w, (~l + _ONE) & _MASK40)
             self.lane.append((at if isinstance(who, slice) else who.take(at)).astype(np.uint16))
             self.word.append((l >> _T48_BITS).astype(np.uint16))
             low[at], r[at] = l << _T16, w << _T16
@@ -167,12 +170,12 @@ class _Reader:
         low, r = self.low[who] + cum * self.r, self.r * freq
         while True:
             same = (low ^ (low + r)) < _T48
-            at = np.flatnonzero(same | (r < _T32))
+            at = np.flatnonzero(same | (r < _T40))
             if not len(at):
                 break
             l, w = low.take(at), r.take(at)
             lanes = at if isinstance(who, slice) else who.take(at)
-            w = np.where(same.take(at), w, (~l + _ONE) & _MASK32)
+            w = np.where(same.take(at), w, (~l + _ONE) & _MASK40)
             place = self.at.take(lanes)
             self.code[lanes] = (self.code.take(lanes) << _T16) | self.words.take(place, mode="clip")
             self.at[lanes] = place + 1
@@ -197,13 +200,13 @@ def encode_block(ids: np.ndarray) -> bytes:
             x = columns[t, :m]
             seen = model.predict(p1[:m], p2[:m])
             right_a, right_b = seen[2] == x, seen[3] == x
-            outcome = np.where(right_a, 0, np.where(right_b, 1, np.where(model.freq0.take(x) > 0, 2, 3)))
+            place, bits = x.astype(np.int64), np.uint64(model.bits0)
+            within = model.freq0.take(place)
+            outcome = np.where(right_a, 0, np.where(right_b, 1, np.where(within > 0, 2, 3)))
             cell = seen[6] * 4 + outcome
-            out.put(slice(0, m), model.cum_flat.take(cell), model.freq_flat.take(cell))
-            known = np.flatnonzero(outcome == 2)
-            if len(known):
-                ids = x.take(known)
-                out.put(known, model.cum0.take(ids), model.freq0.take(ids), model.bits0)
+            share, known = model.freq_flat.take(cell), outcome == 2
+            before = share * model.cum0.take(place) * known
+            out.put(slice(0, m), (model.cum_flat.take(cell) << bits) + before, np.where(known, share * within, share << bits), _OUTCOME_BITS + model.bits0)
             new = np.flatnonzero(outcome == 3)
             if len(new):
                 ones, ids = np.full(len(new), _ONE), x.take(new).astype(np.uint64)
@@ -241,18 +244,22 @@ def decode_block(data: bytes) -> np.ndarray:
             every = slice(0, m)
             seen = model.predict(p1[:m], p2[:m])
             a, b, ctx = seen[2], seen[3], seen[6]
-            slot, first = source.slot(every), ctx * 4
+            bits, first = np.uint64(model.bits0), ctx * 4
+            whole = source.slot(every, _OUTCOME_BITS + model.bits0)
+            slot = whole >> bits
             outcome = (slot >= model.cum_flat.take(first + 1)).astype(np.int64)
             outcome += slot >= model.cum_flat.take(first + 2)
             outcome += slot >= model.cum_flat.take(first + 3)
             cell = first + outcome
-            source.take(every, model.cum_flat.take(cell), model.freq_flat.take(cell))
-            x = np.where(outcome == 0, a, b)
+            share, cum = model.freq_flat.take(cell), model.cum_flat.take(cell) << bits
+            freq, x = share << bits, np.where(outcome == 0, a, b)
             known = np.flatnonzero(outcome == 2)
             if len(known):
-                ids = model.slots.take(source.slot(known, model.bits0).astype(np.int64))
-                source.take(known, model.cum0.take(ids), model.freq0.take(ids))
+                some, at = share.take(known), cum.take(known)
+                ids = model.slots.take(((whole.take(known) - at) // some).astype(np.int64))
+                cum[known], freq[known] = at + some * model.cum0.take(ids), some * model.freq0.take(ids)
                 x[known] = ids
+            source.take(every, cum, freq)
             new = np.flatnonzero(outcome == 3)
             if len(new):
                 ones, high = np.full(len(new), _ONE), np.zeros(len(new), np.uint64)

@@ -7,6 +7,7 @@ encoded once by the tokenizers library and looked up from then on.
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 from itertools import chain
@@ -15,6 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from veritable.llm.common import text_bytes
+from veritable.llm.words import run_hashes
+
 #: The characters with Unicode's White_Space property.
 _WHITE = "\t-\r \x85\xa0  -     　"
 #: Letters of which every tokenizer here makes words, and signs that it never joins to them;
@@ -29,7 +33,11 @@ CUTS = {
 }
 #: The mark, and how byte-level vocabularies show it; what a piece may hold to stand beside one.
 _MARK, _SHOWN = "\x01", "ā"
-_PLAIN = re.compile(f" ?[0-9{_LETTER}{_SIGN}'\"()\\-]+$")
+_PLAIN = f"^ ?[0-9{_LETTER}{_SIGN}'\"()\\-]+$"
+#: Words that need no mark: a token with the blank begins one, or one with the sign of a word's
+#: end ends it, by the family.
+_WORD = {"byte": f"^ [{_LETTER}]+$", "word": f"^[{_LETTER}]+$"}
+_BLANK, _WORD_END = "Ġ", "</w>"
 #: The same cuts in the other regular-expression library, which has no look-ahead: a word and
 #: the signs that end it; and texts that need the look-ahead (for ``byte``, white space beside
 #: white space) or hold the mark.
@@ -47,17 +55,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Numbers(dict):
-    """Numbers keys as they come and remembers the new ones."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self.new.append(key)
-        self[key] = n = len(self)
-        return n
+def _hashed(pieces: pa.Array) -> np.ndarray:
+    data, offsets = text_bytes(pieces)
+    sizes = np.diff(offsets, append=len(data) + 1)  # one byte more, so that a last empty piece has a place
+    return np.where(sizes, run_hashes(np.append(data, np.uint8(0)), offsets, sizes), np.uint64(0))[:-1]
 
 
 class PieceTokenizer:
@@ -66,12 +67,16 @@ class PieceTokenizer:
     def __init__(self, path: str, cut: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.library.no_padding()
         self.library.no_truncation()
         self.kind, self.cut = cut, CUTS[cut]
         self.mark = self._find_mark()
+        self.edge = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self.edge[i] = token.startswith(_BLANK) if cut == "byte" else token.endswith(_WORD_END)
         self._clear()
 
     def _find_mark(self) -> int | None:
@@ -81,18 +86,23 @@ class PieceTokenizer:
         holds = [t for t in self.library.get_vocab() if _SHOWN in t]
         return alone.ids[0] if len(alone.ids) == 1 and set(holds) <= {_SHOWN, _SHOWN + "</w>"} else None
 
-    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _alone(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All pieces' ids, one after another, and their numbers."""
-        ids = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        ids = [e.ids for e in self.library.encode_batch_fast(pieces.to_pylist(), add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
 
-    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for ordinary pieces, encoded by the thousand, a mark on a line of its own
-        between them."""
+    def _together(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for ordinary pieces, encoded by the thousand: words of letters side by side,
+        any others with a mark on a line of its own between them."""
+        if pc.all(pc.match_substring_regex(pieces, _WORD[self.kind])).as_py():
+            flat = np.concatenate(self._lines(pieces, "" if self.kind == "byte" else " "))
+            edges = np.flatnonzero(self.edge[flat])
+            counts = np.diff(edges, append=len(flat)) if self.kind == "byte" else np.diff(edges, prepend=-1)
+            if len(counts) == len(pieces) and counts.sum() == len(flat):
+                return flat, counts
         line = f"\n{_MARK}\n"
-        texts = [line.join(["", *pieces[at : at + 1000], ""]) for at in range(0, len(pieces), 1000)]
-        every = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        every = self._lines(pieces, line, line)
         flat = np.concatenate(every)
         is_mark = flat == self.mark
         drop = is_mark.copy()
@@ -104,41 +114,60 @@ class PieceTokenizer:
         counts = np.bincount(np.cumsum(is_mark)[~drop], minlength=int(marks[-1]) + 1)[1:]
         return flat[~drop], np.delete(counts, marks - 1).astype(np.int64)
 
+    def _lines(self, pieces: pa.Array, between: str, around: str = "") -> list[np.ndarray]:
+        """Ids of each thousand pieces as one text."""
+        edges = pa.array(np.append(np.arange(0, len(pieces), 1000), len(pieces)).astype(np.int32))
+        texts = [f"{around}{t}{around}" for t in pc.binary_join(pa.ListArray.from_arrays(edges, pieces), between).to_pylist()]
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _clear(self) -> None:
-        self.numbers = _Numbers()
+        self.pieces = pa.array([], pa.string())
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # in order of the hashes
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
         self.uses = np.zeros(1 << 14, np.int64)
+        self.learning = False
+
+    @property
+    def numbers(self) -> list[str]:
+        """The pieces that are known, by their numbers."""
+        return self.pieces.to_pylist()
 
     def forget(self) -> None:
         """Keep the pieces that were used most, as other stages share the worker; none if a
         task broke off while it learned some."""
-        if self.numbers.new:
+        if self.learning:
             self._clear()
-        n = len(self.numbers)
+        n = len(self.pieces)
         if n > KEPT_PIECES:
             kept = np.sort(np.argpartition(self.uses[:n], n - KEPT_PIECES)[n - KEPT_PIECES :])
-            names, sizes, starts, uses, flat = list(self.numbers), self.size[kept], self.start[kept], self.uses[kept] // 2, self.flat
+            pieces, sizes, starts, uses, flat = self.pieces.take(pa.array(kept)), self.size[kept], self.start[kept], self.uses[kept] // 2, self.flat
             self._clear()
-            self.numbers.update((names[i], k) for k, i in enumerate(kept.tolist()))
+            self._add(pieces, _hashed(pieces))
             self.size, self.uses, self.start = sizes, uses, np.cumsum(sizes) - sizes
             self.used = int(sizes.sum())
             self.flat = flat[np.repeat(starts - self.start, sizes) + np.arange(self.used)]
         if self.used > 1 << 21:
             self._clear()
 
-    def _learn(self) -> None:
-        new = self.numbers.new
-        first = len(self.numbers) - len(new)
-        if len(self.numbers) > len(self.start):
-            self.start, self.size, self.uses = (np.concatenate([a, np.zeros(len(self.numbers), np.int64)]) for a in (self.start, self.size, self.uses))
-        plain = np.fromiter((self.mark is not None and _PLAIN.match(p) is not None for p in new), bool, len(new))
-        for chosen, encode in ((np.flatnonzero(plain), self._together), (np.flatnonzero(~plain), self._alone)):
+    def _add(self, new: pa.Array, h: np.ndarray) -> None:
+        order = np.argsort(h)
+        at = np.searchsorted(self.hashes, h[order])
+        self.hashes, self.places = np.insert(self.hashes, at, h[order]), np.insert(self.places, at, len(self.pieces) + order)
+        self.pieces = pa.concat_arrays([self.pieces, new])
+
+    def _learn(self, new: pa.Array, h: np.ndarray) -> None:
+        self.learning = True
+        first = len(self.pieces)
+        if first + len(new) > len(self.start):
+            self.start, self.size, self.uses = (np.concatenate([a, np.zeros(first + len(new), np.int64)]) for a in (self.start, self.size, self.uses))
+        plain, word = (pc.match_substring_regex(new, r).to_numpy(zero_copy_only=False) & (self.mark is not None) for r in (_PLAIN, _WORD[self.kind]))
+        for chosen, encode in ((np.flatnonzero(word), self._together), (np.flatnonzero(plain & ~word), self._together), (np.flatnonzero(~plain), self._alone)):
             if not len(chosen):
                 continue
-            ids, sizes = encode([new[i] for i in chosen.tolist()])
+            ids, sizes = encode(new.take(pa.array(chosen)))
             need = self.used + len(ids)
             if need > len(self.flat):
                 self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * need, np.uint32)])
@@ -146,7 +175,25 @@ class PieceTokenizer:
             self.start[first + chosen] = self.used + np.cumsum(sizes) - sizes
             self.size[first + chosen] = sizes
             self.used = need
-        self.numbers.new = []
+        self._add(new, h)
+        self.learning = False
+
+    def _numbered(self, names: pa.Array) -> np.ndarray:
+        """The numbers of distinct pieces; those that are new are learned. A hash only proposes a
+        piece: one that is not the same to the letter is learned again."""
+        h = _hashed(names)
+        numbers = np.full(len(names), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            known = np.flatnonzero(self.hashes[at] == h)
+            found = self.places[at[known]]
+            same = pc.equal(names.take(pa.array(known)), self.pieces.take(pa.array(found))).to_numpy(zero_copy_only=False)
+            numbers[known[same]] = found[same]
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            numbers[new] = len(self.pieces) + np.arange(len(new))
+            self._learn(names.take(pa.array(new)), h[new])
+        return numbers
 
     def _by_arrow(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all texts and each text's number of pieces; each distinct piece
@@ -157,20 +204,21 @@ class PieceTokenizer:
             marked = pc.replace_substring_regex(texts, _RE2_END, rf"\1{_MARK}\2\3")
             marked = pc.replace_substring(pc.replace_substring(marked, " ", f"{_MARK} "), "\n", f"{_MARK}\n{_MARK}")
             lists = pc.split_pattern(marked, _MARK)
-        distinct = lists.flatten().dictionary_encode()
-        names = distinct.dictionary.to_pylist()
-        numbers = np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))
-        return numbers[distinct.indices.to_numpy()], np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        return self._codes(lists.flatten()), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+
+    def _codes(self, pieces: pa.Array) -> np.ndarray:
+        distinct = pieces.dictionary_encode()
+        return self._numbered(distinct.dictionary).take(distinct.indices.to_numpy())
 
     def _by_regex(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = [self.cut.findall(t) for t in texts]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum())), counts
+        return self._codes(pa.array(list(chain.from_iterable(lists)), pa.string())), counts
 
     def encode(self, texts: pa.Array | list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's number of ids; ``end`` follows each text.
         Null counts as empty."""
-        if len(self.numbers) > MOST_PIECES or self.used > 1 << 22:
+        if len(self.pieces) > MOST_PIECES or self.used > 1 << 22:
             self.forget()
         texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
         odd = pc.match_substring_regex(texts, _RE2_ODD[self.kind]).to_numpy(zero_copy_only=False)
@@ -185,8 +233,6 @@ class PieceTokenizer:
             begin = (np.cumsum(pieces) - pieces)[order]
             pieces = pieces[order]
             codes = codes[np.repeat(begin - (np.cumsum(pieces) - pieces), pieces) + np.arange(len(codes))]
-        if self.numbers.new:
-            self._learn()
         self.uses += np.bincount(codes, minlength=len(self.uses))
         sizes = self.size[codes]
         stops = np.cumsum(sizes)

@@ -33,7 +33,7 @@ def _runs(kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.diff(starts, append=len(kind))
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def run_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A polynomial hash of each run. The runs follow one another without gaps."""
     place = np.arange(len(data)) - np.repeat(starts, sizes)
     return _mix(np.add.reduceat(_LUT[data] * _POWER[place & 255], starts) + sizes.astype(np.uint64))
@@ -47,7 +47,7 @@ def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     kind = _LETTER[low] | _DIGIT[low]
     starts, sizes = _runs(kind, offsets)
     with np.errstate(over="ignore"):
-        h = _hashes(low, starts, sizes)
+        h = run_hashes(low, starts, sizes)
     word = kind[starts]
     return h[word], np.searchsorted(offsets, starts[word], "right") - 1
 
@@ -67,7 +67,7 @@ def shaped_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     upper = np.add.reduceat(((data >= 65) & (data <= 90)).astype(np.int32), starts)
     lower = np.add.reduceat(((data >= 97) & (data <= 122)).astype(np.int32), starts)
     with np.errstate(over="ignore"):
-        h = _hashes(_FOLD[data], starts, sizes)
+        h = run_hashes(_FOLD[data], starts, sizes)
     kind = kind[starts]
     owner = np.searchsorted(offsets, starts, "right") - 1
     some = kind > 0
