@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose, words
 from veritable.llm import decontamination, language_id, quality, simhash, suffix_dedup
-from veritable.llm.common import components
+from veritable.llm.common import components, text_bytes
+from veritable.llm.words import plain_words
 
 
 def test_language_id_learns_and_handles_awkward_texts(spark, make_docs, awkward, rng):
@@ -456,3 +458,41 @@ def test_quality_learns_one_row_of_each_id(spark, rng):
     vectors, network = quality.fit(docs, labels)
     got = quality.score(docs, vectors, network).collect()
     assert len(got) == 321 and all(0 <= r.score <= 1 for r in got) and [r.held_out for r in got if r.doc_id is None] == [None]
+
+
+def test_sparse_products_of_decontamination_are_right_and_cost_less_than_sums_of_runs():
+    """Sums of runs of rows (``add.reduceat``) took several times as long as adding rows."""
+    r = np.random.default_rng(8)
+    row, feature = np.sort(r.integers(0, 3000, 30_000)), r.integers(0, 2000, 30_000)
+    value, m, rows = r.random(30_000).astype(np.float32), r.standard_normal((2000, 144)).astype(np.float32), r.standard_normal((3000, 144)).astype(np.float32)
+    dense = np.zeros((3000, 2000))
+    np.add.at(dense, (row, feature), value)
+    assert np.allclose(decontamination._times(row, feature, value, np.asfortranarray(m), 3000), dense @ m, atol=1e-3)
+    found, sums = decontamination._back(rows, feature, value, row)
+    assert (found == np.unique(feature)).all() and np.allclose(sums, (dense.T @ rows)[found], atol=1e-3)
+
+    def by_runs():
+        order = np.argsort(feature, kind="stable")
+        starts = np.flatnonzero(np.diff(feature[order], prepend=-1))
+        np.add.reduceat(rows[row[order]] * value[order, None], starts)
+
+    def least(run):
+        took = []
+        for _ in range(5):
+            before = time.process_time()
+            run()
+            took.append(time.process_time() - before)
+        return min(took)
+
+    assert least(lambda: decontamination._back(rows, feature, value, row)) < 0.75 * least(by_runs)
+
+
+def test_words_and_benchmark_words_are_those_of_a_plain_search():
+    texts = ["Ab ab", "", "aB, zz 9", "--", "x" * 300 + " x", ""]
+    h, owner = plain_words(*text_bytes(pa.array(texts)))
+    assert owner.tolist() == [0, 0, 2, 2, 2, 4, 4] and h[0] == h[1] == h[2] and len(set(h.tolist())) == 5
+    bench = decontamination._Benchmark([" ".join(f"w{i}" for i in range(k, k + 40)) for k in range(0, 4000, 40)])
+    h, _ = plain_words(*text_bytes(pa.array([" ".join(f"w{i}" for i in range(0, 8000, 3))])))
+    at, feature = bench.features(h)
+    assert at.tolist() == np.flatnonzero(np.isin(h, bench.known)).tolist() and len(at) == 1334
+    assert (feature == h[at] % np.uint64(decontamination.FEATURES)).all()

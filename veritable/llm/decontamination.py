@@ -68,9 +68,10 @@ class _Benchmark:
         self.items = [every[i] for i in self.which]
         self.short = {n: self._joined([i for i, w in enumerate(every) if len(w) == n], every) for n in range(SHORTEST, LEAST)}
         self.known = np.unique(np.concatenate(self.items)) if self.items else np.zeros(0, np.uint64)
-        # a 16-bit sieve answers for most words of a corpus before the exact search
-        self.sieve = np.zeros(1 << 16, bool)
-        self.sieve[(self.known >> np.uint64(48)).astype(np.int64)] = True
+        # by upper 16 bits: how many words have them, which answers for most words of a corpus,
+        # and the first of these
+        self.alike = np.bincount((self.known >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
+        self.first = np.cumsum(self.alike) - self.alike
         self.seen: dict[int, tuple[_Item, _Item]] = {}
         self.total = np.array([len(w) for w in self.items], np.int64)
         words = np.concatenate([*self.items, np.zeros(0, np.uint64)])
@@ -96,10 +97,14 @@ class _Benchmark:
         """Places in ``h`` of benchmark words, and their features."""
         if not len(self.known):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.sieve[(h >> np.uint64(48)).astype(np.int64)])
-        found = np.searchsorted(self.known, h[at])
-        at = at[self.known[np.minimum(found, len(self.known) - 1)] == h[at]]
-        return at, (h[at] % np.uint64(FEATURES)).astype(np.int64)
+        upper = (h >> np.uint64(48)).astype(np.int64)
+        at = np.flatnonzero(self.alike.take(upper))
+        some, first = h.take(at), self.first.take(upper.take(at))
+        same = np.zeros(len(at), bool)
+        for k in range(int(self.alike.max())):
+            same |= self.known.take(first + k, mode="clip") == some
+        at = at[same]
+        return at, (some[same] % np.uint64(FEATURES)).astype(np.int64)
 
     def rows(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pieces' unit TF-IDF vectors as (piece, feature, value)."""
@@ -153,9 +158,8 @@ class _Blocks:
 def _back(rows: np.ndarray, feature: np.ndarray, value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A' times rows: features present, and their sums."""
     order = np.argsort(feature, kind="stable")
-    f = feature[order]
-    starts = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-    return f[starts], np.add.reduceat(rows[row[order]] * value[order, None], starts)
+    found, place = np.unique(feature[order], return_inverse=True)
+    return found, _times(place, row[order], value[order], rows, len(found))
 
 
 def _times(row: np.ndarray, feature: np.ndarray, value: np.ndarray | None, m: np.ndarray, n: int) -> np.ndarray:
@@ -163,13 +167,15 @@ def _times(row: np.ndarray, feature: np.ndarray, value: np.ndarray | None, m: np
     of all rows at once, the rows with most entries first."""
     size = np.bincount(row, minlength=n)
     start, order = np.cumsum(size) - size, np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
+    start, size, m = start[order], size[order], np.ascontiguousarray(m)
     out = np.zeros((n, m.shape[1]), np.float32)
     for k in range(int(size[0]) if n else 0):
         at = start[: np.searchsorted(-size, -k)] + k
         for i in range(0, len(at), 1024):
-            more = m[feature[at[i : i + 1024]]]
-            out[i : i + len(more)] += more if value is None else more * value[at[i : i + 1024], None]
+            more = m.take(feature.take(at[i : i + 1024]), axis=0)
+            if value is not None:
+                more *= value.take(at[i : i + 1024])[:, None]
+            out[i : i + len(more)] += more
     back = np.empty_like(out)
     back[order] = out
     return back
@@ -192,8 +198,7 @@ def _gather(total: np.ndarray, p: _Blocks, weight: np.ndarray, start: np.ndarray
         rows = x @ start[often]
         block, feature, value = block[~dense], feature[~dense], value[~dense]
         if len(block):
-            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            rows[block[starts]] += np.add.reduceat(start[feature] * value[:, None], starts)
+            rows += _times(block, feature, value, start, len(rows))
             f, sums = _back(rows, feature, value, block)
             total[f] += sums
         total[often] += x.T @ rows
@@ -289,7 +294,9 @@ def _candidates(p: _Blocks, bench: _Benchmark, fold: np.ndarray, latent: np.ndar
     def joined(x: np.ndarray, more: np.ndarray, step: int) -> np.ndarray:
         """Passages x, each with the one of ``more`` that begins ``step`` blocks later in its text."""
         out = x.copy()
-        out[:-step] += more[step:] * (at[:-step] + step < p.last[:-step])[:, None]
+        out[:-step] += more[step:]
+        ends = np.flatnonzero(at + step >= p.last)
+        out[ends] = x[ends]
         return out
 
     one = _times(np.repeat(p.block, p.count), np.repeat(p.feature, p.count), None, fold, len(p.owner))
@@ -305,16 +312,16 @@ def _candidates(p: _Blocks, bench: _Benchmark, fold: np.ndarray, latent: np.ndar
         b = np.minimum(a + blocks, p.last[a])
         passages = sums[blocks]()
         for i in range(0, len(a), _TILE):
-            x = passages[a[i : i + _TILE]]
+            x = passages.take(a[i : i + _TILE], axis=0) if stride > 1 else passages[i : i + _TILE]
             size = np.sqrt(np.einsum("ij,ij->i", x, x))
-            some = np.flatnonzero(size)
-            x = x[some] / size[some, None]
+            least = np.where(size > 0, np.float32(COSINE) * size, np.float32(np.inf))[:, None]
             for k in range(0, len(pieces), _TILE):
-                cosine = x @ latent[pieces[k : k + _TILE]].T
-                near = np.flatnonzero(cosine >= COSINE)
+                product = x @ latent[pieces[k : k + _TILE]].T
+                near = np.flatnonzero(product >= least)
                 if len(near):
-                    r, c = np.divmod(near, cosine.shape[1])
-                    r, near = i + some[r], cosine.ravel()[near]
+                    r, c = np.divmod(near, product.shape[1])
+                    near = product.ravel()[near] / size[r]
+                    r += i
                     yield a[r], b[r], pieces[k + c], near
 
 

@@ -15,6 +15,7 @@ _SPACE = (_BYTE == 32) | ((_BYTE >= 9) & (_BYTE <= 13))
 #: 0 blank, 1 letters, 2 digits, 3 anything else
 _CLASS = np.where(_SPACE, 0, np.where(_LETTER, 1, np.where(_DIGIT, 2, 3))).astype(np.uint8)
 _FOLD = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
+_FOLDED, _WORD = _LUT[_FOLD], _LETTER | _DIGIT
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -33,23 +34,22 @@ def _runs(kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.diff(starts, append=len(kind))
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def run_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, values: np.ndarray = _LUT) -> np.ndarray:
     """A polynomial hash of each run. The runs follow one another without gaps."""
-    place = np.arange(len(data)) - np.repeat(starts, sizes)
-    return _mix(np.add.reduceat(_LUT[data] * _POWER[place & 255], starts) + sizes.astype(np.uint64))
+    place = np.arange(len(data)).astype(np.uint8) - np.repeat(starts.astype(np.uint8), sizes)
+    return _mix(np.add.reduceat(values.take(data) * _POWER.take(place), starts) + sizes.astype(np.uint64))
 
 
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased (A-Z) runs of letters and digits, and each one's text."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    low = _FOLD[data]
-    kind = _LETTER[low] | _DIGIT[low]
+    kind = _WORD.take(data)
     starts, sizes = _runs(kind, offsets)
     with np.errstate(over="ignore"):
-        h = run_hashes(low, starts, sizes)
-    word = kind[starts]
-    return h[word], np.searchsorted(offsets, starts[word], "right") - 1
+        h = run_hashes(data, starts, sizes, _FOLDED)
+    word = np.flatnonzero(kind.take(starts))
+    return h.take(word), np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts.take(word), offsets)))
 
 
 #: What stands for a word written in capitals, and for one that repeats the word before.
