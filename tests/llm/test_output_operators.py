@@ -310,3 +310,42 @@ def test_an_id_is_coded_in_one_step(monkeypatch):
     monkeypatch.setattr(range_coder._Writer, "put", lambda self, who, cum, *rest: (coded.append(len(cum)), put(self, who, cum, *rest))[1])
     data = range_coder.encode_block(ids)
     assert (range_coder.decode_block(data) == ids).all() and sum(coded) < 1.2 * len(ids)
+
+
+def test_byte_level_texts_are_cut_where_they_lie(rng, monkeypatch):
+    """Expressions that wrote every text anew, to split it, took a sixth of the tokenizing."""
+    signs = ["a", "Zé", "ÿß", " ", ".", ",!", "|#", "×", "÷", "\n", "\t", "1", "'s", "-", "”", "Ā"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(3000)] + ["", None, ".", "a.", ".b", "\n", "é", " "]
+    want = library_ids("byte_bpe_50k.json", texts)
+    for called in ("replace_substring_regex", "replace_substring", "split_pattern"):
+        monkeypatch.setattr(tokens.pc, called, lambda *_, **__: 1 / 0)
+    tokenizer = tokens.PieceTokenizer(tokens.tokenizer_path("byte_bpe_50k.json"), "byte")
+    for some in (slice(0, None), slice(0, None, 7), slice(len(texts) - 8, None)):
+        ids, counts = tokenizer.encode(texts[some], 0)
+        assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [x + [0] for x in want[some]]
+    assert tokenizer.encode([])[0].tolist() == [] and tokenizer.encode([None, ""], 0)[0].tolist() == [0, 0]
+
+
+def test_words_of_letters_need_no_expression_of_the_library(rng):
+    words = list(dict.fromkeys("".join(rng.choices("abdeilnorstÀéÿß", k=rng.randint(1, 12))) for _ in range(40_000)))
+    tokenizer = tokens.PieceTokenizer(tokens.tokenizer_path("byte_bpe_50k.json"), "byte")
+    tokenizer.library = None
+    ids, _ = tokenizer.encode([" " + " ".join(words)])
+    assert ids.tolist() == library_ids("byte_bpe_50k.json", [" " + " ".join(words)])[0]
+
+
+def test_a_block_has_few_steps_and_short_lane_ends(monkeypatch):
+    steps, learn = [], range_coder._Model.learn
+    monkeypatch.setattr(range_coder._Model, "learn", lambda self, *rest: (steps.append(1), learn(self, *rest))[1])
+    ids = np.minimum(np.random.default_rng(6).zipf(1.3, 1 << 20), 50_000).astype(np.uint32)
+    data = range_coder.encode_block(ids)
+    assert len(steps) == 128 and (range_coder.decode_block(data) == ids).all()
+    data = range_coder.encode_block(np.zeros(1 << 18, np.uint32))
+    assert len(data) < 24_000 and not range_coder.decode_block(data).any()
+
+
+@pytest.mark.parametrize("vocabulary", [1, 60_000, 70_000, 3_000_000])
+def test_range_coder_takes_wide_ids_and_many_of_them(vocabulary):
+    r = np.random.default_rng(vocabulary)
+    ids = np.repeat(r.permutation(vocabulary), 2)[: 1 << 21].astype(np.uint32)
+    assert (range_coder.decode_block(range_coder.encode_block(ids)) == ids).all()

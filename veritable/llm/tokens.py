@@ -7,6 +7,8 @@ encoded once by the tokenizers library and looked up from then on.
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
 import re
 from functools import lru_cache
@@ -44,9 +46,21 @@ _BLANK, _WORD_END = "Ġ", "</w>"
 _RE2_WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RE2_END = rf"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:%$&*#|]+)([\t-\r ]|$)"
 _RE2_ODD = {"word": _MARK, "byte": rf"[{_RE2_WHITE}][{_RE2_WHITE}]|{_MARK}|[\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]"}
+#: For ``byte``, the same by bytes: signs, white space, and what begins or is a character that only
+#: the expressions tell.
+_IS_SIGN, _IS_WHITE, _IS_RARE = 1, 2, 4
+_BYTES = bytes(
+    _IS_SIGN if chr(c) in ".,!?;:%$&*#|" else _IS_WHITE if c == 32 or 9 <= c <= 13 else _IS_RARE if c in (1, 0xC2, 0xE1, 0xE2, 0xE3) else 0 for c in range(256)
+)
+#: Characters that byte-level vocabularies show bytes as: itself if it is printed, else one of those
+#: from 256 on.
+_PRINTED = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
+_UNPRINTED = {c: 256 + k for k, c in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+_SHOWN_BYTES = "".join(chr(_UNPRINTED.get(c, c)) for c in range(256))
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 #: Pieces kept at most; and those, most used, that stay beyond that and from a task to the next
-#: of its worker.
-MOST_PIECES, KEPT_PIECES = 1 << 19, 1 << 18
+#: of its worker. Most words that are learned are rare ones, and learning is half the work.
+MOST_PIECES, KEPT_PIECES = 1 << 19, 3 << 17
 
 
 def tokenizer_path(name: str) -> str:
@@ -73,6 +87,7 @@ class PieceTokenizer:
         self.library.no_padding()
         self.library.no_truncation()
         self.kind, self.cut = cut, CUTS[cut]
+        self.words = self._for_words(path) if cut == "byte" else None
         self.mark = self._find_mark()
         self.edge = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
@@ -86,6 +101,23 @@ class PieceTokenizer:
         holds = [t for t in self.library.get_vocab() if _SHOWN in t]
         return alone.ids[0] if len(alone.ids) == 1 and set(holds) <= {_SHOWN, _SHOWN + "</w>"} else None
 
+    @staticmethod
+    def _for_words(path: str):
+        """The library for words of letters with their blank, given as byte-level vocabularies show
+        them: it needs only to part them at the blanks. None if the tokenizer does more than that."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        if told["normalizer"] or not _BYTE_LEVEL.items() <= (told["pre_tokenizer"] or {}).items():
+            return None
+        words = Tokenizer.from_file(path)
+        words.encode_special_tokens = True
+        words.no_padding()
+        words.no_truncation()
+        words.pre_tokenizer = pre_tokenizers.Split(_BLANK, "merged_with_next")
+        return words
+
     def _alone(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All pieces' ids, one after another, and their numbers."""
         ids = [e.ids for e in self.library.encode_batch_fast(pieces.to_pylist(), add_special_tokens=False)]
@@ -117,16 +149,22 @@ class PieceTokenizer:
     def _lines(self, pieces: pa.Array, between: str, around: str = "") -> list[np.ndarray]:
         """Ids of each thousand pieces as one text."""
         edges = pa.array(np.append(np.arange(0, len(pieces), 1000), len(pieces)).astype(np.int32))
-        texts = [f"{around}{t}{around}" for t in pc.binary_join(pa.ListArray.from_arrays(edges, pieces), between).to_pylist()]
-        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        joined, library = pc.binary_join(pa.ListArray.from_arrays(edges, pieces), between), self.library
+        if self.words and not between:
+            library, texts = self.words, [codecs.charmap_decode(t, "strict", _SHOWN_BYTES)[0] for t in joined.cast(pa.binary()).to_pylist()]
+        else:
+            texts = [f"{around}{t}{around}" for t in joined.to_pylist()]
+        # the library's own results are many times larger than ids: a few at once
+        few = (texts[k : k + 16] for k in range(0, len(texts), 16))
+        return [np.array(e.ids, np.uint32) for some in few for e in library.encode_batch_fast(some, add_special_tokens=False)]
 
     def _clear(self) -> None:
         self.pieces = pa.array([], pa.string())
         self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # in order of the hashes
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
+        self.start = np.zeros(1 << 14, np.int32)
+        self.size = np.zeros(1 << 14, np.int32)
         self.uses = np.zeros(1 << 14, np.int64)
         self.learning = False
 
@@ -146,10 +184,10 @@ class PieceTokenizer:
             pieces, sizes, starts, uses, flat = self.pieces.take(pa.array(kept)), self.size[kept], self.start[kept], self.uses[kept] // 2, self.flat
             self._clear()
             self._add(pieces, _hashed(pieces))
-            self.size, self.uses, self.start = sizes, uses, np.cumsum(sizes) - sizes
+            self.size, self.uses, self.start = sizes, uses, (np.cumsum(sizes) - sizes).astype(np.int32)
             self.used = int(sizes.sum())
             self.flat = flat[np.repeat(starts - self.start, sizes) + np.arange(self.used)]
-        if self.used > 1 << 21:
+        if self.used > 1 << 22:
             self._clear()
 
     def _add(self, new: pa.Array, h: np.ndarray) -> None:
@@ -162,7 +200,7 @@ class PieceTokenizer:
         self.learning = True
         first = len(self.pieces)
         if first + len(new) > len(self.start):
-            self.start, self.size, self.uses = (np.concatenate([a, np.zeros(first + len(new), np.int64)]) for a in (self.start, self.size, self.uses))
+            self.start, self.size, self.uses = (np.concatenate([a, np.zeros(first + len(new), a.dtype)]) for a in (self.start, self.size, self.uses))
         plain, word = (pc.match_substring_regex(new, r).to_numpy(zero_copy_only=False) & (self.mark is not None) for r in (_PLAIN, _WORD[self.kind]))
         for chosen, encode in ((np.flatnonzero(word), self._together), (np.flatnonzero(plain & ~word), self._together), (np.flatnonzero(~plain), self._alone)):
             if not len(chosen):
@@ -184,7 +222,9 @@ class PieceTokenizer:
         h = _hashed(names)
         numbers = np.full(len(names), -1, np.int64)
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            order, at = np.argsort(h), np.empty(len(h), np.int64)
+            at[order] = np.searchsorted(self.hashes, h[order])  # in order, as a cache prefers
+            at = np.minimum(at, len(self.hashes) - 1)
             known = np.flatnonzero(self.hashes[at] == h)
             found = self.places[at[known]]
             same = pc.equal(names.take(pa.array(known)), self.pieces.take(pa.array(found))).to_numpy(zero_copy_only=False)
@@ -198,14 +238,47 @@ class PieceTokenizer:
     def _by_arrow(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all texts and each text's number of pieces; each distinct piece
         of the slice is looked up once."""
-        if self.kind == "word":
-            lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _RE2_END, r"\1 \2\3"))
-        else:
-            marked = pc.replace_substring_regex(texts, _RE2_END, rf"\1{_MARK}\2\3")
-            marked = pc.replace_substring(pc.replace_substring(marked, " ", f"{_MARK} "), "\n", f"{_MARK}\n{_MARK}")
-            lists = pc.split_pattern(marked, _MARK)
+        if self.kind == "byte":
+            return self._by_bytes(texts)
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _RE2_END, r"\1 \2\3"))
         return self._codes(lists.flatten()), np.diff(lists.offsets.to_numpy()).astype(np.int64)
 
+    def _by_bytes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same where pieces lie side by side: nothing is copied. A piece begins with a text, at
+        a blank, at a line break and after it, and at the signs that end a word."""
+        data, edges = text_bytes(texts)
+        kinds = np.frombuffer(data.tobytes().translate(_BYTES), np.uint8)
+        breaks, sign = data == 10, kinds == _IS_SIGN
+        bound = np.zeros(len(data) + 1, bool)
+        bound[edges] = True
+        cut = bound[:-1] | breaks | (data == 32)
+        cut[1:] |= breaks[:-1]
+        begins, ends = sign.copy(), sign.copy()
+        begins[1:] &= ~sign[:-1] | bound[1:-1]
+        ends[:-1] &= ~sign[1:] | bound[1:-1]
+        first, after = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        left = data[first - 1]
+        letter = ((left | np.uint8(32)) - np.uint8(97) < 26) | ((left >= 0x80) & (left < 0xC0) & (left != 0x97) & (left != 0xB7) & (data[first - 2] == 0xC3))
+        ended = bound[after] | (np.append(kinds, np.uint8(0))[after] == _IS_WHITE)
+        cut[first[letter & ended & ~bound[first]]] = True
+        at = np.flatnonzero(cut)
+        pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data))
+        return self._codes(pieces), np.diff(np.searchsorted(at, edges))
+
+    def _odd(self, texts: pa.Array) -> np.ndarray:
+        """Which texts need the look-ahead or hold the mark."""
+        if self.kind == "word":
+            return pc.match_substring_regex(texts, _RE2_ODD["word"]).to_numpy(zero_copy_only=False)
+        data, edges = text_bytes(texts)
+        kinds = np.frombuffer(data.tobytes().translate(_BYTES), np.uint8)
+        white, odd = kinds == _IS_WHITE, np.zeros(len(texts), bool)
+        maybe = kinds == _IS_RARE
+        maybe[1:] |= white[1:] & white[:-1]
+        rows = np.unique(np.searchsorted(edges, np.flatnonzero(maybe), "right") - 1)
+        if len(rows):
+            odd[rows] = pc.match_substring_regex(texts.take(pa.array(rows)), _RE2_ODD["byte"]).to_numpy(zero_copy_only=False)
+        return odd
+
     def _codes(self, pieces: pa.Array) -> np.ndarray:
         distinct = pieces.dictionary_encode()
         return self._numbered(distinct.dictionary).take(distinct.indices.to_numpy())
@@ -218,10 +291,10 @@ class PieceTokenizer:
     def encode(self, texts: pa.Array | list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's number of ids; ``end`` follows each text.
         Null counts as empty."""
-        if len(self.pieces) > MOST_PIECES or self.used > 1 << 22:
+        if len(self.pieces) > MOST_PIECES or self.used > 1 << 23:
             self.forget()
         texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
-        odd = pc.match_substring_regex(texts, _RE2_ODD[self.kind]).to_numpy(zero_copy_only=False)
+        odd = self._odd(texts)
         if not odd.any():
             codes, pieces = self._by_arrow(texts)
         else:
