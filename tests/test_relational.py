@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +265,18 @@ def test_near_duplicates_of_whole_vectors(spark):
     assert {r.vec_id: r.hash for r in bindings.hash24(spark, sf).collect()} == hashes
     want = {(a, b) for a in hashes for b in hashes if a < b and (a + b) % 2 and 1 <= (hashes[a] ^ hashes[b]).bit_count() <= 4}
     assert {(r.id_1, r.id_2) for r in catalog.QUERIES["j16_near_duplicates"](spark, sf).collect()} == want and len(want) > 40
+
+
+def test_cells_are_dealt_by_their_comparisons(spark):
+    """Some hashes are few bytes: their cells, 35 times as many, were broadcast and compared in a single task."""
+    df = spark.range(24000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 24)).alias("hash"), F.when(F.col("id") % 2 == 0, "train").otherwise("val").alias("role"), "id")
+    pairs = L.near_hash_pairs(df, 24, 4, role="role")
+    tasks = pairs.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_if(F.expr("distance between 1 and 4 and a < b")).alias("ok")).collect()
+    assert len(tasks) > 1 and all(t.n == t.ok for t in tasks)
+    rows = df.groupBy("hash").agg(F.min("role").alias("lo"), F.max("role").alias("hi")).orderBy("hash").toPandas()
+    h, only = rows["hash"].to_numpy(), np.where(rows.lo == rows.hi, rows.lo == "val", 2)
+    near = 0
+    for i in range(0, len(h), 500):
+        d = np.bitwise_count(h[i : i + 500, None] ^ h[None, i:])
+        near += int(((d <= 4) & (np.arange(len(h) - i) > np.arange(len(d))[:, None]) & ((only[i : i + 500, None] != only[None, i:]) | (only[None, i:] == 2))).sum())
+    assert sum(t.n for t in tasks) == near

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,45 +117,109 @@ def generator_pairs(df: DataFrame, ident: str, order: str, most: int = 10, role:
     return a.join(b, generator)
 
 
+def _cost(n: int, bits: int, most: int, agree: int) -> float:
+    return comb(most + agree, agree) * n * (500 + n / 2 / 2 ** (bits * agree // (most + agree)))
+
+
 def bands_to_agree(n: int, bits: int, most: int) -> int:
-    """The number of bands whose join costs least for n hashes: a row for each hash and choice of
-    bands, shuffled and sorted for the price of some 30 comparisons, and half the pairs that
+    """The number of bands that costs least for n hashes: a row for each hash and choice of
+    bands, shuffled and sorted for the price of some 500 comparisons, and half the pairs that
     chance lets agree. All give the same pairs of hashes."""
-    def cost(agree: int) -> float:
-        choices = comb(most + agree, agree)
-        return choices * n * (30 + n / 2 / 2 ** (bits * agree // (most + agree)))
+    return min(range(1, 6), key=lambda agree: _cost(n, bits, most, agree))
 
-    return min(range(1, 6), key=cost)
 
-
-def near_hash_pairs(hashes: DataFrame, bits: int, most: int, key: str = "hash", agree: int | None = None) -> DataFrame:
+def near_hash_pairs(hashes: DataFrame, bits: int, most: int, key: str = "hash", agree: int | None = None, role: str | None = None) -> DataFrame:
     """Pairs of distinct hashes at Hamming distance 1..most: (a, b, distance), a < b.
 
     The bits are cut into most + agree bands; two hashes that differ in at most ``most`` bits
-    agree in ``agree`` bands or more, so an equi-join on all choices of so many bands misses none.
-    More bands to agree in make longer keys that fewer far hashes share, and more rows per
+    agree in ``agree`` bands or more, so comparing all that share a cell, for all choices of so many bands,
+    misses none. More bands to agree in make longer keys that fewer far hashes share, and more rows per
     hash; None chooses by their number. A pair is reported by its first common choice only, which
-    spares a distinct over all candidates."""
-    rows = hashes.select(F.col(key).cast("long").alias("h")).where("h is not null").distinct()
-    agree = bands_to_agree(rows.count(), bits, most) if agree is None else agree
+    spares a distinct over all candidates. With ``role``, pairs of hashes whose rows are all of one role are left out.
+
+    Cells are dealt to tasks by their number, not by their bytes: rows are few and small, their comparisons many."""
+    kept = F.when(F.min("r") == F.max("r"), F.min("r")).alias("role")
+    rows = hashes.select(F.col(key).cast("long").alias("h"), (F.col(role) if role else F.lit(None)).cast("string").alias("r")).where("h is not null")
+    count = rows.select("h").distinct().count()
+    agree = bands_to_agree(count, bits, most) if agree is None else agree
+    tasks = 1 + int(_cost(count, bits, most, agree) / 1e8)
     n = most + agree
     edges = [round(bits * k / n) for k in range(n + 1)]
     band = [((1 << edges[k + 1]) - (1 << edges[k])) for k in range(n)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
+    chosen = list(combinations(range(n), agree))
     # choices are one constant, not a column each: hundreds of columns are more code than the JVM compiles
-    choices = F.array(*(F.struct(F.lit(i).alias("choice"), F.lit(ks[-1]).alias("last"), F.lit(signed(sum(band[k] for k in ks))).cast("long").alias("bands")) for i, ks in enumerate(combinations(range(n), agree))))
-    cells = rows.select("h", F.explode(choices).alias("c")).select("h", "c.choice", "c.last", F.col("h").bitwiseAND(F.col("c.bands")).alias("cell"))
-    a, b = cells.withColumnRenamed("h", "a"), cells.select("cell", "choice", F.col("h").alias("b"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = a.join(b, ["cell", "choice"]).where("a < b").where(F.bit_count(x) <= most)
+    choices = F.array(*(F.struct(F.lit(i).alias("choice"), F.lit(signed(sum(band[k] for k in ks))).cast("long").alias("bands")) for i, ks in enumerate(chosen)))
+    rows = rows.repartition(tasks, "h").groupBy("h").agg(kept)
+    cells = rows.select("h", "role", F.explode(choices).alias("c")).select("c.choice", F.col("h").bitwiseAND(F.col("c.bands")).alias("cell"), "h", "role")
     # the first common choice: no other band up to its last one agrees
-    same = [F.when((F.col("last") >= k) & (x.bitwiseAND(F.lit(signed(band[k])).cast("long")) == 0), 1).otherwise(0) for k in range(n)]
-    return pairs.where(sum(same[1:], same[0]) == agree).select("a", "b", F.bit_count(x).alias("distance"))
+    apart = [[band[k] for k in range(ks[-1]) if k not in ks] for ks in chosen]
+    dealt = cells.repartition(tasks, "choice", "cell").sortWithinPartitions("choice", "cell")
+    return dealt.mapInArrow(lambda batches: _near_in_cells(batches, most, apart), "a long, b long, distance int")
+
+
+def _near_in_cells(batches: Iterator[pa.RecordBatch], most: int, apart: list[list[int]]) -> Iterator[pa.RecordBatch]:
+    """Near pairs of each cell's hashes. Rows come ordered by choice and cell; memory holds one
+    cell, a tile of its comparisons, and pairs found until there are enough for a batch."""
+    codes: dict[str | None, int] = {None: -1}
+    found, size = [], 0
+    for choice, h, role in _cells(batches, codes):
+        order = np.argsort(h, kind="stable")
+        h, role = h[order], role[order]
+        u = h.view(np.uint64)
+        u = u.astype(np.uint32) if u.max() < 1 << 32 else u
+        step = max(1, (1 << 19) // len(h))
+        for at in range(0, len(h) - 1, step):
+            x = u[at : at + step, None] ^ u[None, at:]
+            i, j = np.nonzero(np.bitwise_count(x) <= most)
+            i, j = i[i < j], j[i < j]
+            x, i, j = x[i, j], i + at, j + at
+            ok = (role[i] != role[j]) | (role[i] < 0)
+            for mask in apart[choice]:
+                ok &= x & x.dtype.type(mask & np.iinfo(x.dtype).max) != 0
+            if ok.any():
+                found.append((h[i[ok]], h[j[ok]], np.bitwise_count(x[ok]).astype(np.int32)))
+                size += len(found[-1][0])
+            if size >= 1 << 17:
+                yield _batch(found)
+                found, size = [], 0
+    if found:
+        yield _batch(found)
+
+
+def _batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b", "distance"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch], codes: dict[str | None, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(choice, hashes, numbers of their roles) of each cell with several hashes; -1 is no role or several."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def whole():
+        choice, _, h, role = (np.concatenate(c) for c in zip(*held))
+        return int(choice[0]), h, role
+
+    for batch in batches:
+        role = batch.column("role").dictionary_encode()
+        names = np.array([codes.setdefault(r, len(codes)) for r in role.dictionary.to_pylist()] + [-1], np.int32)
+        numbers = names[role.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)]
+        columns = [batch.column(c).to_numpy() for c in ("choice", "cell", "h")] + [numbers]
+        choice, cell = columns[:2]
+        starts = np.flatnonzero((np.diff(choice) != 0) | (np.diff(cell) != 0)) + 1
+        for lo, hi in zip([0, *starts.tolist()], [*starts.tolist(), len(choice)]):
+            if hi > lo:
+                if held and (held[-1][0][-1] != choice[lo] or held[-1][1][-1] != cell[lo]):
+                    if sum(len(part[0]) for part in held) > 1:
+                        yield whole()
+                    held = []
+                held.append(tuple(c[lo:hi] for c in columns))
+    if sum(len(part[0]) for part in held) > 1:
+        yield whole()
 
 
 def near_duplicates(df: DataFrame, hash_col: str, ident: str, role: str, bits: int, most: int) -> DataFrame:
     """Cross-role pairs of rows whose hashes differ in 1..most bits."""
-    pairs = near_hash_pairs(df, bits, most, hash_col)
+    pairs = near_hash_pairs(df, bits, most, hash_col, role=role)
     left = df.select(F.col(hash_col).alias("a"), F.col(ident).alias("id_1"), F.col(role).alias("role_1"))
     right = df.select(F.col(hash_col).alias("b"), F.col(ident).alias("id_2"), F.col(role).alias("role_2"))
     rows = pairs.join(left, "a").join(right, "b").where("role_1 <> role_2")
