@@ -280,3 +280,14 @@ def test_cells_are_dealt_by_their_comparisons(spark):
         d = np.bitwise_count(h[i : i + 500, None] ^ h[None, i:])
         near += int(((d <= 4) & (np.arange(len(h) - i) > np.arange(len(d))[:, None]) & ((only[i : i + 500, None] != only[None, i:]) | (only[None, i:] == 2))).sum())
     assert sum(t.n for t in tasks) == near
+
+
+def test_near_duplicates_reach_five_bits(spark):
+    """Five bits of 24 of whole vectors, the threshold of the original check; four bits left 58 of these pairs."""
+    from veritable.plans import bindings, catalog
+
+    sf = "/root/testdata/sf0.01"
+    hashes = {r.vec_id: r.hash for r in bindings.hash24(spark, sf).collect()}
+    near = {(a, b): d for a in hashes for b in hashes if a < b and (a + b) % 2 and 1 <= (d := (hashes[a] ^ hashes[b]).bit_count()) <= 5}
+    assert {(r.id_1, r.id_2): r.distance for r in catalog.QUERIES["j16_near_duplicates"](spark, sf).collect()} == near
+    assert len(near) > 200 and "between 1 and 5" in catalog.ORACLE_SQL["j16_near_duplicates"]

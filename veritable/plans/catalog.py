@@ -433,9 +433,9 @@ def j19_generator_pairs(spark, sf):
     return leakage.generator_pairs(rows, "sample_id", "doc_id")
 
 
-@query(with_ctes("hash24", "select a.vec_id as id_1, b.vec_id as id_2, a.split_role as role_1, b.split_role as role_2, bit_count(xor(a.hash, b.hash))::int as distance from hash24 a join hash24 b on a.vec_id < b.vec_id and a.split_role <> b.split_role and bit_count(xor(a.hash, b.hash)) between 1 and 4"))
+@query(with_ctes("hash24", "select a.vec_id as id_1, b.vec_id as id_2, a.split_role as role_1, b.split_role as role_2, bit_count(xor(a.hash, b.hash))::int as distance from hash24 a join hash24 b on a.vec_id < b.vec_id and a.split_role <> b.split_role and bit_count(xor(a.hash, b.hash)) between 1 and 5"))
 def j16_near_duplicates(spark, sf):
-    return leakage.near_duplicates(b.hash24(spark, sf), "hash", "vec_id", "split_role", 24, 4)
+    return leakage.near_duplicates(b.hash24(spark, sf), "hash", "vec_id", "split_role", 24, 5)
 
 
 @query(with_ctes("hash32", """, s as (select hash, min(vec_id) as first_seen from hash32 group by 1)
