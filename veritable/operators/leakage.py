@@ -150,7 +150,7 @@ def near_hash_pairs(hashes: DataFrame, bits: int, most: int, key: str = "hash",
     chosen = list(combinations(range(n), agree))
     # choices are one constant, not a column each: hundreds of columns are more code than the JVM compiles
     choices = F.array(*(F.struct(F.lit(i).alias("choice"), F.lit(signed(sum(band[k] for k in ks))).cast("long").alias("bands")) for i, ks in enumerate(chosen)))
-    rows = rows.repartition(tasks, "h").groupBy("h").agg(kept)
+    rows = rows.groupBy("h").agg(kept).repartition(tasks, "h")
     cells = rows.select("h", "role", F.explode(choices).alias("c")).select("c.choice", F.col("h").bitwiseAND(F.col("c.bands")).alias("cell"), "h", "role")
     # the first common choice: no other band up to its last one agrees
     apart = [[band[k] for k in range(ks[-1]) if k not in ks] for ks in chosen]
